@@ -127,8 +127,9 @@ def load(path: str, pattern: str) -> ByteBPE:
         return ByteBPE({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, decoded): token ids of the whole text and the bytes they decode to. No shuffle."""
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests_only: bool = False) -> DataFrame:
+    """Per document: number of tokens, digests of ids and decoded bytes, and unless digests_only the ids. No shuffle."""
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
@@ -136,22 +137,24 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids = [bpe.encode(x.as_py()) for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.binary())], ["doc_id", "ids", "decoded"])
+                columns = [
+                    part.column(0),
+                    pa.array([len(x) for x in ids], pa.int64()),
+                    pa.array([hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for x in ids], pa.string()),
+                    pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids], pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns if digests_only else [*columns, pa.array(ids, pa.list_(pa.int32()))], names if digests_only else [*names, "ids"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    chosen = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    return chosen.mapInArrow(run, SCHEMA if digests_only else f"{SCHEMA}, ids array<int>")
 
 
-def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: number of tokens and digests of ids and decoded bytes, taken in the task that encodes."""
+def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(doc_id, decoded binary) from token ids; null ids decode to nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
         for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                ids = bpe.encode(text.as_py())
-                rows.append((len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
-            columns = list(zip(*rows, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)]], [x.split()[0] for x in SCHEMA.split(", ")])
-
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, SCHEMA)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.decode(x.as_py() or []) for x in batch.column(1)], pa.binary())], ["doc_id", "decoded"])
+
+    return encoded.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{ids_col}`").cast("array<int>")).mapInArrow(run, "doc_id long, decoded binary")

@@ -52,3 +52,19 @@ def materialise(df: DataFrame) -> DataFrame:
 def crc_mod(col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(f"`{col}`").cast("string"), F.lit("")).cast("binary")) % n
+
+
+def shingles(text: Column, size: int) -> Column:
+    """Distinct word shingles of the A-Z-lower-cased text as 64-bit hashes.
+
+    A text with fewer words has its whole sequence as one shingle; without words there is none. Within one text or
+    pair of texts two shingles share a hash with a probability of about pairs / 2^64, which is taken as never.
+    """
+    words = words_of(ascii_lower(text))
+
+    def hashed(w: Column) -> Column:
+        n = F.size(w)
+        each = F.array_distinct(F.transform(F.sequence(F.lit(1), n - (size - 1)), lambda i: F.xxhash64(F.slice(w, i, size))))
+        return F.when(n >= size, each).when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(words, hashed)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zonelake.llm import byte_bpe, quality_rules, secret_scan
+from zonelake.llm import byte_bpe, decontaminate, near_dedup, quality_rules, secret_scan
 from zonelake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,18 +16,28 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.detect(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests_only=True)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.cluster(table(spark, sf_dir, "documents"), size=2)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_secret_scan, op5_byte_bpe, op6_quality_rules)}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op3_secret_scan, op4_decontaminate, op5_byte_bpe, op6_quality_rules, op9_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
