@@ -5,13 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from zonelake.llm import byte_bpe, decontaminate, near_dedup, quality_rules, secret_scan
+from zonelake.llm import byte_bpe, decontaminate, html_wrapper, near_dedup, quality_rules, secret_scan, url_filter, warc
 from zonelake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+#: The pages have no date of their own; a fixed one keeps the records the same in every run.
+FETCHED = "2024-01-01T00:00:00Z"
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.detect(table(spark, sf_dir, "documents"))
 
@@ -30,6 +40,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derivatives of every page's response; the block, UTF-8 in both kinds, as text."""
+    made = warc.derive(warc.from_pages(table(spark, sf_dir, "pages"), FETCHED))
+    return made.withColumnRenamed("key", "page_id").withColumn("block", F.col("block").cast("string"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.cluster(table(spark, sf_dir, "documents"), size=2)
 
@@ -37,7 +57,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op3_secret_scan, op4_decontaminate, op5_byte_bpe, op6_quality_rules, op9_near_dedup)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_url_filter, op3_secret_scan, op4_decontaminate, op5_byte_bpe, op6_quality_rules, op7_html_wrapper, op8_warc, op9_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
