@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonelake.llm import byte_bpe, decontaminate, html_wrapper, near_dedup, quality_rules, secret_scan, url_filter, warc
+from zonelake.llm import byte_bpe, decontaminate, html_wrapper, near_dedup, quality_classifier, quality_rules, secret_scan, suffix_tree_lm, url_filter, warc
 from zonelake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quality_classifier.default_held_out())
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.detect(table(spark, sf_dir, "documents"))
 
@@ -54,10 +58,14 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.cluster(table(spark, sf_dir, "documents"), size=2)
 
 
+def op10_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.score(table(spark, sf_dir, "documents"), suffix_tree_lm.default_held_out())
+
+
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_url_filter, op3_secret_scan, op4_decontaminate, op5_byte_bpe, op6_quality_rules, op7_html_wrapper, op8_warc, op9_near_dedup)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_url_filter, op2_quality_classifier, op3_secret_scan, op4_decontaminate, op5_byte_bpe, op6_quality_rules, op7_html_wrapper, op8_warc, op9_near_dedup, op10_suffix_tree_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
