@@ -15,9 +15,9 @@ MAX_HOLD = 7_200 * SECOND
 KEY = ["camera_id", "zone_id"]
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seq, ts_us, user_id, event_type, value, camera_id, zone_id)."""
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+def events(spark: SparkSession, sf_dir: str, raw: DataFrame | None = None) -> DataFrame:
+    """(seq, ts_us, user_id, event_type, value, camera_id, zone_id), from the table or a stream of its rows."""
+    return (spark.read.parquet(f"{sf_dir}/events.parquet") if raw is None else raw).select(
         F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "user_id", "event_type", "value",
         F.concat(F.lit("CAM-0"), (F.col("user_id") % 4).cast("string")).alias("camera_id"),
         F.concat(F.lit("ZONE-0"), (F.floor(F.col("user_id") / 4) % 3).cast("string")).alias("zone_id"),
@@ -39,11 +39,11 @@ def zones(spark: SparkSession) -> DataFrame:
     )
 
 
-def states(spark: SparkSession, sf_dir: str) -> DataFrame:
+def states(spark: SparkSession, sf_dir: str, raw: DataFrame | None = None) -> DataFrame:
     """Zone readings: occupancy with what follows from the zone's area and capacity."""
     from zonelake.functions.scalars import capacity_pct, density, density_status
 
-    rows = events(spark, sf_dir).where(F.col("event_type").isin("view", "click", "purchase"))
+    rows = events(spark, sf_dir, raw).where(F.col("event_type").isin("view", "click", "purchase"))
     rows = rows.select("seq", "ts_us", *KEY, (F.floor("value") % 12).cast("long").alias("occupancy"))
     rows = rows.join(F.broadcast(zones(spark).select(*KEY, "area_sqm", "capacity_max", "warning_density", "critical_density")), KEY)
     rows = rows.withColumn("density", density(F.col("occupancy"), F.col("area_sqm"))).withColumn("capacity_pct", capacity_pct(F.col("occupancy"), F.col("capacity_max")))

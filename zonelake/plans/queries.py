@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from zonelake.functions import identity as idf
 from zonelake.functions import scalars, validate
-from zonelake.operators import folds, geometry, intervals, series, store
+from zonelake.operators import folds, geometry, identity, intervals, series, store, tracks
 from zonelake.plans import domain as d
-from zonelake.plans import views
+from zonelake.plans import reports, views
+from zonelake.streaming import operators as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -270,8 +271,6 @@ def zone_stats(spark, sf_dir):
 
 @query(f"WITH {d.SQL_EVENTS}, {d.SQL_MOVES} SELECT zone_from, zone_to, count(*) AS n FROM mv WHERE event_type = 'ZONE_TRANSITION' GROUP BY 1, 2")
 def movement_matrix(spark, sf_dir):
-    from zonelake.plans import reports
-
     return reports.movement(d.movements(spark, sf_dir))
 
 
@@ -353,3 +352,262 @@ def gate_replay(spark, sf_dir):
 @query(f"""{W}, x AS (SELECT *, lag(status) OVER (PARTITION BY camera_id, zone_id ORDER BY ts_us, seq) AS ps FROM st) SELECT seq, ts_us, camera_id, zone_id, occupancy, density, capacity_pct, status FROM x WHERE ps IS NULL OR ps <> status""")
 def density_updates(spark, sf_dir):
     return folds.density_updates(d.states(spark, sf_dir))
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks seen in zones: a user is a track, an error is a sight outside of all zones."""
+    e = d.events(spark, sf_dir)
+    return e.select("camera_id", F.col("user_id").alias("track_id"), "seq", "ts_us", F.when(F.col("event_type") != "error", F.concat(F.lit("ZONE-0"), (F.floor("value") % 2).cast("string"))).alias("zone_id"))
+
+
+OBS = f"WITH {d.SQL_EVENTS}, ob AS (SELECT camera_id, user_id AS track_id, seq, ts_us, CASE WHEN event_type <> 'error' THEN 'ZONE-0' || (CAST(floor(value) AS BIGINT) % 2) END AS zone_id FROM ev)"
+TRACK = ["camera_id", "track_id"]
+FLOWS = f"""WITH {d.SQL_EVENTS}, {d.SQL_MOVES}, cr AS (SELECT seq, ts_us, camera_id, coalesce(zone_to, zone_from) AS zone_id, CASE event_type WHEN 'ZONE_ENTRY' THEN 'in' ELSE 'out' END AS kind FROM mv WHERE event_type IN ('ZONE_ENTRY', 'ZONE_EXIT')),
+pp AS (SELECT a.seq, a.ts_us, a.camera_id, a.zone_id, a.kind, b.kind AS k2, a.ts_us - b.ts_us AS ago FROM cr a JOIN cr b ON a.camera_id = b.camera_id AND a.zone_id = b.zone_id AND b.ts_us <= a.ts_us AND b.ts_us >= a.ts_us - 900000000)"""
+
+
+@query(FLOWS + " SELECT seq, ts_us, camera_id, zone_id, kind, " + ", ".join(f"round(sum(CASE WHEN k2 = '{k}' AND ago <= {w} THEN 1 ELSE 0 END) * {60e6 / w!r}, 2) AS {n}_{m}" for m, w in (("1m", 60_000_000), ("5m", 300_000_000), ("15m", 900_000_000)) for k, n in (("in", "inflow"), ("out", "outflow")))
+       + ", round(round(sum(CASE WHEN k2 = 'in' AND ago <= 60000000 THEN 1 ELSE 0 END) * 1.0, 2) - round(sum(CASE WHEN k2 = 'out' AND ago <= 60000000 THEN 1 ELSE 0 END) * 1.0, 2), 2) AS net_flow FROM pp GROUP BY 1, 2, 3, 4, 5")
+def flow_rates(spark, sf_dir):
+    return tracks.flow_rates(tracks.crossings(d.movements(spark, sf_dir)))
+
+
+@query(f"""{W}, pp AS (SELECT a.seq, a.ts_us, a.camera_id, a.zone_id, a.occupancy, b.occupancy AS o, a.ts_us - b.ts_us AS ago FROM st a JOIN st b ON a.camera_id = b.camera_id AND a.zone_id = b.zone_id AND b.ts_us <= a.ts_us AND b.ts_us >= a.ts_us - {6 * HOUR}),
+ag AS (SELECT seq, ts_us, camera_id, zone_id, occupancy, count(*) AS n, avg(o) AS m, avg(CASE WHEN ago <= {3 * HOUR} THEN o END) AS nw, avg(CASE WHEN ago > {3 * HOUR} THEN o END) AS od FROM pp GROUP BY 1, 2, 3, 4, 5)
+SELECT seq, ts_us, camera_id, zone_id, occupancy, round(m, 6) AS avg_occupancy, CASE WHEN n < 4 OR od IS NULL THEN 'flat' WHEN nw > od * 1.15 THEN 'rising' WHEN nw < od * 0.85 THEN 'falling' ELSE 'flat' END AS trend FROM ag""")
+def rolling_stats(spark, sf_dir):
+    """Over six hours here, as readings of the test data are far apart."""
+    out = tracks.rolling_stats(d.states(spark, sf_dir).select("seq", "ts_us", *d.KEY, "occupancy"), 6 * HOUR)
+    return out.withColumn("avg_occupancy", F.round("avg_occupancy", 6))
+
+
+@query(f"{W} SELECT seq, ts_us, camera_id, zone_id, max(occupancy) OVER (PARTITION BY camera_id, zone_id ORDER BY ts_us, seq ROWS UNBOUNDED PRECEDING) AS peak_so_far FROM st")
+def running_peak(spark, sf_dir):
+    return tracks.running_peak(d.states(spark, sf_dir)).select("seq", "ts_us", *d.KEY, "peak_so_far")
+
+
+@query(f"{W} SELECT camera_id, zone_id, ts_us // {HOUR} * {HOUR} AS window_us, arg_max(occupancy, ts_us) AS occupancy, max(ts_us) AS ts_us, count(*) AS samples FROM st GROUP BY 1, 2, 3")
+def last_in_window(spark, sf_dir):
+    return tracks.last_in_window(d.states(spark, sf_dir), "1 hour")
+
+
+@query(f"""{OBS}, m AS (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY camera_id, track_id ORDER BY ts_us) <= {6 * HOUR} THEN 0 ELSE 1 END AS nw FROM ob),
+s AS (SELECT *, sum(nw) OVER (PARTITION BY camera_id, track_id ORDER BY ts_us) AS session FROM m), z AS (SELECT camera_id, track_id, session, zone_id, lag(zone_id) OVER (PARTITION BY camera_id, track_id, session ORDER BY ts_us) AS pz FROM s),
+c AS (SELECT camera_id, track_id, session, count(*) AS n_zones FROM z WHERE zone_id IS NOT NULL AND (pz IS NULL OR pz <> zone_id) GROUP BY 1, 2, 3)
+SELECT s.camera_id, s.track_id, CAST(s.session AS BIGINT) AS session, min(ts_us) AS first_us, max(ts_us) AS last_us, count(*) AS n, coalesce(max(n_zones), 0) AS n_zones FROM s LEFT JOIN c ON s.camera_id = c.camera_id AND s.track_id = c.track_id AND s.session = c.session GROUP BY 1, 2, 3""")
+def track_sessions(spark, sf_dir):
+    return tracks.sessions(observations(spark, sf_dir), TRACK, 6 * HOUR).withColumn("n_zones", F.size("zones_visited").cast("long")).drop("zones_visited")
+
+
+STAYS = f"""{OBS}, m AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY camera_id, track_id ORDER BY ts_us) > 1 AND zone_id IS NOT DISTINCT FROM lag(zone_id) OVER (PARTITION BY camera_id, track_id ORDER BY ts_us) THEN 0 ELSE 1 END AS nw FROM ob),
+s AS (SELECT *, CAST(sum(nw) OVER (PARTITION BY camera_id, track_id ORDER BY ts_us) AS BIGINT) AS stay FROM m), dw AS (SELECT camera_id, track_id, seq, ts_us, zone_id, stay, CASE WHEN zone_id IS NULL THEN 0 ELSE ts_us - min(ts_us) OVER (PARTITION BY camera_id, track_id, stay) END AS dwell_us FROM s)"""
+
+
+@query(f"{STAYS} SELECT * FROM dw")
+def dwell(spark, sf_dir):
+    return tracks.dwell(observations(spark, sf_dir), TRACK)
+
+
+@query(f"{STAYS} SELECT camera_id, track_id, stay, zone_id, min(ts_us) AS ts_us, 'R-05' AS rule_id FROM dw WHERE zone_id IS NOT NULL AND dwell_us >= {HOUR} GROUP BY 1, 2, 3, 4")
+def loitering(spark, sf_dir):
+    return tracks.loitering(tracks.dwell(observations(spark, sf_dir), TRACK), TRACK, HOUR)
+
+
+@query(f"{STAYS} SELECT camera_id, track_id, zone_id, stay, min(ts_us) AS ts_us, 'R-06' AS rule_id FROM dw WHERE zone_id = 'ZONE-01' GROUP BY 1, 2, 3, 4")
+def intrusions(spark, sf_dir):
+    zones = d.zones(spark).withColumn("restricted", F.col("zone_id") == "ZONE-01")
+    return tracks.intrusions(tracks.dwell(observations(spark, sf_dir), TRACK), TRACK, zones)
+
+
+@query(f"""{W}, g AS (SELECT camera_id, ts_us, lead(ts_us) OVER (PARTITION BY camera_id ORDER BY ts_us) AS nx FROM (SELECT DISTINCT camera_id, ts_us FROM st)), f AS (SELECT *, ((ts_us + {2 * HOUR}) // 5000000 + 1) * 5000000 AS fire FROM g WHERE nx IS NOT NULL)
+SELECT camera_id, 'R-07' AS rule_id, 'FIRE' AS kind, fire AS ts_us FROM f WHERE fire < nx UNION ALL SELECT camera_id, 'R-07', 'CLEAR', nx FROM f WHERE fire < nx""")
+def camera_silences(spark, sf_dir):
+    return tracks.silences(d.states(spark, sf_dir), 2 * HOUR)
+
+
+DEBOUNCE = f"""WITH RECURSIVE {OBS.removeprefix('WITH ')}, o AS (SELECT *, row_number() OVER (PARTITION BY camera_id, track_id ORDER BY ts_us, seq) AS rn FROM ob),
+g AS (SELECT DISTINCT camera_id, track_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS ts_us, CAST(NULL AS VARCHAR) AS conf, CAST(NULL AS VARCHAR) AS cand, 0 AS n, CAST(NULL AS VARCHAR) AS was, FALSE AS flip FROM o
+ UNION ALL SELECT o.camera_id, o.track_id, o.rn, o.seq, o.ts_us,
+  CASE WHEN o.zone_id IS DISTINCT FROM g.conf AND (CASE WHEN o.zone_id IS NOT DISTINCT FROM g.cand THEN g.n + 1 ELSE 1 END) >= 2 THEN o.zone_id ELSE g.conf END, o.zone_id,
+  CASE WHEN o.zone_id IS NOT DISTINCT FROM g.conf OR (CASE WHEN o.zone_id IS NOT DISTINCT FROM g.cand THEN g.n + 1 ELSE 1 END) >= 2 THEN 0 WHEN o.zone_id IS NOT DISTINCT FROM g.cand THEN g.n + 1 ELSE 1 END,
+  g.conf, o.zone_id IS DISTINCT FROM g.conf AND (CASE WHEN o.zone_id IS NOT DISTINCT FROM g.cand THEN g.n + 1 ELSE 1 END) >= 2 FROM g JOIN o ON o.camera_id = g.camera_id AND o.track_id = g.track_id AND o.rn = g.rn + 1)"""
+
+
+@query(f"{DEBOUNCE} SELECT camera_id, track_id, seq, ts_us, was AS zone_from, conf AS zone_to, CASE WHEN was IS NULL THEN 'ZONE_ENTRY' WHEN conf IS NULL THEN 'ZONE_EXIT' ELSE 'ZONE_TRANSITION' END AS event_type FROM g WHERE flip")
+def movement_events(spark, sf_dir):
+    return tracks.movement_events(folds.debounced(observations(spark, sf_dir), TRACK, 2))
+
+
+LATCH = f"""WITH RECURSIVE {d.SQL_STATES}, o AS (SELECT *, row_number() OVER (PARTITION BY camera_id, zone_id ORDER BY ts_us, seq) AS rn FROM st),
+ru AS (SELECT 'R-02' AS rule_id, CAST(4.0 AS DOUBLE) AS hi, CAST(3.6 AS DOUBLE) AS lo UNION ALL SELECT 'R-01', CAST(2.0 AS DOUBLE), CAST(1.8 AS DOUBLE) UNION ALL SELECT 'R-03', CAST(90.0 AS DOUBLE), CAST(85.0 AS DOUBLE)),
+x AS (SELECT o.camera_id, o.zone_id, o.rn, o.seq, o.ts_us, rule_id, hi, lo, CASE WHEN rule_id = 'R-03' THEN capacity_pct ELSE density END AS v FROM o CROSS JOIN ru),
+g AS (SELECT DISTINCT camera_id, zone_id, rule_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS ts_us, CAST(0.0 AS DOUBLE) AS v, FALSE AS armed, CAST(NULL AS BIGINT) AS since, FALSE AS flip FROM x
+ UNION ALL SELECT x.camera_id, x.zone_id, x.rule_id, x.rn, x.seq, x.ts_us, CAST(x.v AS DOUBLE),
+  CASE WHEN (CASE WHEN g.armed THEN x.v <= lo ELSE x.v >= hi END) AND x.ts_us - g.since >= {HOUR} THEN NOT g.armed ELSE g.armed END,
+  CASE WHEN NOT (CASE WHEN g.armed THEN x.v <= lo ELSE x.v >= hi END) THEN NULL WHEN g.since IS NULL THEN x.ts_us WHEN x.ts_us - g.since >= {HOUR} THEN NULL ELSE g.since END,
+  coalesce((CASE WHEN g.armed THEN x.v <= lo ELSE x.v >= hi END) AND x.ts_us - g.since >= {HOUR}, FALSE)
+ FROM g JOIN x ON x.camera_id = g.camera_id AND x.zone_id = g.zone_id AND x.rule_id = g.rule_id AND x.rn = g.rn + 1)
+SELECT camera_id, zone_id, seq, ts_us, rule_id, CASE WHEN armed THEN 'FIRE' ELSE 'CLEAR' END AS kind, CASE WHEN NOT armed THEN 'INFO' WHEN rule_id = 'R-02' THEN 'RED' ELSE 'AMBER' END AS severity, v AS value FROM g WHERE flip"""
+
+
+@query(LATCH)
+def zone_alerts(spark, sf_dir):
+    """A condition has to hold for an hour here, as readings of the test data are far apart."""
+    return folds.zone_alerts(d.states(spark, sf_dir), HOUR)
+
+
+@query(f"""{W} SELECT seq, camera_id, zone_id, (SELECT count(*) FROM ce WHERE ce.camera_id = st.camera_id AND event_type = 'CAMERA_ONLINE' AND ce.ts_us <= st.ts_us) AS scene FROM st""")
+def scenes(spark, sf_dir):
+    return folds.scenes(d.states(spark, sf_dir), d.camera_events(spark, sf_dir)).select("seq", *d.KEY, "scene")
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = d.events(spark, sf_dir)
+    x, y = F.col("value") * 7 % 1180, (F.col("seq") * 13 % 560).cast("double")
+    return e.select("camera_id", (F.floor(F.col("ts_us") / HOUR) * HOUR).alias("ts_us"), F.col("seq").alias("track_id"), x.alias("x1"), y.alias("y1"), (x + 60 + F.col("seq") % 50).alias("x2"), (y + 90 + F.col("seq") % 70).alias("y2"), ((F.col("seq") % 10) / 10).alias("confidence"))
+
+
+BOXES = f"""WITH {d.SQL_EVENTS}, bx AS (SELECT camera_id, ts_us // {HOUR} * {HOUR} AS ts_us, seq AS track_id, value * 7 % 1180 AS x1, CAST(seq * 13 % 560 AS DOUBLE) AS y1, value * 7 % 1180 + 60 + seq % 50 AS x2, CAST(seq * 13 % 560 AS DOUBLE) + 90 + seq % 70 AS y2, (seq % 10) / 10 AS confidence FROM ev)"""
+
+
+@query(f"""{BOXES}, hit AS (SELECT DISTINCT a.track_id FROM bx a JOIN bx b ON a.camera_id = b.camera_id AND a.ts_us = b.ts_us AND a.track_id <> b.track_id
+ WHERE greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) > 0.25 * (a.x2 - a.x1) * (a.y2 - a.y1))
+SELECT bx.track_id, camera_id, (x1 + x2) / 2 AS foot_x, y2 AS foot_y, hit.track_id IS NOT NULL AS occluded,
+ CASE WHEN confidence < 0.5 THEN 'low_confidence' WHEN x2 - x1 < 32 OR y2 - y1 < 96 THEN 'too_small' WHEN (x2 - x1) / (y2 - y1) < 0.15 OR (x2 - x1) / (y2 - y1) > 1.1 THEN 'bad_aspect'
+ WHEN x1 < 12.8 OR y1 < 7.2 OR x2 > 1280 - 12.8 OR y2 > 720 - 7.2 THEN 'at_edge' END AS rejected FROM bx LEFT JOIN hit ON bx.track_id = hit.track_id""")
+def crop_quality(spark, sf_dir):
+    c = [F.col(n) for n in ("x1", "y1", "x2", "y2")]
+    out = geometry.occluded(boxes(spark, sf_dir))
+    return out.select("track_id", "camera_id", scalars.foot_x(c[0], c[2]).alias("foot_x"), scalars.foot_y(c[1], c[3]).alias("foot_y"), "occluded", scalars.crop_reject(*c, F.col("confidence"), 1280, 720).alias("rejected"))
+
+
+@query(f"""{BOXES}, p AS (SELECT camera_id, ts_us, track_id, track_id % 6 AS samples FROM bx), r AS (SELECT *, row_number() OVER (PARTITION BY camera_id, ts_us ORDER BY samples, track_id) AS rn FROM p) SELECT camera_id, ts_us, track_id, samples FROM r WHERE rn <= 2""")
+def frame_budget(spark, sf_dir):
+    return tracks.frame_budget(boxes(spark, sf_dir).select("camera_id", "ts_us", "track_id", (F.col("track_id") % 6).alias("samples")), 2)
+
+
+@query(f"""{W}, x AS (SELECT camera_id, zone_id, occupancy, row_number() OVER (PARTITION BY camera_id, zone_id ORDER BY occupancy, seq) AS rn, count(*) OVER (PARTITION BY camera_id, zone_id) AS n FROM st WHERE ts_us BETWEEN {T0} AND {T1})
+SELECT camera_id, zone_id, occupancy AS presence FROM x WHERE rn = least(n, CAST(floor(n * 0.75) AS BIGINT) + 1)""")
+def presence_quantile(spark, sf_dir):
+    rows = store.in_range(d.states(spark, sf_dir), T0, T1)
+    return rows.groupBy(*d.KEY).agg(tracks.upper_quantile(F.collect_list("occupancy")).alias("presence"))
+
+
+TOPOLOGY = [("CAM-00", "CAM-01", "OVERLAP", 0, 2 * HOUR), ("CAM-01", "CAM-02", "TRANSIT", HOUR // 2, 3 * HOUR), ("CAM-02", "CAM-03", "TRANSIT", 0, HOUR)]
+
+
+@query(f"""WITH {d.SQL_EVENTS}, p AS (SELECT seq, lag(camera_id) OVER (ORDER BY seq) AS from_camera, camera_id AS to_camera, (seq * 97 % 240 - 20) * 60000000 AS dt_us FROM ev),
+r AS (SELECT *, least(from_camera, to_camera) || greatest(from_camera, to_camera) AS pr FROM p WHERE from_camera IS NOT NULL)
+SELECT seq, from_camera, to_camera, dt_us, reason IN ('same_camera', 'overlapping', 'transit_ok', 'unknown_pair') AS ok, reason FROM (SELECT *, CASE WHEN from_camera = to_camera THEN 'same_camera'
+ WHEN pr = 'CAM-00CAM-01' THEN CASE WHEN dt_us < -5000000 THEN 'overlap_clock_skew' WHEN dt_us > {2 * HOUR} THEN 'overlap_stale' ELSE 'overlapping' END
+ WHEN dt_us < 0 THEN 'negative_dt'
+ WHEN pr = 'CAM-01CAM-02' THEN CASE WHEN dt_us < {HOUR // 2} THEN 'too_fast' WHEN dt_us > {3 * HOUR} THEN 'too_slow' ELSE 'transit_ok' END
+ WHEN pr = 'CAM-02CAM-03' THEN CASE WHEN dt_us > {HOUR} THEN 'too_slow' ELSE 'transit_ok' END
+ WHEN dt_us > 120000000 THEN 'too_slow' ELSE 'unknown_pair' END AS reason FROM r)""")
+def transit_feasibility(spark, sf_dir):
+    e = d.events(spark, sf_dir).select("seq", F.col("camera_id").alias("to_camera"), ((F.col("seq") * 97 % 240 - 20) * 60_000_000).alias("dt_us"))
+    before = e.select((F.col("seq") + 1).alias("seq"), F.col("to_camera").alias("from_camera"))
+    topology = spark.createDataFrame(TOPOLOGY, "a string, b string, kind string, min_us long, max_us long")
+    return identity.reachable(e.join(before, "seq"), topology)
+
+
+MATCHES = """WITH u AS (SELECT vec_id, label, embedding, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n FROM embeddings), e AS (SELECT label, unnest(range(64)) AS i, unnest(embedding) AS x, n FROM u WHERE n > 0),
+m AS (SELECT label, i, avg(CAST(x AS DOUBLE) / n) AS m FROM e GROUP BY 1, 2), g AS (SELECT label, list(m ORDER BY i) AS mean FROM m GROUP BY 1), s AS (SELECT u.vec_id, g.label AS k, list_cosine_similarity(list_transform(u.embedding, lambda x: CAST(x AS DOUBLE)), g.mean) AS sc FROM u CROSS JOIN g),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sc DESC, k) AS rn FROM s), f AS (SELECT vec_id, max(CASE WHEN rn = 1 THEN k END) AS best, greatest(max(CASE WHEN rn = 1 THEN sc END), 0.0) AS score, greatest(coalesce(max(CASE WHEN rn = 2 THEN sc END), 0.0), 0.0) AS runner_up FROM r GROUP BY 1)"""
+
+
+@query(f"{MATCHES} SELECT vec_id, best, round(score, 6) AS score, round(runner_up, 6) AS runner_up, score >= 0.7 AND score - runner_up >= 0.06 AS matched FROM f")
+def best_match(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    out = identity.best_match(vectors, identity.gallery_means(vectors, "label", "embedding"), "vec_id", "embedding", "label")
+    return out.withColumn("score", F.round("score", 6)).withColumn("runner_up", F.round("runner_up", 6))
+
+
+@query(f"""{MATCHES}, j AS (SELECT u.label = s.k AS same, round(sc, 6) AS score FROM s JOIN u ON u.vec_id = s.vec_id), o AS (SELECT *, row_number() OVER (PARTITION BY same ORDER BY score) AS rn, count(*) OVER (PARTITION BY same) AS n FROM j)
+SELECT min(CASE WHEN same THEN score END) AS true_min, max(CASE WHEN same AND rn = n // 2 + 1 THEN score END) AS true_median, max(CASE WHEN NOT same THEN score END) AS false_max, max(CASE WHEN NOT same AND rn = n // 2 + 1 THEN score END) AS false_median,
+ round(min(CASE WHEN same THEN score END) - max(CASE WHEN NOT same THEN score END), 6) AS gap FROM o""")
+def separability(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    means = identity.gallery_means(vectors, "label", "embedding").select(F.col("label").alias("k"), "mean")
+    pairs = vectors.join(F.broadcast(means)).select((F.col("label") == F.col("k")).alias("same"), F.round(idf.cosine(F.col("embedding"), F.col("mean")), 6).alias("score"))
+    return identity.separability(pairs).withColumn("gap", F.round("gap", 6))
+
+
+def resolve_identities(spark, sf_dir):
+    """Ten sites of tracks from the embeddings, with four cameras each; no SQL, tested against literal cases."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = v.select(F.concat(F.lit("S"), (F.col("vec_id") % 10).cast("string")).alias("site_id"), F.concat(F.lit("CAM-0"), (F.col("vec_id") % 4).cast("string")).alias("camera_id"), F.col("vec_id").alias("track_id"), (F.col("vec_id") * 5_000_000).alias("ts_us"), F.col("vec_id").alias("seq"), F.array("embedding").alias("vectors"))
+    return identity.resolve(rows, TOPOLOGY, "salt")
+
+
+def identity_counts(spark, sf_dir):
+    return identity.counts(resolve_identities(spark, sf_dir))
+
+
+for f in (resolve_identities, identity_counts):
+    query()(f)
+
+
+@query(f"""{W}, {OUT}, {SEG}, {ALERTS}, tww AS (SELECT camera_id, zone_id, sum(occupancy * secs) / sum(secs) AS mo, sum(density * secs) / sum(secs) AS md, round(sum(secs) / {WEEK}, 4) AS coverage FROM tw GROUP BY 1, 2),
+sa AS (SELECT camera_id, zone_id, avg(occupancy) AS ao, avg(density) AS ad, max(occupancy) AS po, max(density) AS pd FROM st WHERE ts_us BETWEEN {T0} AND {T1} GROUP BY 1, 2), ac AS (SELECT camera_id, zone_id, count(*) AS c FROM al WHERE ts_us BETWEEN {T0} AND {T1} GROUP BY 1, 2)
+SELECT sa.camera_id, sa.zone_id, zone_name, round(coalesce(mo, ao), 6) AS avg_occupancy, round(ao, 6) AS sampled_avg_occupancy, po AS peak_occupancy, round(coalesce(md, ad), 6) AS avg_density, pd AS peak_density, coverage, coalesce(c, 0) AS alert_count
+FROM sa LEFT JOIN tww ON sa.camera_id = tww.camera_id AND sa.zone_id = tww.zone_id LEFT JOIN ac ON sa.camera_id = ac.camera_id AND sa.zone_id = ac.zone_id LEFT JOIN zn ON sa.camera_id = zn.camera_id AND sa.zone_id = zn.zone_id""")
+def occupancy_report(spark, sf_dir):
+    states = d.states(spark, sf_dir)
+    weighted = series.time_weighted(states, outages(spark, sf_dir), T0, T1, ["occupancy", "density"], HOLD)
+    return reports.occupancy_report(weighted, store.stats(states, T0, T1), store.in_range(alerts_of(spark, sf_dir), T0, T1), d.zones(spark))
+
+
+@query(ORACLES["occupancy_report"].replace("SELECT sa.camera_id, sa.zone_id, zone_name", ", rp AS (SELECT sa.camera_id, sa.zone_id, zone_name") + ") SELECT count(*) AS zones, min(coverage) AS min_coverage, CAST(sum(peak_occupancy) AS BIGINT) AS total_peak, max(peak_density) AS max_density, CAST(sum(alert_count) AS BIGINT) AS total_alerts FROM rp")
+def report_totals(spark, sf_dir):
+    return reports.totals(occupancy_report(spark, sf_dir))
+
+
+@query(f"""{W}, x AS (SELECT *, row_number() OVER (PARTITION BY camera_id, zone_id ORDER BY ts_us DESC, seq DESC) AS rn FROM st), {ALERTS}
+SELECT (SELECT CAST(sum(occupancy) AS BIGINT) FROM x WHERE rn = 1) AS people_in_zones, (SELECT count(*) FROM x WHERE rn = 1 AND status = 'NORMAL') AS zones_normal, (SELECT count(*) FROM x WHERE rn = 1 AND status = 'WARNING') AS zones_warning,
+(SELECT count(*) FROM x WHERE rn = 1 AND status = 'CRITICAL') AS zones_critical, (SELECT count(*) FROM al WHERE severity = 'RED') AS alerts_red, (SELECT count(*) FROM al WHERE severity = 'AMBER') AS alerts_amber, (SELECT count(*) FROM al WHERE severity = 'INFO') AS alerts_info""")
+def summary(spark, sf_dir):
+    return reports.summary(store.live_rows(d.states(spark, sf_dir)), alerts_of(spark, sf_dir))
+
+
+@query(f"""WITH {d.SQL_EVENTS}, {d.SQL_MOVES} SELECT zone_from, zone_to, count(*) AS n FROM mv WHERE event_type = 'ZONE_TRANSITION' GROUP BY 1, 2 ORDER BY n DESC, zone_from, zone_to LIMIT 2""")
+def top_flows(spark, sf_dir):
+    return reports.top_flows(d.movements(spark, sf_dir), 2)
+
+
+@query(f"""{W}, k AS (SELECT camera_id, zone_id, occupancy, row_number() OVER (PARTITION BY camera_id, zone_id ORDER BY ts_us DESC) AS rn FROM st) SELECT camera_id AS dataset, count(*) AS points, CAST(sum(occupancy) AS BIGINT) AS total FROM k WHERE rn = 1 GROUP BY 1""")
+def zone_chart(spark, sf_dir):
+    shown = reports.chart(store.live_rows(d.states(spark, sf_dir)), "zone_id", "camera_id", "occupancy")
+    return shown.select("dataset", F.size("labels").cast("long").alias("points"), F.aggregate("data", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+
+
+@query(f"""{W}, {ALERTS}, c AS (SELECT camera_id, zone_id, count(*) AS n_alerts FROM al GROUP BY 1, 2), s AS (SELECT camera_id, zone_id, count(*) AS n_states FROM st GROUP BY 1, 2) SELECT zn.camera_id, zn.zone_id, zone_name, coalesce(n_states, 0) AS n_states, coalesce(n_alerts, 0) AS n_alerts
+FROM zn LEFT JOIN s ON zn.camera_id = s.camera_id AND zn.zone_id = s.zone_id LEFT JOIN c ON zn.camera_id = c.camera_id AND zn.zone_id = c.zone_id""")
+def zones_with_counts(spark, sf_dir):
+    n = lambda rows, name: rows.groupBy(*d.KEY).agg(F.count("*").alias(name))
+    out = d.zones(spark).select(*d.KEY, "zone_name").join(n(d.states(spark, sf_dir), "n_states"), d.KEY, "left").join(n(alerts_of(spark, sf_dir), "n_alerts"), d.KEY, "left")
+    return out.fillna(0, ["n_states", "n_alerts"])
+
+
+def stream_folder(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder; a local one only where none is set, as in tests."""
+    import tempfile
+    import uuid
+
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared or tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/stream-{uuid.uuid4().hex}"
+
+
+def stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d.states(spark, sf_dir, streaming.read_events(spark, f"{sf_dir}/events.parquet*"))
+
+
+@query(ORACLES["gate_replay"].replace("count(*) AS n, ", "").replace("CAST(sum(CASE WHEN wr THEN 1 ELSE 0 END) AS BIGINT) AS written FROM g GROUP BY 1, 2", "seq, ts_us, occupancy, status FROM g WHERE wr"))
+def stream_write_gate(spark, sf_dir):
+    gated = streaming.write_gate(stream_states(spark, sf_dir), HOUR)
+    return streaming.drain(gated, stream_folder(spark)).select(*d.KEY, "seq", "ts_us", "occupancy", "status")
+
+
+@query(LATCH)
+def stream_zone_alerts(spark, sf_dir):
+    return streaming.drain(streaming.zone_alerts(stream_states(spark, sf_dir), HOUR), stream_folder(spark))
