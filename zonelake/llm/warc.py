@@ -93,7 +93,7 @@ def derivatives(key: int | None, record_id: str, uri: str, date: str, http: str
     links = [next(filter(None, m.groups()), "") for m in LINK.finditer(page)]
     fields = [("source-record", record_id), ("source-payload-digest", digest(payload))]
     fields += [("source-warc-header", x) for x in (headers or "").split("\r\n")[1:] if x] + [("source-http-header", x) for x in source.split("\r\n") if x]
-    fields += [("title", " ".join(html.unescape(title[1]).split()))] * bool(title) + [("outlink", " ".join(html.unescape(x).split())) for x in links]
+    fields += [("title", " ".join(html.unescape(m[1]).split())) for m in [title] if m] + [("outlink", " ".join(html.unescape(x).split())) for x in links]
     meta = "".join(f"{a}: {b}\r\n" for a, b in fields).encode()
     text = plain_text(page).encode()
     refers = [("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date)]
