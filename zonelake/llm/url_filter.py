@@ -77,7 +77,9 @@ def host_verdicts(edges: DataFrame, hosts: DataFrame) -> DataFrame:
 
     links = edges.select("src", "dst", F.col("pages").cast("double").alias("w"))
     trusted, doubted = seeds("allowed"), seeds("blocked")
-    if not links.isEmpty():
+    if links.isEmpty():
+        trusted, doubted = (x.withColumn("rank", F.col("rank") * (1 - DAMPING)) for x in (trusted, doubted))
+    else:
         trusted = spread(links, trusted)
         doubted = spread(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"), doubted)
     parts = trusted.select("host", F.col("rank").alias("trust"), F.lit(0.0).alias("distrust")).union(doubted.select("host", F.lit(0.0), "rank"))
@@ -97,4 +99,4 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     small = verdicts.count() <= BROADCAST_HOSTS
     judged = urls.join(F.broadcast(verdicts) if small else verdicts, "host", "left")
     own = F.when(F.col("host_blocked"), "block").otherwise("allow")
-    return judged.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", own).alias("verdict"), "trust", "distrust")
+    return judged.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", own).alias("verdict"), F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
