@@ -153,5 +153,5 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     diverges = F.coalesce(F.col("class_distance") > MAX_CLASS_DISTANCE, F.lit(False)) | F.coalesce(both, F.lit(False))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~diverges).alias("kept"), "class_distance", "word_distance",
+        (~F.col("base_failed") & ~diverges).alias("kept"), F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"),
     )

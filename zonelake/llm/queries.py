@@ -114,6 +114,40 @@ SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c, documents.d
 FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id LEFT JOIN m ON m.v = documents.doc_id"""
 
 
+def quality_rules_sql() -> str:
+    """Windows by their texts, positions one by one, and histograms as rows."""
+    q = quality_rules
+    listed = " UNION ALL ".join(f"SELECT '{lang}' AS lang, '{w}' AS word" for lang, words in q.COMMON_WORDS.items() for w in words)
+    rest, counts = ["regexp_replace(t, '[a-z]+', '', 'g')"], ["length(t) - length(r0)"]
+    for k, pattern in enumerate(q.CLASSES):
+        rest.append(f"regexp_replace(r{k}, '{pattern.replace("'", "''")}', '', 'g')")
+        counts.append(f"length(r{k}) - length(r{k + 1})")
+    chain = ", ".join(f"x{k} AS (SELECT *, {r} AS r{k} FROM {f'x{k - 1}' if k else 'tx'})" for k, r in enumerate(rest))
+    counts.append(f"length(r{len(q.CLASSES)})")
+    classes = " UNION ALL ".join(f"SELECT doc_id, lang, 'c{k}' AS bin, CAST({c} AS BIGINT) AS c FROM x{len(q.CLASSES)}" for k, c in enumerate(counts))
+
+    def distance(name: str, bins: str, guard: str) -> str:
+        return f"""{name}_n AS (SELECT doc_id, sum(c) AS n FROM {bins} GROUP BY 1), {name}_p AS (SELECT b.doc_id, b.lang, bin, c, n FROM {bins} b JOIN {name}_n x ON x.doc_id = b.doc_id WHERE n > 0),
+{name}_f AS (SELECT p.lang, bin, sum(floor(CAST(c AS DOUBLE) * {q.PPM} / n)) AS r FROM {name}_p p JOIN us ON us.doc_id = p.doc_id GROUP BY 1, 2), {name}_t AS (SELECT lang, sum(r) AS total FROM {name}_f GROUP BY 1),
+{name}_j AS (SELECT p.doc_id, CAST(c AS DOUBLE) / n AS u, CAST(r AS DOUBLE) / total AS v FROM {name}_p p JOIN {name}_f f ON f.lang = p.lang AND f.bin = p.bin JOIN {name}_t t ON t.lang = p.lang WHERE total > 0),
+{name} AS (SELECT j.doc_id, sqrt(greatest(0.0, sum(CASE WHEN u > 0 THEN u * log2(u / ((u + v) / 2)) ELSE 0 END + CASE WHEN v > 0 THEN v * log2(v / ((u + v) / 2)) ELSE 0 END) / 2)) AS dist FROM {name}_j j JOIN sz ON sz.doc_id = j.doc_id WHERE {guard} GROUP BY 1)"""
+
+    return f"""WITH tx AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({', '.join(f"'{x}'" for x in q.COMMON_WORDS)}) THEN lang ELSE 'other' END AS lang FROM documents),
+wd AS (SELECT doc_id, lang, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM tx),
+wi AS (SELECT doc_id, i, array_to_string(w[i:i + {q.WINDOW - 1}], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - {q.WINDOW - 2})) AS i FROM wd)),
+wc AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM wi), rp AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + {q.WINDOW})) AS p FROM wc WHERE c > 1) GROUP BY 1),
+sz AS (SELECT wd.doc_id, wd.lang, CAST(len(w) AS BIGINT) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+  coalesce(n, 0) AS n_repeat_words, length(t) AS chars FROM wd LEFT JOIN rp ON rp.doc_id = wd.doc_id),
+bf AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM sz), us AS (SELECT doc_id FROM bf WHERE NOT base_failed AND chars >= {q.MIN_CHARS} AND n_words >= {q.MIN_WORDS}),
+{chain}, cl AS ({classes}), ls AS ({listed}), wl AS (SELECT doc_id, lang, lower(unnest(w)) AS word FROM wd WHERE lang <> 'other'),
+cm AS (SELECT bf.doc_id, bf.lang, ls.word AS bin, 0 AS c FROM bf JOIN ls ON ls.lang = bf.lang UNION ALL SELECT wl.doc_id, wl.lang, coalesce(ls.word, '*'), 1 FROM wl LEFT JOIN ls ON ls.lang = wl.lang AND ls.word = wl.word UNION ALL SELECT doc_id, lang, '*', 0 FROM bf WHERE lang <> 'other'),
+co AS (SELECT doc_id, lang, bin, CAST(sum(c) AS BIGINT) AS c FROM cm GROUP BY 1, 2, 3),
+{distance("dc", "cl", f"chars >= {q.MIN_CHARS}")}, {distance("dw", "co", f"n_words >= {q.MIN_WORDS}")}
+SELECT bf.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+NOT base_failed AND NOT (coalesce(dc.dist > {q.MAX_CLASS_DISTANCE}, FALSE) OR coalesce(dc.dist + dw.dist > {q.MAX_SUM} + {q.LENGTH_SLACK} / n_words, FALSE)) AS kept, round(dc.dist, 6) AS class_distance, round(dw.dist, 6) AS word_distance
+FROM bf LEFT JOIN dc ON dc.doc_id = bf.doc_id LEFT JOIN dw ON dw.doc_id = bf.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Of the others, SQL has no spans with code points, tokenizer, parser or learned model; tests use brute force."""
-    return {"op1_url_filter": url_filter_sql(), "op4_decontaminate": CONTAINED, "op9_near_dedup": CLUSTERS}
+    return {"op1_url_filter": url_filter_sql(), "op4_decontaminate": CONTAINED, "op6_quality_rules": quality_rules_sql(), "op9_near_dedup": CLUSTERS}
