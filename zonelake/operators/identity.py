@@ -9,11 +9,11 @@ import hashlib
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonelake.functions.identity import as_doubles, cosine
+from zonelake.operators.folds import ordered
 
 THRESHOLD, MARGIN = 0.70, 0.06
 GALLERY, BANK, TTL_US = 2000, 5, 300_000_000
@@ -179,13 +179,12 @@ def resolve(observations: DataFrame, topology: list[tuple[str, str, str, int, in
     depends on those before it, and in parallel across sites."""
     known = {(min(a, b), max(a, b)): (kind, lo, hi) for a, b, kind, lo, hi in topology}
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        registry, out = Registry(known, salt, **options), []
-        for r in pdf.sort_values(["ts_us", "seq"], kind="stable").itertuples():
-            out.append((r.site_id, r.camera_id, r.track_id, r.ts_us, *registry.resolve(r.camera_id, r.track_id, list(r.vectors), r.ts_us)))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in RESOLVED.split(", ")])
+    def step(registry: Registry, row: dict) -> list[tuple]:
+        found = registry.resolve(row["camera_id"], row["track_id"], list(row["vectors"]), row["ts_us"])
+        return [(row["site_id"], row["camera_id"], row["track_id"], row["ts_us"], *found)]
 
-    return observations.groupBy("site_id").applyInPandas(fold, RESOLVED)
+    rows = observations.select("site_id", "camera_id", "track_id", "ts_us", "seq", "vectors")
+    return ordered(rows, ["site_id"], lambda: Registry(known, salt, **options), step, RESOLVED)
 
 
 def counts(resolved: DataFrame) -> DataFrame:

@@ -135,7 +135,7 @@ def stamp_occupancy(movements: DataFrame, observations: DataFrame) -> DataFrame:
 
 
 def upper_quantile(values: Column, q: float = 0.75) -> Column:
-    """Of an array the value at floor(n * q), counted from 0, at most the last."""
+    """Of the array of a short span's values the one at floor(n * q), counted from 0, at most the last."""
     ordered = F.array_sort(values)
     return F.get(ordered, F.least(F.size(values) - 1, F.floor(F.size(values) * q).cast("int")))
 

@@ -486,11 +486,12 @@ def frame_budget(spark, sf_dir):
     return tracks.frame_budget(boxes(spark, sf_dir).select("camera_id", "ts_us", "track_id", (F.col("track_id") % 6).alias("samples")), 2)
 
 
-@query(f"""{W}, x AS (SELECT camera_id, zone_id, occupancy, row_number() OVER (PARTITION BY camera_id, zone_id ORDER BY occupancy, seq) AS rn, count(*) OVER (PARTITION BY camera_id, zone_id) AS n FROM st WHERE ts_us BETWEEN {T0} AND {T1})
-SELECT camera_id, zone_id, occupancy AS presence FROM x WHERE rn = least(n, CAST(floor(n * 0.75) AS BIGINT) + 1)""")
+@query(f"""{W}, y AS (SELECT *, ts_us // {6 * HOUR} AS span FROM st WHERE ts_us BETWEEN {T0} AND {T1}),
+x AS (SELECT camera_id, zone_id, span, occupancy, row_number() OVER (PARTITION BY camera_id, zone_id, span ORDER BY occupancy, seq) AS rn, count(*) OVER (PARTITION BY camera_id, zone_id, span) AS n FROM y)
+SELECT camera_id, zone_id, span, occupancy AS presence FROM x WHERE rn = least(n, CAST(floor(n * 0.75) AS BIGINT) + 1)""")
 def presence_quantile(spark, sf_dir):
-    rows = store.in_range(d.states(spark, sf_dir), T0, T1)
-    return rows.groupBy(*d.KEY).agg(tracks.upper_quantile(F.collect_list("occupancy")).alias("presence"))
+    rows = store.in_range(d.states(spark, sf_dir), T0, T1).withColumn("span", F.floor(F.col("ts_us") / (6 * HOUR)))
+    return rows.groupBy(*d.KEY, "span").agg(tracks.upper_quantile(F.collect_list("occupancy")).alias("presence"))
 
 
 TOPOLOGY = [("CAM-00", "CAM-01", "OVERLAP", 0, 2 * HOUR), ("CAM-01", "CAM-02", "TRANSIT", HOUR // 2, 3 * HOUR), ("CAM-02", "CAM-03", "TRANSIT", 0, HOUR)]
