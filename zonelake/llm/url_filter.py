@@ -71,9 +71,10 @@ def spread(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 def host_verdicts(edges: DataFrame, hosts: DataFrame) -> DataFrame:
     """(host, trust, distrust, blocked) of all hosts reached; hosts: (host, allowed, blocked) weights of seeds."""
 
+    totals = hosts.agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked")).first()
+
     def seeds(name: str) -> DataFrame:
-        total = hosts.agg(F.sum(name).alias("total"))
-        return hosts.where(F.col(name) > 0).join(F.broadcast(total)).select("host", (F.col(name) / F.col("total")).alias("rank"))
+        return hosts.where(F.col(name) > 0).select("host", (F.col(name) / F.lit(float(totals[name] or 1))).alias("rank"))
 
     links = edges.select("src", "dst", F.col("pages").cast("double").alias("w"))
     trusted, doubted = seeds("allowed"), seeds("blocked")
