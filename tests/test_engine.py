@@ -200,3 +200,39 @@ def test_upsert_sink(spark, tmp_path):
 def test_flagship_plan_has_no_product_or_python(spark):
     plan = queries.QUERIES["time_weighted"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "Python" not in plan and "Pandas" not in plan
+
+
+def test_sampler(spark):
+    rows = spark.createDataFrame([("C", int(t * S), k, i) for i, (t, k) in enumerate([(0, 1), (0, 2), (0, 3), (0.5, 1), (1, 1), (1, 3), (2, 1)])], "camera_id string, ts_us long, track_id long, seq long")
+    got = sorted((r.ts_us / S, r.track_id, r.sample) for r in tracks.sampled(rows, S, 2, 2).collect())
+    assert got == [(0, 1, 1), (0, 2, 1), (1, 1, 2), (1, 3, 1)]
+
+
+def test_config(spark):
+    from zonelake.sources import config
+
+    square = [[0, 0], [1, 0], [1, 1]]
+    cameras = [{"camera_id": "C", "width": 200, "height": 100, "zones": [{"zone_id": "A", "zone_type": "restricted", "normalized_polygon": square}, {"zone_id": "B", "restricted": True, "polygon": square}, {"zone_id": "D", "capacity_max": 5}]}]
+    got = {r.zone_id: r for r in config.zones(spark, cameras).collect()}
+    assert got["A"].restricted and got["B"].zone_type == "RESTRICTED" and not got["D"].restricted and got["D"].capacity_max == 5
+    assert [tuple(p) for p in got["A"].polygon] == [(0, 0), (200, 0), (200, 100)]
+    assert {tuple(r) for r in config.topology(spark, [("b", "a")], [("c", "a", 1, 2)]).collect()} == {("a", "b", "OVERLAP", 0, 120 * S), ("a", "c", "TRANSIT", S, 2 * S)}
+    with pytest.raises(ValueError):
+        config.topology(spark, [], [("a", "b", 5, 1)])
+
+
+def test_tables(spark, tmp_path):
+    from zonelake.sources import tables
+
+    rows = spark.createDataFrame([("C1", 1.0), ("C2", 90_000.0)], "camera_id string, ts double")
+    tables.write_by_day(rows, str(tmp_path / "d"))
+    assert sorted(p.name for p in (tmp_path / "d").glob("dt=*")) == ["dt=1970-01-01", "dt=1970-01-02"]
+    assert tables.read(spark, str(tmp_path / "d"), "zone_state").where("zone_id is null").count() == 2
+    assert tables.copy(rows, str(tmp_path / "c")) == 2
+    with pytest.raises(ValueError):
+        tables.copy(rows, str(tmp_path / "c"), known=3)
+    cameras = spark.createDataFrame([("C", "rtsp://u:p@h", "rtsp://u:p@h")], "camera_id string, stream_url string, source string")
+    shown = tables.redact_cameras(cameras)
+    assert shown.columns == ["camera_id", "stream_url"] and shown.first().stream_url == "rtsp://***:***@h"
+    good, bad = validate.quarantine(spark.createDataFrame([(json.dumps(GOOD),), ("{}",)], "p string"), validate.event_errors(F.col("p")))
+    assert good.count() == bad.count() == 1

@@ -132,3 +132,41 @@ def to_json(row: dict) -> str:
 
 def utc(ts_us: Column) -> Column:
     return F.timestamp_micros(ts_us)
+
+
+def tail(rows: DataFrame, cursor_us: int, key: str, overlap_us: int = 2_000_000, limit: int = 500) -> DataFrame:
+    """The next page of a durable tail: oldest first from a little before the cursor, each key once. Whoever consumes it
+    moves the cursor to the last time of the page and ignores keys that it has had."""
+    fresh_rows = last_write_wins(rows.where(F.col("ts_us") >= cursor_us - overlap_us), [key], ["ts_us", "seq"])
+    return fresh_rows.orderBy("ts_us", "seq").limit(limit)
+
+
+def spread(rows: DataFrame, column: str, fields: dict[str, str]) -> DataFrame:
+    """Fields of a JSON column overwrite the row's, where the JSON has them."""
+    keys = F.from_json(column, "map<string,string>")
+    out = rows.withColumn("__keys", keys)
+    for name, kind in fields.items():
+        value = F.col("__keys")[name].cast(kind)
+        out = out.withColumn(name, F.coalesce(value, F.col(name)) if name in rows.columns else value)
+    return out.drop("__keys", column)
+
+
+def join_cost(states: DataFrame, movements: DataFrame, alerts: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """How many rows a join of the three facts by zone would make; counted, not joined."""
+    n = lambda rows, name: rows.groupBy(*key).agg(F.count("*").alias(name))
+    both = n(states, "n_states").join(n(movements, "n_events"), key, "left").join(n(alerts, "n_alerts"), key, "left").fillna(1, ["n_events", "n_alerts"])
+    return both.agg(F.sum(F.col("n_states") * F.greatest("n_events", F.lit(1)) * F.greatest("n_alerts", F.lit(1))).alias("joined_rows"), F.sum("n_states").alias("state_rows"))
+
+
+def near_in_time(left: DataFrame, right: DataFrame, within_us: int, key: str = "camera_id") -> DataFrame:
+    """Pairs of a camera less than within_us apart: rows meet in bins of that width, the right side in its neighbours too."""
+    a = left.withColumn("__bin", F.floor(F.col("ts_us") / within_us))
+    b = right.select(F.col(key).alias("__k"), F.col("ts_us").alias("near_us"), F.col("seq").alias("near_seq"))
+    b = b.withColumn("__b", F.explode(F.array(*[F.floor(F.col("near_us") / within_us) + k for k in (-1, 0, 1)])))
+    met = a.join(b, (F.col(key) == F.col("__k")) & (F.col("__bin") == F.col("__b")) & (F.abs(F.col("ts_us") - F.col("near_us")) < within_us))
+    return met.drop("__bin", "__b", "__k")
+
+
+def single_site(cameras: DataFrame) -> DataFrame:
+    """The site of a deployment with one site, else null."""
+    return cameras.agg(F.when(F.count_distinct("site_id") == 1, F.max("site_id")).alias("site_id"))

@@ -151,3 +151,44 @@ def frame_budget(candidates: DataFrame, budget: int = 8) -> DataFrame:
     """Of each frame the tracks with the fewest samples, at most ``budget``."""
     place = F.row_number().over(Window.partitionBy("camera_id", "ts_us").orderBy("samples", "track_id"))
     return candidates.withColumn("__place", place).where(F.col("__place") <= budget).drop("__place")
+
+
+def cluster_stats(detections: DataFrame, key: list[str], threshold: float = 0.4, moving: float = 20.0) -> DataFrame:
+    """Confidence of each group of detections, the share at or over a threshold, and whether its foot point moved."""
+    x, y = (F.col("x1") + F.col("x2")) / 2, F.greatest("y1", "y2")
+    out = detections.groupBy(*key).agg(
+        F.count("*").alias("n"), F.min("confidence").alias("min_confidence"), F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.max("confidence").alias("max_confidence"),
+        F.round(100.0 * F.count_if(F.col("confidence") >= threshold) / F.count("*"), 4).alias("pct_over"), F.round(F.hypot(F.max(x) - F.min(x), F.max(y) - F.min(y)), 6).alias("displacement"),
+    )
+    return out.withColumn("kind", F.when(F.col("displacement") >= moving, "MOVING").otherwise("STATIC"))
+
+
+def ground_truth(tracks_: DataFrame, truth: DataFrame, at_least: float = 0.5, hits: int = 3) -> DataFrame:
+    """For each track the true person whose box it overlaps best, frame by frame, if that holds in enough frames.
+
+    Boxes meet by camera and frame only, so the join is as large as the frames are crowded.
+    """
+    from zonelake.functions.scalars import iou
+
+    t = truth.select("camera_id", "ts_us", "person", *[F.col(c).alias(f"t{c}") for c in ("x1", "y1", "x2", "y2")])
+    both = tracks_.join(t, ["camera_id", "ts_us"]).withColumn("iou", iou(tuple(map(F.col, ("x1", "y1", "x2", "y2"))), tuple(map(F.col, ("tx1", "ty1", "tx2", "ty2")))))
+    best = both.where(F.col("iou") >= at_least).groupBy("camera_id", "ts_us", "track_id").agg(F.max_by("person", F.struct("iou", (-F.col("person")).alias("p"))).alias("person"))
+    counted = best.groupBy("camera_id", "track_id", "person").agg(F.count("*").alias("hits")).where(F.col("hits") >= hits)
+    return counted.groupBy("camera_id", "track_id").agg(F.max_by("person", F.struct("hits", (-F.col("person")).alias("p"))).alias("person"), F.max("hits").alias("hits"))
+
+
+def sampled(candidates: DataFrame, interval_us: int = SECOND, most: int = 5, budget: int = 8) -> DataFrame:
+    """Which crops of a camera are embedded: a track at most once in the interval and ``most`` times, a frame at most
+    ``budget``, tracks with fewer samples first. Frames of a camera in order, as each choice depends on those before."""
+    from zonelake.operators.folds import ordered
+
+    frames = candidates.groupBy("camera_id", "ts_us").agg(F.min("seq").alias("seq"), F.sort_array(F.collect_set("track_id")).alias("tracks"))
+
+    def step(taken: dict, row: dict) -> list[tuple]:
+        due = [t for t in row["tracks"] if taken.get(t, (0, None))[0] < most and (t not in taken or row["ts_us"] - taken[t][1] >= interval_us)]
+        chosen = sorted(due, key=lambda t: (taken.get(t, (0, 0))[0], t))[:budget]
+        for t in chosen:
+            taken[t] = (taken.get(t, (0, 0))[0] + 1, row["ts_us"])
+        return [(row["camera_id"], row["ts_us"], int(t), taken[t][0]) for t in chosen]
+
+    return ordered(frames, ["camera_id"], dict, step, "camera_id string, ts_us long, track_id long, sample long")

@@ -612,3 +612,93 @@ def stream_write_gate(spark, sf_dir):
 @query(LATCH)
 def stream_zone_alerts(spark, sf_dir):
     return streaming.drain(streaming.zone_alerts(stream_states(spark, sf_dir), HOUR), stream_folder(spark))
+
+
+@query(f"""WITH {d.SQL_EVENTS}, {d.SQL_MOVES}, x AS (SELECT *, row_number() OVER (PARTITION BY person_ref ORDER BY ts_us DESC, seq DESC) AS rn FROM mv WHERE ts_us >= {T0} - 2000000)
+SELECT seq, ts_us, camera_id, event_type, zone_from, zone_to, person_ref FROM x WHERE rn = 1 ORDER BY ts_us, seq LIMIT 100""")
+def tail_page(spark, sf_dir):
+    return store.tail(d.movements(spark, sf_dir), T0, "person_ref", limit=100)
+
+
+@query("SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, coalesce(CAST(json_extract_string(props, '$.value') AS DOUBLE), value) AS value FROM events")
+def spread_extra(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "value", "props")
+    return store.spread(rows, "props", {"k": "long", "value": "double"})
+
+
+@query(f"""{W}, {ALERTS}, {d.SQL_MOVES}, z AS (SELECT DISTINCT camera_id, zone_id FROM st), c AS (SELECT z.*, (SELECT count(*) FROM st WHERE st.camera_id = z.camera_id AND st.zone_id = z.zone_id) AS s,
+ (SELECT count(*) FROM mv WHERE mv.camera_id = z.camera_id AND coalesce(zone_to, zone_from) = z.zone_id) AS e, (SELECT count(*) FROM al WHERE al.camera_id = z.camera_id AND al.zone_id = z.zone_id) AS a FROM z)
+SELECT CAST(sum(s * greatest(e, 1) * greatest(a, 1)) AS BIGINT) AS joined_rows, CAST(sum(s) AS BIGINT) AS state_rows FROM c""")
+def join_cost(spark, sf_dir):
+    moves = d.movements(spark, sf_dir).withColumn("zone_id", F.coalesce("zone_to", "zone_from"))
+    return store.join_cost(d.states(spark, sf_dir), moves, alerts_of(spark, sf_dir))
+
+
+@query(f"{W} SELECT st.seq, st.camera_id, st.ts_us, ce.ts_us AS near_us, ce.seq AS near_seq FROM st JOIN ce ON st.camera_id = ce.camera_id AND abs(st.ts_us - ce.ts_us) < 60000000")
+def near_in_time(spark, sf_dir):
+    return store.near_in_time(d.states(spark, sf_dir).select("seq", "camera_id", "ts_us"), d.camera_events(spark, sf_dir), 60_000_000)
+
+
+@query(f"""{W}, h AS (SELECT camera_id, max(ts_us) AS h, arg_max(event_type, ts_us) AS s FROM ce GROUP BY 1) SELECT camera_id, CASE WHEN camera_id = 'CAM-03' THEN 'DISABLED' WHEN (SELECT max(ts_us) FROM ce) - h > {HOUR} THEN 'OFFLINE' ELSE replace(s, 'CAMERA_', '') END AS state FROM h""")
+def camera_states(spark, sf_dir):
+    e = d.camera_events(spark, sf_dir)
+    health = e.groupBy("camera_id").agg(F.max("ts_us").alias("health_us"), F.max_by("event_type", F.struct("ts_us", "seq")).alias("said"))
+    now = F.broadcast(e.agg(F.max("ts_us").alias("now_us")))
+    state = scalars.camera_state(F.col("camera_id") != "CAM-03", F.col("health_us"), F.regexp_replace("said", "CAMERA_", ""), F.col("now_us"), HOUR)
+    return health.join(now, F.col("health_us") <= F.col("now_us")).select("camera_id", state.alias("state"))
+
+
+@query(f"""{W} SELECT CASE WHEN (SELECT count(DISTINCT camera_id) FROM zn) > 1 THEN camera_id || ' / ' || zone_name ELSE zone_name END AS label, camera_id, zone_id FROM zn""")
+def zone_labels(spark, sf_dir):
+    zones = d.zones(spark)
+    n = F.broadcast(zones.agg(F.count_distinct("camera_id").alias("__n")))
+    return zones.join(n, F.col("__n") > 0).select(scalars.zone_label(F.col("camera_id"), F.col("zone_name"), F.col("__n")).alias("label"), *d.KEY)
+
+
+@query(f"""{BOXES} SELECT camera_id, ts_us, count(*) AS n, min(confidence) AS min_confidence, round(avg(confidence), 6) AS mean_confidence, max(confidence) AS max_confidence, round(100.0 * sum(CASE WHEN confidence >= 0.4 THEN 1 ELSE 0 END) / count(*), 4) AS pct_over,
+round(sqrt(pow(max((x1 + x2) / 2) - min((x1 + x2) / 2), 2) + pow(max(y2) - min(y2), 2)), 6) AS displacement, CASE WHEN round(sqrt(pow(max((x1 + x2) / 2) - min((x1 + x2) / 2), 2) + pow(max(y2) - min(y2), 2)), 6) >= 20 THEN 'MOVING' ELSE 'STATIC' END AS kind FROM bx GROUP BY 1, 2""")
+def cluster_stats(spark, sf_dir):
+    return tracks.cluster_stats(boxes(spark, sf_dir), ["camera_id", "ts_us"])
+
+
+@query(f"""{BOXES}, pe AS (SELECT *, track_id % 40 AS person, track_id % 25 AS tr FROM bx), i0 AS (SELECT a.camera_id, a.ts_us, a.tr, a.track_id AS s, b.person, greatest(0, least(a.x2, b.x2 + 5) - greatest(a.x1, b.x1 + 5)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i,
+ (a.x2 - a.x1) * (a.y2 - a.y1) AS aa, (b.x2 - b.x1) * (b.y2 - b.y1) AS ba FROM pe a JOIN pe b ON a.camera_id = b.camera_id AND a.ts_us = b.ts_us), i1 AS (SELECT *, i / (aa + ba - i) AS iou FROM i0),
+b AS (SELECT camera_id, ts_us, tr, person, row_number() OVER (PARTITION BY camera_id, ts_us, tr ORDER BY iou DESC, person) AS rn FROM i1 WHERE iou >= 0.5), h AS (SELECT camera_id, tr, person, count(*) AS hits FROM b WHERE rn = 1 GROUP BY 1, 2, 3 HAVING count(*) >= 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY camera_id, tr ORDER BY hits DESC, person) AS rn FROM h) SELECT camera_id, tr AS track_id, person, hits FROM r WHERE rn = 1""")
+def ground_truth(spark, sf_dir):
+    seen = boxes(spark, sf_dir)
+    truth = seen.select("camera_id", "ts_us", (F.col("track_id") % 40).alias("person"), (F.col("x1") + 5).alias("x1"), "y1", (F.col("x2") + 5).alias("x2"), "y2")
+    return tracks.ground_truth(seen.withColumn("track_id", F.col("track_id") % 25), truth)
+
+
+@query("""WITH x AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS rn, embedding[1] AS head FROM embeddings) SELECT label, count(*) AS kept, min(vec_id) AS first_kept, round(sum(CAST(head AS DOUBLE)), 6) AS head FROM x WHERE rn <= 5 GROUP BY 1""")
+def feature_bank(spark, sf_dir):
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", F.col("vec_id").alias("ts_us"), F.col("vec_id").alias("seq"), F.struct("vec_id", F.col("embedding")[0].cast("double").alias("h")).alias("v"))
+    total = F.aggregate("bank", F.lit(0.0), lambda s, x: s + x["h"])
+    return tracks.bank(v, ["label"], "v").select("label", F.size("bank").cast("long").alias("kept"), F.get("bank", F.lit(0))["vec_id"].alias("first_kept"), F.round(total, 6).alias("head"))
+
+
+def sampled_crops(spark, sf_dir):
+    """Which tracks are embedded in each hour; each choice depends on those before, so literal tests take the place of SQL."""
+    e = d.events(spark, sf_dir)
+    return tracks.sampled(e.select("camera_id", (F.floor(F.col("ts_us") / HOUR) * HOUR).alias("ts_us"), F.col("user_id").alias("track_id"), "seq"), 6 * HOUR, 5, 3)
+
+
+query()(sampled_crops)
+
+
+@query("WITH c AS (SELECT DISTINCT user_id % 4 AS camera, CASE WHEN user_id >= 0 THEN 'SITE-01' END AS site_id FROM events) SELECT CASE WHEN count(DISTINCT site_id) = 1 THEN max(site_id) END AS site_id FROM c")
+def single_site(spark, sf_dir):
+    return store.single_site(d.events(spark, sf_dir).select("camera_id", F.lit("SITE-01").alias("site_id")).distinct())
+
+
+@query(f"""{W}, n AS (SELECT * FROM st WHERE camera_id = 'CAM-02' AND ts_us >= {T1}) SELECT seq, ts_us, camera_id, zone_id, occupancy, density, capacity_pct, status FROM st WHERE camera_id <> 'CAM-02' UNION ALL SELECT seq, ts_us, camera_id, zone_id, occupancy, density, capacity_pct, status FROM n""")
+def replace_set(spark, sf_dir):
+    rows = d.states(spark, sf_dir)
+    return store.replace_set(rows, rows.where((F.col("camera_id") == "CAM-02") & (F.col("ts_us") >= T1)), "camera_id")
+
+
+@query(f"{W} SELECT camera_id, zone_id, round(round(avg(occupancy), 6), 2) AS avg_occupancy, max(occupancy) AS peak_occupancy FROM st WHERE ts_us BETWEEN {T0} AND {T1} GROUP BY 1, 2 HAVING max(occupancy) >= 11")
+def busy_zones(spark, sf_dir):
+    rows = zone_stats(spark, sf_dir).select(*d.KEY, "avg_occupancy", "peak_occupancy").where("peak_occupancy >= 11")
+    return reports.csv_ready(rows)
