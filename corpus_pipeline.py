@@ -54,6 +54,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs all stages. Their tables stay in a folder of their own under the checkpoint folder, as the result reads the
+    last one; whoever owns that folder removes it."""
     checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
