@@ -113,6 +113,21 @@ def test_main_text(spark):
     assert html_wrapper.extract(pages(spark, made).limit(0)).count() == 0
 
 
+def test_space_between_tags():
+    assert html_wrapper.main_text(page("<p><b>foo</b> <i>bar</i>\n<a>x</a><a>y</a></p> <p>z</p>"), None) == "foo bar xy\nz"
+
+
+def test_slow_match_keeps_text(monkeypatch):
+    class Slow:
+        def fullmatch(self, *args, **more):
+            raise TimeoutError
+
+    made = html_wrapper.Matcher(html_wrapper.stream_wrapper(page("<p>a</p>")))
+    made.pattern = Slow()
+    monkeypatch.setattr(html_wrapper, "matcher", lambda wrapper: made)
+    assert html_wrapper.main_text(page("<p>a</p>"), "[]") == "a"
+
+
 def test_wrappers_match_all_pages(spark):
     rng = random.Random(3)
     made = [page("".join(f"<h2>{prose(rng, 3)}</h2>" * rng.randint(0, 1) + f"<p>{prose(rng, 5)}</p>" * rng.randint(0, 4) for _ in range(rng.randint(1, 3))), rng.randint(0, 4), "<div class='x'><p>e</p></div>" * rng.randint(0, 1)) for _ in range(60)]
