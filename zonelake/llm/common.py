@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,11 +37,20 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; one of our own only where none is set, as in tests."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder, which spark.checkpoint.dir names or the context already has.
+
+    Where neither is set, a local session, which has one machine only, gets a folder of its own; a cluster must name one.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        if not folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -49,6 +59,30 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Shelf:
+    """Written tables in a folder of their own under the shared checkpoint folder: they cut the lineage as checkpoints do,
+    but are columnar, have known sizes, and go as soon as nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.count = spark, f"{checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.count}"
+        self.count += 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def last(self, df: DataFrame) -> DataFrame:
+        """Keeps a result in a folder of its own and removes all other tables."""
+        result = Shelf(self.spark).keep(df)
+        self.clear()
+        return result
+
+    def clear(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def crc_mod(col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(f"`{col}`").cast("string"), F.lit("")).cast("binary")) % n

@@ -37,3 +37,16 @@ def components(links: DataFrame) -> DataFrame:
         step += 1
     smallest = materialise(label.groupBy("component").agg(F.min("v").alias("smallest")))
     return label.join(smallest, "component").select("v", F.col("smallest").alias("component"))
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (v, component) after further links (a, b); only what the links touch is worked on."""
+
+    def labelled(rows: DataFrame, name: str) -> DataFrame:
+        found = labels.select(F.col("v").alias(name), F.col("component").alias("__component"))
+        return rows.join(found, name, "left").withColumn(name, F.coalesce("__component", name)).drop("__component")
+
+    moved = components(labelled(labelled(links, "a"), "b").select("a", "b"))
+    to = moved.select(F.col("v").alias("component"), F.col("component").alias("__to"))
+    old = labels.join(to, "component", "left").select("v", F.coalesce("__to", "component").alias("component"))
+    return old.union(moved.join(labels, "v", "left_anti").select("v", "component"))

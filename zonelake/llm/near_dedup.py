@@ -1,22 +1,21 @@
-"""MinHash near-deduplication with an LSH forest.
-
-TREES orders of MinHash signatures, each a prefix tree over DEPTH values. Documents with equal shingle sets are one
-representative. In every tree the region of a document is its prefix of FIRST values; a region with more than REGION
-members is split by the next value, and so on, so depth adapts to how crowded a region is. Two documents with a
-similarity of 0.8 share a region of FIRST values in at least one tree but for (1 - 0.8^FIRST)^TREES, 3e-6.
-
-Candidates are checked in rounds, exactly, on full shingle sets; the links of each round give components, and a pair
-inside a component can't change the result any more, so no region emits all its pairs. In the first rounds, each
-document is checked against one pivot: the smallest member of its most crowded region whose component isn't its own. Then
-come all other pivots of other components, and in regions whose members lie in several components the pairs across them
-whose sketches, a few bits of every MinHash value, don't rule out a similarity of 0.8 (3e-6 of such pairs would be).
-Regions that DEPTH values can't split are dealt into blocks of about REGION members, anew in each tree; there, only
-a link between two documents that no other document ties together can be missed (the first rounds already tie together
-nearly all of such a region).
+"""MinHash near-deduplication with an LSH forest of sorted signature orders.
+
+A document's signature has TREES * DEPTH MinHash values; each tree sorts all documents by its own DEPTH of them. In such
+an order the neighbours of a document are those with the longest common prefix. Documents that share FIRST values in a
+tree are a region of it; two documents with a similarity of 0.8 share no region at all with a probability of
+(1 - 0.8^FIRST)^TREES, 3e-6. A region with over REGION members is split by further values, as deep as it takes (its
+leaves). Documents with equal shingle sets are one representative.
+
+Candidates are confirmed in rounds, exactly, on full shingle sets. The links of each round tie documents into components,
+and a pair inside of one can't change the result any more. The first round takes each document's neighbour with the
+longest common prefix in any tree; the next ones a few pivots, the smallest members of its leaves and regions, while these lie
+in other components. The last one takes what is left: in each region all pairs across components, so no region, however crowded, loses
+a link. There the documents outside the region's main component are compared with all of the region in bounded
+blocks. A sketch of two bits a MinHash value spares pairs far below 0.8 the exact check, and 3e-6 of those at 0.8.
 
 Defined results: null or empty texts have no shingles and are linked with nothing; a null id is linked with nothing,
-has no component and is kept; rows that share an id are one document, each row with that document's result; an empty
-table gives an empty table; extra columns are ignored.
+has no component and is kept; rows that share an id are one document, linked where any of their texts are, and each
+row has its own number of shingles; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,15 +27,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonelake.llm.common import let, materialise, shingles, text_of
-from zonelake.llm.components import components
-
-TREES, FIRST, DEPTH, REGION = 24, 4, 10, 64
-#: A sketch has two bits of each of the TREES * DEPTH values, in SKETCH numbers of 64 bits. Two documents differ in about
-#: (1 - similarity) * values of them; MOST lies 4.5 standard deviations over what a similarity of 0.8 gives.
-SKETCH = -(-2 * TREES * DEPTH // 64)
-MOST = int(TREES * DEPTH * (0.2 + 4.5 * (0.26 / (TREES * DEPTH)) ** 0.5))
-PIVOT_ROUNDS = 2
+from zonelake.llm.common import Shelf, shingles, text_of
+from zonelake.llm.components import components, merged
+
+TREES, FIRST, DEPTH, REGION = 24, 4, 8, 64
+VALUES, MORE = TREES * DEPTH, DEPTH - FIRST
+#: Two documents differ in about (1 - similarity) * VALUES bits of their sketches; MOST lies 4.5 standard deviations over
+#: what a similarity of 0.8 gives.
+MOST = int(VALUES * (0.2 + 4.5 * (0.26 / VALUES) ** 0.5))
+#: Rounds with pivots, and how many a document tries in one of them.
+PIVOT_ROUNDS, PIVOTS = 3, 3
+#: Members of a block in the last round.
+BLOCK = 256
+#: Bytes of shingle sets on each side of a tile of pairs, and tiles a side at least.
+TILE_BYTES, TILES = 16_000_000, 6
 #: Ids up to which those that need a check are broadcast (16 bytes each); beyond, texts are shuffled.
 BROADCAST_IDS = 500_000
 SLICE = 128
@@ -47,11 +51,31 @@ def multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return draw.integers(0, 2**31, n, dtype=np.uint32) * 2 + 1, draw.integers(0, 2**32, n, dtype=np.uint32)
 
 
+def rows_of_bytes(values: np.ndarray) -> pa.Array:
+    """A matrix as one binary value a row."""
+    values = np.ascontiguousarray(values)
+    width = values.shape[1] * values.itemsize
+    offsets = np.arange(0, (len(values) + 1) * width, width or 1, dtype=np.int32)[: len(values) + 1]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def bytes_of_rows(column: pa.Array, kind: type) -> np.ndarray:
+    """The inverse of rows_of_bytes, for values of the same size in all rows."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def sketch_bits(values: np.ndarray) -> np.ndarray:
+    """Two bits of each MinHash value that depend on all bits of it, packed."""
+    mixed = values * np.uint32(0x9E3779B1)
+    mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+    return np.packbits(np.concatenate([mixed >> np.uint32(31), mixed >> np.uint32(30) & np.uint32(1)], axis=1).astype(np.uint8), axis=1)
+
+
 def signatures(sets: DataFrame) -> DataFrame:
-    """Replaces the shingles by TREES * DEPTH MinHash values and their sketch; every row needs at least one shingle."""
+    """Replaces the shingles by the signature and its sketch, both as bytes; every row needs at least one shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factor, shift = multipliers(TREES * DEPTH)
+        factor, shift = multipliers(VALUES)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
@@ -59,122 +83,264 @@ def signatures(sets: DataFrame) -> DataFrame:
                 values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
                 values = (values >> np.uint64(32)).astype(np.uint32)
                 starts = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))[:-1]].astype(np.int64)
-                out = np.empty((part.num_rows, len(factor)), np.uint32)
-                for k in range(len(factor)):
+                out = np.empty((part.num_rows, VALUES), np.uint32)
+                for k in range(VALUES):
                     out[:, k] = np.minimum.reduceat(values * factor[k] + shift[k], starts)
-                offsets = np.arange(0, out.size + 1, len(factor), dtype=np.int32)
-                made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel().view(np.int32)))
-                bits = np.packbits(np.concatenate([out & 1, out >> 1 & 1], axis=1).astype(np.uint8), axis=1)
-                sketch = np.zeros((part.num_rows, SKETCH * 8), np.uint8)
-                sketch[:, : bits.shape[1]] = bits
-                words = pa.ListArray.from_arrays(pa.array(np.arange(0, part.num_rows * SKETCH + 1, SKETCH, dtype=np.int32)), pa.array(sketch.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], made, words], [*part.schema.names[:-1], "signature", "sketch"])
+                made = [rows_of_bytes(out), rows_of_bytes(sketch_bits(out))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], [*part.schema.names[:-1], "signature", "sketch"])
 
     kept = ", ".join(f"{n} {t}" for n, t in sets.dtypes[:-1])
-    return sets.mapInArrow(run, f"{kept}, signature array<int>, sketch array<long>")
+    return sets.mapInArrow(run, f"{kept}, signature binary, sketch binary")
+
+
+MEMBER = "region long, deeper binary, leaf_depth int, v long, n long, near long, near_n long, prefix int"
+
+
+def neighbours(rows: pa.Table, head: bool, tail: bool) -> pa.RecordBatch:
+    """Rows of MEMBER for sorted rows (region, deeper, v, n) but the first if head, and the last if tail, is false.
+
+    Rows that share their region with none of these rows are left out, unless they are the first or last at all, which
+    may share it with rows of another task.
+    """
+    region, v, n = (rows.column(c).to_numpy() for c in ("region", "v", "n"))
+    deeper = bytes_of_rows(rows.column("deeper").combine_chunks(), np.uint32)
+    size = len(v)
+    # Values that a row shares with the one before: none, or FIRST and as many as are equal in a row.
+    shared = np.zeros(size + 1, np.int32)
+    equal = np.cumprod(deeper[1:] == deeper[:-1], axis=1).sum(axis=1) if size > 1 else np.zeros(0, np.int64)
+    shared[1:size] = np.where(region[1:] == region[:-1], FIRST + equal, 0)
+    leaf = np.full(size, DEPTH, np.int32)
+    for depth in range(DEPTH - 1, FIRST - 1, -1):
+        begins = np.flatnonzero(shared[:size] < depth)
+        length = np.diff(np.r_[begins, size])
+        leaf[np.repeat(length, length) <= REGION] = depth
+    before, after = shared[:size], shared[1:]
+    prefix = np.maximum(before, after)
+    at = np.clip(np.arange(size) + np.where(before >= after, -1, 1), 0, size - 1)
+    keep = prefix >= FIRST
+    keep[0] |= head
+    keep[-1] |= tail
+    inner = np.ones(size, bool)
+    inner[0], inner[-1] = (head, tail) if size > 1 else (head or tail,) * 2
+    keep &= inner
+    missing = prefix[keep] < FIRST
+    columns = [pa.array(region[keep]), rows.column("deeper").combine_chunks().filter(pa.array(keep)), pa.array(leaf[keep]), pa.array(v[keep]), pa.array(n[keep]), pa.array(v[at][keep], mask=missing), pa.array(n[at][keep], mask=missing), pa.array(prefix[keep])]
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in MEMBER.split(", ")])
 
 
 def forest(reps: DataFrame) -> DataFrame:
-    """(region, v, n, size, first, first_n): members of regions with two or more, as deep as these were split."""
-    trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(F.xxhash64(t, F.slice("signature", t * DEPTH + 1, FIRST)).alias("region"), F.slice("signature", t * DEPTH + 1 + FIRST, DEPTH - FIRST).alias("deeper")))
-    rows = reps.select("v", "n", F.explode(trees).alias("t")).select("t.region", "v", "n", "t.deeper")
-    done = []
-    for depth in range(FIRST, DEPTH + 1):
-        sizes = rows.groupBy("region").agg(F.count("*").alias("size"), F.min(F.struct("v", "n")).alias("first")).where("size > 1")
-        found = materialise(rows.join(materialise(sizes), "region"))
-        last = depth == DEPTH
-        done.append((found if last else found.where(F.col("size") <= REGION)).select("region", "v", "n", "size", F.col("first.v").alias("first"), F.col("first.n").alias("first_n")))
-        if last or found.where(F.col("size") > REGION).isEmpty():
-            break
-        rows = found.where(F.col("size") > REGION).select(F.xxhash64("region", F.get("deeper", F.lit(depth - FIRST))).alias("region"), "v", "n", "deeper")
-    out = done[0]
-    for more in done[1:]:
-        out = out.union(more)
-    return out
-
+    """(region, leaf, v, n, near, near_n, prefix) from the sorted orders of all trees: every member of a region with two
+    or more, its nearest neighbour in that order (null where another task has it) and how many values they share."""
+    whole, first, more = 4 * DEPTH, 4 * FIRST, 4 * MORE
+    cut = lambda t, start, length: F.substring("signature", t * whole + start + 1, F.lit(length))
+    trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(F.xxhash64(t, cut(t, 0, first)).alias("region"), cut(t, first, more).alias("deeper")))
+    rows = reps.select("v", "n", F.explode(trees).alias("t")).select("t.region", "t.deeper", "v", "n")
+    order = ["region", "deeper", "v"]
 
-def similar_size(a: Column, b: Column) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * 80
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last two rows of a batch go before the next one: the last has its neighbours only there.
+        held, head = None, True
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
+            if table.num_rows < 3:
+                held = table
+                continue
+            yield neighbours(table, head, False)
+            held, head = table.slice(table.num_rows - 2), False
+        if held is not None and held.num_rows:
+            yield neighbours(held, head, True)
 
+    found = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, MEMBER)
+    leaf = F.xxhash64("region", "leaf_depth", F.substring("deeper", F.lit(1), (F.col("leaf_depth") - FIRST) * 4))
+    return found.select("region", leaf.alias("leaf"), "v", "n", "near", "near_n", "prefix")
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """Of materialised distinct pairs (a, b) those with 100 * intersection >= 80 * union; texts has (v, text)."""
-    needed = materialise(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct())
-    few = texts.join(F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed, "v", "left_semi").dropDuplicates(["v"])
-    few = materialise(few.select("v", shingles(F.col("text"), size).alias("set")))
-    side = lambda name: few.select(F.col("v").alias(name), F.col("set").alias(f"{name}_set"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
-    shared = F.size(F.array_intersect("a_set", "b_set"))
-    test = let(shared, lambda s: 100 * s >= 80 * (F.size("a_set") + F.size("b_set") - s))
-    return materialise(both.where(test).select("a", "b"))
 
+def similar_size(a: Column, b: Column) -> Column:
+    return F.least(a, b) * 100 >= F.greatest(a, b) * 80
 
-def linked(members: DataFrame, sketches: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """(v, component) of all documents with a confirmed link; sketches has (v, sketch) of all members."""
-    links = tied = tried = None
 
-    def labelled(rows: DataFrame, name: str, to: str) -> DataFrame:
-        if tied is None:
-            return rows.withColumn(to, F.col(name))
-        found = tied.select(F.col("v").alias(name), F.col("component").alias("__component"))
+def similar(a: np.ndarray, b: np.ndarray, ids: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether any set of a and any of b are similar, pair by pair. Sets are slices of flat, by ids in ascending order."""
+    token = np.unique(flat, return_inverse=True)[1]
+    mark = np.zeros(len(flat) + 1, bool)
+    ends = np.cumsum(lengths)
+    span = lambda i: slice(ends[i] - lengths[i], ends[i])
+    order = np.argsort(a, kind="stable")
+    linked = np.zeros(len(a), bool)
+    for group in np.split(order, np.flatnonzero(np.diff(a[order])) + 1) if len(a) else []:
+        lo, hi = np.searchsorted(ids, b[group], "left"), np.searchsorted(ids, b[group], "right")
+        of = np.repeat(group, hi - lo)
+        other = np.concatenate([np.arange(x, y) for x, y in zip(lo, hi, strict=True)])
+        for i in range(np.searchsorted(ids, a[group[0]], "left"), np.searchsorted(ids, a[group[0]], "right")):
+            mark[token[span(i)]] = True
+            same = np.array([np.count_nonzero(mark[token[span(j)]]) for j in other], np.int64)
+            mark[token[span(i)]] = False
+            linked[of[100 * same >= 80 * (lengths[i] + lengths[other] - same)]] = True
+    return linked
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int, shelf: Shelf) -> DataFrame:
+    """Of kept distinct pairs (a, b) those with 100 * intersection >= 80 * union; texts has (v, text).
+
+    Pairs are dealt into tiles by the hash of either side, so that a set is sent once to each tile that needs it, and a tile's
+    sets have a bounded size.
+    """
+    own = Shelf(shelf.spark)
+    needed = own.keep(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct())
+    few = texts.join(F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed, "v", "left_semi")
+    few = own.keep(few.select("v", F.array_sort(shingles(F.col("text"), size)).alias("set")).withColumn("n", F.size("set")))
+    total = few.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    sides = max(TILES, -(-total * 8 // TILE_BYTES))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(sides))
+    dealt = pairs.select((part("a") * sides + part("b")).alias("tile"), "a", "b")
+    places = dealt.select("tile", F.col("a").alias("v")).union(dealt.select("tile", "b")).distinct()
+    sets = places.join(few.select("v", "set"), "v").select(F.col("tile").alias("place"), "v", "set")
+
+    def check(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("v")
+        lists = right.column("set").combine_chunks()
+        lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        a, b = (left.column(c).to_numpy() for c in ("a", "b"))
+        linked = similar(a, b, right.column("v").to_numpy(), lists.flatten().to_numpy(zero_copy_only=False), lengths)
+        return pa.table({"a": a[linked], "b": b[linked]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    found = shelf.keep(dealt.groupBy("tile").cogroup(sets.groupBy("place")).applyInArrow(check, "a long, b long"))
+    own.clear()
+    return found
+
+
+class Ties:
+    """Pairs tried so far, links among them and the components these give."""
+
+    def __init__(self, texts: DataFrame, size: int, shelf: Shelf, first: DataFrame) -> None:
+        self.texts, self.size, self.shelf, self.tried = texts, size, shelf, None
+        self.labels = components(first)
+
+    def of(self, rows: DataFrame, name: str, to: str) -> DataFrame:
+        found = self.labels.select(F.col("v").alias(name), F.col("component").alias("__component"))
         return rows.join(found, name, "left").withColumn(to, F.coalesce("__component", name)).drop("__component")
 
-    def stars() -> DataFrame:
-        rows = labelled(labelled(members, "v", "component"), "first", "first_component")
-        rows = rows.where((F.col("component") != F.col("first_component")) & similar_size(F.col("n"), F.col("first_n"))).select(F.col("first").alias("a"), F.col("v").alias("b"), "size")
-        return rows if tried is None else rows.join(tried, ["a", "b"], "left_anti")
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b, ...) that lie in different components and weren't tried yet."""
+        rows = self.of(self.of(pairs, "a", "__a"), "b", "__b").where("__a <> __b").drop("__a", "__b")
+        return rows if self.tried is None else rows.join(self.tried, ["a", "b"], "left_anti")
 
-    def check(pairs: DataFrame) -> bool:
-        nonlocal links, tied, tried
-        pairs = materialise(pairs.distinct())
+    def check(self, pairs: DataFrame) -> bool:
+        """Confirms pairs and merges what they tie; false if there are none."""
+        ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+        pairs = self.shelf.keep(ordered if self.tried is None else ordered.join(self.tried, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             return False
-        found = confirmed(pairs, texts, size)
-        links = found if links is None else materialise(links.union(found))
-        tried = pairs if tried is None else materialise(tried.union(pairs))
-        tied = materialise(components(links))
+        found = confirmed(pairs, self.texts, self.size, self.shelf)
+        self.tried = pairs if self.tried is None else self.tried.union(pairs)
+        self.labels = self.shelf.keep(merged(self.labels, found))
         return True
 
-    for _ in range(PIVOT_ROUNDS):
-        best = stars().groupBy("b").agg(F.max(F.struct("size", (-F.col("a")).alias("minus"))).alias("best"))
-        if not check(best.select((-F.col("best.minus")).alias("a"), "b")):
-            break
-    check(stars().select("a", "b").union(crossing(labelled(members, "v", "component").join(sketches, "v"))))
-    return tied if tied is not None else members.select("v", F.col("v").alias("component")).limit(0)
 
+def pivots(members: DataFrame) -> DataFrame:
+    """(a, b, weight): the smallest members a of the leaves and regions of a document b, once each."""
+    found = None
+    for by in ("leaf", "region"):
+        first = members.groupBy(by).agg(F.min(F.struct("v", "n")).alias("first"), F.count("*").alias("weight")).where("weight > 1")
+        rows = members.join(first, by).select(F.col("first.v").alias("a"), F.col("v").alias("b"), F.when(similar_size(F.col("n"), F.col("first.n")), F.col("weight")).alias("weight"))
+        found = rows if found is None else found.union(rows)
+    return found.where("a <> b and weight is not null").groupBy("a", "b").agg(F.max("weight").alias("weight"))
 
-def crossing(members: DataFrame) -> DataFrame:
-    """Pairs of a block's members that lie in different components; blocks have a bounded expected size."""
-    sketch = [F.get("sketch", F.lit(k)).alias(f"s{k}") for k in range(SKETCH)]
-    block = F.xxhash64("region", F.when(F.col("size") > REGION, F.pmod(F.xxhash64("v", "region"), F.ceil(F.col("size") / REGION))).otherwise(F.lit(0)))
-    grouped = members.select(block.alias("block"), F.struct("v", "n", "component", *sketch).alias("m"))
-    grouped = grouped.groupBy("block").agg(F.min("m.component").alias("lo"), F.max("m.component").alias("hi"), F.collect_list("m").alias("ms")).where("lo <> hi")
 
-    def wanted(x: Column, y: Column) -> Column:
-        apart = sum((F.bit_count(x[f"s{k}"].bitwiseXOR(y[f"s{k}"])) for k in range(SKETCH)), F.lit(0))
-        return (x["v"] < y["v"]) & (x["component"] != y["component"]) & similar_size(x["n"], y["n"]) & (apart <= MOST)
+def tie(members: DataFrame, sketches: DataFrame, ties: Ties) -> DataFrame:
+    """(v, component) of all documents with a link."""
+    near = members.where(F.col("near").isNotNull() & similar_size(F.col("n"), F.col("near_n")))
+    best = near.groupBy("v").agg(F.max(F.struct("prefix", (-F.col("near")).alias("minus"))).alias("best"))
+    ties.check(best.select((-F.col("best.minus")).alias("a"), F.col("v").alias("b")))
+    around = ties.shelf.keep(ties.apart(pivots(members)))
+    for _ in range(PIVOT_ROUNDS):
+        tries = ties.apart(around).groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("weight", (-F.col("a")).alias("minus"))), False), 1, PIVOTS).alias("best"))
+        if not ties.check(tries.select(F.explode("best").alias("x"), "b").select((-F.col("x.minus")).alias("a"), "b")):
+            break
+    ties.check(crossing(ties.of(members.select("region", "v", "n"), "v", "component"), sketches))
+    return ties.labels
+
+
+def crossing(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b): pairs in different components of a region whose sketches and sizes allow a similarity of 0.8.
+
+    A region of over BLOCK members is cut into blocks, and what lies outside its main component is cut into blocks as well;
+    each of these meets each of those.
+    """
+    parts = members.groupBy("region", "component").agg(F.count("*").alias("c"))
+    shapes = parts.groupBy("region").agg(F.sum("c").alias("size"), F.max(F.struct("c", "component")).alias("main")).where("main.c < size")
+    rows = members.join(shapes.select("region", "size", F.col("main.component").alias("main"), (F.col("size") - F.col("main.c")).alias("others")), "region").join(sketches, "v")
+    blocks = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int")
+    small, outside = F.col("size") <= BLOCK, F.col("component") != F.col("main")
+    tile = lambda i, j: F.struct(F.xxhash64("region", i, j).alias("tile"))
+    of = lambda count, salt: F.pmod(F.xxhash64("v", F.lit(salt)), count).cast("int")
+    upto = lambda count: F.sequence(F.lit(0), count - 1)
+    right = rows.select("v", "n", "component", "sketch", F.when(small, outside).otherwise(F.lit(False)).alias("outside"),
+                        F.explode(F.when(small, F.array(tile(F.lit(0), F.lit(0)))).otherwise(F.transform(upto(blocks("others")), lambda i: tile(i, of(blocks("size"), 1))))).alias("t"))
+    left = rows.where(outside & ~small).select("v", "n", "component", "sketch", F.lit(True).alias("outside"), F.explode(F.transform(upto(blocks("size")), lambda j: tile(of(blocks("others"), 2), j))).alias("t"))
+    dealt = right.union(left).select("t.tile", "v", "n", "component", "outside", "sketch")
 
-    pairs = F.flatten(F.transform("ms", lambda x: F.transform(F.filter("ms", lambda y: wanted(x, y)), lambda y: F.struct(x["v"].alias("a"), y["v"].alias("b")))))
-    return grouped.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            tiles = table.column("tile").to_numpy()
+            whole = int(np.searchsorted(tiles, tiles[-1], "left")) if len(tiles) else 0
+            yield allowed(table.slice(0, whole))
+            held = table.slice(whole)
+        if held is not None:
+            yield allowed(held)
+
+    return dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
+
+
+def allowed(rows: pa.Table) -> pa.RecordBatch:
+    """Pairs of rows of the same tile, one of them outside, that may be similar; compared at each distance at once."""
+    tile, v, n, component, outside = (rows.column(c).to_numpy() for c in ("tile", "v", "n", "component", "outside"))
+    sketch = bytes_of_rows(rows.column("sketch").combine_chunks(), np.uint64) if len(v) else None
+    found: list[np.ndarray] = []
+    at, step = np.arange(len(v) - 1), 1
+    while len(at):
+        at = at[at + step < len(v)]
+        at = at[tile[at] == tile[at + step]]
+        x, y = at, at + step
+        fits = (component[x] != component[y]) & (outside[x] | outside[y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * 80)
+        x, y = x[fits], y[fits]
+        for k in range(0, len(x), 65536):
+            p, q = x[k : k + 65536], y[k : k + 65536]
+            near = np.bitwise_count(sketch[p] ^ sketch[q]).sum(axis=1, dtype=np.int64) <= MOST
+            found.append(np.stack([np.minimum(v[p], v[q])[near], np.maximum(v[p], v[q])[near]]))
+        step += 1
+    both = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+    both = np.unique(both, axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
 
 def cluster(docs: DataFrame, size: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: size of its shingle set, the smallest id of its component, and whether it is that one."""
+    shelf = Shelf(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("v"), text_of(text_col).alias("text"))
     sets = texts.select("v", shingles(F.col("text"), size).alias("shingles"))
     narrow = sets.select("v", F.size("shingles").cast("long").alias("n"), F.sort_array("shingles").alias("shingles"))
     narrow = narrow.select("v", "n", F.xxhash64("shingles").alias("f"), F.xxhash64(F.lit(size), F.reverse("shingles")).alias("g"), "shingles")
     usable = (F.col("n") > 0) & F.col("v").isNotNull()
-    signed = materialise(signatures(narrow.where(usable)))
-    groups = materialise(signed.groupBy("f", "g", "n").agg(F.min("v").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"))
-    joined = materialise(signed.select("v", "n", "f", "g").join(groups, ["f", "g", "n"], "left").select("v", "n", F.coalesce("rep", "v").alias("rep")))
-    copies = joined.where("v <> rep").select("v").distinct()
-    reps = signed.select("v", "n", "signature").join(copies, "v", "left_anti")
-
-    final = linked(materialise(forest(reps)), signed.select("v", "sketch").dropDuplicates(["v"]), texts, size).where("v <> component")
-    decided = joined.join(materialise(final).withColumnRenamed("v", "rep"), "rep", "left").select("v", "n", F.coalesce("component", "rep").alias("component_id"))
+    signed = shelf.keep(signatures(narrow.where(usable)))
+    groups = signed.groupBy("f", "g", "n").agg(F.min("v").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
+    joined = shelf.keep(signed.select("v", "n", "f", "g").join(groups, ["f", "g", "n"], "left").select("v", "n", "f", "g", F.coalesce("rep", "v").alias("rep")))
+    # Ids that are copies of others, or come more than once; their texts' representatives are tied, and each is taken once.
+    ids = joined.groupBy("v").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("c"))
+    marked = shelf.keep(ids.where("c > 1 or lo <> v"))
+    first = joined.join(marked.where("lo <> hi").select("v"), "v", "left_semi").select(F.col("rep").alias("a"), F.col("v").alias("b"))
+    again = joined.where("v = rep").join(marked.where("c > 1").select("v"), "v", "left_semi").select("v", "f", "g").distinct()
+    plain = signed.join(marked.select("v"), "v", "left_anti").select("v", "n", "signature")
+    reps = plain.union(signed.join(again, ["v", "f", "g"], "left_semi").dropDuplicates(["v", "f", "g"]).select("v", "n", "signature"))
+
+    members = shelf.keep(forest(reps))
+    labels = tie(members, signed.select("v", "sketch").distinct(), Ties(texts, size, shelf, first))
+    final = labels.where("v <> component").withColumnRenamed("v", "rep")
+    decided = joined.join(final, "rep", "left").select("v", "n", F.coalesce("component", "rep").alias("component_id"))
     # Rows that took no part; the test on the text spares the shingles of all others.
     bare = texts.where(F.col("v").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     bare = bare.select("v", F.size(shingles(F.col("text"), size)).cast("long").alias("n"), F.col("v").alias("component_id"))
-    both = decided.union(bare)
+    both = shelf.last(decided).union(bare)
     return both.select(F.col("v").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("v") == F.col("component_id"), F.lit(True)).alias("kept"))
