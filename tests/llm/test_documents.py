@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from zonelake.llm import byte_bpe, decontaminate, near_dedup, quality_classifier, quality_rules, secret_scan, suffix_tree_lm
+from zonelake.llm import byte_bpe, decontaminate, near_dedup, quality_classifier, quality_rules, secret_scan, shingle_sets, suffix_tree_lm
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -200,6 +200,67 @@ def test_near_dedup_crowded_region(spark, monkeypatch):
     assert got == components_of(sets_of(dict(enumerate(texts)), 2))
 
 
+def test_near_dedup_links_within_one_crowded_region(spark, monkeypatch):
+    """Hundreds of near copies under 0.8 of each other, and pairs among them that are linked to nothing else."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 32)
+    rng = random.Random(11)
+    base = prose(rng, 120).split()
+
+    def edited(words, n, name):
+        copy = list(words)
+        for k in rng.sample(range(len(copy)), n):
+            copy[k] = f"{name}w{k}"
+        return copy
+
+    texts = []
+    for k in range(150):
+        copy = edited(base, 9, f"x{k}")
+        texts.append(" ".join(copy))
+        if k % 10 == 0:
+            texts.append(" ".join(edited(copy, 4, f"y{k}")))
+    rng.shuffle(texts)
+    sets = sets_of(dict(enumerate(texts)), 2)
+    want = components_of(sets)
+    got = {r.doc_id: r.component_id for r in near_dedup.cluster(spark.createDataFrame(rows(texts), SCHEMA)).collect()}
+    assert got == want and 10 < len(set(want.values())) < 160
+
+
+def test_near_dedup_small_sets_at_the_limit(spark):
+    """Pairs of 4 and 5, and of 16 and 20 shingles, whose similarity is 0.8 exactly."""
+    texts = []
+    for k in range(300):
+        n = (5, 20)[k % 2]
+        w = [f"{k}v{i}" for i in range(n + 1)]
+        texts += [" ".join(w), " ".join(w[: n - n // 5 + 1])]
+    got = {r.doc_id: r.component_id for r in near_dedup.cluster(spark.createDataFrame(rows(texts), SCHEMA)).collect()}
+    assert sum(got[2 * k + 1] != 2 * k for k in range(300)) == 0
+
+
+def test_near_dedup_repeated_ids(spark):
+    a, b, c = (f"{x} " * 3 + f"{x}1 {x}2 {x}3 {x}4 {x}5 {x}6 {x}7 {x}8 {x}9" for x in "abc")
+    docs = spark.createDataFrame([(5, a), (5, a), (5, b), (2, a), (7, b), (9, c), (9, c), (None, c)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_dedup.cluster(docs).collect())
+    assert got == [(0, 0, True), (2, 2, True), (5, 2, False), (5, 2, False), (5, 2, False), (7, 2, False), (9, 9, True), (9, 9, True)]
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 64])
+def test_shingle_sets(monkeypatch, piece):
+    """As sets of the words themselves, for texts that are hashed in slices and in pieces."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(shingle_sets, "PIECE", piece)
+    rng = random.Random(4)
+    texts = ["", " ", *(t or "" for t in ODD), "A\x0bb\x0cc", "x" * 200 + " y " + "x" * 200, *(prose(rng, rng.randint(1, 80)).upper() for _ in range(60))]
+    column = pa.array(["skipped", *texts]).slice(1)
+    for size in (1, 2, 5):
+        found = [x for at, end in shingle_sets.slices(column) for x in shingle_sets.sets(column.slice(at, end - at), size)]
+        want = sets_of(dict(enumerate(texts)), size)
+        assert [len(x) for x in found] == [len(want[i]) for i in range(len(texts))]
+        for i in range(0, len(texts), 5):
+            for j in range(len(texts)):
+                assert len(set(found[i].tolist()) & set(found[j].tolist())) == len(want[i] & want[j])
+
+
 def test_near_dedup_tables(odd, empty):
     out = near_dedup.cluster(odd)
     assert out.count() == odd.count() and near_dedup.cluster(empty).count() == 0

@@ -10,8 +10,8 @@ Candidates are confirmed in rounds, exactly, on full shingle sets. The links of
 and a pair inside of one can't change the result any more. The first round takes each document's neighbour with the
 longest common prefix in any tree; the next ones a few pivots, the smallest members of its leaves and regions, while these lie
 in other components. The last one takes what is left: in each region all pairs across components, so no region, however crowded, loses
-a link. There the documents outside the region's main component are compared with all of the region in bounded
-blocks. A sketch of two bits a MinHash value spares pairs far below 0.8 the exact check, and 3e-6 of those at 0.8.
+a link: in small ones a sketch of two bits a MinHash value spares pairs far below 0.8 the exact check, and 3e-6 of those at
+0.8; in all others, documents outside the region's main component meet all of the region in bounded blocks.
 
 Defined results: null or empty texts have no shingles and are linked with nothing; a null id is linked with nothing,
 has no component and is kept; rows that share an id are one document, linked where any of their texts are, and each
@@ -24,10 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonelake.llm.common import Shelf, shingles, text_of
+from zonelake.llm import shingle_sets
+from zonelake.llm.common import Shelf, text_of
 from zonelake.llm.components import components, merged
 
 TREES, FIRST, DEPTH, REGION = 24, 4, 8, 64
@@ -37,13 +39,12 @@ VALUES, MORE = TREES * DEPTH, DEPTH - FIRST
 MOST = int(VALUES * (0.2 + 4.5 * (0.26 / VALUES) ** 0.5))
 #: Rounds with pivots, and how many a document tries in one of them.
 PIVOT_ROUNDS, PIVOTS = 3, 3
-#: Members of a block in the last round.
-BLOCK = 256
+#: In the last round, members of a region whose pairs are written out; members of a block, and bytes of their shingles.
+SMALL, BLOCK, BLOCK_BYTES = 32, 256, 16_000_000
 #: Bytes of shingle sets on each side of a tile of pairs, and tiles a side at least.
 TILE_BYTES, TILES = 16_000_000, 6
 #: Ids up to which those that need a check are broadcast (16 bytes each); beyond, texts are shuffled.
 BROADCAST_IDS = 500_000
-SLICE = 128
 
 
 def multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,6 +65,12 @@ def bytes_of_rows(column: pa.Array, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
+def unpacked(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers in some binary values, and how many each of these has."""
+    flat = np.concatenate([np.frombuffer(x, kind) for x in column.to_pylist()] or [np.empty(0, kind)])
+    return flat, pc.binary_length(column).to_numpy().astype(np.int64) // np.dtype(kind).itemsize
+
+
 def sketch_bits(values: np.ndarray) -> np.ndarray:
     """Two bits of each MinHash value that depend on all bits of it, packed."""
     mixed = values * np.uint32(0x9E3779B1)
@@ -71,26 +78,49 @@ def sketch_bits(values: np.ndarray) -> np.ndarray:
     return np.packbits(np.concatenate([mixed >> np.uint32(31), mixed >> np.uint32(30) & np.uint32(1)], axis=1).astype(np.uint8), axis=1)
 
 
-def signatures(sets: DataFrame) -> DataFrame:
-    """Replaces the shingles by the signature and its sketch, both as bytes; every row needs at least one shingle."""
+SIGNED = "v long, n long, f long, g long, signature binary, sketch binary"
+
+
+def signatures(texts: DataFrame, size: int) -> DataFrame:
+    """(v, n, f, g, signature, sketch) of each row (v, text): the number of shingles, two hashes that only equal sets share,
+    and the MinHash values with their sketch as bytes, null for rows without shingles or id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factor, shift = multipliers(VALUES)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                lists = part.column(part.num_columns - 1)
-                values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                values = (values >> np.uint64(32)).astype(np.uint32)
-                starts = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))[:-1]].astype(np.int64)
-                out = np.empty((part.num_rows, VALUES), np.uint32)
-                for k in range(VALUES):
-                    out[:, k] = np.minimum.reduceat(values * factor[k] + shift[k], starts)
-                made = [rows_of_bytes(out), rows_of_bytes(sketch_bits(out))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], [*part.schema.names[:-1], "signature", "sketch"])
-
-    kept = ", ".join(f"{n} {t}" for n, t in sets.dtypes[:-1])
-    return sets.mapInArrow(run, f"{kept}, signature binary, sketch binary")
+            for at, end in shingle_sets.slices(batch.column(1)):
+                v = batch.column(0).slice(at, end - at)
+                found = shingle_sets.sets(batch.column(1).slice(at, end - at), size)
+                n = np.array([len(x) for x in found], np.int64)
+                starts = np.cumsum(n) - n
+                flat = np.concatenate(found)
+                some = n > 0
+                set_hash = np.zeros((2, len(n)), np.uint64)
+                out = np.zeros((len(n), VALUES), np.uint32)
+                if len(flat):
+                    for k in (0, 1):
+                        set_hash[k, some] = np.add.reduceat(shingle_sets.mixed(flat + np.uint64(k)), starts[some])
+                    half = (flat >> np.uint64(32)).astype(np.uint32)
+                    for k in range(VALUES):
+                        out[some, k] = np.minimum.reduceat(half * factor[k] + shift[k], starts[some])
+                use = pa.array(some & ~np.asarray(v.is_null()))
+                made = [pc.if_else(use, rows_of_bytes(x), pa.scalar(None, pa.binary())) for x in (out, sketch_bits(out))]
+                yield pa.RecordBatch.from_arrays([v, pa.array(n), *(pa.array(x.view(np.int64)) for x in set_hash), *made], [x.split()[0] for x in SIGNED.split(", ")])
+
+    return texts.mapInArrow(run, SIGNED)
+
+
+def kept_sets(texts: DataFrame, ids: DataFrame, size: int, shelf: Shelf, short: bool = False) -> DataFrame:
+    """(v, n, set) for rows with one of the ids (v); a set is 64-bit hashes in ascending order, or 32 bits of each, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, end in shingle_sets.slices(batch.column(1)):
+                found = shingle_sets.sets(batch.column(1).slice(at, end - at), size)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array([len(x) for x in found], pa.int64()), pa.array([((x >> np.uint64(32)).astype(np.uint32) if short else x).tobytes() for x in found], pa.binary())], ["v", "n", "set"])
+
+    few = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "v", "left_semi")
+    return shelf.keep(few.select("v", "text").mapInArrow(run, "v long, n long, set binary"))
 
 
 MEMBER = "region long, deeper binary, leaf_depth int, v long, n long, near long, near_n long, prefix int"
@@ -187,8 +217,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, shelf: Shelf) -> Da
     """
     own = Shelf(shelf.spark)
     needed = own.keep(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct())
-    few = texts.join(F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed, "v", "left_semi")
-    few = own.keep(few.select("v", F.array_sort(shingles(F.col("text"), size)).alias("set")).withColumn("n", F.size("set")))
+    few = kept_sets(texts, needed, size, own)
     total = few.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     sides = max(TILES, -(-total * 8 // TILE_BYTES))
     part = lambda c: F.pmod(F.xxhash64(c), F.lit(sides))
@@ -198,10 +227,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, shelf: Shelf) -> Da
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("v")
-        lists = right.column("set").combine_chunks()
-        lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, lengths = unpacked(right.column("set"), np.uint64)
         a, b = (left.column(c).to_numpy() for c in ("a", "b"))
-        linked = similar(a, b, right.column("v").to_numpy(), lists.flatten().to_numpy(zero_copy_only=False), lengths)
+        linked = similar(a, b, right.column("v").to_numpy(), flat, lengths)
         return pa.table({"a": a[linked], "b": b[linked]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     found = shelf.keep(dealt.groupBy("tile").cogroup(sets.groupBy("place")).applyInArrow(check, "a long, b long"))
@@ -257,54 +285,90 @@ def tie(members: DataFrame, sketches: DataFrame, ties: Ties) -> DataFrame:
         tries = ties.apart(around).groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("weight", (-F.col("a")).alias("minus"))), False), 1, PIVOTS).alias("best"))
         if not ties.check(tries.select(F.explode("best").alias("x"), "b").select((-F.col("x.minus")).alias("a"), "b")):
             break
-    ties.check(crossing(ties.of(members.select("region", "v", "n"), "v", "component"), sketches))
+    left = ties.of(members.select("region", "v", "n"), "v", "component")
+    parts = left.groupBy("region", "component").agg(F.count("*").alias("c"), F.sum("n").alias("total"))
+    shapes = parts.groupBy("region").agg(F.sum("c").alias("size"), F.sum("total").alias("total"), F.max(F.struct("c", "component")).alias("main")).where("main.c < size")
+    shapes = shapes.select("region", "size", "total", F.col("main.component").alias("main"), (F.col("size") - F.col("main.c")).alias("others"))
+    rows = ties.shelf.keep(left.join(shapes, "region").withColumn("outside", F.col("component") != F.col("main")))
+    few = ties.apart(inside(rows.where(F.col("size") <= SMALL), sketches))
+    ties.check(few.union(across(rows.where(F.col("size") > SMALL), ties.texts, ties.size, ties.shelf)))
     return ties.labels
 
 
-def crossing(members: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(a, b): pairs in different components of a region whose sketches and sizes allow a similarity of 0.8.
-
-    A region of over BLOCK members is cut into blocks, and what lies outside its main component is cut into blocks as well;
-    each of these meets each of those.
-    """
-    parts = members.groupBy("region", "component").agg(F.count("*").alias("c"))
-    shapes = parts.groupBy("region").agg(F.sum("c").alias("size"), F.max(F.struct("c", "component")).alias("main")).where("main.c < size")
-    rows = members.join(shapes.select("region", "size", F.col("main.component").alias("main"), (F.col("size") - F.col("main.c")).alias("others")), "region").join(sketches, "v")
-    blocks = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int")
-    small, outside = F.col("size") <= BLOCK, F.col("component") != F.col("main")
-    tile = lambda i, j: F.struct(F.xxhash64("region", i, j).alias("tile"))
-    of = lambda count, salt: F.pmod(F.xxhash64("v", F.lit(salt)), count).cast("int")
-    upto = lambda count: F.sequence(F.lit(0), count - 1)
-    right = rows.select("v", "n", "component", "sketch", F.when(small, outside).otherwise(F.lit(False)).alias("outside"),
-                        F.explode(F.when(small, F.array(tile(F.lit(0), F.lit(0)))).otherwise(F.transform(upto(blocks("others")), lambda i: tile(i, of(blocks("size"), 1))))).alias("t"))
-    left = rows.where(outside & ~small).select("v", "n", "component", "sketch", F.lit(True).alias("outside"), F.explode(F.transform(upto(blocks("size")), lambda j: tile(of(blocks("others"), 2), j))).alias("t"))
-    dealt = right.union(left).select("t.tile", "v", "n", "component", "outside", "sketch")
+def inside(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b): pairs in different components of a small region whose sketches and sizes allow a similarity of 0.8."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
-            tiles = table.column("tile").to_numpy()
-            whole = int(np.searchsorted(tiles, tiles[-1], "left")) if len(tiles) else 0
+            regions = table.column("region").to_numpy()
+            whole = int(np.searchsorted(regions, regions[-1], "left")) if len(regions) else 0
             yield allowed(table.slice(0, whole))
             held = table.slice(whole)
         if held is not None:
             yield allowed(held)
 
-    return dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
+    dealt = rows.select("region", "v", "n", "component").join(sketches, "v").select("region", "v", "n", "component", "sketch")
+    return dealt.repartition("region").sortWithinPartitions("region").mapInArrow(run, "a long, b long").distinct()
+
+
+def across(rows: DataFrame, texts: DataFrame, size: int, shelf: Shelf) -> DataFrame:
+    """(a, b): links between what lies outside the main component of a crowded region and all of the region, one for each
+    document and component at least.
+
+    Both are cut into blocks, and each block of these meets each of those with its shingles, shortened to 32 bits. Pairs
+    aren't written out: only those that pass the test on these, which equal hashes can't make fail, go on to the exact one.
+    """
+    tokens = kept_sets(texts, rows.select("v").distinct(), size, shelf, short=True)
+    blocks = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.ceil(F.col("total") * F.col(c) / F.col("size") * 4 / BLOCK_BYTES)).cast("int")
+    tile = lambda i, j: F.xxhash64("region", i, j)
+    of = lambda count, salt: F.pmod(F.xxhash64("v", F.lit(salt)), count).cast("int")
+    upto = lambda count: F.sequence(F.lit(0), count - 1)
+    right = rows.withColumn("tile", F.explode(F.transform(upto(blocks("others")), lambda i: tile(i, of(blocks("size"), 1)))))
+    left = rows.where("outside").withColumn("tile", F.explode(F.transform(upto(blocks("size")), lambda j: tile(of(blocks("others"), 2), j))))
+    both = right.withColumn("outside", F.lit(False)).union(left).select("tile", "v", "component", "outside")
+    return both.join(tokens, "v").select("tile", "v", "n", "component", "outside", "set").groupBy("tile").applyInArrow(linked_across, "a long, b long")
+
+
+def linked_across(tile: pa.Table) -> pa.Table:
+    """Links between rows outside and the other rows of a tile, the first for each row and component."""
+    v, n, component, outside = (tile.column(c).to_numpy() for c in ("v", "n", "component", "outside"))
+    flat, lengths = unpacked(tile.column("set"), np.uint32)
+    count = len(v)
+    token = np.unique(flat, return_inverse=True)[1]
+    key = np.unique(token.astype(np.int64) * count + np.repeat(np.arange(count), lengths))
+    token, row = key // count, key % count
+    lost = n - np.bincount(row, minlength=count)
+    often = np.bincount(token) > 1
+    place = np.cumsum(often) - 1
+    use = often[token]
+    token, row = place[token[use]], row[use]
+    left, right = np.flatnonzero(outside), np.flatnonzero(~outside)
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(often.sum()), 4096):
+        lo, hi = np.searchsorted(token, [start, start + 4096])
+        held = np.zeros((count, 4096), np.float32)
+        held[row[lo:hi], token[lo:hi] - start] = 1
+        shared += held[left] @ held[right].T
+    shared = shared.astype(np.int64) + np.maximum(lost[left][:, None], lost[right][None])
+    linked = (component[left][:, None] != component[right][None]) & (100 * shared >= 80 * (n[left][:, None] + n[right][None] - shared))
+    x, y = np.nonzero(linked)
+    _, first = np.unique(np.stack([x, component[right[y]]]), axis=1, return_index=True)
+    return pa.table({"a": v[left[x[first]]], "b": v[right[y[first]]]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
 def allowed(rows: pa.Table) -> pa.RecordBatch:
-    """Pairs of rows of the same tile, one of them outside, that may be similar; compared at each distance at once."""
-    tile, v, n, component, outside = (rows.column(c).to_numpy() for c in ("tile", "v", "n", "component", "outside"))
+    """Pairs of rows of the same region that may be similar; compared at each distance at once."""
+    region, v, n, component = (rows.column(c).to_numpy() for c in ("region", "v", "n", "component"))
     sketch = bytes_of_rows(rows.column("sketch").combine_chunks(), np.uint64) if len(v) else None
     found: list[np.ndarray] = []
     at, step = np.arange(len(v) - 1), 1
     while len(at):
         at = at[at + step < len(v)]
-        at = at[tile[at] == tile[at + step]]
+        at = at[region[at] == region[at + step]]
         x, y = at, at + step
-        fits = (component[x] != component[y]) & (outside[x] | outside[y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * 80)
+        fits = (component[x] != component[y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * 80)
         x, y = x[fits], y[fits]
         for k in range(0, len(x), 65536):
             p, q = x[k : k + 65536], y[k : k + 65536]
@@ -320,11 +384,8 @@ def cluster(docs: DataFrame, size: int = 2, id_col: str = "doc_id", text_col: st
     """One row per document: size of its shingle set, the smallest id of its component, and whether it is that one."""
     shelf = Shelf(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("v"), text_of(text_col).alias("text"))
-    sets = texts.select("v", shingles(F.col("text"), size).alias("shingles"))
-    narrow = sets.select("v", F.size("shingles").cast("long").alias("n"), F.sort_array("shingles").alias("shingles"))
-    narrow = narrow.select("v", "n", F.xxhash64("shingles").alias("f"), F.xxhash64(F.lit(size), F.reverse("shingles")).alias("g"), "shingles")
-    usable = (F.col("n") > 0) & F.col("v").isNotNull()
-    signed = shelf.keep(signatures(narrow.where(usable)))
+    every = shelf.keep(signatures(texts, size))
+    signed = every.where("signature is not null")
     groups = signed.groupBy("f", "g", "n").agg(F.min("v").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
     joined = shelf.keep(signed.select("v", "n", "f", "g").join(groups, ["f", "g", "n"], "left").select("v", "n", "f", "g", F.coalesce("rep", "v").alias("rep")))
     # Ids that are copies of others, or come more than once; their texts' representatives are tied, and each is taken once.
@@ -339,8 +400,6 @@ def cluster(docs: DataFrame, size: int = 2, id_col: str = "doc_id", text_col: st
     labels = tie(members, signed.select("v", "sketch").distinct(), Ties(texts, size, shelf, first))
     final = labels.where("v <> component").withColumnRenamed("v", "rep")
     decided = joined.join(final, "rep", "left").select("v", "n", F.coalesce("component", "rep").alias("component_id"))
-    # Rows that took no part; the test on the text spares the shingles of all others.
-    bare = texts.where(F.col("v").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    bare = bare.select("v", F.size(shingles(F.col("text"), size)).cast("long").alias("n"), F.col("v").alias("component_id"))
-    both = shelf.last(decided).union(bare)
+    bare = every.where("signature is null").select("v", "n", F.col("v").alias("component_id"))
+    both = shelf.last(decided.union(bare))
     return both.select(F.col("v").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("v") == F.col("component_id"), F.lit(True)).alias("kept"))
