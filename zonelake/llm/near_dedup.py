@@ -37,8 +37,8 @@ VALUES, MORE = TREES * DEPTH, DEPTH - FIRST
 #: Two documents differ in about (1 - similarity) * VALUES bits of their sketches; MOST lies 4.5 standard deviations over
 #: what a similarity of 0.8 gives.
 MOST = int(VALUES * (0.2 + 4.5 * (0.26 / VALUES) ** 0.5))
-#: Rounds with pivots, and how many a document tries in one of them.
-PIVOT_ROUNDS, PIVOTS = 3, 3
+#: Rounds with pivots, how many a document tries in one of them, and the share of links without which no further one follows.
+PIVOT_ROUNDS, PIVOTS, SUCCESS = 3, 3, 0.05
 #: In the last round, members of a region whose pairs are written out; members of a block, and bytes of their shingles.
 SMALL, BLOCK, BLOCK_BYTES = 32, 256, 16_000_000
 #: Bytes of shingle sets on each side of a tile of pairs, and tiles a side at least.
@@ -110,8 +110,8 @@ def signatures(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, SIGNED)
 
 
-def kept_sets(texts: DataFrame, ids: DataFrame, size: int, shelf: Shelf, short: bool = False) -> DataFrame:
-    """(v, n, set) for rows with one of the ids (v); a set is 64-bit hashes in ascending order, or 32 bits of each, as bytes."""
+def kept_sets(texts: DataFrame, ids: DataFrame, most: int, size: int, shelf: Shelf, short: bool = False) -> DataFrame:
+    """(v, n, set) for rows with one of the ids (v), of which there are at most so many; a set is 64-bit hashes in ascending order, or 32 bits of each, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,7 +119,7 @@ def kept_sets(texts: DataFrame, ids: DataFrame, size: int, shelf: Shelf, short:
                 found = shingle_sets.sets(batch.column(1).slice(at, end - at), size)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array([len(x) for x in found], pa.int64()), pa.array([((x >> np.uint64(32)).astype(np.uint32) if short else x).tobytes() for x in found], pa.binary())], ["v", "n", "set"])
 
-    few = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "v", "left_semi")
+    few = texts.join(F.broadcast(ids) if most <= BROADCAST_IDS else ids, "v", "left_semi")
     return shelf.keep(few.select("v", "text").mapInArrow(run, "v long, n long, set binary"))
 
 
@@ -209,15 +209,15 @@ def similar(a: np.ndarray, b: np.ndarray, ids: np.ndarray, flat: np.ndarray, len
     return linked
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, shelf: Shelf) -> DataFrame:
-    """Of kept distinct pairs (a, b) those with 100 * intersection >= 80 * union; texts has (v, text).
+def confirmed(pairs: DataFrame, count: int, texts: DataFrame, size: int, shelf: Shelf) -> DataFrame:
+    """Of so many kept distinct pairs (a, b) those with 100 * intersection >= 80 * union; texts has (v, text).
 
     Pairs are dealt into tiles by the hash of either side, so that a set is sent once to each tile that needs it, and a tile's
     sets have a bounded size.
     """
     own = Shelf(shelf.spark)
-    needed = own.keep(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct())
-    few = kept_sets(texts, needed, size, own)
+    needed = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
+    few = kept_sets(texts, needed, 2 * count, size, own)
     total = few.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     sides = max(TILES, -(-total * 8 // TILE_BYTES))
     part = lambda c: F.pmod(F.xxhash64(c), F.lit(sides))
@@ -242,9 +242,11 @@ class Ties:
 
     def __init__(self, texts: DataFrame, size: int, shelf: Shelf, first: DataFrame) -> None:
         self.texts, self.size, self.shelf, self.tried = texts, size, shelf, None
-        self.labels = components(first)
+        self.labels = None if first.isEmpty() else components(first)
 
     def of(self, rows: DataFrame, name: str, to: str) -> DataFrame:
+        if self.labels is None:
+            return rows.withColumn(to, F.col(name))
         found = self.labels.select(F.col("v").alias(name), F.col("component").alias("__component"))
         return rows.join(found, name, "left").withColumn(to, F.coalesce("__component", name)).drop("__component")
 
@@ -254,15 +256,18 @@ class Ties:
         return rows if self.tried is None else rows.join(self.tried, ["a", "b"], "left_anti")
 
     def check(self, pairs: DataFrame) -> bool:
-        """Confirms pairs and merges what they tie; false if there are none."""
+        """Confirms pairs and merges what they tie; whether SUCCESS of them were links."""
         ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
         pairs = self.shelf.keep(ordered if self.tried is None else ordered.join(self.tried, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
+        count = pairs.count()
+        if not count:
             return False
-        found = confirmed(pairs, self.texts, self.size, self.shelf)
+        found = confirmed(pairs, count, self.texts, self.size, self.shelf)
         self.tried = pairs if self.tried is None else self.tried.union(pairs)
-        self.labels = self.shelf.keep(merged(self.labels, found))
-        return True
+        links = found.count()
+        if links:
+            self.labels = self.shelf.keep(merged(self.labels, found))
+        return links >= SUCCESS * count
 
 
 def pivots(members: DataFrame) -> DataFrame:
@@ -292,7 +297,7 @@ def tie(members: DataFrame, sketches: DataFrame, ties: Ties) -> DataFrame:
     rows = ties.shelf.keep(left.join(shapes, "region").withColumn("outside", F.col("component") != F.col("main")))
     few = ties.apart(inside(rows.where(F.col("size") <= SMALL), sketches))
     ties.check(few.union(across(rows.where(F.col("size") > SMALL), ties.texts, ties.size, ties.shelf)))
-    return ties.labels
+    return ties.labels if ties.labels is not None else members.select("v", F.col("v").alias("component")).limit(0)
 
 
 def inside(rows: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -320,7 +325,11 @@ def across(rows: DataFrame, texts: DataFrame, size: int, shelf: Shelf) -> DataFr
     Both are cut into blocks, and each block of these meets each of those with its shingles, shortened to 32 bits. Pairs
     aren't written out: only those that pass the test on these, which equal hashes can't make fail, go on to the exact one.
     """
-    tokens = kept_sets(texts, rows.select("v").distinct(), size, shelf, short=True)
+    ids = shelf.keep(rows.select("v").distinct())
+    count = ids.count()
+    if not count:
+        return ids.select(F.col("v").alias("a"), F.col("v").alias("b"))
+    tokens = kept_sets(texts, ids, count, size, shelf, short=True)
     blocks = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.ceil(F.col("total") * F.col(c) / F.col("size") * 4 / BLOCK_BYTES)).cast("int")
     tile = lambda i, j: F.xxhash64("region", i, j)
     of = lambda count, salt: F.pmod(F.xxhash64("v", F.lit(salt)), count).cast("int")
