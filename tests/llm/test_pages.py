@@ -60,12 +60,14 @@ def test_url_propagation(spark):
     edges = {("good.org", "friend.net"): 1, ("bad.com", "victim.net"): 1, ("farm.net", "bad.com"): 1}
 
     def rank(links, seed):
+        """Mass of hosts without links goes back to the seed at each of many steps."""
         score = {seed: 1.0}
-        for _ in range(url_filter.ITERATIONS):
+        for _ in range(400):
             new = {seed: 1 - url_filter.DAMPING}
-            for (a, b), _ in links.items():
-                total = sum(w for (x, _), w in links.items() if x == a)
-                new[b] = new.get(b, 0) + url_filter.DAMPING * score.get(a, 0) * links[a, b] / total
+            for a, mass in score.items():
+                out = {b: w for (x, b), w in links.items() if x == a} or {seed: 1}
+                for b, w in out.items():
+                    new[b] = new.get(b, 0) + url_filter.DAMPING * mass * w / sum(out.values())
             score = new
         return score
 
@@ -75,6 +77,26 @@ def test_url_propagation(spark):
     assert {h: r.verdict for h, r in got.items()} == {"good.org": "allow", "bad.com": "block", "farm.net": "block", "friend.net": "allow", "victim.net": "allow", "alone.net": "allow"}
 
 
+def test_url_propagation_goes_all_the_way(spark):
+    """A chain far longer than one check, a cycle, and the SQL beside it."""
+    import duckdb
+
+    from zonelake.llm import queries
+
+    hosts = ["good.org", *[f"h{k}.net" for k in range(30)]]
+    made = [(f"http://{a}/", f"<a href=//{b}/>") for a, b in zip(hosts, [*hosts[1:], "h20.net"], strict=True)] + [("http://x.com/de/", ""), ("http://h25.net/", "<a href=//x.com>")] * 2
+    table = pages(spark, made)
+    got = {r.page_id: (r.verdict, r.trust, r.distrust) for r in url_filter.judge(table, RULES).collect()}
+    con = duckdb.connect()
+    con.register("pages", table.toPandas())
+    names = ("page_id", "verdict", "trust", "distrust")
+    want = {r[0]: r[1:] for r in con.execute(f"SELECT {', '.join(names)} FROM ({queries.url_filter_sql()})").fetchall()}
+    assert {i: r[0] for i, r in got.items()} == {i: r[0] for i, r in want.items()}
+    for i, r in got.items():
+        assert r[1:] == pytest.approx(want[i][1:], abs=2e-9) and (r[1] or 0) > 0 or r[2] > 0
+    assert len(got) == len(made)
+
+
 def test_url_filter_is_native(spark):
     plan = url_filter.judge(pages(spark, [("http://a.org/", link) for link in ("<a href=//b.net/>", "")]), RULES)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -173,6 +195,59 @@ def test_warc_members():
     assert [r[2] for r in warc.records_in(data)] == ["<a>", "<b>"] and list(warc.records_in(b"")) == []
 
 
+def plain_records(data):
+    """An independent parser of sound files: (id, block) by stated lengths."""
+    out = []
+    while data:
+        head, _, rest = data.partition(b"\r\n\r\n")
+        fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
+        size = int(fields[b"Content-Length"])
+        out.append((fields[b"WARC-Record-ID"].decode(), rest[:size]))
+        assert rest[size : size + 4] == b"\r\n\r\n"
+        data = rest[size + 4 :]
+    return out
+
+
+def warc_file(blocks):
+    return [b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <%d>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, len(x), x) for i, x in enumerate(blocks)]
+
+
+def test_warc_sound_files(monkeypatch):
+    monkeypatch.setattr(warc, "PIECE", 37)
+    rng = random.Random(2)
+    blocks = [bytes(rng.choice(b"ab\r\nWARC/1.0: \xff") for _ in range(rng.randint(0, 200))) for _ in range(50)] + [b"", b"\r\n\r\nWARC/1.0\r\nContent-Length: 1\r\n\r\n"]
+    parts = warc_file(blocks)
+    want = plain_records(b"".join(parts))
+    for data in (b"".join(parts), gzip.compress(b"".join(parts)), b"".join(map(gzip.compress, parts))):
+        assert [(r[2], r[-1]) for r in warc.records_in(data)] == want
+
+
+@pytest.mark.parametrize("size", ["4", "6", "9999", "-1", "x", "", "1e3"])
+def test_warc_damaged_files(size):
+    first, second, third = warc_file([b"hello", b"world", b"again"])
+    wrong = second.replace(b"Content-Length: 5", b"Content-Length: " + size.encode())
+    assert [(r[2], r[-1]) for r in warc.records_in(first + wrong + third)] == [("<0>", b"hello"), ("<1>", b"world"), ("<2>", b"again")]
+    kinds = [(r[1], r[-1], r[9]) for r in warc.records_in(first + b"junk\r\n\r\n" + third[:-6])]
+    assert kinds == [("response", b"hello", 5), ("skipped", b"", 8), ("response", b"aga", 3)]
+    broken = bytearray(gzip.compress(second))
+    broken[20] ^= 255
+    assert "<2>" in [r[2] for r in warc.records_in(gzip.compress(first) + bytes(broken) + gzip.compress(third))]
+    assert list(warc.records_in(b"no warc at all"))[0][1] == "skipped"
+
+
+@pytest.mark.parametrize("charset", ["undefined", "no-such", "hex", "idna", "utf-16", "latin-1"])
+def test_warc_charsets_and_encodings(charset):
+    page = "<p>caf\u00e9 \u2013 ok</p>" if charset == "utf-16" else "<p>caf\u00e9 ok</p>"
+    raw = page.encode(charset if charset in ("utf-16", "latin-1") else "utf-8")
+    squeezed = gzip.compress(raw)
+    chunked = b"%x;x=1\r\n%s\r\n%x\r\n%s\r\n0\r\n\r\n" % (5, squeezed[:5], len(squeezed) - 5, squeezed[5:])
+    for head, body in ((b"", raw), (b"Content-Encoding: gzip\r\n", squeezed), (b"Content-Encoding: GZIP\r\nTransfer-Encoding: chunked\r\n", chunked), (b"Content-Encoding: br\r\n", raw), (b"Transfer-Encoding: chunked\r\n", raw)):
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=" + charset.encode() + b"\r\n" + head + b"\r\n" + body
+        meta, conversion = warc.derivatives(1, "<r>", "http://a/", "d", None, block, None)
+        assert conversion[-1].decode() == page[3:-4], (charset, head)
+        assert f"source-payload-digest: {warc.digest(body)}".encode() in meta[-1]
+
+
 # Components
 
 

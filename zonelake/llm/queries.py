@@ -88,16 +88,15 @@ def url_filter_sql() -> str:
     for side, a, b in (("t", "src", "dst"), ("d", "dst", "src")):
         steps.append(f"{side}_e AS (SELECT {a} AS a, {b} AS b, CAST(pages AS DOUBLE) / sum(CAST(pages AS DOUBLE)) OVER (PARTITION BY {a}) AS share FROM ed)")
         column = "allowed" if side == "t" else "blocked"
-        steps.append(f"{side}_s AS (SELECT host, {column} / (SELECT CAST(sum({column}) AS DOUBLE) FROM hs) AS rank FROM hs WHERE {column} > 0), {side}_0 AS (SELECT * FROM {side}_s)")
-        for k in range(url_filter.ITERATIONS):
-            steps.append(f"{side}_{k + 1} AS (SELECT host, sum(rank) AS rank FROM (SELECT host, rank * {1 - url_filter.DAMPING!r} AS rank FROM {side}_s UNION ALL SELECT b, rank * share * {url_filter.DAMPING!r} FROM {side}_{k} JOIN {side}_e ON host = a) GROUP BY host)")
-    last = url_filter.ITERATIONS
-    return f"""WITH pg AS (SELECT page_id, coalesce({host}, '') AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path, html FROM pages), ru AS ({rules}),
+        steps.append(f"{side}_s AS (SELECT host, {column} / (SELECT CAST(sum({column}) AS DOUBLE) FROM hs) AS rank FROM hs WHERE {column} > 0)")
+        steps.append(f"{side}_m AS (SELECT 0 AS k, host, rank FROM {side}_s UNION ALL SELECT k + 1, b, sum(rank * share * {url_filter.DAMPING!r}) FROM {side}_m JOIN {side}_e ON host = a WHERE k < 150 GROUP BY k + 1, b)")
+        steps.append(f"{side}_r AS (SELECT host, sum(rank) / (SELECT sum(rank) FROM {side}_m) AS rank FROM {side}_m GROUP BY host)")
+    return f"""WITH RECURSIVE pg AS (SELECT page_id, coalesce({host}, '') AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path, html FROM pages), ru AS ({rules}),
 ft AS (SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM pg LEFT JOIN ru ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1, 2, 3),
 h0 AS (SELECT host, sum(CASE verdict WHEN 'allow' THEN 1 WHEN 'block' THEN -1 ELSE 0 END) AS more FROM ft GROUP BY 1), hs AS (SELECT host, greatest(more, 0) AS allowed, greatest(-more, 0) AS blocked FROM h0),
 lk AS (SELECT DISTINCT page_id, host AS src, unnest(regexp_extract_all(coalesce(html, ''), '(?i)\\bhref\\s*=\\s*["'']?\\s*(?:https?:)?//([^/?#"''\\s<>]+)', 1)) AS raw FROM pg),
 ed AS (SELECT src, dst, count(*) AS pages FROM (SELECT src, {LOWER.format('raw')} AS dst FROM lk) WHERE src <> '' AND src <> dst GROUP BY 1, 2), {', '.join(steps)},
-bo AS (SELECT host, sum(t) AS trust, sum(d) AS distrust FROM (SELECT host, rank AS t, 0.0 AS d FROM t_{last} UNION ALL SELECT host, 0.0, rank FROM d_{last}) GROUP BY 1)
+bo AS (SELECT host, sum(t) AS trust, sum(d) AS distrust FROM (SELECT host, rank AS t, 0.0 AS d FROM t_r UNION ALL SELECT host, 0.0, rank FROM d_r) GROUP BY 1)
 SELECT page_id, ft.host, path, rule, coalesce(verdict, CASE WHEN distrust > {url_filter.THRESHOLD} * (trust + distrust) THEN 'block' ELSE 'allow' END) AS verdict, round(CAST(trust AS DOUBLE), 9) AS trust, round(CAST(distrust AS DOUBLE), 9) AS distrust
 FROM ft LEFT JOIN bo ON ft.host = bo.host"""
 

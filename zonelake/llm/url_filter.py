@@ -5,7 +5,8 @@ starts with the rule's path; the longest rule wins. Urls without a rule get the
 personalised PageRank from the hosts of which the rules allow more pages than they block, along links; distrust is one
 from those of which they block more, against links, so it reaches those who link to blocked hosts. Seeds weigh as much as
 the number of pages by which one outweighs the other. A host is blocked if its share
-distrust / (trust + distrust) is over a threshold; hosts that neither reaches are allowed.
+distrust / (trust + distrust) is over a threshold; hosts that neither reaches are allowed. Ranks are spread until less
+than TOLERANCE of either is still on its way.
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits no rule and is allowed; null html
 has no links; repeated rows are judged one by one (their links count again); an empty table gives an empty table; extra
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 
 from zonelake.llm.common import materialise
 
-ITERATIONS, DAMPING, THRESHOLD = 12, 0.85, 0.5
+DAMPING, THRESHOLD, TOLERANCE = 0.85, 0.5, 1e-9
+#: Steps between two checks of what is left.
+STEPS = 4
 #: Hosts up to which their verdicts are broadcast; beyond, a join with skew handling takes over.
 BROADCAST_HOSTS = 100_000
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
@@ -55,36 +58,39 @@ def host_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
 
 
 def spread(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Personalised PageRank (host, rank) of weighted edges (src, dst, w) from seeds (host, rank)."""
-    outgoing = edges.groupBy("src").agg(F.sum("w").alias("total"))
-    shares = materialise(edges.join(outgoing, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")))
-    start = seeds.select("host", (F.col("rank") * (1 - DAMPING)).alias("rank"))
-    rank = seeds
-    for k in range(ITERATIONS):
-        moved = rank.join(shares, rank["host"] == shares["src"]).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * DAMPING).alias("rank"))
-        rank = start.union(moved).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if k % 4 == 3:
-            rank = materialise(rank)
-    return rank
+    """Personalised PageRank (side, host, rank) of weighted edges (side, src, dst, w) from seeds (side, host, rank).
+
+    Each step moves the mass that is left along the edges; it ends when under TOLERANCE is left on every side. The mass of
+    hosts without outgoing edges goes back to the seeds, which is the same as dividing by what was reached.
+    """
+    outgoing = edges.groupBy("side", "src").agg(F.sum("w").alias("total"))
+    shares = materialise(edges.join(outgoing, ["side", "src"]).select("side", F.col("src").alias("host"), "dst", (F.col("w") / F.col("total")).alias("share")))
+    state = seeds.select("side", "host", (F.col("rank") * (1 - DAMPING)).alias("rank"), F.col("rank").alias("left"))
+    left = 1.0
+    while left > TOLERANCE and not shares.isEmpty():
+        for _ in range(STEPS):
+            moved = state.where("left > 0").join(shares, ["side", "host"]).select("side", F.col("dst").alias("host"), (F.col("left") * F.col("share") * DAMPING).alias("left"))
+            both = state.select("side", "host", "rank", F.lit(0.0).alias("left")).union(moved.select("side", "host", F.col("left") * (1 - DAMPING), "left"))
+            state = both.groupBy("side", "host").agg(F.sum("rank").alias("rank"), F.sum("left").alias("left"))
+        state = materialise(state)
+        left = max((r[0] for r in state.groupBy("side").agg(F.sum("left")).select("sum(left)").collect()), default=0.0)
+    reached = {r["side"]: r["rank"] for r in state.groupBy("side").agg(F.sum("rank").alias("rank")).collect()}
+    whole = F.when(F.col("side") == "trust", F.lit(reached.get("trust", 1.0))).otherwise(F.lit(reached.get("distrust", 1.0)))
+    return state.select("side", "host", (F.col("rank") / whole).alias("rank"))
 
 
 def host_verdicts(edges: DataFrame, hosts: DataFrame) -> DataFrame:
     """(host, trust, distrust, blocked) of all hosts reached; hosts: (host, allowed, blocked) weights of seeds."""
+    totals = hosts.agg(F.sum("allowed").alias("trust"), F.sum("blocked").alias("distrust")).first()
 
-    totals = hosts.agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked")).first()
+    def seeds(side: str, name: str) -> DataFrame:
+        return hosts.where(F.col(name) > 0).select(F.lit(side).alias("side"), "host", (F.col(name) / F.lit(float(totals[side] or 1))).alias("rank"))
 
-    def seeds(name: str) -> DataFrame:
-        return hosts.where(F.col(name) > 0).select("host", (F.col(name) / F.lit(float(totals[name] or 1))).alias("rank"))
-
-    links = edges.select("src", "dst", F.col("pages").cast("double").alias("w"))
-    trusted, doubted = seeds("allowed"), seeds("blocked")
-    if links.isEmpty():
-        trusted, doubted = (x.withColumn("rank", F.col("rank") * (1 - DAMPING)) for x in (trusted, doubted))
-    else:
-        trusted = spread(links, trusted)
-        doubted = spread(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"), doubted)
-    parts = trusted.select("host", F.col("rank").alias("trust"), F.lit(0.0).alias("distrust")).union(doubted.select("host", F.lit(0.0), "rank"))
-    both = parts.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+    along = edges.select(F.lit("trust").alias("side"), "src", "dst", F.col("pages").cast("double").alias("w"))
+    against = along.select(F.lit("distrust"), F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+    ranks = spread(along.union(against), seeds("trust", "allowed").union(seeds("distrust", "blocked")))
+    of = lambda side: F.sum(F.when(F.col("side") == side, F.col("rank")).otherwise(0.0)).alias(side)
+    both = ranks.groupBy("host").agg(of("trust"), of("distrust"))
     return both.withColumn("host_blocked", F.col("distrust") > THRESHOLD * (F.col("trust") + F.col("distrust")))
 
 

@@ -7,8 +7,12 @@ table of pages, derive() adds derivatives and to_text() gives the records in fil
 Digests are SHA-1 in base 32, as is usual in WARC files; ids are name-based, from type, refers-to and digest, so a
 task that runs again gives the same records.
 
+read() goes through a file record by record and decompresses no more than it needs for one. Payloads are decoded from
+chunks, gzip and deflate before their text is taken; digests are of the payload as it was sent.
+
 Defined results: null html is an empty payload, null urls an empty target; a payload that isn't valid in its charset is
-decoded with replacement characters; repeated responses have equal derivatives; records of other types have none; an
+decoded with replacement characters, and as UTF-8 where there is no such charset; damaged files give what records can
+be told apart, and rows of the type ``skipped`` for the rest; repeated responses have equal derivatives; records of other types have none; an
 empty table gives an empty table; extra columns are ignored (from_pages keeps the key).
 """
 
@@ -19,6 +23,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,6 +39,9 @@ BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt
 TAG = re.compile(r"</?[A-Za-z][^>]*>|<![^>]*>")
 TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.DOTALL | re.IGNORECASE)
 LINK = re.compile(r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+CHUNK = re.compile(rb"([0-9A-Fa-f]{1,8})[^\r\n]*\r\n")
+#: Bytes that are decompressed at a time, and in which the headers of a record must end.
+PIECE, LONGEST_HEADER = 1 << 20, 1 << 20
 CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w-]+)", re.IGNORECASE)
 
 
@@ -84,11 +92,12 @@ def derivatives(key: int | None, record_id: str, uri: str, date: str, http: str
     if not found:
         head, payload = b"", block
     source = head.decode("latin-1")
-    charset = CHARSET.search(source) or CHARSET.search(payload[:1024].decode("latin-1"))
+    body = decoded_body(source, payload)
+    charset = CHARSET.search(source) or CHARSET.search(body[:1024].decode("latin-1"))
     try:
-        page = payload.decode(charset[1] if charset else "utf-8", "replace")
-    except LookupError:
-        page = payload.decode("utf-8", "replace")
+        page = body.decode(charset[1] if charset else "utf-8", "replace")
+    except (LookupError, ValueError):  # no such charset, or one that isn't for text
+        page = body.decode("utf-8", "replace")
     title = TITLE.search(page)
     links = [next(filter(None, m.groups()), "") for m in LINK.finditer(page)]
     fields = [("source-record", record_id), ("source-payload-digest", digest(payload))]
@@ -116,26 +125,122 @@ def derive(records: DataFrame) -> DataFrame:
     return records.where("warc_type = 'response'").select(*wanted).mapInArrow(run, RECORD)
 
 
-def records_in(data: bytes) -> Iterator[tuple]:
-    """Parses a WARC file, gzipped or not; bytes that don't begin a record end it."""
-    import gzip
+def unchunked(body: bytes) -> bytes:
+    """The data of a chunked body; what doesn't follow the format ends it, and a body that never does is left as it is."""
+    out, at = [], 0
+    while m := CHUNK.match(body, at):
+        size = int(m[1], 16)
+        out.append(body[m.end() : m.end() + size])
+        at = m.end() + size
+        at += 2 * (body[at : at + 2] == b"\r\n")
+        if not size:
+            break
+    return b"".join(out) if out else body
+
 
-    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+def inflated(data: bytes, wbits: int) -> bytes:
+    """As much as can be decompressed."""
+    made, out = zlib.decompressobj(wbits), []
+    try:
+        for at in range(0, len(data), PIECE):
+            out.append(made.decompress(data[at : at + PIECE]))
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
+def decoded_body(http: str, payload: bytes) -> bytes:
+    """The payload without transfer and content encodings; one of an unknown or wrong encoding stays as it is."""
+    fields = {k.strip().lower(): v.strip().lower() for k, _, v in (x.partition(":") for x in http.split("\r\n")[1:])}
+    if fields.get("transfer-encoding", "").endswith("chunked"):
+        payload = unchunked(payload)
+    for name in reversed([x.strip() for x in fields.get("content-encoding", "").split(",")]):
+        if name in ("gzip", "x-gzip"):
+            payload = inflated(payload, 31) or payload
+        elif name == "deflate":
+            payload = inflated(payload, 15) or inflated(payload, -15) or payload
+    return payload
+
+
+def file_pieces(data: bytes) -> Iterator[bytes]:
+    """A file piece by piece; gzip members one after the other, and damaged ones up to where they fail."""
+    if data[:2] != b"\x1f\x8b":
+        for at in range(0, len(data), PIECE):
+            yield data[at : at + PIECE]
+        return
     at = 0
-    while data.startswith(b"WARC/", at):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
+    while at >= 0:
+        made, begin = zlib.decompressobj(31), at
+        try:
+            while not made.eof and at < len(data):
+                piece = data[at : at + PIECE]
+                yield made.decompress(piece)
+                at += len(piece)
+            at -= len(made.unused_data)
+        except zlib.error:
+            at = begin + 2
+        at = data.find(b"\x1f\x8b\x08", at)
+
+
+class Held:
+    """Bytes of a file from a point on, of which as many are held as a record needs."""
+
+    def __init__(self, pieces: Iterator[bytes]) -> None:
+        self.pieces, self.data, self.ended = pieces, bytearray(), False
+
+    def more(self) -> bool:
+        piece = next(self.pieces, None)
+        self.ended = piece is None
+        self.data += piece or b""
+        return not self.ended
+
+    def has(self, size: int) -> bool:
+        while len(self.data) < size and self.more():
+            pass
+        return len(self.data) >= size
+
+    def find(self, what: bytes, start: int, most: int | None = None) -> int:
+        """Where something begins from start on, and before most if that is given; -1 if nowhere."""
+        while (at := self.data.find(what, start, most)) < 0:
+            start = max(start, len(self.data) - len(what) + 1)
+            if (most is not None and len(self.data) >= most) or not self.more():
+                return self.data.find(what, start, most)
+        return at
+
+
+def records_in(data: bytes) -> Iterator[tuple]:
+    """The records of a WARC file, gzipped or not.
+
+    A record with a wrong or missing length ends where the next one begins; the last may be cut short. Bytes that belong
+    to no record make one of the type ``skipped`` with their number as its length.
+    """
+    held = Held(file_pieces(data))
+    while held.has(1):
+        gap = 0
+        while held.has(gap + 1) and held.data[gap] in b"\r\n":
+            gap += 1
+        del held.data[:gap]
+        if not held.has(1):
             return
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
+        end = held.find(b"\r\n\r\n", 0, LONGEST_HEADER) if held.has(5) and held.data[:5] == b"WARC/" else -1
+        if end < 0:
+            at = held.find(b"\nWARC/", 0)
+            lost = at + 1 if at >= 0 else len(held.data)
+            yield (None, "skipped", None, None, None, None, None, None, None, lost, None, None, b"")
+            del held.data[:lost]
+            continue
+        lines = bytes(held.data[:end]).decode("utf-8", "replace").split("\r\n")
         h = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(h.get("content-length", "0"))
-        block = data[end + 4 : end + 4 + size]
+        begin, stated = end + 4, h.get("content-length", "")
+        stop = begin + int(stated) if re.fullmatch(r"[0-9]{1,15}", stated) else -1
+        if stop < 0 or not held.has(stop) or (held.has(stop + 5) and not held.data[stop : stop + 5].startswith((b"\r\n\r\n", b"WARC/"))):
+            at = held.find(b"\r\n\r\nWARC/", begin)
+            stop = at if at >= 0 else stop if 0 <= stop <= len(held.data) else len(held.data)
+        block = bytes(held.data[begin:stop])
         kind = h.get("warc-type")
         http = block.partition(b"\r\n\r\n")[0].decode("latin-1") + "\r\n\r\n" if kind == "response" else None
-        yield (None, kind, h.get("warc-record-id"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-date"), h.get("content-type"), h.get("warc-block-digest"), h.get("warc-payload-digest"), size, "\r\n".join(lines) + "\r\n", http, block)
-        at = end + 4 + size
-        while data[at : at + 2] == b"\r\n":
-            at += 2
+        yield (None, kind, h.get("warc-record-id"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-date"), h.get("content-type"), h.get("warc-block-digest"), h.get("warc-payload-digest"), len(block), "\r\n".join(lines) + "\r\n", http, block)
+        del held.data[:stop]
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
