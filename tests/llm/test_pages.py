@@ -139,23 +139,77 @@ def test_space_between_tags():
     assert html_wrapper.main_text(page("<p><b>foo</b> <i>bar</i>\n<a>x</a><a>y</a></p> <p>z</p>"), None) == "foo bar xy\nz"
 
 
-def test_slow_match_keeps_text(monkeypatch):
-    class Slow:
-        def fullmatch(self, *args, **more):
-            raise TimeoutError
+def test_main_part_without_article(spark):
+    """What the host repeats is left out and what varies stays, whatever its elements are called."""
+    rng = random.Random(9)
+    made, want = [], []
+    for k in range(40):
+        parts = [prose(rng, rng.randint(4, 12)) for _ in range(rng.randint(1, 5))]
+        body = "".join(f"<p>{x}</p>" for x in parts)
+        made.append(("http://one.net/", f"<html><body><div><p>Welcome to our site, which we hope you like very much indeed, dear reader.</p></div><div class='t{k}'><h1>{k}</h1>{body}</div><div><p>All rights reserved by the owner of this site, since the year of its foundation.</p></div></body></html>"))
+        want.append("\n".join([str(k), *parts]))
+    got = {r.page_id: r.text for r in html_wrapper.extract(pages(spark, made)).collect()}
+    assert sum(got[k] == want[k] for k in range(40)) >= 38
+    for name in ("div", "section", "main"):
+        renamed = [(f"http://h{i % 3}.net/{i}", page(f"<h1>t {i}</h1>" + "".join(f"<p>{prose(rng, 9)}</p>" for _ in range(i % 4 + 1)))) for i in range(24)]
+        plain = {r.page_id: r.text for r in html_wrapper.extract(pages(spark, renamed)).collect()}
+        other = [(u, h.replace("<article", f"<{name}").replace("</article", f"</{name}")) for u, h in renamed]
+        assert {r.page_id: r.text for r in html_wrapper.extract(pages(spark, other)).collect()} == plain
+
+
+def test_odd_markup():
+    text = lambda h: html_wrapper.main_text(h, None)
+    assert text("<article><p class=x'>b</p><p title=\"a>b\">c</p></article>") == "b\nc"
+    assert text("<article><header><h1>T</h1></header><p>b</p></article><header>Site</header>") == "T\nb"
+    assert text("<div>" * 300 + "x" + "</div>" * 300) == "x"
+    assert text("<p>" + "a <b" * 50) == text("<p>a &lt;b" + "a &lt;b" * 49)
+
+
+def matches(wrapper, tokens):
+    """Brute force: whether a wrapper matches, by trying all splits."""
+    if not wrapper:
+        return not tokens
+    head, rest = wrapper[0], wrapper[1:]
+    if not isinstance(head, list):
+        return bool(tokens) and tokens[0] == head and matches(rest, tokens[1:])
+    if head[0] == "?":
+        return matches(head[1:] + rest, tokens) or matches(rest, tokens)
+    return any(matches(head[1:], tokens[:k]) and (matches(rest, tokens[k:]) or matches([head, *rest], tokens[k:])) for k in range(1, len(tokens) + 1))
+
+
+def test_alignment_and_automaton():
+    rng = random.Random(1)
+
+    def stream():
+        return [t for _ in range(rng.randint(0, 4)) for t in rng.choice((["<p", "#", ">p"], ["<b", ">b"], ["#"], ["<p", "<b", "#", ">b", ">p"]))]
+
+    agreed = 0
+    for _ in range(150):
+        a, b, c = stream(), stream(), stream()
+        wrapper = html_wrapper.aligned(html_wrapper.folded(a), html_wrapper.folded(b))
+        made = html_wrapper.Matcher(wrapper, -1)
+        for tokens in (a, b, c):
+            way = made.match([(t, "") for t in tokens])
+            assert (way is not None) == matches(wrapper, tokens)
+            assert way is None or [made.tokens[k] for k in way] == tokens
+            agreed += way is not None
+        assert matches(wrapper, a) and matches(wrapper, b)
+    assert agreed < 450
+
 
-    made = html_wrapper.Matcher(html_wrapper.stream_wrapper(page("<p>a</p>")))
-    made.pattern = Slow()
-    monkeypatch.setattr(html_wrapper, "matcher", lambda wrapper: made)
-    assert html_wrapper.main_text(page("<p>a</p>"), "[]") == "a"
+def test_alignment_of_very_long_pages(monkeypatch):
+    monkeypatch.setattr(html_wrapper, "CELLS", 10)
+    a, b = (["<x", *(t for k in ks for t in (f"<t{k}", f">t{k}")), ">x"] for ks in (range(8), range(4, 16)))
+    made = html_wrapper.Matcher(html_wrapper.aligned(a, b), -1)
+    assert all(made.match([(t, "") for t in x]) for x in (a, b))
 
 
 def test_wrappers_match_all_pages(spark):
     rng = random.Random(3)
     made = [page("".join(f"<h2>{prose(rng, 3)}</h2>" * rng.randint(0, 1) + f"<p>{prose(rng, 5)}</p>" * rng.randint(0, 4) for _ in range(rng.randint(1, 3))), rng.randint(0, 4), "<div class='x'><p>e</p></div>" * rng.randint(0, 1)) for _ in range(60)]
-    found = html_wrapper.infer(pages(spark, [("http://one.net/", h) for h in made])).collect()
+    found = html_wrapper.infer(spark.createDataFrame([("one.net", h) for h in made], "host string, html string"))[0].collect()
     assert len(found) == 1
-    matcher = html_wrapper.matcher(found[0].wrapper)
+    matcher = html_wrapper.matcher(found[0].wrapper, found[0].main)
     assert all(matcher.blocks(list(html_wrapper.tokens(h))) is not None for h in made)
     assert '["+"' in found[0].wrapper and '["?"' in found[0].wrapper
 
