@@ -114,6 +114,21 @@ def test_bpe_long_pretokens(bpes):
         assert bpes[1].encode(text) == bpes[0].plain.encode_ordinary(text)
 
 
+def test_bpe_text_without_spaces(bpes):
+    """One run of letters between words: a few times the work of a text with spaces, not one per level."""
+    import time
+
+    rng = random.Random(8)
+    run = "".join(rng.choice("日本語の文章を書くとき句読点") for _ in range(80_000))
+    began = time.process_time()
+    ids = bpes[0].encode(f"two words {run} and more")
+    assert time.process_time() - began < 3
+    assert bpes[0].decode(ids).decode() == f"two words {run} and more"
+    for text in (run[:9000], f"a b {run[:5000]} c {run[:3000]}!"):
+        assert bpes[0].encode(text) == bpes[0].plain.encode_ordinary(text)
+    assert bpes[1].encode(run[:3000]) == bpes[0].plain.encode_ordinary(run[:3000])
+
+
 def test_bpe_tables(odd, empty, bpes):
     out = byte_bpe.encode(odd, PATH, PATTERN)
     got = {r.doc_id: r for r in out.collect()}

@@ -4,7 +4,8 @@ A text is halved until a part has at most LEAF characters; leaves are encoded, t
 a window around the seam anew. White space after another character is a place where a pre-token always starts, as none
 of the pattern's alternatives takes a white space after something else, and where what lies before isn't looked past.
 So the window grows on either side of the seam until it meets such a place (or the end of its part); tokens outside
-are then those of the whole for certain. What has no such place for long is matched in one go, and a single pre-token
+are then those of the whole for certain. A stretch without such a place that is too long for a window is left in one piece: the
+text is cut at its ends instead, where nothing needs a window. It is matched in one go, and a single pre-token
 of more than LEAF bytes is halved in turn: two token sequences join as they are exactly if encoding the bytes of the two
 tokens at the seam gives these two again (a sequence is an encoding if and only if this holds for all neighbours);
 else a window of tokens around the seam is encoded, and grows until both of its outer pairs hold. Decoding maps ids to
@@ -71,8 +72,8 @@ class ByteBPE:
             reach *= 2
 
     def pretoken(self, data: bytes) -> list[int]:
-        if len(data) <= 24:
-            return self.merged(data)
+        if len(data) <= self.leaf:
+            return self.plain._encode_single_piece(data)
         half = len(data) // 2
         return self.join_tokens(self.pretoken(data[:half]), self.pretoken(data[half:]))
 
@@ -88,13 +89,8 @@ class ByteBPE:
             ids += self.plain.encode_ordinary(m[0]) if len(data) <= self.leaf else self.pretoken(data)
         return ids
 
-    def join(self, text: str, a: int, seam: int, b: int, left: list[int], right: list[int]) -> list[int]:
-        """left encodes text[a:seam], right text[seam:b]; the encoding of text[a:b]."""
-        p, q = seam - 1, seam + 1
-        while p > a and not (text[p] in SPACES and not text[p - 1].isspace()):
-            p -= 1
-        while q < b and not (text[q] in SPACES and not text[q - 1].isspace()):
-            q += 1
+    def join(self, text: str, p: int, seam: int, q: int, left: list[int], right: list[int]) -> list[int]:
+        """left encodes what ends at the seam, right what begins there; text[p:q] is the window that is encoded anew."""
         gone, i = len(text[p:seam].encode()), len(left)
         while gone > 0:
             i -= 1
@@ -111,7 +107,17 @@ class ByteBPE:
         if b - a <= self.leaf:
             return self.plain.encode_ordinary(text[a:b])
         seam = (a + b) // 2
-        return self.join(text, a, seam, b, self.encode(text, a, seam), self.encode(text, seam, b))
+        p, q = seam - 1, seam + 1
+        while p > a and not (text[p] in SPACES and not text[p - 1].isspace()):
+            p -= 1
+        while q < b and not (text[q] in SPACES and not text[q - 1].isspace()):
+            q += 1
+        if q - p <= 2 * self.leaf:
+            return self.join(text, p, seam, q, self.encode(text, a, seam), self.encode(text, seam, b))
+        if p == a and q == b:
+            return self.run(text[a:b])
+        cut = p if p > a and (q == b or seam - p <= q - seam) else q
+        return self.encode(text, a, cut) + self.encode(text, cut, b)
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= self.leaf:
