@@ -81,7 +81,8 @@ class Person:
 
 class Registry:
     """One site's identities in arrival order: sticky bindings, then reachability, then similarity with a margin, then
-    consolidation of twins, else a new identity. Its state is bounded by GALLERY people with BANK vectors each."""
+    consolidation of twins, else a new identity. Its state is bounded by GALLERY people with BANK vectors each, besides those with a
+    live track; tracks end by release() and release_camera()."""
 
     def __init__(self, topology: dict[tuple[str, str], tuple[str, int, int]], salt: str, threshold: float = THRESHOLD, margin: float = MARGIN, unknown_ok: bool = True) -> None:
         self.topology, self.salt, self.threshold, self.margin, self.unknown_ok = topology, salt, threshold, margin, unknown_ok
@@ -89,6 +90,7 @@ class Registry:
         self.bound: dict[tuple[str, int], str] = {}
         self.apart: set[frozenset] = set()
         self.made = 0
+        self.on_camera: dict[str, set[int]] = {}
 
     def feasible(self, a: str, b: str, dt: int) -> bool:
         if a == b:
@@ -111,14 +113,22 @@ class Registry:
         self.keep(person, vectors)
         person.last_camera, person.last_us = key[0], now
         person.active.add(key)
-        for other_key, ref in self.bound.items():
-            if other_key[0] == key[0] and ref != person.ref:
-                self.apart.add(frozenset((ref, person.ref)))
+        tracks = self.on_camera.setdefault(key[0], set())
+        for ref in {self.bound[key[0], t] for t in tracks} - {person.ref}:
+            self.apart.add(frozenset((ref, person.ref)))
+        tracks.add(key[1])
         self.bound[key] = person.ref
 
     def forget(self, ref: str) -> None:
-        self.people.pop(ref, None)
-        self.bound = {k: r for k, r in self.bound.items() if r != ref}
+        """Drops a person with all that refers to them."""
+        person = self.people.pop(ref, None)
+        for key in person.active if person else ():
+            self.unbind(key)
+        self.apart = {pair for pair in self.apart if ref not in pair}
+
+    def unbind(self, key: tuple[str, int]) -> str:
+        self.on_camera.get(key[0], set()).discard(key[1])
+        return self.bound.pop(key, "")
 
     def merge(self, keep: Person, drop: Person) -> None:
         self.keep(keep, drop.bank)
@@ -131,9 +141,15 @@ class Registry:
         self.people.pop(drop.ref)
 
     def release(self, key: tuple[str, int]) -> None:
-        if person := self.people.get(self.bound.pop(key, "")):
+        """The end of a track: its person stays for TTL_US."""
+        if person := self.people.get(self.unbind(key)):
             person.active.discard(key)
 
+    def release_camera(self, camera: str) -> None:
+        """The end of all tracks of a camera that went offline."""
+        for track in list(self.on_camera.get(camera, ())):
+            self.release((camera, track))
+
     def resolve(self, camera: str, track: int, vectors: list, now: int) -> tuple[str, bool, float, float, str]:
         """(ref, matched, score, runner-up, reason)."""
         key = (camera, track)
@@ -174,19 +190,42 @@ class Registry:
 RESOLVED = "site_id string, camera_id string, track_id long, ts_us long, global_ref string, matched boolean, score double, runner_up double, reason string"
 
 
-def resolve(observations: DataFrame, topology: list[tuple[str, str, str, int, int]], salt: str, **options) -> DataFrame:
+def resolve(observations: DataFrame, topology: list[tuple[str, str, str, int, int]], salt: str, ends: DataFrame | None = None, **options) -> DataFrame:
     """Runs the registry over (site_id, camera_id, track_id, ts_us, seq, vectors): in order within a site, as each decision
-    depends on those before it, and in parallel across sites."""
+    depends on those before it, and in parallel across sites.
+
+    ``ends`` (site_id, camera_id, track_id, ts_us, seq) are ends of tracks, of all tracks of a camera where track_id is null;
+    they release people, who are then forgotten after TTL_US or where there are more than GALLERY.
+    """
     known = {(min(a, b), max(a, b)): (kind, lo, hi) for a, b, kind, lo, hi in topology}
 
     def step(registry: Registry, row: dict) -> list[tuple]:
+        if row["vectors"] is None:
+            if row["track_id"] is None:
+                registry.release_camera(row["camera_id"])
+            else:
+                registry.release((row["camera_id"], row["track_id"]))
+            return []
         found = registry.resolve(row["camera_id"], row["track_id"], list(row["vectors"]), row["ts_us"])
         return [(row["site_id"], row["camera_id"], row["track_id"], row["ts_us"], *found)]
 
-    rows = observations.select("site_id", "camera_id", "track_id", "ts_us", "seq", "vectors")
+    rows = observations.select("site_id", "camera_id", "track_id", "ts_us", "seq", "vectors").where("vectors is not null")
+    if ends is not None:
+        rows = rows.unionByName(ends.select("site_id", "camera_id", "track_id", "ts_us", "seq"), allowMissingColumns=True)
     return ordered(rows, ["site_id"], lambda: Registry(known, salt, **options), step, RESOLVED)
 
 
+def occupancy(resolved: DataFrame, ends: DataFrame, at_us: int, by: tuple[str, ...] = ("site_id",)) -> DataFrame:
+    """Distinct people with a live track at an instant, by site or by site and camera: tracks that began and didn't end."""
+    track = ["site_id", "camera_id", "track_id"]
+    begun = resolved.where(F.col("ts_us") <= at_us).groupBy(*track).agg(F.max_by("global_ref", "ts_us").alias("global_ref"), F.max("ts_us").alias("__seen"))
+    over = ends.where(F.col("ts_us") <= at_us)
+    own = over.where("track_id is not null").groupBy(*track).agg(F.max("ts_us").alias("__end"))
+    cameras = over.where("track_id is null").groupBy("site_id", "camera_id").agg(F.max("ts_us").alias("__down"))
+    live = begun.join(own, track, "left").join(cameras, ["site_id", "camera_id"], "left").where(F.col("__seen") > F.coalesce(F.greatest("__end", "__down"), F.lit(-(2**62))))
+    return live.groupBy(*by).agg(F.count_distinct("global_ref").alias("people"), F.count("*").alias("tracks"))
+
+
 def counts(resolved: DataFrame) -> DataFrame:
     """Per site: distinct people, the sum of distinct people by camera, and people seen by more than one camera.
 

@@ -28,6 +28,31 @@ def hold_forward(rows: DataFrame, keys: list[str], ts: str = "ts_us", seq: str =
     return held.withColumn(into, F.coalesce("__inside", "__next")).drop("__chunk", "__inside", "__next")
 
 
+def runs(rows: DataFrame, keys: list[str], value: Column, into: str = "run", ts: str = "ts_us", seq: str = "seq", chunk_us: int = DAY) -> DataFrame:
+    """Adds the place (ts, seq) at which the run of equal values that a row belongs to began.
+
+    Like hold_forward(), it works within chunks of time; from chunk to chunk go its last value and the start of its last run.
+    """
+    chunked = rows.withColumn("__chunk", F.floor(F.col(ts) / chunk_us)).withColumn("__value", F.struct(value.alias("value")))
+    inside = Window.partitionBy(*keys, "__chunk").orderBy(ts, seq)
+    chunks = Window.partitionBy(*keys).orderBy("__chunk")
+    ends = chunked.groupBy(*keys, "__chunk").agg(F.max_by("__value", F.struct(ts, seq)).alias("__end"))
+    ends = ends.withColumn("__carried", F.lag("__end").over(chunks)).drop("__end")
+    before = F.coalesce(F.lag("__value").over(inside), F.col("__carried"))
+    place = F.struct(F.col(ts).alias("ts_us"), F.col(seq).alias("seq"))
+    marked = chunked.join(ends, [*keys, "__chunk"]).withColumn("__start", F.when(before.isNull() | ~before.eqNullSafe(F.col("__value")), place))
+    starts = marked.groupBy(*keys, "__chunk").agg(F.max("__start").alias("__latest"))
+    starts = starts.withColumn("__earlier", F.max("__latest").over(chunks.rowsBetween(Window.unboundedPreceding, -1))).drop("__latest")
+    here = F.last("__start", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    found = marked.withColumn("__here", here).join(starts, [*keys, "__chunk"])
+    return found.withColumn(into, F.coalesce("__here", "__earlier")).drop("__chunk", "__value", "__carried", "__start", "__here", "__earlier")
+
+
+def starts(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """The rows at which a value differs from that of the row before, and the first of each key."""
+    return runs(rows, keys, value, "__run").where((F.col("__run.ts_us") == F.col("ts_us")) & (F.col("__run.seq") == F.col("seq"))).drop("__run")
+
+
 def clip(rows: DataFrame, t0: int, t1: int) -> DataFrame:
     clipped = rows.withColumn("a_us", F.greatest("a_us", F.lit(t0))).withColumn("b_us", F.least("b_us", F.lit(t1)))
     return clipped.where("b_us > a_us")
@@ -66,6 +91,18 @@ def subtract(rows: DataFrame, blind: DataFrame, keys: list[str], bin_us: int = D
     return both.withColumn("__in", inside).select(*others, F.explode(pieces).alias("__p")).select(*others, F.col("__p.a").alias("a_us"), F.col("__p.b").alias("b_us"))
 
 
+def observed(rows: DataFrame, blind: DataFrame, keys: list[str], bin_us: int = DAY) -> DataFrame:
+    """One row for each bin that a row's interval meets, one at least: ``seen_us`` is its time there outside merged blind
+    intervals of the key, and ``once`` is true for one of a row's bins."""
+    first, last = F.floor(F.col("a_us") / bin_us), F.floor(F.greatest("a_us", F.col("b_us") - 1) / bin_us)
+    cut = rows.withColumn("__bin", F.explode(F.sequence(first, last))).withColumn("once", F.col("__bin") == first)
+    holes = binned(blind.select(*keys, "a_us", "b_us"), bin_us).groupBy(*keys, "__bin").agg(F.collect_list(F.struct("a_us", "b_us")).alias("__holes"))
+    both = cut.join(holes, [*keys, "__bin"], "left").withColumn("__a", F.greatest("a_us", F.col("__bin") * bin_us)).withColumn("__b", F.least("b_us", (F.col("__bin") + 1) * bin_us))
+    inside = lambda h: F.greatest(F.least(h["b_us"], F.col("__b")) - F.greatest(h["a_us"], F.col("__a")), F.lit(0))
+    lost = F.coalesce(F.aggregate("__holes", F.lit(0).cast("long"), lambda sum_, h: sum_ + inside(h)), F.lit(0))
+    return both.withColumn("seen_us", F.greatest(F.col("__b") - F.col("__a"), F.lit(0)) - lost).drop("__bin", "__holes", "__a", "__b")
+
+
 def overlap_us(rows: DataFrame, blind: DataFrame, keys: list[str], ids: list[str], bin_us: int = DAY) -> DataFrame:
     """(ids, overlap_us): time of each row's interval inside merged blind intervals."""
     left = binned(rows.where("b_us > a_us").select(*dict.fromkeys([*keys, *ids]), "a_us", "b_us"), bin_us)

@@ -57,16 +57,15 @@ def time_weighted(readings: DataFrame, outages: DataFrame, t0: int, t1: int, fie
     Peak and minimum count every reading, also those of no observed time. Without max_hold_us the whole window but for
     outages counts as observable.
     """
-    rows = segments(readings, t0, t1)
-    extremes = rows.groupBy(*KEY).agg(F.count("*").alias("samples"), *[g(f).alias(f"{n}_{f}") for f in fields for n, g in (("peak", F.max), ("min", F.min))])
-    length = F.col("b_us") - F.col("a_us")
-    weigh = lambda f: (F.sum(F.col(f) * length) / F.sum(F.when(F.col(f).isNotNull(), length))).alias(f"mean_{f}")
-    weights = pieces(readings, outages, t0, t1, max_hold_us).groupBy(*KEY).agg(F.sum(length).alias("__seen"), *[weigh(f) for f in fields])
-    out = extremes.join(weights, KEY, "left")
+    rows = iv.observed(trusted(segments(readings, t0, t1), max_hold_us), iv.merge(outages, ["camera_id"]), ["camera_id"])
+    length, once = F.col("seen_us"), F.col("once")
+    weigh = lambda f: F.sum(F.col(f) * length) / F.sum(F.when(F.col(f).isNotNull() & (length > 0), length))
+    figures = [x for f in fields for x in (weigh(f).alias(f"mean_{f}"), F.max(f).alias(f"peak_{f}"), F.min(f).alias(f"min_{f}"))]
+    out = rows.groupBy(*KEY).agg(F.count_if(once).alias("samples"), F.sum(length).alias("__seen"), *figures)
     if max_hold_us:
-        seen = F.coalesce("__seen", F.lit(0))
+        seen = F.col("__seen")
     else:
-        blind = iv.merge(iv.clip(outages, t0, t1), ["camera_id"]).groupBy("camera_id").agg(F.sum(length).alias("__blind"))
+        blind = iv.merge(iv.clip(outages, t0, t1), ["camera_id"]).groupBy("camera_id").agg(F.sum(F.col("b_us") - F.col("a_us")).alias("__blind"))
         out = out.join(blind, "camera_id", "left")
         seen = F.lit(t1 - t0) - F.coalesce("__blind", F.lit(0))
     out = out.withColumn("observed_us", seen).withColumn("coverage", F.round(F.col("observed_us") / F.lit(float(t1 - t0)), 4))
@@ -109,12 +108,14 @@ def bucket_series(readings: DataFrame, outages: DataFrame, t0: int, t1: int, ste
 
 
 def state_at(readings: DataFrame, at: list[int], max_hold_us: int | None) -> DataFrame:
-    """Per key and instant the reading in force, its age, and whether it is older than max_hold_us; instants that no
-    reading describes have no row. Instants are few, so each row meets only those that it describes."""
-    held = iv.hold_forward(readings, KEY)
-    within = lambda t: (t >= F.col("ts_us")) & (F.col("next_us").isNull() | (t < F.col("next_us")))
+    """Per key and instant the reading in force, its age, and whether it is older than max_hold_us; instants before
+    the first reading have no row. Instants are few; the last reading before each is aggregated ahead of the shuffle."""
+    others = [c for c in readings.columns if c not in KEY]
     times = F.array(*[F.lit(t).cast("long") for t in at])
-    found = held.withColumn("at_us", F.explode(F.filter(times, within))).drop("next_us").withColumn("age_us", F.col("at_us") - F.col("ts_us"))
+    known = readings.where(F.col("ts_us") <= max(at)).withColumn("at_us", F.explode(F.filter(times, lambda t: t >= F.col("ts_us"))))
+    found = known.groupBy(*KEY, "at_us").agg(F.max_by(F.struct(*others), F.struct("ts_us", "seq")).alias("__row"))
+    found = found.select(*[(F.col("__row")[c].alias(c) if c in others else F.col(c)) for c in readings.columns], "at_us")
+    found = found.withColumn("age_us", F.col("at_us") - F.col("ts_us"))
     return found.withColumn("stale", F.col("age_us") > max_hold_us if max_hold_us else F.lit(False))
 
 
@@ -128,9 +129,8 @@ def duration_where(readings: DataFrame, outages: DataFrame, t0: int, t1: int, co
     found = episodes(readings, outages, t0, t1, condition, max_hold_us)
     length = F.col("b_us") - F.col("a_us")
     sums = found.groupBy(*KEY).agg(F.sum(length).alias("total_us"), F.count("*").alias("episode_count"), F.max(length).alias("longest_us"))
-    seen = pieces(readings, outages, t0, t1, max_hold_us).groupBy(*KEY).agg(F.sum(length).alias("__seen"))
-    keys = window_rows(readings, t0, t1).select(*KEY).distinct()
-    out = keys.join(seen, KEY, "left").join(sums, KEY, "left")
+    seen = iv.observed(trusted(segments(readings, t0, t1), max_hold_us), iv.merge(outages, ["camera_id"]), ["camera_id"])
+    out = seen.groupBy(*KEY).agg(F.sum("seen_us").alias("__seen")).join(sums, KEY, "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     unseen = F.lit(t1 - t0) - zero("__seen")
     return out.select(*KEY, zero("total_us").alias("total_us"), zero("episode_count").alias("episode_count"), zero("longest_us").alias("longest_us"), unseen.alias("unobserved_us"), F.round((F.lit(t1 - t0) - unseen) / F.lit(float(t1 - t0)), 4).alias("coverage"))
