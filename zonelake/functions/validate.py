@@ -68,7 +68,7 @@ def event_errors(payload: Column) -> Column:
 
 def zone_state_errors() -> Column:
     """Errors of typed zone readings."""
-    present = [F.when(F.col(c).isNull(), F.lit(f"{c}: missing")) for c in ("zone_id", "camera_id", "ts_us", "occupancy", "density", "capacity_pct", "status")]
+    present = [F.when(F.col(c).isNull(), F.lit(f"{c}: missing")) for c in ("zone_id", "camera_id", "zone_name", "zone_type", "restricted", "ts_us", "occupancy", "density", "capacity_pct", "status")]
     ranges = [F.when(F.col(c) < 0, F.lit(f"{c}: negative")) for c in ("occupancy", "density", "capacity_pct")]
     status = F.when(~F.col("status").isin("NORMAL", "WARNING", "CRITICAL"), F.lit("status: unknown"))
     return F.filter(F.array(*present, *ranges, status), lambda x: x.isNotNull())
@@ -94,6 +94,25 @@ def bank_errors(bank: Column) -> Column:
     return F.filter(F.array(*checks), lambda x: x.isNotNull())
 
 
+#: What a tuning payload may set, the range in words.
+TUNING = {"threshold": "a number in (0, 1]", "margin": "a number >= 0", "ttl_seconds": "a number > 0"}
+
+
+def tuning_errors(payload: Column) -> Column:
+    """Errors of a JSON object of matching parameters; it counts as a whole or not at all. Absent ones aren't checked."""
+    object_ = F.try_parse_json(payload)
+    checks = []
+    for name, words in TUNING.items():
+        given = F.get_json_object(payload, f"$.{name}")
+        number = given.try_cast("double")
+        ok = (number > 0) & (number <= 1) if name == "threshold" else number >= 0 if name == "margin" else number > 0
+        finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))
+        there = F.schema_of_variant(object_).startswith("OBJECT") & F.map_contains_key(F.from_json(payload, "map<string,string>"), name)
+        checks.append(F.when(there & ~F.coalesce(finite & ok, F.lit(False)), F.lit(f"{name} must be {words} and finite")))
+    whole = F.when(object_.isNull() | ~F.schema_of_variant(object_).startswith("OBJECT"), F.array(F.lit("payload must be an object")))
+    return F.coalesce(whole, F.filter(F.array(*checks), lambda x: x.isNotNull()))
+
+
 def quarantine(rows: DataFrame, errors: Column) -> tuple[DataFrame, DataFrame]:
     """Valid rows, and the others with their errors."""
     checked = rows.withColumn("errors", errors)

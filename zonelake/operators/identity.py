@@ -61,9 +61,16 @@ def gallery_means(views: DataFrame, key: str, vector: str) -> DataFrame:
 
 def best_match(tracks: DataFrame, gallery: DataFrame, track: str, vector: str, key: str) -> DataFrame:
     """For each track the best key of the gallery and the runner-up's score; matched if the best is at or over the
-    threshold and leads by the margin. The gallery has at most GALLERY rows by contract and travels as one array."""
-    listed = gallery.orderBy(key).limit(GALLERY).agg(F.collect_list(F.struct(F.col(key).alias("k"), "mean")).alias("__gallery"))
-    scored = tracks.join(F.broadcast(listed)).withColumn("__scores", F.sort_array(F.transform("__gallery", lambda g: F.struct(cosine(F.col(vector), g["mean"]).alias("s"), (-g["k"]).alias("k"))), asc=False))
+    threshold and leads by the margin. The gallery is cut into blocks of about GALLERY keys; each gives a track its two best, of
+    which the two best of all follow. One block is broadcast, more are dealt by their number."""
+    blocks = max(1, -(-gallery.count() // GALLERY))
+    number = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    listed = gallery.groupBy(number.alias("__block")).agg(F.collect_list(F.struct(F.col(key).alias("k"), "mean")).alias("__gallery"))
+    each = tracks.select(track, vector, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"))
+    each = each.join(F.broadcast(listed) if blocks == 1 else listed, "__block", "left")
+    rank = lambda scores: F.slice(F.sort_array(scores, asc=False), 1, 2)
+    top = rank(F.transform("__gallery", lambda g: F.struct(cosine(F.col(vector), g["mean"]).alias("s"), (-g["k"]).alias("k"))))
+    scored = each.select(track, top.alias("__top")).groupBy(track).agg(rank(F.flatten(F.collect_list("__top"))).alias("__scores"))
     best, second = F.get("__scores", F.lit(0)), F.coalesce(F.get("__scores", F.lit(1))["s"], F.lit(0.0))
     score = F.greatest(best["s"], F.lit(0.0))
     out = scored.select(track, (-best["k"]).alias("best"), score.alias("score"), F.greatest(second, F.lit(0.0)).alias("runner_up"))

@@ -28,6 +28,15 @@ def hold_forward(rows: DataFrame, keys: list[str], ts: str = "ts_us", seq: str =
     return held.withColumn(into, F.coalesce("__inside", "__next")).drop("__chunk", "__inside", "__next")
 
 
+def previous(rows: DataFrame, keys: list[str], column: str, into: str, ts: str = "ts_us", seq: str = "seq", chunk_us: int = DAY) -> DataFrame:
+    """Adds a column's value in the row before of the key, null for the first; within chunks as hold_forward()."""
+    chunked = rows.withColumn("__chunk", F.floor(F.col(ts) / chunk_us))
+    inside = F.lag(F.struct(F.col(column).alias("v"))).over(Window.partitionBy(*keys, "__chunk").orderBy(ts, seq))
+    ends = chunked.groupBy(*keys, "__chunk").agg(F.max_by(F.struct(F.col(column).alias("v")), F.struct(ts, seq)).alias("__end"))
+    ends = ends.withColumn("__carried", F.lag("__end").over(Window.partitionBy(*keys).orderBy("__chunk"))).drop("__end")
+    return chunked.withColumn("__inside", inside).join(ends, [*keys, "__chunk"]).withColumn(into, F.coalesce("__inside", "__carried")["v"]).drop("__chunk", "__inside", "__carried")
+
+
 def runs(rows: DataFrame, keys: list[str], value: Column, into: str = "run", ts: str = "ts_us", seq: str = "seq", chunk_us: int = DAY) -> DataFrame:
     """Adds the place (ts, seq) at which the run of equal values that a row belongs to began.
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from zonelake.operators import intervals as iv
 from zonelake.operators.series import KEY, latest
 
 
@@ -45,6 +46,46 @@ def retain(rows: DataFrame, cutoff_us: int) -> DataFrame:
     return rows.where(F.col("ts_us") >= cutoff_us)
 
 
+def retain_days(spark: SparkSession, path: str, cutoff_us: int) -> list[str]:
+    """Retention of a table that write_by_day() made: whole days before the cutoff's go, by partition. Gives these days.
+
+    Alerts aren't kept by day and so are spared; they go by delete_alerts().
+    """
+    cutoff = spark.sql(f"SELECT date_format(timestamp_micros({int(cutoff_us)}), 'yyyy-MM-dd')").first()[0]
+    days = sorted(str(r[0]) for r in spark.read.parquet(path).select("dt").distinct().collect())
+    gone = [day for day in days if day < cutoff]
+    for day in gone:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/dt={day}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return gone
+
+
+def delete_alerts(alerts: DataFrame, scope: str = "closed") -> tuple[DataFrame, DataFrame]:
+    """Alerts that stay when closed ones (or ``all``) go, and the frames (frame) of those that went, which go with them."""
+    if scope not in ("closed", "all"):
+        raise ValueError(f"scope is closed or all, not {scope}")
+    gone = F.lit(True) if scope == "all" else F.coalesce(F.col("status").isin("RESOLVED", "DISMISSED"), F.lit(False))
+    return alerts.where(~gone), alerts.where(gone & F.col("frame").isNotNull()).select("frame")
+
+
+def merge_cursors(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Cursors (name, ts_us): those in new replace those of the same name, whether they lie before or after."""
+    return replace_set(old, new, "name")
+
+
+def page(rows: DataFrame, n: int, offset: int = 0, order: tuple[str, ...] = ("ts_us", "seq")) -> DataFrame:
+    """A page of the newest rows, with ``has_more`` if others follow."""
+    taken = newest(rows, n + 1, offset, order)
+    place = Window.orderBy(*[F.desc(c) for c in order])  # over one row more than a page
+    return taken.withColumn("__place", F.row_number().over(place)).withColumn("has_more", F.count("*").over(Window.partitionBy()) > n).where(F.col("__place") <= n).drop("__place")
+
+
+def changes(states: DataFrame, field: str = "occupancy", keys: list[str] = KEY) -> DataFrame:
+    """Readings at which a field differs from the one before, with that one (previous) and until when it held."""
+    held = iv.hold_forward(iv.previous(states, keys, field, "previous"), keys, into="held_until_us")
+    return held.where(F.col("previous").isNotNull() & (F.col(field) != F.col("previous")))
+
+
 def in_range(rows: DataFrame, t0: int, t1: int, **equal: str | None) -> DataFrame:
     """Rows of [t0, t1] that equal every given value; None asks for nothing."""
     found = rows.where(F.col("ts_us").between(t0, t1))
@@ -54,7 +95,8 @@ def in_range(rows: DataFrame, t0: int, t1: int, **equal: str | None) -> DataFram
 
 
 def touching_zone(movements: DataFrame, zone: str) -> DataFrame:
-    return movements.where((F.col("zone_from") == zone) | (F.col("zone_to") == zone))
+    zones = [c for c in ("zone_id", "zone_from", "zone_to") if c in movements.columns]
+    return movements.where(F.lit(zone).isin(*[F.col(c) for c in zones]))
 
 
 def newest(rows: DataFrame, n: int, offset: int = 0, order: tuple[str, ...] = ("ts_us", "seq")) -> DataFrame:

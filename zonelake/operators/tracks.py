@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from zonelake.operators import folds
+
 from zonelake.operators.series import KEY
 
 SECOND = 1_000_000
@@ -192,3 +196,36 @@ def sampled(candidates: DataFrame, interval_us: int = SECOND, most: int = 5, bud
         return [(row["camera_id"], row["ts_us"], int(t), taken[t][0]) for t in chosen]
 
     return ordered(frames, ["camera_id"], dict, step, "camera_id string, ts_us long, track_id long, sample long")
+
+
+class Clusters:
+    """Places of a source where boxes were seen: each frame's boxes take, in order, the nearest place within reach that no
+    other box of the frame has taken, or make a new one. A place is the mean of its boxes' centres."""
+
+    def __init__(self, reach: float) -> None:
+        self.reach, self.frame, self.taken = reach, None, set()
+        self.places: list[list[float]] = []  # sums of x and y, and their number
+
+    def add(self, frame: int, x: float, y: float) -> int:
+        if frame != self.frame:
+            self.frame, self.taken = frame, set()
+        distance = lambda k: math.hypot(x - self.places[k][0] / self.places[k][2], y - self.places[k][1] / self.places[k][2])
+        near = min(((distance(k), k) for k in range(len(self.places)) if k not in self.taken), default=(math.inf, -1))
+        k = near[1] if near[0] <= self.reach else len(self.places)
+        if k == len(self.places):
+            self.places.append([0.0, 0.0, 0])
+        for i, v in enumerate((x, y, 1)):
+            self.places[k][i] += v
+        self.taken.add(k)
+        return k
+
+
+def position_clusters(boxes: DataFrame, reach: float, source: str = "camera_id") -> DataFrame:
+    """(source, ts_us, seq, cluster) of boxes (source, ts_us, seq, x1, y1, x2, y2); ts_us is the frame. In order within a
+    source, as each frame's places depend on those before it; it needs no more than the places it has made."""
+    schema = f"{source} {dict(boxes.dtypes)[source]}, ts_us long, seq long, cluster int"
+
+    def step(state: Clusters, row: dict) -> list[tuple]:
+        return [(row[source], row["ts_us"], row["seq"], state.add(row["ts_us"], (row["x1"] + row["x2"]) / 2, (row["y1"] + row["y2"]) / 2))]
+
+    return folds.ordered(boxes.select(source, "ts_us", "seq", "x1", "y1", "x2", "y2"), [source], lambda: Clusters(reach), step, schema)

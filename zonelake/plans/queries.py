@@ -702,3 +702,78 @@ def replace_set(spark, sf_dir):
 def busy_zones(spark, sf_dir):
     rows = zone_stats(spark, sf_dir).select(*d.KEY, "avg_occupancy", "peak_occupancy").where("peak_occupancy >= 11")
     return reports.csv_ready(rows)
+
+
+@query(f"""{W}, x AS (SELECT seq, ts_us, camera_id, zone_id, occupancy, lag(occupancy) OVER w AS previous, lead(ts_us) OVER w AS held_until_us FROM st WINDOW w AS (PARTITION BY camera_id, zone_id ORDER BY ts_us, seq))
+SELECT * FROM x WHERE occupancy <> previous""")
+def state_changes(spark, sf_dir):
+    return store.changes(d.states(spark, sf_dir).select("seq", "ts_us", *d.KEY, "occupancy"))
+
+
+@query(LATCH.replace("x AS (SELECT o.camera_id, o.zone_id, o.rn, o.seq, o.ts_us, rule_id, hi, lo,", """x AS (SELECT o.camera_id, o.zone_id, o.rn, o.seq, o.ts_us, rule_id,
+ CASE rule_id WHEN 'R-02' THEN 3.0 + area_sqm / 2 WHEN 'R-01' THEN 1.0 + area_sqm / 2 ELSE hi END AS hi, CASE rule_id WHEN 'R-02' THEN (3.0 + area_sqm / 2) * CAST(0.9 AS DOUBLE) WHEN 'R-01' THEN (1.0 + area_sqm / 2) * CAST(0.9 AS DOUBLE) ELSE lo END AS lo,""")
+       .replace("FROM o CROSS JOIN ru)", "FROM o JOIN zn ON o.camera_id = zn.camera_id AND o.zone_id = zn.zone_id CROSS JOIN ru)"))
+def zone_alerts_own_limits(spark, sf_dir):
+    """As zone_alerts, each zone with thresholds of its own."""
+    limits = d.zones(spark).select(*d.KEY, (F.col("area_sqm") / 2 + 1).alias("warning_density"), (F.col("area_sqm") / 2 + 3).alias("critical_density"))
+    return folds.zone_alerts(d.states(spark, sf_dir), HOUR, limits=limits)
+
+
+@query("""WITH rs AS (SELECT 'S' || (vec_id % 10) AS site_id, 'CAM-0' || (vec_id % 4) AS camera_id, vec_id // 3 AS track_id, vec_id * 5000000 AS ts_us, 'g' || label AS global_ref FROM embeddings),
+en AS (SELECT site_id, camera_id, track_id, ts_us + 7000000 AS ts_us FROM rs WHERE track_id % 3 = 0 UNION ALL SELECT site_id, camera_id, NULL, ts_us FROM rs WHERE track_id % 31 = 7),
+tr AS (SELECT site_id, camera_id, track_id, arg_max(global_ref, ts_us) AS global_ref, max(ts_us) AS seen FROM rs WHERE ts_us <= 600000000 GROUP BY 1, 2, 3)
+SELECT site_id, camera_id, count(DISTINCT global_ref) AS people, count(*) AS tracks FROM tr WHERE NOT EXISTS (SELECT 1 FROM en WHERE en.site_id = tr.site_id AND en.camera_id = tr.camera_id AND (en.track_id = tr.track_id OR en.track_id IS NULL) AND en.ts_us <= 600000000 AND en.ts_us >= seen) GROUP BY 1, 2""")
+def live_people(spark, sf_dir):
+    """Distinct people on each camera ten minutes in, where tracks and whole cameras have ended."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    seen = v.select(F.concat(F.lit("S"), (F.col("vec_id") % 10).cast("string")).alias("site_id"), F.concat(F.lit("CAM-0"), (F.col("vec_id") % 4).cast("string")).alias("camera_id"),
+                    F.floor(F.col("vec_id") / 3).alias("track_id"), (F.col("vec_id") * 5_000_000).alias("ts_us"), F.concat(F.lit("g"), F.col("label").cast("string")).alias("global_ref"))
+    own = seen.where("track_id % 3 = 0").select("site_id", "camera_id", "track_id", (F.col("ts_us") + 7_000_000).alias("ts_us"))
+    down = seen.where("track_id % 31 = 7").select("site_id", "camera_id", F.lit(None).cast("long").alias("track_id"), "ts_us")
+    return identity.occupancy(seen, own.union(down), 600_000_000, ("site_id", "camera_id"))
+
+
+@query(f"""{W}, {ALERTS}, fr AS (SELECT *, CASE WHEN seq % 4 > 0 THEN 'f' || seq END AS frame FROM al) SELECT 'kept' AS what, CAST(alert_id AS VARCHAR) AS ref FROM fr WHERE status NOT IN ('RESOLVED', 'DISMISSED')
+UNION ALL SELECT 'frame', frame FROM fr WHERE status IN ('RESOLVED', 'DISMISSED') AND frame IS NOT NULL""")
+def alerts_deleted(spark, sf_dir):
+    alerts = alerts_of(spark, sf_dir).withColumn("frame", F.when(F.col("seq") % 4 > 0, F.concat(F.lit("f"), F.col("seq").cast("string"))))
+    kept, frames = store.delete_alerts(alerts)
+    return kept.select(F.lit("kept").alias("what"), F.col("alert_id").cast("string").alias("ref")).union(frames.select(F.lit("frame"), "frame"))
+
+
+@query("""WITH ol AS (SELECT event_type AS name, max(event_id) AS ts_us FROM events GROUP BY 1), nw AS (SELECT event_type AS name, min(event_id) AS ts_us FROM events WHERE event_type < 'm' GROUP BY 1)
+SELECT name, ts_us FROM nw UNION ALL SELECT name, ts_us FROM ol WHERE name NOT IN (SELECT name FROM nw)""")
+def cursors_saved(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumnRenamed("event_type", "name")
+    old, new = (rows.groupBy("name").agg(pick("event_id").alias("ts_us")) for rows, pick in ((e, F.max), (e.where("name < 'm'"), F.min)))
+    return store.merge_cursors(old, new)
+
+
+@query(f"""{W}, {ALERTS}, x AS (SELECT alert_id, seq, ts_us FROM al ORDER BY ts_us DESC, seq DESC LIMIT 20 OFFSET 40) SELECT *, (SELECT count(*) FROM al) > 60 AS has_more FROM x""")
+def alerts_page(spark, sf_dir):
+    return store.page(alerts_of(spark, sf_dir).select("alert_id", "seq", "ts_us"), 20, 40)
+
+
+@query(f"""WITH {d.SQL_EVENTS}, st AS (SELECT camera_id, zone_id, count(*) AS n, max(seq) AS last_seq FROM ev GROUP BY 1, 2) SELECT camera_id AS scope, zone_id, n, last_seq FROM st WHERE camera_id IN ('CAM-00', 'CAM-02')""")
+def reports_saved(spark, sf_dir):
+    """Reports by camera as JSON, two of them read back."""
+    rows = d.events(spark, sf_dir).groupBy(F.col("camera_id").alias("scope"), "zone_id").agg(F.count("*").alias("n"), F.max("seq").alias("last_seq"))
+    stored = reports.report_records(rows, "scheduled", T1, T0, T1)
+    one = lambda scope: reports.get_report(stored, scope, T1, "zone_id string, n long, last_seq long").withColumn("scope", F.lit(scope)).select("scope", "zone_id", "n", "last_seq")
+    return one("CAM-00").union(one("CAM-02"))
+
+
+@query("""SELECT event_id AS seq, CASE WHEN event_id % 50 = 0 THEN ['payload must be an object'] ELSE list_concat(CASE WHEN value / 60 > 0 AND value / 60 <= 1 THEN [] ELSE ['threshold must be a number in (0, 1] and finite'] END,
+list_concat(CASE WHEN user_id % 7 >= 1 THEN [] ELSE ['margin must be a number >= 0 and finite'] END, CASE WHEN event_id % 3 = 0 THEN ['ttl_seconds must be a number > 0 and finite'] ELSE [] END)) END AS errors FROM events""")
+def tuning_checks(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ttl = F.when(F.col("event_id") % 3 == 0, F.lit(', "ttl_seconds": "NaN"')).when(F.col("event_id") % 3 == 1, F.lit(', "ttl_seconds": 5')).otherwise(F.lit(""))
+    made = F.concat(F.lit('{"threshold": '), (F.col("value") / 60).cast("string"), F.lit(', "margin": '), (F.col("user_id") % 7 - 1).cast("string"), ttl, F.lit("}"))
+    return e.select(F.col("event_id").alias("seq"), validate.tuning_errors(F.when(F.col("event_id") % 50 == 0, F.lit("[1]")).otherwise(made)).alias("errors"))
+
+
+@query()
+def position_clusters(spark, sf_dir):
+    """Places of boxes by camera; greedy in order of frames, so no SQL; tested against a plain version."""
+    b = boxes(spark, sf_dir).where("track_id % 4 = 1").withColumn("seq", F.col("track_id"))
+    return tracks.position_clusters(b, 60.0)

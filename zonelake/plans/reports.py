@@ -55,3 +55,27 @@ def chart(rows: DataFrame, label: str, dataset: str, value: str) -> DataFrame:
     finite = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & (F.abs(F.col(value)) != float("inf")))
     points = F.array_sort(F.collect_list(F.struct(F.col(label).alias("l"), F.col(value).alias("v"))))
     return finite.groupBy(F.col(dataset).alias("dataset")).agg(points.alias("p")).select("dataset", F.col("p.l").alias("labels"), F.col("p.v").alias("data"))
+
+
+def report_records(reports: DataFrame, kind: str, generated_us: int, t0: int, t1: int) -> DataFrame:
+    """One stored report a scope of rows (scope, ...): (kind, generated_us, from_us, to_us, scope, payload as JSON)."""
+    body = F.to_json(F.struct(*[c for c in reports.columns if c != "scope"]), {"ignoreNullFields": "false"})
+    return reports.groupBy("scope").agg(F.array_sort(F.collect_list(body)).alias("rows")).select(
+        F.lit(kind).alias("kind"), F.lit(generated_us).cast("long").alias("generated_us"), F.lit(t0).cast("long").alias("from_us"), F.lit(t1).cast("long").alias("to_us"), "scope",
+        F.concat(F.lit("["), F.array_join("rows", ","), F.lit("]")).alias("payload"))
+
+
+def list_reports(stored: DataFrame, limit: int = 100) -> DataFrame:
+    """The newest stored reports, without what they contain."""
+    return stored.drop("payload").orderBy(F.desc("generated_us"), "scope").limit(limit)
+
+
+def get_report(stored: DataFrame, scope: str, generated_us: int, schema: str) -> DataFrame:
+    """The rows of one stored report."""
+    one = stored.where((F.col("scope") == scope) & (F.col("generated_us") == generated_us))
+    return one.select(F.explode(F.from_json("payload", f"array<struct<{schema}>>")).alias("r")).select("r.*")
+
+
+def due(last_us: int | None, now_us: int, every_us: int) -> bool:
+    """Whether a scheduled report is to be made: at the first time, and once its period is over."""
+    return last_us is None or now_us - last_us >= every_us

@@ -30,6 +30,12 @@ def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("payload"))
 
 
+def write_json_lines(rows: DataFrame, path: str, by: str | None = None) -> None:
+    """Evidence files: one JSON object a line, nulls included, in a folder for each value of ``by``."""
+    writer = rows.write.mode("append").option("ignoreNullFields", "false")
+    (writer.partitionBy(by) if by else writer).json(path)
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("nullValue", "").csv(path)
 
