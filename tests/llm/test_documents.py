@@ -334,6 +334,53 @@ def test_language_model(spark, monkeypatch):
         assert r.score < 0
 
 
+def test_language_model_brute_force(spark, monkeypatch):
+    """Scores from dictionaries: shares, spellings by the tree's own distributions, and branches from the word before."""
+    import numpy as np
+
+    monkeypatch.setattr(suffix_tree_lm, "HEAD", 0.02)
+    lm, rng = suffix_tree_lm, random.Random(16)
+    passage = " ".join(f"rare{k}" for k in rng.sample(range(1000), 30))
+    texts = [prose(rng, rng.randint(0, 60)) for _ in range(60)] + [passage, passage, " ".join(reversed(passage.split()))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score(docs, F.col("doc_id") >= 62).collect()}
+    words = {i: WORD.findall(t.translate(LOWER)) for i, t in enumerate(texts)}
+    training = [words[i] for i in range(62)]
+    c = collections.Counter(w for ws in training for w in [*ws, None])
+    pairs = collections.Counter(p for ws in training for p in zip([0, *ws], ws, strict=False))
+    n = sum(c.values())
+    contexts = {0: len(training), **{w: k for w, k in c.items() if w is not None}}
+    chars = collections.Counter(x for ws in training for w in ws for x in w + " ")
+    symbol = {x: 2 + k for k, (x, _) in enumerate(sorted(chars.items(), key=lambda x: (-x[1], ord(x[0])))[: lm.ALPHABET])}
+    table = np.full(lm.CODE_POINTS, lm.OTHER, np.uint8)
+    table[[ord(x) for x in symbol]] = list(symbol.values())
+    counted = collections.Counter(int(k) for ws in training for k in lm.grams(*lm.code_points([" ".join(ws) + " " * bool(ws)]), table)[0])
+    kept, logs = lm.tree(lm.candidate_contexts(spark.createDataFrame(list(counted.items()), "key long, n long")))
+    state = lm.states(kept)
+
+    def spelling(word):
+        """Symbol by symbol; the end mark is a token of itself."""
+        seen, total = [lm.END] * lm.DEPTH, 0.0
+        for s in [lm.END] if word is None else [symbol.get(x, lm.OTHER) for x in word + " "]:
+            total += float(logs[state[sum(x << lm.BITS * k for k, x in enumerate(seen))], s]) - (math.log10(lm.CODE_POINTS) if s == lm.OTHER else 0)
+            seen = [s, *seen[:-1]]
+        return total
+
+    once = (sum(k == 1 for k in c.values()) or 0.5) / n
+    head = {w for w, k in c.items() if k >= lm.HEAD * n}
+    for i, ws in words.items():
+        want = 0.0
+        for prev, w in zip([0, *ws], [*ws, None], strict=True):
+            p = (1 - once) * c[w] / n + once * 10 ** spelling(w)
+            if w is not None and w not in head:
+                k = pairs[prev, w]
+                keep = k > 1 and k * math.log(k / contexts[prev] * n / c[w]) > lm.WORD_DIVERGENCE
+                p = (1 - lm.FOLLOWS) * p + lm.FOLLOWS * (k / contexts[prev] if keep else 0)
+            want += math.log10(p)
+        assert got[i] == pytest.approx(want, rel=1e-5), i
+    assert got[61] == got[60] > got[62] + 40
+
+
 def test_language_model_is_a_distribution(spark):
     """Spellings of all tokens of a small alphabet add up to less than one, and near to it with the end mark."""
     import numpy as np
