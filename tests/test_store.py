@@ -201,10 +201,10 @@ def test_validation(spark):
     assert errors('{"threshold": 0.5, "margin": 0, "ttl_seconds": "30"}') == errors("{}") == []
     assert errors("[]") == errors("nonsense") == errors(None) == ["payload must be an object"]
     assert len(errors('{"threshold": 0, "margin": "NaN", "ttl_seconds": null}')) == 3 and errors('{"margin": "Infinity"}') == ["margin must be a number >= 0 and finite"]
-    good = ("Z", "C", "n", "MONITORED", False, 1, 2, 0.5, 10.0, "NORMAL")
-    names = "zone_id string, camera_id string, zone_name string, zone_type string, restricted boolean, ts_us long, occupancy long, density double, capacity_pct double, status string"
+    good = ("Z", "C", 2, 0.5, 10.0, 1.0, 0.0, "NORMAL", 1)
+    names = "zone_id string, camera_id string, occupancy long, density double, capacity_pct double, inflow double, outflow double, status string, ts_us long"
     check = lambda row: spark.createDataFrame([row], names).select(validate.zone_state_errors()).first()[0]
-    assert check(good) == [] and check(("Z", "C", None, "MONITORED", False, 1, -2, 0.5, 10.0, "odd")) == ["zone_name: missing", "occupancy: negative", "status: unknown"]
+    assert check(good) == [] and check(("Z", "C", -2, 0.5, 10.0, None, 0.0, "odd", 1)) == ["inflow: missing", "occupancy: negative", "status: unknown"]
     zones = spark.createDataFrame([("Z", "restricted", [1, 2, 3], 1, 1.0), (None, "odd", [1], -1, 1.0)], "zone_id string, zone_type string, polygon array<int>, capacity_max long, area_sqm double")
     found = [r[0] for r in zones.select(validate.zone_errors()).collect()]
     assert found[0] == [] and len(found[1]) == 4

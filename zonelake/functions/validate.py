@@ -68,7 +68,7 @@ def event_errors(payload: Column) -> Column:
 
 def zone_state_errors() -> Column:
     """Errors of typed zone readings."""
-    present = [F.when(F.col(c).isNull(), F.lit(f"{c}: missing")) for c in ("zone_id", "camera_id", "zone_name", "zone_type", "restricted", "ts_us", "occupancy", "density", "capacity_pct", "status")]
+    present = [F.when(F.col(c).isNull(), F.lit(f"{c}: missing")) for c in ("zone_id", "camera_id", "occupancy", "density", "capacity_pct", "inflow", "outflow", "status", "ts_us")]
     ranges = [F.when(F.col(c) < 0, F.lit(f"{c}: negative")) for c in ("occupancy", "density", "capacity_pct")]
     status = F.when(~F.col("status").isin("NORMAL", "WARNING", "CRITICAL"), F.lit("status: unknown"))
     return F.filter(F.array(*present, *ranges, status), lambda x: x.isNotNull())
