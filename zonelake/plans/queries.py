@@ -591,11 +591,13 @@ def zones_with_counts(spark, sf_dir):
 
 
 def stream_folder(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder; a local one only where none is set, as in tests."""
+    """A new folder in the shared checkpoint folder; one of its own only for a local session, which has one machine."""
     import tempfile
     import uuid
 
     shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{shared or tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/stream-{uuid.uuid4().hex}"
 
 
