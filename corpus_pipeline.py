@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a DataFrame, which run()
 writes as Parquet to the shared checkpoint folder and reads again for the next stage.
+
+Defined results: null and empty texts go in the first stage, as texts of under 20 words do; rows that share an id are judged
+as one document by each stage that drops documents (they go or stay together, those with a null id too, which near-dedup
+keeps); all but the last stage keep every column of documents, whatever else it is called; an empty table gives an empty
+table with the columns of the last stage.
 """
 
 from __future__ import annotations

@@ -354,6 +354,27 @@ def test_pipeline(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near-dedup", "decontamination", "secret scan", "byte-level BPE"]
 
 
+def test_pipeline_odd_tables(spark, tmp_path):
+    """An empty table; repeated rows, null ids and columns whose names the operators use themselves."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    a, b, c = (prose(rng, 90) for _ in range(3))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, v string, kept int, region string, tile int, ids string"
+    made = [(1, a), (1, a), (2, b), (None, c), (3, a + " end"), (4, None), (5, "")]
+    for name, rows_ in (("none", []), ("some", made)):
+        folder = tmp_path / name
+        spark.createDataFrame([(i, t, "en", "s", 1, "x", 2, "y", 3, "z") for i, t in rows_], schema).write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([(0, prose(rng, 40))], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+        docs = spark.read.parquet(str(folder / "documents.parquet"))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(folder))
+            assert docs.columns == spark.read.parquet(str(folder / "documents.parquet")).columns
+        out = corpus_pipeline.run(spark, str(folder))
+        assert sorted(str(r.doc_id) for r in out.collect()) == (["1", "1", "2", "None"] if rows_ else [])
+        assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+
+
 def test_imports_without_this_subpackage(tmp_path):
     """A copy without the llm folders and the pipeline still imports and has the other queries."""
     import shutil
