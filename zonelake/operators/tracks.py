@@ -32,10 +32,14 @@ def rolling(rows: DataFrame, keys: list[str], span_us: int, columns: Callable[[W
 
 def flow_rates(crossings: DataFrame) -> DataFrame:
     """At each crossing (zone_id, kind in or out): people per minute in and out over 1, 5 and 15 minutes, and the net."""
-    out = crossings
-    for name, span in FLOW_WINDOWS.items():
-        rate = lambda w, kind, span=span: F.round(F.sum(F.when(F.col("kind") == kind, 1).otherwise(0)).over(w) * F.lit(60.0 * SECOND / span), 2)
-        out = rolling(out, KEY, span, lambda w, name=name, rate=rate: {f"inflow_{name}": rate(w, "in"), f"outflow_{name}": rate(w, "out")})
+
+    def columns(_) -> dict[str, Column]:
+        """All frames in the chunks of the longest one, so the rows are dealt and sorted once."""
+        frame = lambda span: Window.partitionBy(*KEY, "__chunk").orderBy("ts_us").rangeBetween(-span, 0)
+        count = lambda kind, span: F.sum(F.when(F.col("kind") == kind, 1).otherwise(0)).over(frame(span))
+        return {f"{flow}_{name}": F.round(count(kind, span) * F.lit(60.0 * SECOND / span), 2) for name, span in FLOW_WINDOWS.items() for kind, flow in (("in", "inflow"), ("out", "outflow"))}
+
+    out = rolling(crossings, KEY, max(FLOW_WINDOWS.values()), columns)
     return out.withColumn("net_flow", F.round(F.col("inflow_1m") - F.col("outflow_1m"), 2))
 
 
