@@ -1,11 +1,15 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network in numpy.
 
-Word vectors: a word has two buckets, one by hash and one by its shape (its last two characters and its first as
-classes of letters), and each bucket an index vector of a few random signs. A bucket's vector sums the index vectors
-of its words' neighbours within WINDOW words over all documents. The table has a fixed size whatever the vocabulary, and
-whole numbers, so sums don't depend on the order of rows; tasks sum their documents, then Spark adds tables row by row. A
-document is the mean of its words' unit vectors of both kinds, the mean of their shapes' index vectors (what the words
-are, not only where they occur), the share of words that repeat the one before, and the logarithm of their number.
+Word vectors: every word, and every shape of words (the last two characters and whether the first is a capital), has a
+64-bit key, and the key's bits give its index vector of a few signs. Its vector sums the index vectors of the words and
+shapes within WINDOW words of it over all documents, one vector for each key however many there are: tasks sum their
+slices, Spark adds them up by key. Vectors are scaled to unit length and rounded to whole numbers, so that sums don't
+depend on the order of rows.
+
+Pooling: the FREQUENT most frequent keys, a table of fixed size, are broadcast; a document's other words are joined with
+the vectors of all keys and summed per document. A document is the mean of its words' vectors, of its shapes' vectors and
+of its shapes' index vectors (what the words are, not only where they occur), the share of words that repeat the one
+before, and the logarithm of their number.
 
 The network (one hidden layer) learns on a sample of at most SAMPLE labelled rows, the smallest by hash of their id,
 with a tenth of it left out to fit the temperature that calibrates probabilities by log loss. Language, source, id and
@@ -25,46 +29,73 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonelake.llm.common import crc_mod, text_of, words_of
+from zonelake.llm.common import Shelf, crc_mod, text_of, words_of
 
-BUCKETS, DIMENSIONS, NONZERO, WINDOW = 1 << 13, 32, 4, 2
+DIMENSIONS, NONZERO, WINDOW = 32, 4, 2
+#: Keys whose vectors are broadcast (72 bytes each); those beyond are joined.
+FREQUENT = 1 << 18
+#: Unit vectors are kept as whole numbers of this size.
+UNIT = 1 << 14
 SAMPLE, HIDDEN, EPOCHS, THRESHOLD = 20_000, 32, 60, 0.7
-SLICE = 500
+#: Words that a task handles at once, but for a longer document.
+SLICE = 150_000
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 FEATURES = 3 * DIMENSIONS + 2
 
 
-def index_vectors() -> np.ndarray:
-    """The index vectors of all buckets, from a fixed seed."""
-    draw = np.random.default_rng(2)
-    out = np.zeros((BUCKETS, DIMENSIONS), np.float32)
-    for _ in range(NONZERO):
-        out[np.arange(BUCKETS), draw.integers(0, DIMENSIONS, BUCKETS)] += draw.choice(np.float32([-1, 1]), BUCKETS)
+def index_vectors(keys: np.ndarray) -> np.ndarray:
+    """The index vectors of keys: NONZERO signs at places that the key's own bits give."""
+    bits, rows = keys.view(np.uint64), np.arange(len(keys))
+    out = np.zeros((len(keys), DIMENSIONS), np.int8)
+    for k in range(NONZERO):
+        place = (bits >> np.uint64(8 * k)) % np.uint64(DIMENSIONS)
+        sign = (bits >> np.uint64(48 + k)) & np.uint64(1)
+        out[rows, place.astype(np.int64)] += 2 * sign.astype(np.int8) - 1
     return out
 
 
 def prepared(docs: DataFrame, text_col: str, *columns: Column) -> DataFrame:
-    """The columns, then the buckets of all words by hash (the lower half) and by shape (the upper half)."""
-    half = F.lit(BUCKETS // 2)
-    by_hash = lambda w: F.pmod(F.xxhash64(w), half).cast("int")
+    """The columns, then the keys of all words and of their shapes."""
     upper = lambda w: F.when(F.left(w, F.lit(1)) == F.lower(F.left(w, F.lit(1))), 0).otherwise(1)
-    by_shape = lambda w: (half + F.pmod(F.xxhash64(F.right(w, F.lit(2)), upper(w)), half)).cast("int")
+    shape = lambda w: F.xxhash64(F.right(w, F.lit(2)), upper(w))
     rows = docs.select(*columns, words_of(text_of(text_col)).alias("__words"))
     kept = [F.col(c) for c in rows.columns[:-1]]
-    return rows.select(*kept, F.transform("__words", by_hash).alias("__hash"), F.transform("__words", by_shape).alias("__shape"))
+    return rows.select(*kept, F.transform("__words", lambda w: F.xxhash64(w)).alias("__word"), F.transform("__words", shape).alias("__shape"))
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about SLICE words."""
+    for batch in batches:
+        lengths = batch.column(batch.num_columns - 1).value_lengths().to_numpy(zero_copy_only=False)
+        number = np.cumsum(lengths.astype(np.int64)) // SLICE
+        cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield batch.slice(a, b - a)
 
 
 def arrays(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets by hash and by shape of all words of a batch, and the number of words of each document."""
+    """Keys of all words and shapes of a batch, and the number of words of each document."""
     last = part.num_columns
     flat = [part.column(i).flatten().to_numpy(zero_copy_only=False) for i in (last - 2, last - 1)]
     return flat[0], flat[1], part.column(last - 1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            yield batch.slice(at, SLICE)
+class Groups:
+    """Equal keys of a slice: the distinct keys, and which of them each place has."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.order = np.argsort(keys)
+        ranked = keys[self.order]
+        new = np.ones(len(keys), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        self.starts = np.flatnonzero(new)
+        self.keys = ranked[self.starts]
+        self.counts = np.diff(self.starts, append=len(keys))
+        self.of = np.empty(len(keys), np.int64)
+        self.of[self.order] = np.cumsum(new) - 1
+
+    def sums(self, rows: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(rows[self.order].astype(np.int32), self.starts, axis=0, dtype=np.int32)
 
 
 def neighbours(index: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -77,39 +108,103 @@ def neighbours(index: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_vectors(docs: DataFrame, text_col: str) -> np.ndarray:
-    """The table of all buckets with unit rows, from all documents."""
+def word_vectors(docs: DataFrame, text_col: str) -> DataFrame:
+    """(key, n, v) of every word and every shape of all documents: its number and its vector, of length UNIT."""
     names = [f"d{i}" for i in range(DIMENSIONS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, table = index_vectors(), np.zeros((DIMENSIONS, BUCKETS))
         for part in slices(batches):
             words, shapes, lengths = arrays(part)
-            near = neighbours(index[words] + index[shapes], np.repeat(np.arange(len(lengths)), lengths))
-            for d in range(DIMENSIONS):
-                table[d] += np.bincount(words, near[:, d], BUCKETS) + np.bincount(shapes, near[:, d], BUCKETS)
-        used = np.flatnonzero(table.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(table[d, used].astype(np.int64)) for d in range(DIMENSIONS)]], ["bucket", *names])
-
-    parts = prepared(docs, text_col).mapInArrow(run, "bucket long, " + ", ".join(f"{n} long" for n in names))
-    summed = parts.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
-    out = np.zeros((BUCKETS, DIMENSIONS))
-    out[summed["bucket"]] = summed[names].to_numpy(np.float64)
-    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).astype(np.float32)
-
-
-def pooled(part: pa.RecordBatch, vectors: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """One row of FEATURES for each document of a batch."""
-    words, shapes, lengths = arrays(part)
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    each = np.concatenate([vectors[words], vectors[shapes], index[shapes]], axis=1)
-    out = np.zeros((len(lengths), FEATURES), np.float32)
-    some = lengths > 0
-    if len(words):
-        out[some, :-2] = np.add.reduceat(each, (np.cumsum(lengths) - lengths)[some], axis=0) / lengths[some, None]
-        again = doc[1:][(words[1:] == words[:-1]) & (doc[1:] == doc[:-1])]
-        out[some, -2] = np.bincount(again, minlength=len(lengths))[some] / lengths[some]
-    out[:, -1] = np.log1p(lengths)
+            if not len(words):
+                continue
+            kinds = Groups(words), Groups(shapes)
+            near = neighbours(sum(index_vectors(g.keys)[g.of] for g in kinds), np.repeat(np.arange(len(lengths)), lengths))
+            for g in kinds:
+                sums = np.ascontiguousarray(g.sums(near).T)
+                yield pa.RecordBatch.from_arrays([pa.array(g.keys), pa.array(g.counts), *[pa.array(d) for d in sums]], ["key", "n", *names])
+
+    parts = prepared(docs, text_col).mapInArrow(run, "key long, n long, " + ", ".join(f"{n} int" for n in names))
+    summed = parts.groupBy("key").agg(F.sum("n").alias("n"), *[F.sum(n).alias(n) for n in names])
+    square = sum((F.col(n).cast("double") * F.col(n) for n in names), F.lit(0.0))
+    scaled = summed.withColumn("__by", F.when(square > 0, UNIT / F.sqrt(square)).otherwise(0.0))
+    return scaled.select("key", "n", F.array(*[F.rint(F.col(n) * F.col("__by")).cast("short") for n in names]).alias("v"))
+
+
+def frequent_vectors(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the FREQUENT most frequent vectors in order, and these."""
+    top = vectors.orderBy(F.desc("n"), "key").limit(FREQUENT).select("key", "v").toArrow().combine_chunks()
+    keys = top.column("key").to_numpy()
+    flat = np.concatenate([np.empty(0, np.int16), *[c.flatten().to_numpy(zero_copy_only=False) for c in top.column("v").chunks]])
+    order = np.argsort(keys)
+    return keys[order], flat.reshape(-1, DIMENSIONS).astype(np.int16)[order]
+
+
+def summed_by_document(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The sum of the rows of each document, which has so many of them."""
+    out = np.zeros((len(lengths), rows.shape[1]), np.int64)
+    if some := np.flatnonzero(lengths).tolist():
+        out[some] = np.add.reduceat(rows.astype(np.int64), (np.cumsum(lengths) - lengths)[some], axis=0)
+    return out
+
+
+def known(keys: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The vector of each key of a slice, zeros where the table lacks it, and whether the table has it."""
+    g = Groups(keys)
+    if not len(table[0]):
+        return np.zeros((len(keys), DIMENSIONS), np.int16), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table[0], g.keys), len(table[0]) - 1)
+    found = table[0][at] == g.keys
+    return np.where(found[:, None], table[1][at], np.int16(0))[g.of], found[g.of]
+
+
+def lists(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values))
+
+
+def pooled(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, held_out, x, r0, r1) of every row: sums over its words by the broadcast table, the number of words that
+    repeat the one before and that of words in x; the sums over words and shapes beyond the table in r0 and r1."""
+    shelf = Shelf(docs.sparkSession)
+    vectors = shelf.keep(word_vectors(docs, text_col))
+    table = docs.sparkSession.sparkContext.broadcast(frequent_vectors(vectors))
+    rows = prepared(docs, text_col, F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), held_out.alias("held_out"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            words, shapes, lengths = arrays(part)
+            doc = np.repeat(np.arange(len(lengths)), lengths)
+            sums, rare = [], []
+            for keys in (words, shapes):
+                found, has = known(keys, table.value)
+                sums.append(summed_by_document(found, lengths))
+                rare.append(lists(keys[~has], np.bincount(doc[~has], minlength=len(lengths))))
+            g = Groups(shapes)
+            sums.append(summed_by_document(index_vectors(g.keys)[g.of], lengths))
+            again = doc[1:][(words[1:] == words[:-1]) & (doc[1:] == doc[:-1])]
+            sums += [np.bincount(again, minlength=len(lengths))[:, None], lengths[:, None]]
+            x = lists(np.concatenate(sums, axis=1).astype(np.int64).ravel(), np.full(len(lengths), FEATURES))
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], x, *rare], ["row", "doc_id", "held_out", "x", "rare0", "rare1"])
+
+    schema = "row long, doc_id long, held_out boolean, x array<long>, rare0 array<long>, rare1 array<long>"
+    out = found = shelf.keep(rows.mapInArrow(run, schema))
+    for kind in (0, 1):
+        rare = found.select("row", F.explode(f"rare{kind}").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
+        each = rare.join(vectors.select("key", "v"), "key").groupBy("row").agg(*[F.sum(F.col("times") * F.get("v", F.lit(i))).alias(f"d{i}") for i in range(DIMENSIONS)])
+        out = out.join(each.select("row", F.array(*[f"d{i}" for i in range(DIMENSIONS)]).alias(f"r{kind}")), "row", "left")
+    return shelf.last(out.select("doc_id", "held_out", "x", "r0", "r1"))
+
+
+def features(part: pa.RecordBatch) -> np.ndarray:
+    """One row of FEATURES for each row of a batch, whose last columns are x, r0 and r1."""
+    x, *rest = (part.column(i) for i in range(part.num_columns - 3, part.num_columns))
+    out = x.flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES).astype(np.float64)
+    for kind, more in enumerate(rest):
+        has = np.flatnonzero(more.is_valid().to_numpy(zero_copy_only=False))
+        out[has, kind * DIMENSIONS : (kind + 1) * DIMENSIONS] += more.flatten().to_numpy(zero_copy_only=False).reshape(-1, DIMENSIONS)
+    words = out[:, -1:].copy()
+    out[:, : 2 * DIMENSIONS] /= UNIT
+    out[:, :-1] /= np.maximum(words, 1)
+    out[:, -1:] = np.log1p(words)
     return out
 
 
@@ -156,38 +251,28 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out, vectors, id_col: str, text_col: str, label_col: str) -> Network:
+def fit(rows: DataFrame, labels: DataFrame, held_out: Column, id_col: str, label_col: str) -> Network:
     """Learns from at most SAMPLE labelled rows that aren't held out."""
     key = F.col(f"`{id_col}`").cast("long")
     usable = labels.select(key.alias("__id"), F.col(f"`{label_col}`").cast("int").alias("__y"), held_out.alias("__out")).where("not __out and __y in (0, 1)")
     sample = usable.orderBy(F.xxhash64("__id"), "__id", "__y").limit(SAMPLE).select("__id", "__y")
-    chosen = docs.join(F.broadcast(sample), docs[id_col].cast("long") == sample["__id"])
-    rows = prepared(chosen, text_col, F.col("__id"), F.col("__y"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = index_vectors()
-        for part in slices(batches):
-            found = pooled(part, vectors.value, index)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(found), pa.list_(pa.float32()))], ["id", "y", "x"])
-
-    learned = rows.mapInArrow(run, "id long, y int, x array<float>").toPandas().sort_values(["id", "y"], kind="stable")
-    x = np.array(learned["x"].tolist(), np.float64).reshape(-1, FEATURES)
-    return Network(x, learned["y"].to_numpy())
+    chosen = rows.join(F.broadcast(sample), rows["doc_id"] == sample["__id"]).select("__id", "__y", "x", "r0", "r1")
+    found = chosen.orderBy("__id", "__y", "x").toArrow().to_batches()
+    x = np.concatenate([np.empty((0, FEATURES)), *[features(b) for b in found]])
+    return Network(x, np.concatenate([np.empty(0, np.int32), *[b.column(1).to_numpy(zero_copy_only=False) for b in found]]))
 
 
 def score(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """One row per document; held_out, an expression on the id, says which labels aren't learned from."""
-    sc = docs.sparkSession.sparkContext
-    vectors = sc.broadcast(word_vectors(docs, text_col))
-    network = sc.broadcast(fit(docs, labels, held_out, vectors, id_col, text_col, label_col))
+    rows = pooled(docs, held_out, id_col, text_col)
+    network = docs.sparkSession.sparkContext.broadcast(fit(rows, labels, held_out, id_col, label_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = index_vectors()
-        for part in slices(batches):
-            p = network.value.probabilities(pooled(part, vectors.value, index).astype(np.float64))
+        for part in batches:
+            p = network.value.probabilities(features(part))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return prepared(docs, text_col, F.col(f"`{id_col}`").cast("long").alias("doc_id"), held_out.alias("held_out")).mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, SCHEMA)
 
 
 def default_held_out(id_col: str = "doc_id", n: int = 4, remainder: int = 2) -> Column:
