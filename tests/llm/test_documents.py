@@ -443,6 +443,8 @@ def brute_vectors(texts, keys):
                     near = [a + b for a, b in zip(*map(index, keys[i][other]), strict=True)]
                     for key in pair:
                         sums[key] = [a + b for a, b in zip(sums[key], near, strict=True)]
+    times = collections.Counter(k for i in texts for pair in keys[i] for k in pair)
+    sums = {k: v for k, v in sums.items() if times[k] >= quality_classifier.LEAST}
     unit = {k: [round(x * (2**14 / math.sqrt(sum(y * y for y in v)))) if any(v) else 0 for x in v] for k, v in sums.items()}
     return collections.defaultdict(lambda: [0] * 32, unit), index
 

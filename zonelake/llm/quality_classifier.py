@@ -1,10 +1,11 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network in numpy.
 
 Word vectors: every word, and every shape of words (the last two characters and whether the first is a capital), has a
-64-bit key, and the key's bits give its index vector of a few signs. Its vector sums the index vectors of the words and
-shapes within WINDOW words of it over all documents, one vector for each key however many there are: tasks sum their
-slices, Spark adds them up by key. Vectors are scaled to unit length and rounded to whole numbers, so that sums don't
-depend on the order of rows.
+64-bit key, and the key's bits give its index vector of a few signs. Each that occurs at least LEAST times in all documents
+has a vector of its own, however many there are, which sums the index vectors of the words and shapes within WINDOW words of
+it: tasks sum their slices, Spark adds them up by key. A bitmap of the counted words spares the shuffle those too rare; words
+that share a bit with another pass it, and the sums' own counts decide. Vectors are scaled to unit length and rounded to
+whole numbers, so that sums don't depend on the order of rows. A word too rare for a vector counts as zeros, beside its shape.
 
 Pooling: the FREQUENT most frequent keys, a table of fixed size, are broadcast; a document's other words are joined with
 the vectors of all keys and summed per document. A document is the mean of its words' vectors, of its shapes' vectors and
@@ -32,6 +33,10 @@ from pyspark.sql import functions as F
 from zonelake.llm.common import Shelf, crc_mod, text_of, words_of
 
 DIMENSIONS, NONZERO, WINDOW = 32, 4, 2
+#: Occurrences in all documents from which on a word or shape has a vector.
+LEAST = 10
+#: Bits of the map of words that occur so often (8 MB).
+BITS = 1 << 26
 #: Keys whose vectors are broadcast (72 bytes each); those beyond are joined.
 FREQUENT = 1 << 18
 #: Unit vectors are kept as whole numbers of this size.
@@ -108,8 +113,22 @@ def neighbours(index: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_vectors(docs: DataFrame, text_col: str) -> DataFrame:
-    """(key, n, v) of every word and every shape of all documents: its number and its vector, of length UNIT."""
+def common_words(docs: DataFrame, text_col: str) -> np.ndarray:
+    """The bitmap of the keys of words that occur at least LEAST times, in BITS bits whatever their number."""
+    keys = docs.select(F.explode(words_of(text_of(text_col))).alias("__word")).groupBy(F.xxhash64("__word").alias("key")).agg(F.count("*").alias("n"))
+    bits = keys.where(F.col("n") >= LEAST).select(F.expr(f"shiftright(key & {BITS - 1}L, 6)").alias("at"), F.expr("shiftleft(1L, cast(key & 63L as int))").alias("bit"))
+    found = bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(BITS // 64, np.int64)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
+
+def marked(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    return (bitmap[(keys & (BITS - 1)) >> 6] >> (keys & 63)) & 1 == 1
+
+
+def word_vectors(docs: DataFrame, text_col: str, common) -> DataFrame:
+    """(key, n, v) of every word and shape that occurs at least LEAST times: its number and its vector, of length UNIT."""
     names = [f"d{i}" for i in range(DIMENSIONS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,12 +138,12 @@ def word_vectors(docs: DataFrame, text_col: str) -> DataFrame:
                 continue
             kinds = Groups(words), Groups(shapes)
             near = neighbours(sum(index_vectors(g.keys)[g.of] for g in kinds), np.repeat(np.arange(len(lengths)), lengths))
-            for g in kinds:
-                sums = np.ascontiguousarray(g.sums(near).T)
-                yield pa.RecordBatch.from_arrays([pa.array(g.keys), pa.array(g.counts), *[pa.array(d) for d in sums]], ["key", "n", *names])
+            for g, kept in zip(kinds, (marked(kinds[0].keys, common.value), slice(None)), strict=True):
+                sums = np.ascontiguousarray(g.sums(near)[kept].T)
+                yield pa.RecordBatch.from_arrays([pa.array(g.keys[kept]), pa.array(g.counts[kept]), *[pa.array(d) for d in sums]], ["key", "n", *names])
 
     parts = prepared(docs, text_col).mapInArrow(run, "key long, n long, " + ", ".join(f"{n} int" for n in names))
-    summed = parts.groupBy("key").agg(F.sum("n").alias("n"), *[F.sum(n).alias(n) for n in names])
+    summed = parts.groupBy("key").agg(F.sum("n").alias("n"), *[F.sum(n).alias(n) for n in names]).where(F.col("n") >= LEAST)
     square = sum((F.col(n).cast("double") * F.col(n) for n in names), F.lit(0.0))
     scaled = summed.withColumn("__by", F.when(square > 0, UNIT / F.sqrt(square)).otherwise(0.0))
     return scaled.select("key", "n", F.array(*[F.rint(F.col(n) * F.col("__by")).cast("short") for n in names]).alias("v"))
@@ -164,9 +183,10 @@ def lists(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
 def pooled(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, held_out, x, r0, r1) of every row: sums over its words by the broadcast table, the number of words that
     repeat the one before and that of words in x; the sums over words and shapes beyond the table in r0 and r1."""
-    shelf = Shelf(docs.sparkSession)
-    vectors = shelf.keep(word_vectors(docs, text_col))
-    table = docs.sparkSession.sparkContext.broadcast(frequent_vectors(vectors))
+    shelf, sc = Shelf(docs.sparkSession), docs.sparkSession.sparkContext
+    common = sc.broadcast(common_words(docs, text_col))
+    vectors = shelf.keep(word_vectors(docs, text_col, common))
+    table = sc.broadcast(frequent_vectors(vectors))
     rows = prepared(docs, text_col, F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), held_out.alias("held_out"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +197,8 @@ def pooled(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> Dat
             for keys in (words, shapes):
                 found, has = known(keys, table.value)
                 sums.append(summed_by_document(found, lengths))
-                rare.append(lists(keys[~has], np.bincount(doc[~has], minlength=len(lengths))))
+                beyond = ~has & marked(keys, common.value) if keys is words else ~has
+                rare.append(lists(keys[beyond], np.bincount(doc[beyond], minlength=len(lengths))))
             g = Groups(shapes)
             sums.append(summed_by_document(index_vectors(g.keys)[g.of], lengths))
             again = doc[1:][(words[1:] == words[:-1]) & (doc[1:] == doc[:-1])]
