@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from conftest_llm import ODD, SCHEMA, prose, rows
 from hypothesis import given, settings
@@ -426,49 +427,30 @@ def test_classifier(spark, odd, empty):
     assert all(r.score == 0.5 for r in quality_classifier.score(docs, nulls, F.lit(False)).collect())
 
 
-def brute_vectors(texts, keys):
-    """Unit vectors of all words and shapes as whole numbers, in plain Python; keys gives (word, shape) keys per text."""
 
-    def index(key):
-        out, bits = [0] * 32, key % 2**64
-        for k in range(4):
-            out[(bits >> 8 * k) % 32] += 1 if bits >> (48 + k) & 1 else -1
-        return out
-
-    sums = collections.defaultdict(lambda: [0] * 32)
-    for i in texts:
-        for at, pair in enumerate(keys[i]):
-            for other in range(max(0, at - 2), min(len(keys[i]), at + 3)):
-                if other != at:
-                    near = [a + b for a, b in zip(*map(index, keys[i][other]), strict=True)]
-                    for key in pair:
-                        sums[key] = [a + b for a, b in zip(sums[key], near, strict=True)]
-    times = collections.Counter(k for i in texts for pair in keys[i] for k in pair)
-    sums = {k: v for k, v in sums.items() if times[k] >= quality_classifier.LEAST}
-    unit = {k: [round(x * (2**14 / math.sqrt(sum(y * y for y in v)))) if any(v) else 0 for x in v] for k, v in sums.items()}
-    return collections.defaultdict(lambda: [0] * 32, unit), index
-
-
-@pytest.mark.parametrize("frequent", [0, 7, 1 << 18])
-def test_classifier_vectors_and_pooling(spark, odd, monkeypatch, frequent):
-    monkeypatch.setattr(quality_classifier, "FREQUENT", frequent)
+def test_classifier_vectors_and_pooling(spark):
+    """The table of vectors and the pooled documents against sums in plain Python."""
     rng = random.Random(5)
     texts = {i: prose(rng, rng.randint(1, 40)) for i in range(15)} | {15: None, 16: "", 17: "one", 18: "same same Same sAme", 19: "river " * 3000}
     docs = spark.createDataFrame(rows([texts[i] for i in sorted(texts)]), SCHEMA)
     docs = docs.unionByName(docs.where("doc_id = 3"))
-    keyed = quality_classifier.prepared(docs, "text", F.col("doc_id")).collect()
-    keys = {r[0]: list(zip(r[1], r[2], strict=True)) for r in keyed}
-    vectors, index = brute_vectors([*sorted(texts), 3], keys)
-    got = quality_classifier.pooled(docs, F.lit(False), "doc_id", "text").collect()
-    assert sorted(r.doc_id for r in got) == sorted([*texts, 3])
-    for r in got:
-        words = WORD.findall(texts[r.doc_id] or "")
-        parts = [[vectors[w] for w, _ in keys[r.doc_id]], [vectors[s] for _, s in keys[r.doc_id]], [index(s) for _, s in keys[r.doc_id]]]
-        want = [sum(v[d] for v in part) for part in parts for d in range(32)]
-        found = list(r.x)
-        for at, more in ((0, r.r0), (32, r.r1)):
-            for d, v in enumerate(more or []):
-                found[at + d] += v
-        assert found == [*want, sum(a == b for a, b in zip(words, words[1:], strict=False)), len(words)]
-        assert frequent != 0 or not any(r.x[:64])
-    assert quality_classifier.pooled(odd, F.lit(False), "doc_id", "text").count() == odd.count()
+    keyed = quality_classifier.prepared(docs, "text", F.col("doc_id"))
+    keys = [list(zip(r[1], r[2], strict=True)) for r in keyed.collect()]
+    index = quality_classifier.index_vectors()
+    sums = collections.defaultdict(lambda: np.zeros(quality_classifier.DIMENSIONS))
+    for words in keys:
+        for at, pair in enumerate(words):
+            for other in range(max(0, at - 2), min(len(words), at + 3)):
+                if other != at:
+                    for bucket in pair:
+                        sums[bucket] += index[words[other][0]] + index[words[other][1]]
+    got = quality_classifier.word_vectors(docs, "text")
+    for bucket in range(quality_classifier.BUCKETS):
+        length = np.linalg.norm(sums[bucket])
+        assert np.allclose(got[bucket], sums[bucket] / length if length else 0, atol=1e-6)
+    for part in keyed.toArrow().to_batches():
+        for i, row in zip(part.column(0).to_pylist(), quality_classifier.pooled(part, got, index), strict=True):
+            words, (hashes, shapes) = WORD.findall(texts[i] or ""), zip(*keys[i], strict=True) if keys[i] else ((), ())
+            means = [np.mean(table[list(k)], axis=0) if k else np.zeros(quality_classifier.DIMENSIONS) for table, k in ((got, hashes), (got, shapes), (index, shapes))]
+            again = sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(1, len(words))
+            assert np.allclose(row, [*np.concatenate(means), again, math.log1p(len(words))], atol=1e-4)
