@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonelake.llm import byte_bpe, decontaminate, html_wrapper, near_dedup, quality_classifier, quality_rules, secret_scan, suffix_tree_lm, url_filter, warc
+from zonelake.llm import byte_bpe, decontaminate, filter_audit, html_wrapper, near_dedup, quality_classifier, quality_rules, secret_scan, suffix_tree_lm, url_filter, warc
 from zonelake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,10 +62,14 @@ def op10_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_lm.score(table(spark, sf_dir, "documents"), suffix_tree_lm.default_held_out())
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_url_filter, op2_quality_classifier, op3_secret_scan, op4_decontaminate, op5_byte_bpe, op6_quality_rules, op7_html_wrapper, op8_warc, op9_near_dedup, op10_suffix_tree_lm)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_url_filter, op2_quality_classifier, op3_secret_scan, op4_decontaminate, op5_byte_bpe, op6_quality_rules, op7_html_wrapper, op8_warc, op9_near_dedup, op10_suffix_tree_lm, op11_filter_audit)}
 
 
 # DuckDB SQL by other ways than the operators': nested loops over rules, unrolled propagation, joins of all shingles.
@@ -147,6 +151,19 @@ NOT base_failed AND NOT (coalesce(dc.dist > {q.MAX_CLASS_DISTANCE}, FALSE) OR co
 FROM bf LEFT JOIN dc ON dc.doc_id = bf.doc_id LEFT JOIN dw ON dw.doc_id = bf.doc_id"""
 
 
+#: Every document goes through every order by itself.
+AUDIT = """WITH RECURSIVE tx AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+lb AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+fa AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+  || CASE WHEN min(tx.doc_id) OVER (PARTITION BY t) < tx.doc_id THEN 'E' ELSE '' END AS failed FROM tx LEFT JOIN lb ON lb.doc_id = tx.doc_id),
+pe AS (SELECT '' AS o UNION ALL SELECT o || l FROM pe, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l) WHERE NOT contains(o, l)), od AS (SELECT o, step, substr(o, step, 1) AS letter FROM pe, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step) WHERE length(o) = 5),
+ft AS (SELECT *, (SELECT coalesce(min(instr(o, x)), 9) FROM (SELECT unnest(string_split(failed, '')) AS x) WHERE x <> '') AS gone FROM fa, (SELECT DISTINCT o FROM od)),
+st AS (SELECT part, od.o AS filter_order, step, letter, count(*) FILTER (gone > step) AS kept, count(*) FILTER (gone = step) AS removed, count(*) FILTER (contains(failed, letter) AND gone < step) AS redundant,
+  count(*) FILTER (failed = letter) AS unique_fails, coalesce(sum(good) FILTER (gone = step), 0) AS good_lost, coalesce(sum(toxic) FILTER (gone = step), 0) AS toxic_lost FROM ft JOIN od ON od.o = ft.o GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM st"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Of the others, SQL has no spans with code points, tokenizer, parser or learned model; tests use brute force."""
-    return {"op1_url_filter": url_filter_sql(), "op4_decontaminate": CONTAINED, "op6_quality_rules": quality_rules_sql(), "op9_near_dedup": CLUSTERS}
+    return {"op1_url_filter": url_filter_sql(), "op4_decontaminate": CONTAINED, "op6_quality_rules": quality_rules_sql(), "op9_near_dedup": CLUSTERS, "op11_filter_audit": AUDIT}
