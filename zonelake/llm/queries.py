@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonelake.llm import byte_bpe, decontaminate, filter_audit, html_wrapper, near_dedup, quality_classifier, quality_rules, secret_scan, suffix_tree_lm, url_filter, warc
+from zonelake.llm import byte_bpe, conversation_repair, decontaminate, filter_audit, html_wrapper, near_dedup, quality_classifier, quality_rules, secret_scan, suffix_tree_lm, url_filter, warc
 from zonelake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,10 +66,14 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_url_filter, op2_quality_classifier, op3_secret_scan, op4_decontaminate, op5_byte_bpe, op6_quality_rules, op7_html_wrapper, op8_warc, op9_near_dedup, op10_suffix_tree_lm, op11_filter_audit)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_url_filter, op2_quality_classifier, op3_secret_scan, op4_decontaminate, op5_byte_bpe, op6_quality_rules, op7_html_wrapper, op8_warc, op9_near_dedup, op10_suffix_tree_lm, op11_filter_audit, op12_conversation_repair)}
 
 
 # DuckDB SQL by other ways than the operators': nested loops over rules, unrolled propagation, joins of all shingles.
@@ -164,6 +168,48 @@ st AS (SELECT part, od.o AS filter_order, step, letter, count(*) FILTER (gone >
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM st"""
 
 
+#: The checksum of an ASCII text, bit by bit.
+BIT = "xor(acc, CASE WHEN k % 8 = 0 THEN ascii(substr({0}, CAST(k // 8 + 1 AS BIGINT), 1)) ELSE 0 END)"
+CRC32 = f"xor(list_reduce(list_concat([4294967295], range(8 * length({{0}}))), lambda acc, k: xor({BIT} >> 1, CASE WHEN {BIT} & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"
+
+
+def repair_sql() -> str:
+    """A recursion from the last row to the first, with the cheapest edits and the text that they make for each of the four states."""
+    never = "{'cost': 1000000000, 'audit': '', 'made': CAST([] AS VARCHAR[])}"
+
+    def put(of: str, letter: str, cost: str, line: str | None = None) -> str:
+        return f"{{'cost': {of}.cost + {cost}, 'audit': '{letter}' || {of}.audit, 'made': {f'list_prepend({line}, {of}.made)' if line else f'{of}.made'}}}"
+
+    def least(*ways: str) -> str:
+        return f"list_sort([{', '.join(ways)}])[1]"
+
+    def turned(made: str, to: str) -> str:
+        """Ways to make a role from a row: kept or reroled, if it may stay."""
+        own = put(to, "K", "(CASE status WHEN 1 THEN 5 ELSE 0 END)", "role || ':' || text")
+        new = put(to, "R", "(CASE status WHEN 1 THEN 6 ELSE 1 END)", f"'{made}:' || text")
+        return f"CASE WHEN status = 2 THEN {never} WHEN substr(role, 1, 1) = '{made[0]}' THEN {own} ELSE {new} END"
+
+    user, assistant = (lambda to: put(to, "I", "5", "'user:'")), (lambda to: put(to, "I", "5", "'assistant:'"))
+    system = f"CASE WHEN status <> 2 AND substr(role, 1, 1) = 's' THEN {put('f1', 'K', '(CASE status WHEN 1 THEN 5 ELSE 0 END)', "role || ':' || text")} ELSE {never} END"
+    closed = f"{least('e0', user('f2'))} AS f0, {least('e1', user('f2'))} AS f1, f2, f3"
+    half = f"e0, e1, {least('e2', assistant('e3'))} AS f2, {least('e3', user('e2'))} AS f3"
+    return f"""WITH RECURSIVE hm AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, harm FROM (SELECT *, {CRC32.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS harm FROM conversations)),
+dm AS (SELECT conv_id, turn, CASE harm WHEN 4 THEN 'user' ELSE role END AS role, CASE harm WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE harm WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM hm WHERE harm <> 0),
+nu AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i FROM dm),
+st AS (SELECT *, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') AS cut,
+  lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before, max(i) OVER (PARTITION BY conv_id) AS n FROM nu),
+rw AS (SELECT *, CASE WHEN blank OR again THEN 2 WHEN cut THEN 1 ELSE 0 END AS status FROM st),
+g AS (SELECT conv_id, n + 1 AS i, {closed} FROM (SELECT conv_id, n, {half} FROM (SELECT DISTINCT conv_id, n, {{'cost': 0, 'audit': '', 'made': CAST([] AS VARCHAR[])}} AS e0, {never} AS e1, {never} AS e2, {{'cost': 0, 'audit': '', 'made': CAST([] AS VARCHAR[])}} AS e3 FROM rw))
+  UNION ALL SELECT conv_id, i, {closed} FROM (SELECT conv_id, i, {half} FROM (SELECT rw.conv_id, rw.i,
+  {least(put('f0', 'D', '2'), turned('user', 'f2'), system)} AS e0, {least(put('f1', 'D', '2'), turned('user', 'f2'))} AS e1, {least(put('f2', 'D', '2'), turned('assistant', 'f3'))} AS e2, {least(put('f3', 'D', '2'), turned('user', 'f2'))} AS e3
+  FROM g JOIN rw ON rw.conv_id IS NOT DISTINCT FROM g.conv_id AND rw.i = g.i - 1))),
+co AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (cut AND NOT blank AND NOT again) AS truncated,
+  count(*) FILTER (before || substr(role, 1, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM rw GROUP BY 1)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+CAST(coalesce(f0.cost, 0) AS BIGINT) AS cost, coalesce(f0.audit, '') AS audit, sha256(coalesce(array_to_string(f0.made, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN co ON co.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN g ON g.i = 1 AND g.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Of the others, SQL has no spans with code points, tokenizer, parser or learned model; tests use brute force."""
-    return {"op1_url_filter": url_filter_sql(), "op4_decontaminate": CONTAINED, "op6_quality_rules": quality_rules_sql(), "op9_near_dedup": CLUSTERS, "op11_filter_audit": AUDIT}
+    return {"op1_url_filter": url_filter_sql(), "op4_decontaminate": CONTAINED, "op6_quality_rules": quality_rules_sql(), "op9_near_dedup": CLUSTERS, "op11_filter_audit": AUDIT, "op12_conversation_repair": repair_sql()}
