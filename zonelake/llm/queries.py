@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonelake.llm import byte_bpe, conversation_repair, decontaminate, filter_audit, html_wrapper, near_dedup, quality_classifier, quality_rules, secret_scan, suffix_tree_lm, url_filter, warc
+from zonelake.llm import byte_bpe, conversation_repair, decontaminate, filter_audit, html_wrapper, license_scan, near_dedup, quality_classifier, quality_rules, secret_scan, suffix_tree_lm, url_filter, warc
 from zonelake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,10 +70,14 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.detect(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_url_filter, op2_quality_classifier, op3_secret_scan, op4_decontaminate, op5_byte_bpe, op6_quality_rules, op7_html_wrapper, op8_warc, op9_near_dedup, op10_suffix_tree_lm, op11_filter_audit, op12_conversation_repair)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_url_filter, op2_quality_classifier, op3_secret_scan, op4_decontaminate, op5_byte_bpe, op6_quality_rules, op7_html_wrapper, op8_warc, op9_near_dedup, op10_suffix_tree_lm, op11_filter_audit, op12_conversation_repair, op13_license_scan)}
 
 
 # DuckDB SQL by other ways than the operators': nested loops over rules, unrolled propagation, joins of all shingles.
@@ -210,6 +214,27 @@ CAST(coalesce(f0.cost, 0) AS BIGINT) AS cost, coalesce(f0.audit, '') AS audit, s
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN co ON co.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN g ON g.i = 1 AND g.conv_id IS NOT DISTINCT FROM c.conv_id"""
 
 
+def license_sql() -> str:
+    """Phrases and template words by their texts; the words that hits cover are counted one by one."""
+    m = license_scan
+    words = f"list_filter(regexp_split_to_array({LOWER.format('{}')}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+    listed = " UNION ALL ".join(f"SELECT {k} AS template, '{name}' AS name, '{text}' AS text" for k, (name, text) in enumerate(m.TEMPLATES))
+    phrases = " UNION ALL ".join(f"SELECT '{p}' AS phrase, {len(p.split())} AS size, '{name}' AS name" for p, name in m.PHRASES.items())
+    gram = " || ' ' || ".join(f"w[i + {k}]" for k in range(m.K))
+    grams = f"unnest(list_transform(range(1, len(w) - {m.K - 2}), lambda i: {{'pos': i - 1, 'gram': {gram}}}), recursive := true)"
+    return f"""WITH dw AS (SELECT row_number() OVER () AS r, doc_id, {words.format("coalesce(text, '')")} AS w FROM documents), tw AS (SELECT template, name, {words.format("text")} AS w FROM ({listed})),
+dg AS (SELECT r, {grams} FROM dw), tg AS (SELECT template, name, len(w) AS length, {grams} FROM tw), hi AS (SELECT r, template, name, length, dg.pos AS place, tg.pos AS pos, dg.pos - tg.pos AS diagonal FROM dg JOIN tg ON dg.gram = tg.gram),
+di AS (SELECT DISTINCT r, template, diagonal FROM hi), ap AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) <= {m.SLACK} THEN 0 ELSE 1 END AS apart FROM di),
+sp AS (SELECT r, template, diagonal, sum(apart) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM ap), ct AS (SELECT hi.*, span, unnest(range(pos, pos + {m.K})) AS word FROM hi JOIN sp USING (r, template, diagonal)),
+ve AS (SELECT r, name, count(DISTINCT word) AS covered, length FROM ct GROUP BY r, template, name, length, span HAVING (CASE WHEN length < {m.LONG} THEN count(DISTINCT word) = length ELSE count(DISTINCT word) >= {m.SHARE} * length END) AND max(place) + {m.K} - min(place) <= 2 * length),
+me AS (SELECT r, list(DISTINCT name) AS names, max(covered / length) AS best FROM ve GROUP BY r),
+pl AS (SELECT r, i - 1 AS place, name FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM dw), ({phrases}) WHERE array_to_string(w[i:i + size - 1], ' ') = phrase),
+ba AS (SELECT r, count(*) AS n, min(place) AS lo, max(place) AS hi, list(DISTINCT name) AS names FROM pl GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(array_to_string(list_sort(ba.names), ','), '') AS base_labels,
+coalesce(array_to_string(list_sort(list_distinct(list_concat(ba.names, me.names))), ','), '') AS labels, CAST(CASE WHEN n > 0 THEN 1 ELSE coalesce(best, 0) END AS DOUBLE) AS score
+FROM dw LEFT JOIN ba ON ba.r = dw.r LEFT JOIN me ON me.r = dw.r"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Of the others, SQL has no spans with code points, tokenizer, parser or learned model; tests use brute force."""
-    return {"op1_url_filter": url_filter_sql(), "op4_decontaminate": CONTAINED, "op6_quality_rules": quality_rules_sql(), "op9_near_dedup": CLUSTERS, "op11_filter_audit": AUDIT, "op12_conversation_repair": repair_sql()}
+    return {"op1_url_filter": url_filter_sql(), "op4_decontaminate": CONTAINED, "op6_quality_rules": quality_rules_sql(), "op9_near_dedup": CLUSTERS, "op11_filter_audit": AUDIT, "op12_conversation_repair": repair_sql(), "op13_license_scan": license_sql()}
