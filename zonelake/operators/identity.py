@@ -9,14 +9,17 @@ import hashlib
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonelake.functions.identity import as_doubles, cosine
+from zonelake.operators import order_stats
 from zonelake.operators.folds import ordered
 
 THRESHOLD, MARGIN = 0.70, 0.06
 GALLERY, BANK, TTL_US = 2000, 5, 300_000_000
+#: Parts in which rows meet a block of a larger gallery.
+SALTS = 64
 TRANSIT_US, SKEW_US = (0, 120_000_000), 5_000_000
 
 
@@ -59,24 +62,41 @@ def gallery_means(views: DataFrame, key: str, vector: str) -> DataFrame:
     return means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__m"))), lambda p: p["__m"]).alias("mean"))
 
 
-def best_match(tracks: DataFrame, gallery: DataFrame, track: str, vector: str, key: str) -> DataFrame:
-    """For each track the best key of the gallery and the runner-up's score; matched if the best is at or over the
-    threshold and leads by the margin. The gallery is cut into blocks of about GALLERY keys; each gives a track its two best, of
-    which the two best of all follow. One block is broadcast, more are dealt by their number."""
+def in_blocks(rows: DataFrame, gallery: DataFrame, key: str) -> DataFrame:
+    """Each row once for each block of about GALLERY keys, with the block as an array (k, mean).
+
+    One block is small enough to be broadcast. Of more, each is repeated for SALTS parts of the rows, so that a task gets a part of
+    the rows and one block at a time.
+    """
     blocks = max(1, -(-gallery.count() // GALLERY))
     number = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
     listed = gallery.groupBy(number.alias("__block")).agg(F.collect_list(F.struct(F.col(key).alias("k"), "mean")).alias("__gallery"))
-    each = tracks.select(track, vector, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"))
-    each = each.join(F.broadcast(listed) if blocks == 1 else listed, "__block", "left")
+    if blocks == 1:
+        return rows.withColumn("__block", F.lit(0)).join(F.broadcast(listed), "__block", "left").drop("__block")
+    salted = listed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    each = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return each.join(salted, ["__block", "__salt"], "left").drop("__block", "__salt")
+
+
+def best_match(tracks: DataFrame, gallery: DataFrame, track: str, vector: str, key: str) -> DataFrame:
+    """For each track the best key of the gallery and the runner-up's score; matched if the best is at or over the
+    threshold and leads by the margin. Each block of the gallery gives a track its two best, of which the two best of all follow."""
     rank = lambda scores: F.slice(F.sort_array(scores, asc=False), 1, 2)
     top = rank(F.transform("__gallery", lambda g: F.struct(cosine(F.col(vector), g["mean"]).alias("s"), (-g["k"]).alias("k"))))
-    scored = each.select(track, top.alias("__top")).groupBy(track).agg(rank(F.flatten(F.collect_list("__top"))).alias("__scores"))
+    scored = in_blocks(tracks.select(track, vector), gallery, key).select(track, top.alias("__top")).groupBy(track).agg(rank(F.flatten(F.collect_list("__top"))).alias("__scores"))
     best, second = F.get("__scores", F.lit(0)), F.coalesce(F.get("__scores", F.lit(1))["s"], F.lit(0.0))
     score = F.greatest(best["s"], F.lit(0.0))
     out = scored.select(track, (-best["k"]).alias("best"), score.alias("score"), F.greatest(second, F.lit(0.0)).alias("runner_up"))
     return out.withColumn("matched", (F.col("score") >= THRESHOLD) & (F.col("score") - F.col("runner_up") >= MARGIN))
 
 
+def scored_pairs(views: DataFrame, gallery: DataFrame, label: str, vector: str, key: str, digits: int = 6) -> DataFrame:
+    """(same, score) of every view with every mean: whether it is its own person's, and the rounded cosine. Scores are told apart by
+    value only, so separability() counts them where they are made and pairs are never moved."""
+    scores = F.transform("__gallery", lambda g: F.struct((g["k"] == F.col(label)).alias("same"), F.round(cosine(F.col(vector), g["mean"]), digits).alias("score")))
+    return in_blocks(views.select(label, vector), gallery, key).select(F.inline(scores))
+
+
 @dataclass
 class Person:
     ref: str
@@ -244,8 +264,6 @@ def counts(resolved: DataFrame) -> DataFrame:
 
 def separability(pairs: DataFrame) -> DataFrame:
     """Lowest, upper median and highest score of true and of false pairs (same, score), and the gap between them."""
-    place = F.row_number().over(Window.partitionBy("same").orderBy("score"))
-    n = F.count("*").over(Window.partitionBy("same"))
-    stats = pairs.withColumn("__p", place).withColumn("__n", n).groupBy("same").agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.max(F.when(F.col("__p") == F.floor(F.col("__n") / 2) + 1, F.col("score"))).alias("median"), F.count("*").alias("n"))
+    stats = order_stats.select(pairs, ["same"], "score", {"lo": lambda n: n * 0, "median": order_stats.upper_median, "hi": lambda n: n - 1})
     pick = lambda c, same: F.max(F.when(F.col("same") == same, F.col(c)))
     return stats.agg(pick("lo", True).alias("true_min"), pick("median", True).alias("true_median"), pick("hi", False).alias("false_max"), pick("median", False).alias("false_median"), (pick("lo", True) - pick("hi", False)).alias("gap"))

@@ -1,7 +1,8 @@
 """Primitives over half-open intervals [a_us, b_us) in microseconds, by key.
 
-Keys may be very unequal: hold_forward() and merge() work within chunks of time and carry over only one row for each
-chunk, and overlaps meet in bins of time, so no task needs all rows of a key.
+Keys may be very unequal, so whatever follows the order of a key's rows works on two levels: within chunks of time, then over
+one summary row for each chunk (scan(), hold_forward(), previous(), runs(), and merge() and offline() by these); overlaps
+meet in bins of time. No task needs all rows of a key.
 """
 
 from __future__ import annotations
@@ -28,12 +29,35 @@ def hold_forward(rows: DataFrame, keys: list[str], ts: str = "ts_us", seq: str =
     return held.withColumn(into, F.coalesce("__inside", "__next")).drop("__chunk", "__inside", "__next")
 
 
+def scan(rows: DataFrame, keys: list[str], values: dict[str, tuple[str, Column]], order: list[str], inclusive: bool = True, chunk_us: int = DAY) -> DataFrame:
+    """Adds running aggregates over a key's rows in order, whose first column is a time: values are (max, min or sum, expression) by
+    the name they get. Not inclusive: over the rows before.
+
+    These functions are associative, so a row's value is that of its chunk up to it, together with that of all chunks before.
+    """
+    functions = {"max": (F.max, F.greatest), "min": (F.min, F.least), "sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b))}
+    chunked = rows.withColumns({"__chunk": F.floor(F.col(order[0]) / chunk_us), **{f"__of_{n}": of for n, (_, of) in values.items()}})
+    inside = Window.partitionBy(*keys, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    sums = chunked.groupBy(*keys, "__chunk").agg(*[functions[how][0](f"__of_{n}").alias(f"__of_{n}") for n, (how, _) in values.items()])
+    chunks = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "__chunk", *[functions[how][0](f"__of_{n}").over(chunks).alias(f"__before_{n}") for n, (how, _) in values.items()])
+    scanned = chunked.withColumns({f"__in_{n}": functions[how][0](f"__of_{n}").over(inside) for n, (how, _) in values.items()}).join(sums, [*keys, "__chunk"])
+    scanned = scanned.withColumns({n: functions[how][1](F.col(f"__in_{n}"), F.col(f"__before_{n}")) for n, (how, _) in values.items()})
+    return scanned.drop("__chunk", *[f"__{x}_{n}" for n in values for x in ("of", "in", "before")])
+
+
+def chunk_ends(chunked: DataFrame, keys: list[str], ts: str, seq: str, *columns: str) -> DataFrame:
+    """The last row of each chunk."""
+    place = F.row_number().over(Window.partitionBy(*keys, "__chunk").orderBy(F.desc(ts), F.desc(seq)))
+    return chunked.select(*dict.fromkeys([*keys, "__chunk", ts, seq, *columns])).withColumn("__place", place).where("__place = 1").drop("__place")
+
+
 def previous(rows: DataFrame, keys: list[str], column: str, into: str, ts: str = "ts_us", seq: str = "seq", chunk_us: int = DAY) -> DataFrame:
     """Adds a column's value in the row before of the key, null for the first; within chunks as hold_forward()."""
     chunked = rows.withColumn("__chunk", F.floor(F.col(ts) / chunk_us))
     inside = F.lag(F.struct(F.col(column).alias("v"))).over(Window.partitionBy(*keys, "__chunk").orderBy(ts, seq))
-    ends = chunked.groupBy(*keys, "__chunk").agg(F.max_by(F.struct(F.col(column).alias("v")), F.struct(ts, seq)).alias("__end"))
-    ends = ends.withColumn("__carried", F.lag("__end").over(Window.partitionBy(*keys).orderBy("__chunk"))).drop("__end")
+    ends = chunk_ends(chunked, keys, ts, seq, column).withColumn("__carried", F.lag(F.struct(F.col(column).alias("v"))).over(Window.partitionBy(*keys).orderBy("__chunk")))
+    ends = ends.select(*keys, "__chunk", "__carried")
     return chunked.withColumn("__inside", inside).join(ends, [*keys, "__chunk"]).withColumn(into, F.coalesce("__inside", "__carried")["v"]).drop("__chunk", "__inside", "__carried")
 
 
@@ -45,8 +69,7 @@ def runs(rows: DataFrame, keys: list[str], value: Column, into: str = "run", ts:
     chunked = rows.withColumn("__chunk", F.floor(F.col(ts) / chunk_us)).withColumn("__value", F.struct(value.alias("value")))
     inside = Window.partitionBy(*keys, "__chunk").orderBy(ts, seq)
     chunks = Window.partitionBy(*keys).orderBy("__chunk")
-    ends = chunked.groupBy(*keys, "__chunk").agg(F.max_by("__value", F.struct(ts, seq)).alias("__end"))
-    ends = ends.withColumn("__carried", F.lag("__end").over(chunks)).drop("__end")
+    ends = chunk_ends(chunked, keys, ts, seq, "__value").withColumn("__carried", F.lag("__value").over(chunks)).select(*keys, "__chunk", "__carried")
     before = F.coalesce(F.lag("__value").over(inside), F.col("__carried"))
     place = F.struct(F.col(ts).alias("ts_us"), F.col(seq).alias("seq"))
     marked = chunked.join(ends, [*keys, "__chunk"]).withColumn("__start", F.when(before.isNull() | ~before.eqNullSafe(F.col("__value")), place))
@@ -68,13 +91,16 @@ def clip(rows: DataFrame, t0: int, t1: int) -> DataFrame:
 
 
 def merge(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Coalesces overlapping and touching intervals of a key; empty ones are dropped."""
+    """Coalesces overlapping and touching intervals of a key; empty ones are dropped.
+
+    An interval begins a new one if it begins after all ends before it, and belongs to the last that began: two scans.
+    """
     cleaned = rows.where("b_us > a_us").select(*keys, "a_us", "b_us")
-    w = Window.partitionBy(*keys).orderBy("a_us", "b_us")
-    reach = F.max("b_us").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    starts = cleaned.withColumn("__new", F.when(reach.isNull() | (F.col("a_us") > reach), 1).otherwise(0))
-    islands = starts.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy(*keys, "__island").agg(F.min("a_us").alias("a_us"), F.max("b_us").alias("b_us")).drop("__island")
+    reached = scan(cleaned, keys, {"__reach": ("max", F.col("b_us"))}, ["a_us", "b_us"], inclusive=False)
+    begins = F.when(F.col("__reach").isNull() | (F.col("a_us") > F.col("__reach")), F.col("a_us"))
+    # Of equal intervals the one that begins comes first.
+    placed = scan(reached.withColumn("__begins", begins).withColumn("__late", F.col("__begins").isNull()), keys, {"__began": ("max", F.col("__begins"))}, ["a_us", "__late"])
+    return placed.groupBy(*keys, "__began").agg(F.min("a_us").alias("a_us"), F.max("b_us").alias("b_us")).drop("__began")
 
 
 def binned(rows: DataFrame, bin_us: int = DAY) -> DataFrame:
@@ -124,8 +150,8 @@ def overlap_us(rows: DataFrame, blind: DataFrame, keys: list[str], ids: list[str
 
 def offline(events: DataFrame, t0: int, t1: int, keys: tuple[str, ...] = ("camera_id",)) -> DataFrame:
     """Outages from CAMERA_OFFLINE until the next ONLINE or RECOVERED, clipped; one that is still open lasts until t1."""
-    w = Window.partitionBy(*keys).orderBy("ts_us", "seq")
-    flag = events.where(F.col("event_type").isin("CAMERA_OFFLINE", "CAMERA_ONLINE", "CAMERA_RECOVERED")).withColumn("__down", F.col("event_type") == "CAMERA_OFFLINE")
-    flips = flag.withColumn("__before", F.lag("__down").over(w)).where(F.coalesce(F.col("__down") != F.col("__before"), F.col("__down")))
-    spans = flips.withColumn("b_us", F.coalesce(F.lead("ts_us").over(w), F.lit(t1))).where("__down")
-    return clip(spans.select(*keys, F.col("ts_us").alias("a_us"), "b_us"), t0, t1)
+    marks = events.where(F.col("event_type").isin("CAMERA_OFFLINE", "CAMERA_ONLINE", "CAMERA_RECOVERED"))
+    marks = marks.select(*keys, "ts_us", "seq", (F.col("event_type") == "CAMERA_OFFLINE").alias("__down"))
+    flips = previous(marks, list(keys), "__down", "__before").where(F.coalesce(F.col("__down") != F.col("__before"), F.col("__down")))
+    spans = hold_forward(flips, list(keys), into="b_us").where("__down")
+    return clip(spans.select(*keys, F.col("ts_us").alias("a_us"), F.coalesce("b_us", F.lit(t1)).alias("b_us")), t0, t1)

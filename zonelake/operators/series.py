@@ -15,11 +15,31 @@ from zonelake.operators import intervals as iv
 KEY = ["camera_id", "zone_id"]
 
 
+def place_of(order: list[str]) -> Column:
+    """One or two whole numbers as one decimal of the same order: unlike a structure, its maximum is kept in a hash table, so rows are
+    combined before the shuffle without a sort. A null comes before all numbers."""
+    low = F.lit(-(2**62))
+    first, *rest = (F.coalesce(F.col(c).cast("long"), low).cast("decimal(19,0)") for c in order)
+    for other in rest:
+        first = first * F.lit(str(2 * 10**19)).cast("decimal(20,0)") + other
+    return first.cast("decimal(38,0)")
+
+
+def winners(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The last row of each key by one or two whole numbers. The last place is found first; rows meet it by key and place, and of copies
+    in one place, one stays."""
+    placed = rows.withColumn("__place", place_of(order))
+    last = placed.groupBy(*keys).agg(F.max("__place").alias("__last")).select(*[F.col(k).alias(f"__{k}") for k in keys], "__last")
+    on = F.col("__place") == F.col("__last")
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    one = F.row_number().over(Window.partitionBy(*keys).orderBy("__place"))
+    return placed.join(last, on).withColumn("__copy", one).where("__copy = 1").select(*rows.columns)
+
+
 def latest(rows: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    """The latest row of each key, by time and then arrival; aggregated before the shuffle."""
-    others = [c for c in rows.columns if c not in keys]
-    picked = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct("ts_us", "seq")).alias("__row"))
-    return picked.select(*keys, *[F.col("__row")[c].alias(c) for c in others]).select(*rows.columns)
+    """The latest row of each key, by time and then arrival."""
+    return winners(rows, keys, ["ts_us", "seq"])
 
 
 def window_rows(readings: DataFrame, t0: int, t1: int) -> DataFrame:
@@ -109,12 +129,12 @@ def bucket_series(readings: DataFrame, outages: DataFrame, t0: int, t1: int, ste
 
 def state_at(readings: DataFrame, at: list[int], max_hold_us: int | None) -> DataFrame:
     """Per key and instant the reading in force, its age, and whether it is older than max_hold_us; instants before
-    the first reading have no row. Instants are few; the last reading before each is aggregated ahead of the shuffle."""
-    others = [c for c in readings.columns if c not in KEY]
-    times = F.array(*[F.lit(t).cast("long") for t in at])
-    known = readings.where(F.col("ts_us") <= max(at)).withColumn("at_us", F.explode(F.filter(times, lambda t: t >= F.col("ts_us"))))
-    found = known.groupBy(*KEY, "at_us").agg(F.max_by(F.struct(*others), F.struct("ts_us", "seq")).alias("__row"))
-    found = found.select(*[(F.col("__row")[c].alias(c) if c in others else F.col(c)) for c in readings.columns], "at_us")
+    the first reading have no row. asof.zone_at() is the same for a table of instants, with the camera's outages."""
+    from zonelake.operators.asof import as_of
+
+    asked = readings.select(*KEY).distinct().withColumn("at_us", F.explode(F.array(*[F.lit(t).cast("long") for t in at])))
+    found = as_of(asked, readings, KEY).where("found IS NOT NULL")
+    found = found.select(*[(F.col(c) if c in KEY else F.col(f"found.{c}")) for c in readings.columns], "at_us")
     found = found.withColumn("age_us", F.col("at_us") - F.col("ts_us"))
     return found.withColumn("stale", F.col("age_us") > max_hold_us if max_hold_us else F.lit(False))
 

@@ -8,14 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from zonelake.operators import intervals as iv
-from zonelake.operators.series import KEY, latest
+from zonelake.operators.series import KEY, latest, winners
 
 
 def last_write_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """One row per key, the one that arrived last; no sort, the winner is aggregated before the shuffle."""
-    others = [c for c in rows.columns if c not in key]
-    picked = rows.groupBy(*key).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("__row"))
-    return picked.select(*key, *[F.col("__row")[c].alias(c) for c in others]).select(*rows.columns)
+    """One row per key, the one that arrived last by one or two whole numbers; its place is aggregated before the shuffle, without a
+    sort."""
+    return winners(rows, key, order)
 
 
 def live_rows(states: DataFrame) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonelake.operators import folds
-
-from zonelake.operators.series import KEY
+from zonelake.operators import intervals as iv
+from zonelake.operators import order_stats
+from zonelake.operators.series import KEY, place_of
 
 SECOND = 1_000_000
 FLOW_WINDOWS = {"1m": 60 * SECOND, "5m": 300 * SECOND, "15m": 900 * SECOND}
@@ -75,8 +76,7 @@ def running_peak(states: DataFrame) -> DataFrame:
 def last_in_window(states: DataFrame, period: str = "5 seconds") -> DataFrame:
     """One reading per key and period of the clock: the last in it."""
     rows = states.withColumn("window", F.window(F.timestamp_micros("ts_us"), period))
-    order = F.struct("ts_us", "seq")
-    return rows.groupBy(*KEY, F.unix_micros("window.start").alias("window_us")).agg(F.max_by("occupancy", order).alias("occupancy"), F.max("ts_us").alias("ts_us"), F.count("*").alias("samples"))
+    return rows.groupBy(*KEY, F.unix_micros("window.start").alias("window_us")).agg(F.max_by("occupancy", place_of(["ts_us", "seq"])).alias("occupancy"), F.max("ts_us").alias("ts_us"), F.count("*").alias("samples"))
 
 
 def islands(rows: DataFrame, keys: list[str], starts: Column, into: str = "island") -> DataFrame:
@@ -120,8 +120,7 @@ def intrusions(stays: DataFrame, key: list[str], zones: DataFrame) -> DataFrame:
 
 def silences(heartbeats: DataFrame, limit_us: int = 30 * SECOND, poll_us: int = 5 * SECOND) -> DataFrame:
     """Rule R-07: FIRE at the first poll after more than limit_us of silence, CLEAR when the camera is heard again."""
-    w = Window.partitionBy("camera_id").orderBy("ts_us")
-    gaps = heartbeats.select("camera_id", "ts_us").distinct().withColumn("next_us", F.lead("ts_us").over(w))
+    gaps = iv.hold_forward(heartbeats.select("camera_id", "ts_us").distinct(), ["camera_id"], seq="ts_us")
     polled = (F.floor((F.col("ts_us") + limit_us) / poll_us) + 1) * poll_us
     fired = gaps.withColumn("fire_us", polled).where(F.col("next_us").isNotNull() & (F.col("fire_us") < F.col("next_us")))
     pair = F.array(F.struct(F.lit("FIRE").alias("kind"), F.col("fire_us").alias("ts_us")), F.struct(F.lit("CLEAR").alias("kind"), F.col("next_us").alias("ts_us")))
@@ -142,10 +141,9 @@ def stamp_occupancy(movements: DataFrame, observations: DataFrame) -> DataFrame:
     return out.fillna(0, ["occupancy", "occupancy_from"])
 
 
-def upper_quantile(values: Column, q: float = 0.75) -> Column:
-    """Of the array of a short span's values the one at floor(n * q), counted from 0, at most the last."""
-    ordered = F.array_sort(values)
-    return F.get(ordered, F.least(F.size(values) - 1, F.floor(F.size(values) * q).cast("int")))
+def presence(rows: DataFrame, keys: list[str], value: str, q: float = 0.75) -> DataFrame:
+    """(keys, presence): of each group's values the one at floor(n * q), counted from 0, at most the last."""
+    return order_stats.select(rows, keys, value, {"presence": order_stats.upper_quantile(q)}).drop("n")
 
 
 def bank(observations: DataFrame, key: list[str], vector: str, k: int = 5) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from zonelake.functions import identity as idf
 from zonelake.functions import scalars, validate
-from zonelake.operators import folds, geometry, identity, intervals, series, store, tracks
+from zonelake.operators import asof, folds, geometry, identity, intervals, series, store, tracks
 from zonelake.plans import domain as d
 from zonelake.plans import reports, views
 from zonelake.streaming import operators as streaming
@@ -145,6 +145,32 @@ def state_at(spark, sf_dir):
     return series.state_at(d.states(spark, sf_dir), INSTANTS, HOLD)
 
 
+INSTANT_SQL = f"""q AS (SELECT seq AS asked, camera_id, zone_id, ts_us + seq % 3 * {HOUR} AS at_us FROM ev WHERE event_type IN ('purchase', 'error', 'signup'))"""
+
+
+def instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An instant for each purchase, error and signup: at it, one and two hours later."""
+    asked = d.events(spark, sf_dir).where(F.col("event_type").isin("purchase", "error", "signup"))
+    return asked.select(F.col("seq").alias("asked"), *d.KEY, (F.col("ts_us") + F.col("seq") % 3 * HOUR).alias("at_us"))
+
+
+@query(f"""{W}, {OUT}, {INSTANT_SQL}, x AS (SELECT q.asked, st.seq, st.ts_us, occupancy, status, row_number() OVER (PARTITION BY q.asked ORDER BY st.ts_us DESC, st.seq DESC) AS rn FROM q JOIN st ON q.camera_id = st.camera_id AND q.zone_id = st.zone_id AND st.ts_us <= at_us),
+dn AS (SELECT asked, EXISTS (SELECT 1 FROM ofl WHERE ofl.camera_id = q.camera_id AND at_us BETWEEN ofl.a AND ofl.b) AS down FROM q)
+SELECT q.asked, q.camera_id, q.zone_id, at_us, x.seq, x.ts_us, occupancy, status, at_us - x.ts_us AS age_us, at_us - x.ts_us > {HOLD} AS stale, down AS camera_offline, NOT (at_us - x.ts_us > {HOLD} OR down) AS trustworthy
+FROM q JOIN dn ON dn.asked = q.asked LEFT JOIN x ON x.asked = q.asked AND rn = 1""")
+def zone_at(spark, sf_dir):
+    """The reading in force at each of many instants, by zone, and whether it can be trusted."""
+    states = d.states(spark, sf_dir).select("seq", "ts_us", *d.KEY, "occupancy", "status")
+    out = asof.zone_at(instants(spark, sf_dir), states, outages(spark, sf_dir), HOLD)
+    return out.select("asked", *d.KEY, "at_us", "state.seq", "state.ts_us", "state.occupancy", "state.status", "age_us", "stale", "camera_offline", "trustworthy")
+
+
+@query(f"""{W}, {OUT}, {INSTANT_SQL} SELECT q.asked, q.camera_id, at_us FROM q WHERE EXISTS (SELECT 1 FROM ofl WHERE ofl.camera_id = q.camera_id AND at_us BETWEEN ofl.a AND ofl.b)""")
+def instants_in_outages(spark, sf_dir):
+    """The instants at which their camera was down."""
+    return asof.covered(instants(spark, sf_dir), outages(spark, sf_dir), ["camera_id"], "down").where("down").select("asked", "camera_id", "at_us")
+
+
 EPISODES = f"""{W}, {OUT}, {SEG}, ep0 AS (SELECT camera_id, zone_id, a, tb AS b FROM tr WHERE occupancy >= 8 AND tb > a),
 cut AS (SELECT camera_id, zone_id, a AS t, 1 AS kind FROM ep0 UNION ALL SELECT camera_id, zone_id, b, -1 FROM ep0
   UNION ALL SELECT k.camera_id, k.zone_id, ofl.a, -1000 FROM ofl JOIN (SELECT DISTINCT camera_id, zone_id FROM wr) k ON k.camera_id = ofl.camera_id
@@ -491,7 +517,7 @@ x AS (SELECT camera_id, zone_id, span, occupancy, row_number() OVER (PARTITION B
 SELECT camera_id, zone_id, span, occupancy AS presence FROM x WHERE rn = least(n, CAST(floor(n * 0.75) AS BIGINT) + 1)""")
 def presence_quantile(spark, sf_dir):
     rows = store.in_range(d.states(spark, sf_dir), T0, T1).withColumn("span", F.floor(F.col("ts_us") / (6 * HOUR)))
-    return rows.groupBy(*d.KEY, "span").agg(tracks.upper_quantile(F.collect_list("occupancy")).alias("presence"))
+    return tracks.presence(rows, [*d.KEY, "span"], "occupancy")
 
 
 TOPOLOGY = [("CAM-00", "CAM-01", "OVERLAP", 0, 2 * HOUR), ("CAM-01", "CAM-02", "TRANSIT", HOUR // 2, 3 * HOUR), ("CAM-02", "CAM-03", "TRANSIT", 0, HOUR)]
@@ -529,8 +555,7 @@ SELECT min(CASE WHEN same THEN score END) AS true_min, max(CASE WHEN same AND rn
  round(min(CASE WHEN same THEN score END) - max(CASE WHEN NOT same THEN score END), 6) AS gap FROM o""")
 def separability(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    means = identity.gallery_means(vectors, "label", "embedding").select(F.col("label").alias("k"), "mean")
-    pairs = vectors.join(F.broadcast(means)).select((F.col("label") == F.col("k")).alias("same"), F.round(idf.cosine(F.col("embedding"), F.col("mean")), 6).alias("score"))
+    pairs = identity.scored_pairs(vectors, identity.gallery_means(vectors, "label", "embedding"), "label", "embedding", "label")
     return identity.separability(pairs).withColumn("gap", F.round("gap", 6))
 
 
