@@ -181,9 +181,11 @@ def test_streams_equal_batch(spark, tmp_path, files):
     stream = lambda: spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     rows = lambda df, key: sorted(tuple(r[c] for c in key) for r in df.collect())
     key = ["camera_id", "seq", "ts_us"]
-    assert rows(streaming.drain(streaming.write_gate(stream(), 30 * S), str(tmp_path / "g")), key) == rows(folds.gated(stored, 30 * S), key)
+    gated = streaming.finish(lambda end: streaming.write_gate(stream(), 30 * S, closing=end), spark, str(tmp_path / "g"))
+    assert rows(gated, key) == rows(folds.gated(stored, 30 * S), key)
     alert = ["camera_id", "seq", "rule_id", "kind"]
-    assert rows(streaming.drain(streaming.zone_alerts(stream(), 0), str(tmp_path / "a")), alert) == rows(folds.zone_alerts(stored, 0), alert)
+    alerts = streaming.finish(lambda end: streaming.zone_alerts(stream(), 0, closing=end), spark, str(tmp_path / "a"))
+    assert rows(alerts, alert) == rows(folds.zone_alerts(stored, 0), alert)
     windows = streaming.drain(streaming.windowed(stream(), "1 minute"), str(tmp_path / "w"))
     assert {(r.camera_id, r.window_us, r.occupancy) for r in windows.collect()} <= {(r.camera_id, r.window_us, r.occupancy) for r in tracks.last_in_window(stored, "1 minute").collect()}
 

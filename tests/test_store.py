@@ -59,8 +59,9 @@ def test_streaming_debounce_equals_batch(spark, tmp_path):
     rows = [("C", i % 3, i, i * S, rng.choice(("A", "A", "B", None))) for i in range(300)]
     frame = spark.createDataFrame(rows, "camera_id string, track_id long, seq long, ts_us long, zone_id string")
     frame.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = streaming.debounced(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")), 2)
-    assert sorted(map(str, streaming.drain(stream, str(tmp_path / "s")).collect())) == sorted(map(str, folds.debounced(frame, ["camera_id", "track_id"], 2).select(*stream.columns).collect()))
+    read = lambda: spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
+    found = streaming.finish(lambda end: streaming.debounced(read(), 2, closing=end), spark, str(tmp_path / "s"))
+    assert sorted(map(str, found.collect())) == sorted(map(str, folds.debounced(frame, ["camera_id", "track_id"], 2).select(*found.columns).collect()))
 
 
 def test_own_limits(spark):

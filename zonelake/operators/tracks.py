@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,17 +86,67 @@ def islands(rows: DataFrame, keys: list[str], starts: Column, into: str = "islan
     return rows.withColumn(into, F.sum(F.when(starts, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def numbered(observations: DataFrame, key: list[str], ttl_us: int) -> DataFrame:
+    """Adds the session of a row: a silence of more than the TTL ends one."""
+    before = F.lag("ts_us").over(Window.partitionBy(*key).orderBy("ts_us", "seq"))
+    marked = observations.withColumn("__new", before.isNull() | (F.col("ts_us") - before > ttl_us))
+    return islands(marked, key, F.col("__new"), "session").drop("__new")
+
+
 def sessions(observations: DataFrame, key: list[str], ttl_us: int = 5 * SECOND) -> DataFrame:
     """Lifecycle of tracks: a silence of more than the TTL ends one. Zones in order, without neighbours of the same name."""
-    w = Window.partitionBy(*key).orderBy("ts_us", "seq")
-    before = F.lag("ts_us").over(w)
-    marked = observations.withColumn("__new", before.isNull() | (F.col("ts_us") - before > ttl_us))
-    numbered = islands(marked, key, F.col("__new"), "session")
-    listed = numbered.groupBy(*key, "session").agg(F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ts_us", "seq", "zone_id"))).alias("__seen"))
+    listed = numbered(observations, key, ttl_us).groupBy(*key, "session").agg(F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ts_us", "seq", "zone_id"))).alias("__seen"))
     visited = F.filter("__seen", lambda x, i: x["zone_id"].isNotNull() & ((i == 0) | ~x["zone_id"].eqNullSafe(F.get(F.col("__seen"), i - 1)["zone_id"])))
     return listed.withColumn("zones_visited", F.transform(visited, lambda x: x["zone_id"])).drop("__seen")
 
 
+END = "camera_id string, track_id long, first_us long, last_us long, n long, zone_id string, exit_us long"
+
+
+def ends(observations: DataFrame, key: list[str], ttl_us: int = 5 * SECOND, until_us: int | None = None) -> DataFrame:
+    """Sessions that have ended by until_us: their place in time, and the exit (zone_id, exit_us) of a track that vanished inside a zone,
+    without which occupancy counted from events would never come down. A track is gone ttl_us after it was last seen."""
+    sized = numbered(observations, key, ttl_us).groupBy(*key, "session").agg(F.min("ts_us").alias("first_us"), F.max(place_of(["ts_us", "seq"])).alias("__place"), F.max("ts_us").alias("last_us"), F.count("*").alias("n"))
+    last = observations.select(*key, F.col("zone_id"), place_of(["ts_us", "seq"]).alias("__place"))
+    found = sized.join(last, [*key, "__place"])
+    gone = F.lit(True) if until_us is None else F.col("last_us") + ttl_us < until_us
+    return found.where(gone).select(*key, "first_us", "last_us", "n", "zone_id", F.when(F.col("zone_id").isNotNull(), F.col("last_us") + ttl_us).alias("exit_us"))
+
+
+def track_states(observations: DataFrame, key: list[str], now_us: int, ttl_us: int = 5 * SECOND) -> DataFrame:
+    """(key, first_us, last_us, n, state) of each session begun by now_us: tentative until it was in a zone, tracked from then on,
+    completed once it has been gone for more than the TTL."""
+    begun = numbered(observations.where(F.col("ts_us") <= now_us), key, ttl_us)
+    sized = begun.groupBy(*key, "session").agg(F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.count("*").alias("n"), F.count("zone_id").alias("__in"))
+    state = F.when(now_us - F.col("last_us") > ttl_us, "completed").when(F.col("__in") > 0, "tracked").otherwise("tentative")
+    return sized.withColumn("state", state).drop("session", "__in")
+
+
+@dataclass
+class Presence:
+    """One track, for rows in order of time."""
+
+    ttl_us: int
+    first_us: int = 0
+    last_us: int | None = None
+    n: int = 0
+    zone: str | None = None
+
+    def step(self, row: dict) -> list[tuple]:
+        if self.last_us is None:
+            self.first_us, self.n = row["ts_us"], 0
+        self.last_us, self.zone, self.n = row["ts_us"], row["zone_id"], self.n + 1
+        return []
+
+    def deadline(self) -> int | None:
+        return None if self.last_us is None else self.last_us + self.ttl_us
+
+    def expire(self, now: int) -> list[tuple]:
+        out = [(self.first_us, self.last_us, self.n, self.zone, None if self.zone is None else now)]
+        self.last_us = None
+        return out
+
+
 def dwell(observations: DataFrame, key: list[str]) -> DataFrame:
     """Adds how long a track has been in its zone without leaving it, and the number of that stay; 0 outside of zones."""
     w = Window.partitionBy(*key).orderBy("ts_us", "seq")
@@ -118,13 +169,37 @@ def intrusions(stays: DataFrame, key: list[str], zones: DataFrame) -> DataFrame:
     return stays.join(restricted, KEY, "left_semi").groupBy(*dict.fromkeys([*key, "camera_id", "zone_id", "stay"])).agg(F.min("ts_us").alias("ts_us"), F.lit("R-06").alias("rule_id"))
 
 
-def silences(heartbeats: DataFrame, limit_us: int = 30 * SECOND, poll_us: int = 5 * SECOND) -> DataFrame:
-    """Rule R-07: FIRE at the first poll after more than limit_us of silence, CLEAR when the camera is heard again."""
+def silences(heartbeats: DataFrame, limit_us: int = 30 * SECOND, poll_us: int = 5 * SECOND, until_us: int | None = None) -> DataFrame:
+    """Rule R-07: FIRE at the first poll after more than limit_us of silence, CLEAR when the camera is heard again. A silence that is
+    still open fires if its poll is not after until_us."""
     gaps = iv.hold_forward(heartbeats.select("camera_id", "ts_us").distinct(), ["camera_id"], seq="ts_us")
     polled = (F.floor((F.col("ts_us") + limit_us) / poll_us) + 1) * poll_us
-    fired = gaps.withColumn("fire_us", polled).where(F.col("next_us").isNotNull() & (F.col("fire_us") < F.col("next_us")))
+    ended = F.lit(False) if until_us is None else F.col("next_us").isNull() & (F.col("fire_us") <= until_us)
+    fired = gaps.withColumn("fire_us", polled).where((F.col("fire_us") < F.col("next_us")) | ended)
     pair = F.array(F.struct(F.lit("FIRE").alias("kind"), F.col("fire_us").alias("ts_us")), F.struct(F.lit("CLEAR").alias("kind"), F.col("next_us").alias("ts_us")))
-    return fired.select("camera_id", F.explode(pair).alias("a")).select("camera_id", F.lit("R-07").alias("rule_id"), "a.kind", "a.ts_us")
+    return fired.select("camera_id", F.explode(pair).alias("a")).where("a.ts_us IS NOT NULL").select("camera_id", F.lit("R-07").alias("rule_id"), "a.kind", "a.ts_us")
+
+
+@dataclass
+class Silence:
+    """Rule R-07 for one camera, for rows in order of time."""
+
+    limit_us: int
+    poll_us: int
+    last_us: int | None = None
+    fired: bool = False
+
+    def step(self, row: dict) -> list[tuple]:
+        out = [("R-07", "CLEAR", row["ts_us"])] if self.fired else []
+        self.last_us, self.fired = row["ts_us"], False
+        return out
+
+    def deadline(self) -> int | None:
+        return None if self.last_us is None or self.fired else ((self.last_us + self.limit_us) // self.poll_us + 1) * self.poll_us
+
+    def expire(self, now: int) -> list[tuple]:
+        self.fired = True
+        return [("R-07", "FIRE", now)]
 
 
 def movement_events(changes: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from zonelake.functions import identity as idf
 from zonelake.functions import scalars, validate
-from zonelake.operators import asof, folds, geometry, identity, intervals, series, store, tracks
+from zonelake.operators import asof, folds, geometry, health, identity, intervals, series, store, tracks
 from zonelake.plans import domain as d
 from zonelake.plans import reports, views
 from zonelake.streaming import operators as streaming
@@ -380,9 +380,9 @@ def density_updates(spark, sf_dir):
     return folds.density_updates(d.states(spark, sf_dir))
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def observations(spark: SparkSession, sf_dir: str, raw: DataFrame | None = None) -> DataFrame:
     """Tracks seen in zones: a user is a track, an error is a sight outside of all zones."""
-    e = d.events(spark, sf_dir)
+    e = d.events(spark, sf_dir, raw)
     return e.select("camera_id", F.col("user_id").alias("track_id"), "seq", "ts_us", F.when(F.col("event_type") != "error", F.concat(F.lit("ZONE-0"), (F.floor("value") % 2).cast("string"))).alias("zone_id"))
 
 
@@ -626,19 +626,85 @@ def stream_folder(spark: SparkSession) -> str:
     return f"{shared or tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/stream-{uuid.uuid4().hex}"
 
 
-def stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.states(spark, sf_dir, streaming.read_events(spark, f"{sf_dir}/events.parquet*"))
+def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream, a file a micro-batch at most."""
+    return streaming.read_events(spark, f"{sf_dir}/events.parquet*", files_per_trigger=1)
 
 
 @query(ORACLES["gate_replay"].replace("count(*) AS n, ", "").replace("CAST(sum(CASE WHEN wr THEN 1 ELSE 0 END) AS BIGINT) AS written FROM g GROUP BY 1, 2", "seq, ts_us, occupancy, status FROM g WHERE wr"))
 def stream_write_gate(spark, sf_dir):
-    gated = streaming.write_gate(stream_states(spark, sf_dir), HOUR)
-    return streaming.drain(gated, stream_folder(spark)).select(*d.KEY, "seq", "ts_us", "occupancy", "status")
+    states = d.states(spark, sf_dir, raw_events(spark, sf_dir))
+    gated = streaming.finish(lambda end: streaming.write_gate(states, HOUR, closing=end), spark, stream_folder(spark))
+    return gated.select(*d.KEY, "seq", "ts_us", "occupancy", "status")
 
 
 @query(LATCH)
 def stream_zone_alerts(spark, sf_dir):
-    return streaming.drain(streaming.zone_alerts(stream_states(spark, sf_dir), HOUR), stream_folder(spark))
+    states = d.states(spark, sf_dir, raw_events(spark, sf_dir))
+    return streaming.finish(lambda end: streaming.zone_alerts(states, HOUR, closing=end), spark, stream_folder(spark))
+
+
+#: Readings of the test data are far apart, so a camera is looked at every ten minutes and may be silent for an hour.
+HEALTH = health.Limits(offline_us=HOUR, frozen_us=HOUR // 2, rate=2 / 3600, rate_us=HOUR, poll_us=HOUR // 6)
+
+
+def marks(spark: SparkSession, sf_dir: str, raw: DataFrame | None = None) -> DataFrame:
+    """Frames of cameras; an error is a failed read, and the picture changes with the hundreds of a value."""
+    e = d.events(spark, sf_dir, raw)
+    return e.select("camera_id", "ts_us", "seq", F.when(F.col("event_type") == "error", "lost").otherwise("frame").alias("kind"), F.floor(F.col("value") / 100).cast("string").alias("content"))
+
+
+HEALTH_SQL = f"""WITH {d.SQL_EVENTS}, mk AS (SELECT camera_id, ts_us, seq, CASE WHEN event_type = 'error' THEN 'lost' ELSE 'frame' END AS kind, CAST(floor(value / 100) AS BIGINT) AS content FROM ev),
+fr0 AS (SELECT *, lag(ts_us) OVER w AS pt, lag(content) OVER w AS pc FROM mk WHERE kind = 'frame' WINDOW w AS (PARTITION BY camera_id ORDER BY ts_us, seq)),
+fr AS (SELECT camera_id, ts_us, ts_us - max(CASE WHEN pt IS NULL OR ts_us - pt > {HEALTH.frozen_us} OR content <> pc THEN ts_us END) OVER (PARTITION BY camera_id ORDER BY ts_us, seq) > {HEALTH.frozen_us} AS frozen FROM fr0),
+en AS (SELECT camera_id, min(ts_us) AS a, max(ts_us) + {HEALTH.offline_us} + 1 AS b FROM mk GROUP BY 1), po AS (SELECT camera_id, unnest(range((a + {HEALTH.poll_us - 1}) // {HEALTH.poll_us} * {HEALTH.poll_us}, (b + {HEALTH.poll_us - 1}) // {HEALTH.poll_us} * {HEALTH.poll_us} + 1, {HEALTH.poll_us})) AS at_us FROM en),
+nr AS (SELECT po.camera_id, at_us, count(fr.ts_us) AS n FROM po LEFT JOIN fr ON fr.camera_id = po.camera_id AND fr.ts_us BETWEEN at_us - {HEALTH.rate_us} AND at_us GROUP BY 1, 2),
+lf AS (SELECT nr.*, fr.ts_us AS seen, frozen FROM nr ASOF LEFT JOIN fr ON nr.camera_id = fr.camera_id AND nr.at_us >= fr.ts_us), lm AS (SELECT lf.*, mk.kind FROM lf ASOF LEFT JOIN mk ON lf.camera_id = mk.camera_id AND lf.at_us >= mk.ts_us),
+sa AS (SELECT camera_id, at_us, CASE WHEN seen IS NULL OR at_us - seen > {HEALTH.offline_us} THEN 'OFFLINE' WHEN kind = 'lost' THEN 'RECONNECTING' WHEN frozen OR n / {HEALTH.rate_us / 1e6} < {HEALTH.rate!r} THEN 'DEGRADED' ELSE 'ONLINE' END AS state FROM lm),
+hc AS (SELECT camera_id, at_us AS ts_us, state, lag(state) OVER (PARTITION BY camera_id ORDER BY at_us) AS previous FROM sa)"""
+
+
+@query(f"{HEALTH_SQL} SELECT * FROM hc WHERE state IS DISTINCT FROM previous")
+def camera_health(spark, sf_dir):
+    """Every change of the state of a camera, looked at every ten minutes."""
+    return health.changes(marks(spark, sf_dir), HEALTH)
+
+
+@query(f"{HEALTH_SQL} SELECT * FROM hc WHERE state IS DISTINCT FROM previous")
+def stream_camera_health(spark, sf_dir):
+    seen = marks(spark, sf_dir, raw_events(spark, sf_dir))
+    return streaming.finish(lambda end: streaming.camera_health(seen, HEALTH, closing=end), spark, stream_folder(spark))
+
+
+SESSION = f"""{OBS}, m AS (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY camera_id, track_id ORDER BY ts_us) <= {6 * HOUR} THEN 0 ELSE 1 END AS nw FROM ob),
+s AS (SELECT *, sum(nw) OVER (PARTITION BY camera_id, track_id ORDER BY ts_us) AS session FROM m)"""
+ENDS = f"""{SESSION}, z AS (SELECT *, row_number() OVER (PARTITION BY camera_id, track_id, session ORDER BY ts_us DESC) AS rn, min(ts_us) OVER (PARTITION BY camera_id, track_id, session) AS first_us, count(*) OVER (PARTITION BY camera_id, track_id, session) AS n FROM s)
+SELECT camera_id, track_id, first_us, ts_us AS last_us, n, zone_id, CASE WHEN zone_id IS NOT NULL THEN ts_us + {6 * HOUR} END AS exit_us FROM z WHERE rn = 1"""
+
+
+@query(ENDS)
+def track_ends(spark, sf_dir):
+    """Sessions with the exit that a track owes which vanished inside a zone."""
+    return tracks.ends(observations(spark, sf_dir), TRACK, 6 * HOUR)
+
+
+@query(ENDS)
+def stream_track_ends(spark, sf_dir):
+    seen = observations(spark, sf_dir, raw_events(spark, sf_dir))
+    return streaming.finish(lambda end: streaming.track_ends(seen, 6 * HOUR, closing=end), spark, stream_folder(spark))
+
+
+@query(f"""{SESSION.replace("FROM ev)", f"FROM ev WHERE ts_us <= {T1})")} SELECT camera_id, track_id, min(ts_us) AS first_us, max(ts_us) AS last_us, count(*) AS n,
+CASE WHEN {T1} - max(ts_us) > {6 * HOUR} THEN 'completed' WHEN count(zone_id) > 0 THEN 'tracked' ELSE 'tentative' END AS state FROM s GROUP BY camera_id, track_id, session""")
+def track_states(spark, sf_dir):
+    return tracks.track_states(observations(spark, sf_dir), TRACK, T1, 6 * HOUR)
+
+
+@query(ORACLES["camera_silences"].replace("WHERE nx IS NOT NULL)", ")").replace("FROM f WHERE fire < nx UNION", f"FROM f WHERE fire < coalesce(nx, {streaming.CLOSING_US}) UNION"))
+def stream_camera_silences(spark, sf_dir):
+    """As camera_silences; the silence after the last reading fires as well, as the stream is closed long after it."""
+    states = d.states(spark, sf_dir, raw_events(spark, sf_dir))
+    return streaming.finish(lambda end: streaming.camera_silences(states, 2 * HOUR, closing=end), spark, stream_folder(spark))
 
 
 @query(f"""WITH {d.SQL_EVENTS}, {d.SQL_MOVES}, x AS (SELECT *, row_number() OVER (PARTITION BY person_ref ORDER BY ts_us DESC, seq DESC) AS rn FROM mv WHERE ts_us >= {T0} - 2000000)
