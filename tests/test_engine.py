@@ -190,15 +190,6 @@ def test_streams_equal_batch(spark, tmp_path, files):
     assert {(r.camera_id, r.window_us, r.occupancy) for r in windows.collect()} <= {(r.camera_id, r.window_us, r.occupancy) for r in tracks.last_in_window(stored, "1 minute").collect()}
 
 
-def test_upsert_sink(spark, tmp_path):
-    sink = streaming.upsert(str(tmp_path / "t"), ["k"], ["n"])
-    frame = lambda *rows: spark.createDataFrame(rows, "k string, n long")
-    for number, batch in enumerate([frame(("a", 1), ("b", 1)), frame(("a", 2)), frame(("b", 0))]):
-        sink(batch, number)
-        sink(batch, number)
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t/v2")).collect())) == [("a", 2), ("b", 1)]
-
-
 def test_flagship_plan_has_no_product_or_python(spark):
     plan = queries.QUERIES["time_weighted"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "Python" not in plan and "Pandas" not in plan

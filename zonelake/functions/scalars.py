@@ -57,6 +57,11 @@ def zone_label(camera: Column, name: Column, n_cameras: Column) -> Column:
     return F.when(n_cameras > 1, F.concat(camera, F.lit(" / "), name)).otherwise(name)
 
 
+def slug(name: Column) -> Column:
+    """A name for a path or an id: lower case, one hyphen for whatever isn't a letter or digit, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-|-$", "")
+
+
 def camera_state(enabled: Column, health_us: Column, state: Column, now_us: Column, limit_us: int = 30_000_000) -> Column:
     """What to show for a camera: disabled, offline after silence, else what it last said."""
     silent = health_us.isNull() | (now_us - health_us > limit_us)

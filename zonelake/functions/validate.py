@@ -98,19 +98,28 @@ def bank_errors(bank: Column) -> Column:
 TUNING = {"threshold": "a number in (0, 1]", "margin": "a number >= 0", "ttl_seconds": "a number > 0"}
 
 
+#: Texts that count as numbers, as the words for those that aren't finite do.
+FLOAT, SPECIAL = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$", r"^(?i)[+-]?(nan|inf|infinity)$"
+
+
 def tuning_errors(payload: Column) -> Column:
-    """Errors of a JSON object of matching parameters; it counts as a whole or not at all. Absent ones aren't checked."""
+    """Errors of a JSON object of matching parameters; it counts as a whole or not at all. Absent ones aren't checked, but one has to
+    be there. Numbers may be texts, and a boolean is 0 or 1."""
     object_ = F.try_parse_json(payload)
-    checks = []
+    is_object = F.coalesce(F.schema_of_variant(object_).startswith("OBJECT"), F.lit(False))
+    checks, there = [], []
     for name, words in TUNING.items():
-        given = F.get_json_object(payload, f"$.{name}")
-        number = given.try_cast("double")
-        ok = (number > 0) & (number <= 1) if name == "threshold" else number >= 0 if name == "margin" else number > 0
-        finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))
-        there = F.schema_of_variant(object_).startswith("OBJECT") & F.map_contains_key(F.from_json(payload, "map<string,string>"), name)
-        checks.append(F.when(there & ~F.coalesce(finite & ok, F.lit(False)), F.lit(f"{name} must be {words} and finite")))
-    whole = F.when(object_.isNull() | ~F.schema_of_variant(object_).startswith("OBJECT"), F.array(F.lit("payload must be an object")))
-    return F.coalesce(whole, F.filter(F.array(*checks), lambda x: x.isNotNull()))
+        value = F.when(is_object, F.variant_get(object_, f"$.{name}", "variant"))
+        kind, text = F.schema_of_variant(value), F.trim(F.get_json_object(payload, f"$.{name}"))
+        numeric = F.when(kind == "BOOLEAN", (text == "true").cast("double")).when(text.rlike(FLOAT), text.try_cast("double")).when(text.rlike(SPECIAL), F.lit(float("nan")))
+        numeric = F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY") | F.is_variant_null(value), F.lit(None)).otherwise(numeric)
+        ok = (numeric > 0) & (numeric <= 1) if name == "threshold" else numeric >= 0 if name == "margin" else numeric > 0
+        finite = ~F.isnan(numeric) & (F.abs(numeric) != float("inf"))
+        there.append(is_object & F.map_contains_key(F.from_json(payload, "map<string,string>"), name))
+        checks.append(F.when(there[-1], F.when(numeric.isNull(), F.lit(f"{name} must be {words}")).when(~(finite & ok), F.lit(f"{name} must be {words} and finite"))))
+    nothing = F.array(F.lit("nothing to change: send threshold, margin or ttl_seconds"))
+    known = F.coalesce(there[0] | there[1] | there[2], F.lit(False))
+    return F.when(~is_object, F.array(F.lit("payload must be an object"))).when(~known, nothing).otherwise(F.filter(F.array(*checks), lambda x: x.isNotNull()))
 
 
 def quarantine(rows: DataFrame, errors: Column) -> tuple[DataFrame, DataFrame]:

@@ -48,16 +48,32 @@ def scaled(polygon: Column, width: float, height: float) -> Column:
     return F.transform(polygon, lambda p: F.struct((p["x"] * width).alias("x"), (p["y"] * height).alias("y")))
 
 
+def meeting(left: DataFrame, right: DataFrame, keys: list[str], cell: float = 160.0) -> DataFrame:
+    """Pairs of boxes of a key that overlap, once each; right's columns but for the keys get the prefix r_.
+
+    Boxes meet in the cells of a grid that both lie in, and the cell that holds the upper left corner of what they share is the
+    pair's owner, so a crowded frame is spread over its cells and boxes far apart never meet.
+    """
+    spread = lambda df, x1, y1, x2, y2: df.withColumn("__cx", F.explode(_cells(x1, x2, cell))).withColumn("__cy", F.explode(_cells(y1, y2, cell)))
+    mine = spread(left, "x1", "y1", "x2", "y2")
+    others = right.select(*keys, *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in keys])
+    both = mine.join(spread(others, "r_x1", "r_y1", "r_x2", "r_y2"), [*keys, "__cx", "__cy"])
+    x, y = F.greatest("x1", "r_x1"), F.greatest("y1", "r_y1")
+    shares = (x < F.least("x2", "r_x2")) & (y < F.least("y2", "r_y2"))
+    owner = (F.col("__cx") == F.floor(x / cell)) & (F.col("__cy") == F.floor(y / cell))
+    return both.where(shares & owner).drop("__cx", "__cy")
+
+
+def _cells(a: str, b: str, cell: float) -> Column:
+    """The cells from a to b; none for a box without extent."""
+    return F.when(F.col(b) > F.col(a), F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
+
+
 def occluded(boxes: DataFrame, share: float = 0.25) -> DataFrame:
-    """Adds whether another box of the frame covers more than a share of the box; a frame's boxes are one array."""
-    box = F.struct("track_id", "x1", "y1", "x2", "y2")
-    frames = boxes.groupBy("camera_id", "ts_us").agg(F.collect_list(box).alias("__all"))
-    joined = boxes.join(frames, ["camera_id", "ts_us"])
-    zero = F.lit(0.0)
-
-    def covers(o: Column) -> Column:
-        w = F.greatest(zero, F.least(F.col("x2"), o["x2"]) - F.greatest(F.col("x1"), o["x1"]))
-        h = F.greatest(zero, F.least(F.col("y2"), o["y2"]) - F.greatest(F.col("y1"), o["y1"]))
-        return (o["track_id"] != F.col("track_id")) & (w * h > share * (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))
-
-    return joined.withColumn("occluded", F.exists("__all", covers)).drop("__all")
+    """Adds whether another box of the frame (camera_id, ts_us) covers more than a share of the box (track_id)."""
+    key = ["camera_id", "ts_us"]
+    own = boxes.select(*key, "track_id", "x1", "y1", "x2", "y2")
+    pairs = meeting(own, own, key).where(F.col("track_id") != F.col("r_track_id"))
+    w, h = F.least("x2", "r_x2") - F.greatest("x1", "r_x1"), F.least("y2", "r_y2") - F.greatest("y1", "r_y1")
+    covered = pairs.where(w * h > share * (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).select(*key, "track_id").distinct().withColumn("occluded", F.lit(True))
+    return boxes.join(covered, [*key, "track_id"], "left").withColumn("occluded", F.coalesce("occluded", F.lit(False)))

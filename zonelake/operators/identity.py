@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonelake.functions.identity import as_doubles, cosine
+from zonelake.operators import intervals as iv
 from zonelake.operators import order_stats
 from zonelake.operators.folds import ordered
 
@@ -97,6 +98,50 @@ def scored_pairs(views: DataFrame, gallery: DataFrame, label: str, vector: str,
     return in_blocks(views.select(label, vector), gallery, key).select(F.inline(scores))
 
 
+def candidates(observations: DataFrame, topology: DataFrame, within_us: int = TTL_US, unknown_ok: bool = True) -> DataFrame:
+    """Pairs of observations (site_id, camera_id, track_id, ts_us, seq, vector) that can be one person: of one site and different tracks,
+    the first no later than the second but for the skew of overlapping cameras, at most within_us apart, and feasible by the
+    topology; with the reason and the cosine of their vectors.
+
+    Rows meet in bands of time as wide as the longest gap, the earlier one in the two bands that a later one can look back to, so a site
+    with a third of all rows is spread over its bands and no pair outside of the windows is made. The windows are the topology's own, where a pair
+    of cameras has one, so within_us should be no less than the longest of them.
+    """
+    band = within_us + SKEW_US
+    a = observations.select("site_id", *[F.col(c).alias(f"from_{c}") for c in ("camera_id", "track_id", "ts_us", "seq", "vector")])
+    b = observations.select("site_id", *[F.col(c).alias(f"to_{c}") for c in ("camera_id", "track_id", "ts_us", "seq", "vector")]).withColumn("__band", F.floor(F.col("to_ts_us") / band))
+    own = F.floor(F.col("from_ts_us") / band)
+    a = a.withColumn("__band", F.explode(F.array(own - 1, own, own + 1)))
+    dt = F.col("to_ts_us") - F.col("from_ts_us")
+    later = (dt > 0) | ((dt == 0) & (F.col("from_seq") < F.col("to_seq"))) | ((dt < 0) & (dt >= -SKEW_US) & (F.col("from_seq") < F.col("to_seq")))
+    other = (F.col("from_camera_id") != F.col("to_camera_id")) | (F.col("from_track_id") != F.col("to_track_id"))
+    met = a.join(b, ["site_id", "__band"]).where(later & (dt <= within_us) & other).withColumn("dt_us", dt)
+    named = met.withColumnRenamed("from_camera_id", "from_camera").withColumnRenamed("to_camera_id", "to_camera")
+    possible = reachable(named, topology, unknown_ok).where("ok")
+    return possible.select(
+        "site_id", "from_camera", F.col("from_track_id").alias("from_track"), "from_seq", "to_camera", F.col("to_track_id").alias("to_track"), "to_seq", "dt_us", "reason",
+        cosine(F.col("to_vector"), F.col("from_vector")).alias("score"),
+    )
+
+
+def merged(resolved: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Operator's corrections (keep, drop): rows of drop become rows of keep; chains of corrections are followed by repeating this."""
+    p = pairs.select(F.col("drop").alias("global_ref"), F.col("keep").alias("__keep")).where("global_ref <> __keep").dropDuplicates(["global_ref"])
+    return resolved.join(p, "global_ref", "left").withColumn("global_ref", F.coalesce("__keep", "global_ref")).drop("__keep").select(*resolved.columns)
+
+
+def journey(resolved: DataFrame, key: tuple[str, ...] = ("site_id", "global_ref")) -> DataFrame:
+    """(key, camera_id, from_us, to_us, n): the stretches that each person spent on one camera after another, in order of time."""
+    stretches = iv.runs(resolved, list(key), F.col("camera_id"))
+    return stretches.groupBy(*key, "run", "camera_id").agg(F.min("ts_us").alias("from_us"), F.max("ts_us").alias("to_us"), F.count("*").alias("n")).drop("run")
+
+
+def listing(resolved: DataFrame, cross_camera_only: bool = False) -> DataFrame:
+    """(site_id, global_ref, first_us, last_us, cameras, sightings) of each person."""
+    out = resolved.groupBy("site_id", "global_ref").agg(F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.count_distinct("camera_id").alias("cameras"), F.count("*").alias("sightings"))
+    return out.where("cameras > 1") if cross_camera_only else out
+
+
 @dataclass
 class Person:
     ref: str

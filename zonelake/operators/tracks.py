@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -244,15 +243,23 @@ def cluster_stats(detections: DataFrame, key: list[str], threshold: float = 0.4,
     return out.withColumn("kind", F.when(F.col("displacement") >= moving, "MOVING").otherwise("STATIC"))
 
 
+def boxes_per_frame(detections: DataFrame) -> DataFrame:
+    """Per camera: frames with boxes, and the mean, least and most boxes of one."""
+    frames = detections.groupBy("camera_id", "ts_us").agg(F.count("*").alias("n"))
+    return frames.groupBy("camera_id").agg(F.count("*").alias("frames"), F.round(F.avg("n"), 6).alias("mean_boxes"), F.min("n").alias("min_boxes"), F.max("n").alias("max_boxes"))
+
+
 def ground_truth(tracks_: DataFrame, truth: DataFrame, at_least: float = 0.5, hits: int = 3) -> DataFrame:
     """For each track the true person whose box it overlaps best, frame by frame, if that holds in enough frames.
 
-    Boxes meet by camera and frame only, so the join is as large as the frames are crowded.
+    Boxes meet in cells of their frame (geometry.meeting()), as a box of another cell can't overlap.
     """
     from zonelake.functions.scalars import iou
+    from zonelake.operators.geometry import meeting
 
-    t = truth.select("camera_id", "ts_us", "person", *[F.col(c).alias(f"t{c}") for c in ("x1", "y1", "x2", "y2")])
-    both = tracks_.join(t, ["camera_id", "ts_us"]).withColumn("iou", iou(tuple(map(F.col, ("x1", "y1", "x2", "y2"))), tuple(map(F.col, ("tx1", "ty1", "tx2", "ty2")))))
+    corners = ("x1", "y1", "x2", "y2")
+    pairs = meeting(tracks_.select("camera_id", "ts_us", "track_id", *corners), truth.select("camera_id", "ts_us", "person", *corners), ["camera_id", "ts_us"])
+    both = pairs.withColumn("iou", iou(tuple(map(F.col, corners)), tuple(F.col(f"r_{c}") for c in corners))).withColumnRenamed("r_person", "person")
     best = both.where(F.col("iou") >= at_least).groupBy("camera_id", "ts_us", "track_id").agg(F.max_by("person", F.struct("iou", (-F.col("person")).alias("p"))).alias("person"))
     counted = best.groupBy("camera_id", "track_id", "person").agg(F.count("*").alias("hits")).where(F.col("hits") >= hits)
     return counted.groupBy("camera_id", "track_id").agg(F.max_by("person", F.struct("hits", (-F.col("person")).alias("p"))).alias("person"), F.max("hits").alias("hits"))
@@ -281,18 +288,23 @@ class Clusters:
 
     def __init__(self, reach: float) -> None:
         self.reach, self.frame, self.taken = reach, None, set()
-        self.places: list[list[float]] = []  # sums of x and y, and their number
+        self.sums, self.n = np.zeros((16, 3)), 0  # sums of x and y, and their number
 
     def add(self, frame: int, x: float, y: float) -> int:
         if frame != self.frame:
             self.frame, self.taken = frame, set()
-        distance = lambda k: math.hypot(x - self.places[k][0] / self.places[k][2], y - self.places[k][1] / self.places[k][2])
-        near = min(((distance(k), k) for k in range(len(self.places)) if k not in self.taken), default=(math.inf, -1))
-        k = near[1] if near[0] <= self.reach else len(self.places)
-        if k == len(self.places):
-            self.places.append([0.0, 0.0, 0])
-        for i, v in enumerate((x, y, 1)):
-            self.places[k][i] += v
+        k = self.n
+        if self.n:
+            made = self.sums[: self.n]
+            apart = np.hypot(x - made[:, 0] / made[:, 2], y - made[:, 1] / made[:, 2])
+            apart[list(self.taken)] = np.inf
+            near = int(apart.argmin())
+            k = near if apart[near] <= self.reach else k
+        if k == self.n:
+            self.n += 1
+            if self.n > len(self.sums):
+                self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
+        self.sums[k] += (x, y, 1)
         self.taken.add(k)
         return k
 

@@ -336,13 +336,29 @@ def mask_credentials(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", idf.mask_credentials(url).alias("masked"), idf.contains_credentials(url).alias("secret"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS n_errors FROM events""")
+#: For each kind of field a right value, none, one of another kind, and one out of range; with what is said of them.
+VALUES = {"str": ('"z"', None, "5", '""'), "ref": ('"pr_0123456789abcdef"', None, '"bob"', "7"), "int": ("3", None, "1.5", "-1"), "num": ("2.5", None, '"x"', "-0.5"), "share": ("0.9", None, "true", "1.5")}
+SAID = {kind: (None, "missing", f"not a valid {kind}", f"not a valid {kind}" if kind in ("str", "ref") else "outside 0 to 1" if kind == "share" else "negative") for kind in VALUES}
+
+
+def _by_event(cell: str) -> str:
+    """SQL of a text for each event: its type by its number, its fields' values by number and place; cell names what to build."""
+    kinds = []
+    for k, (kind, fields) in enumerate(validate.REQUIRED.items()):
+        parts = [f"'\"event_type\":\"{kind}\"'"] if cell == "payload" else []
+        for i, (name, type_) in enumerate(fields.items()):
+            picks = [f'"{name}":{v}' if v is not None else None for v in VALUES[type_]] if cell == "payload" else [m and f"{name}: {m}" for m in SAID[type_]]
+            parts.append(f"CASE (event_id // 13 + {i}) % 4 " + " ".join(f"WHEN {j} THEN " + ("NULL" if p is None else "'" + p + "'") for j, p in enumerate(picks)) + " END")
+        kinds.append(f"WHEN {k} THEN concat_ws('{',' if cell == 'payload' else '; '}', {', '.join(parts) or 'NULL'})")
+    return f"CASE event_id % 13 {' '.join(kinds)} END"
+
+
+@query(f"""SELECT event_id, concat_ws('; ', CASE WHEN event_id % 11 = 0 THEN 'camera_id: missing' END, CASE WHEN event_id % 17 = 0 THEN 'timestamp: not a valid num' END, nullif({_by_event("errors")}, '')) AS errors FROM events""")
 def validate_events(spark, sf_dir):
-    confidence = F.expr("case when event_id % 3 = 0 then '1.5' else '0.9' end")
-    stamp = F.expr("case when event_id % 5 = 0 then 'true' else '12.5' end")
-    ref = F.expr("case when event_id % 7 = 0 then 'bob' else 'pr_0123456789abcdef' end")
-    payload = F.concat(F.lit('{"event_type":"ZONE_ENTRY","event_id":"e","camera_id":"c","site_id":"s","zone_to":"z","timestamp":'), stamp, F.lit(',"confidence":'), confidence, F.lit(',"person_ref":"'), ref, F.lit('"}'))
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.size(validate.event_errors(payload)).alias("n_errors"))
+    """All 13 types, their fields right, missing, of another kind and out of range in turn; every message."""
+    envelope = F.expr("""concat('"event_id":"e","site_id":"s"', CASE WHEN event_id % 11 = 0 THEN '' ELSE ',"camera_id":"c"' END, CASE WHEN event_id % 17 = 0 THEN ',"timestamp":"noon"' ELSE ',"timestamp":12.5' END)""")
+    payload = F.concat(F.lit("{"), envelope, F.lit(","), F.expr(_by_event("payload").replace("//", "div")), F.lit("}"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.array_join(validate.event_errors(payload), "; ").alias("errors"))
 
 
 @query("""WITH p AS (SELECT event_id, 'CAM-0' || (user_id % 4) AS camera_id, value % 330 AS x, (event_id * 7) % 120 AS y FROM events)
@@ -741,11 +757,14 @@ def camera_states(spark, sf_dir):
     return health.join(now, F.col("health_us") <= F.col("now_us")).select("camera_id", state.alias("state"))
 
 
-@query(f"""{W} SELECT CASE WHEN (SELECT count(DISTINCT camera_id) FROM zn) > 1 THEN camera_id || ' / ' || zone_name ELSE zone_name END AS label, camera_id, zone_id FROM zn""")
+@query(f"""{W}, u AS (SELECT DISTINCT zn.camera_id, zn.zone_id, zone_name FROM st JOIN zn ON st.camera_id = zn.camera_id AND st.zone_id = zn.zone_id), l AS (SELECT CASE WHEN (SELECT count(DISTINCT camera_id) FROM u) > 1 THEN camera_id || ' / ' || zone_name ELSE zone_name END AS label, camera_id, zone_id FROM u)
+SELECT label, trim(regexp_replace(lower(label), '[^a-z0-9]+', '-', 'g'), '-') AS slug, camera_id, zone_id FROM l""")
 def zone_labels(spark, sf_dir):
-    zones = d.zones(spark)
+    """Labels and slugs of the zones that have readings."""
+    zones = d.states(spark, sf_dir).select(*d.KEY).distinct().join(F.broadcast(d.zones(spark)), d.KEY)
     n = F.broadcast(zones.agg(F.count_distinct("camera_id").alias("__n")))
-    return zones.join(n, F.col("__n") > 0).select(scalars.zone_label(F.col("camera_id"), F.col("zone_name"), F.col("__n")).alias("label"), *d.KEY)
+    label = scalars.zone_label(F.col("camera_id"), F.col("zone_name"), F.col("__n"))
+    return zones.join(n, F.col("__n") > 0).select(label.alias("label"), scalars.slug(label).alias("slug"), *d.KEY)
 
 
 @query(f"""{BOXES} SELECT camera_id, ts_us, count(*) AS n, min(confidence) AS min_confidence, round(avg(confidence), 6) AS mean_confidence, max(confidence) AS max_confidence, round(100.0 * sum(CASE WHEN confidence >= 0.4 THEN 1 ELSE 0 END) / count(*), 4) AS pct_over,
@@ -764,11 +783,13 @@ def ground_truth(spark, sf_dir):
     return tracks.ground_truth(seen.withColumn("track_id", F.col("track_id") % 25), truth)
 
 
-@query("""WITH x AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS rn, embedding[1] AS head FROM embeddings) SELECT label, count(*) AS kept, min(vec_id) AS first_kept, round(sum(CAST(head AS DOUBLE)), 6) AS head FROM x WHERE rn <= 5 GROUP BY 1""")
+@query("""WITH x AS (SELECT label, vec_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS rn FROM embeddings), k AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS place, unnest(embedding) AS x, unnest(range(64)) AS i FROM x WHERE rn <= 5)
+SELECT label, place, i, CAST(x AS DOUBLE) AS x FROM k""")
 def feature_bank(spark, sf_dir):
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", F.col("vec_id").alias("ts_us"), F.col("vec_id").alias("seq"), F.struct("vec_id", F.col("embedding")[0].cast("double").alias("h")).alias("v"))
-    total = F.aggregate("bank", F.lit(0.0), lambda s, x: s + x["h"])
-    return tracks.bank(v, ["label"], "v").select("label", F.size("bank").cast("long").alias("kept"), F.get("bank", F.lit(0))["vec_id"].alias("first_kept"), F.round(total, 6).alias("head"))
+    """Every component of the last five vectors of each label, in order."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", F.col("vec_id").alias("ts_us"), F.col("vec_id").alias("seq"), F.col("embedding").alias("v"))
+    each = tracks.bank(v, ["label"], "v").select("label", F.posexplode("bank").alias("place", "v"))
+    return each.select("label", (F.col("place") + 1).cast("long").alias("place"), F.posexplode("v").alias("i", "x")).select("label", "place", F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x"))
 
 
 def sampled_crops(spark, sf_dir):
@@ -780,9 +801,15 @@ def sampled_crops(spark, sf_dir):
 query()(sampled_crops)
 
 
-@query("WITH c AS (SELECT DISTINCT user_id % 4 AS camera, CASE WHEN user_id >= 0 THEN 'SITE-01' END AS site_id FROM events) SELECT CASE WHEN count(DISTINCT site_id) = 1 THEN max(site_id) END AS site_id FROM c")
+@query("""WITH c AS (SELECT DISTINCT n_name AS camera_id, r_name AS site_id, n_regionkey FROM nation JOIN region ON n_regionkey = r_regionkey), k AS (SELECT c.*, s_suppkey % 5 AS part FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN c ON c.camera_id = n_name)
+SELECT (SELECT CASE WHEN count(DISTINCT site_id) = 1 THEN max(site_id) END FROM k) AS of_all, (SELECT CASE WHEN count(DISTINCT site_id) = 1 THEN max(site_id) END FROM k WHERE n_regionkey = 2) AS of_one""")
 def single_site(spark, sf_dir):
-    return store.single_site(d.events(spark, sf_dir).select("camera_id", F.lit("SITE-01").alias("site_id")).distinct())
+    """Nations stand for cameras and regions for their sites: all suppliers' cameras have several sites, those of one region have one."""
+    t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    used = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    cameras = used.select(F.col("n_name").alias("camera_id"), F.col("r_name").alias("site_id"), "n_regionkey").distinct()
+    one = store.single_site(cameras.where("n_regionkey = 2")).withColumnRenamed("site_id", "of_one")
+    return store.single_site(cameras).withColumnRenamed("site_id", "of_all").join(F.broadcast(one))
 
 
 @query(f"""{W}, n AS (SELECT * FROM st WHERE camera_id = 'CAM-02' AND ts_us >= {T1}) SELECT seq, ts_us, camera_id, zone_id, occupancy, density, capacity_pct, status FROM st WHERE camera_id <> 'CAM-02' UNION ALL SELECT seq, ts_us, camera_id, zone_id, occupancy, density, capacity_pct, status FROM n""")
@@ -856,17 +883,21 @@ def reports_saved(spark, sf_dir):
     return one("CAM-00").union(one("CAM-02"))
 
 
-@query("""SELECT event_id AS seq, CASE WHEN event_id % 50 = 0 THEN ['payload must be an object'] ELSE list_concat(CASE WHEN value / 60 > 0 AND value / 60 <= 1 THEN [] ELSE ['threshold must be a number in (0, 1] and finite'] END,
+@query("""SELECT event_id AS seq, CASE WHEN event_id % 50 = 0 THEN ['payload must be an object'] WHEN event_id % 50 = 1 THEN ['nothing to change: send threshold, margin or ttl_seconds'] WHEN event_id % 50 = 2 THEN ['threshold must be a number in (0, 1]', 'margin must be a number >= 0']
+WHEN event_id % 50 = 3 THEN [] ELSE list_concat(CASE WHEN value / 60 > 0 AND value / 60 <= 1 THEN [] ELSE ['threshold must be a number in (0, 1] and finite'] END,
 list_concat(CASE WHEN user_id % 7 >= 1 THEN [] ELSE ['margin must be a number >= 0 and finite'] END, CASE WHEN event_id % 3 = 0 THEN ['ttl_seconds must be a number > 0 and finite'] ELSE [] END)) END AS errors FROM events""")
 def tuning_checks(spark, sf_dir):
+    """Payloads right and wrong; some that are no object, have nothing to change, hold what is no number, or numbers as texts and booleans."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     ttl = F.when(F.col("event_id") % 3 == 0, F.lit(', "ttl_seconds": "NaN"')).when(F.col("event_id") % 3 == 1, F.lit(', "ttl_seconds": 5')).otherwise(F.lit(""))
     made = F.concat(F.lit('{"threshold": '), (F.col("value") / 60).cast("string"), F.lit(', "margin": '), (F.col("user_id") % 7 - 1).cast("string"), ttl, F.lit("}"))
-    return e.select(F.col("event_id").alias("seq"), validate.tuning_errors(F.when(F.col("event_id") % 50 == 0, F.lit("[1]")).otherwise(made)).alias("errors"))
+    for k, payload in enumerate(("[1]", '{"other": 3}', '{"threshold": "half", "margin": null}', '{"threshold": true, "margin": " 2 "}')):
+        made = F.when(F.col("event_id") % 50 == k, F.lit(payload)).otherwise(made)
+    return e.select(F.col("event_id").alias("seq"), validate.tuning_errors(made).alias("errors"))
 
 
 @query()
 def position_clusters(spark, sf_dir):
     """Places of boxes by camera; greedy in order of frames, so no SQL; tested against a plain version."""
-    b = boxes(spark, sf_dir).where("track_id % 4 = 1").withColumn("seq", F.col("track_id"))
+    b = boxes(spark, sf_dir).withColumn("seq", F.col("track_id"))
     return tracks.position_clusters(b, 60.0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonelake.operators.series import KEY
@@ -57,6 +57,39 @@ def chart(rows: DataFrame, label: str, dataset: str, value: str) -> DataFrame:
     return finite.groupBy(F.col(dataset).alias("dataset")).agg(points.alias("p")).select("dataset", F.col("p.l").alias("labels"), F.col("p.v").alias("data"))
 
 
+#: What a chart may hold.
+MAX_DATASETS, MAX_POINTS = 8, 1000
+
+
+def shared_charts(rows: DataFrame, label: str, dataset: str, value: str) -> DataFrame:
+    """(dataset, labels, data): the first MAX_DATASETS datasets over the same first MAX_POINTS labels; where a dataset has no number for a
+    label, or one that isn't finite, its data is null, so a line breaks there and nothing shifts. Of several numbers the largest counts."""
+    number = F.col(value).cast("double")
+    finite = F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
+    points = rows.where(F.col(label).isNotNull()).groupBy(F.col(dataset).alias("dataset"), F.col(label).alias("label")).agg(F.max(finite).alias("v"))
+    # Both lists are capped before they are gathered.
+    labels = points.select("label").distinct().orderBy("label").limit(MAX_POINTS).agg(F.array_sort(F.collect_list("label")).alias("labels"))
+    sets = points.select("dataset").distinct().orderBy("dataset").limit(MAX_DATASETS)
+    kept = points.join(F.broadcast(sets), "dataset").join(F.broadcast(labels), F.array_contains("labels", F.col("label")))
+    made = kept.groupBy("dataset", "labels").agg(F.map_from_entries(F.collect_list(F.struct("label", "v"))).alias("__by"))
+    return made.select("dataset", "labels", F.transform("labels", lambda x: F.element_at("__by", x)).alias("data"))
+
+
+def series_charts(series: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """(key, chart, dataset, labels, data, value) from a bucketed series: mean and peak occupancy over time, nulls kept where nothing was observed, at most
+    MAX_POINTS buckets; a tile of the observed share, in percent, where it is under 99.9. Zones without any mean have no chart."""
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("bucket_us"))
+    points = F.array_sort(F.collect_list(F.struct("bucket_us", F.round("occupancy", 2).alias("mean"), "peak_occupancy")))
+    kept = series.withColumn("__place", place).where(F.col("__place") <= MAX_POINTS).groupBy(*key).agg(points.alias("p"))
+    shares = series.groupBy(*key).agg(F.avg("coverage").alias("coverage"), F.count("occupancy").alias("__n")).where("__n > 0")
+    every = kept.join(shares, key)
+    none = F.lit(None)
+    line = lambda name, field: F.struct(F.lit("occupancy").alias("chart"), F.lit(name).alias("dataset"), F.col("p.bucket_us").alias("labels"), F.transform("p", lambda x: x[field].cast("double")).alias("data"), none.cast("double").alias("value"))
+    tile = F.struct(F.lit("coverage").alias("chart"), none.cast("string").alias("dataset"), none.cast("array<long>").alias("labels"), none.cast("array<double>").alias("data"), F.round(F.col("coverage") * 100, 1).alias("value"))
+    shown = F.array(line("mean", "mean"), F.when(F.exists("p", lambda x: x["peak_occupancy"] > 0), line("peak", "peak_occupancy")), F.when(F.col("coverage") < 0.999, tile))
+    return every.select(*key, F.inline(F.array_compact(shown)))
+
+
 def report_records(reports: DataFrame, kind: str, generated_us: int, t0: int, t1: int) -> DataFrame:
     """One stored report a scope of rows (scope, ...): (kind, generated_us, from_us, to_us, scope, payload as JSON)."""
     body = F.to_json(F.struct(*[c for c in reports.columns if c != "scope"]), {"ignoreNullFields": "false"})

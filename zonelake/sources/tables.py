@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,15 +47,33 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str, lower: int
     return spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=column, lowerBound=lower, upperBound=upper, numPartitions=partitions).load()
 
 
-def copy(source: DataFrame, path: str, known: int = 0) -> int:
-    """Bulk copy; refuses if the target holds more rows than the source."""
+def copy(source: DataFrame, path: str, known: int = 0, target: DataFrame | None = None) -> int:
+    """Bulk copy; refuses if the target holds more rows than the source. A target that is there keeps its columns: those that the source has
+    as well are copied, in the target's order and types, and the others are null."""
     n = source.count()
+    known = target.count() if target is not None else known
     if known > n:
         raise ValueError(f"the target has {known} rows, the source {n}")
+    if target is not None:
+        common = [f.name for f in target.schema if f.name in source.columns]
+        if not common:
+            raise ValueError("source and target have no column in common")
+        source = source.select(*[(F.col(f.name) if f.name in common else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.schema])
     source.write.mode("overwrite").parquet(path)
     return n
 
 
+def backend(spark: SparkSession, settings: Mapping[str, str]) -> Callable[[str], DataFrame]:
+    """Where tables are read, by settings such as os.environ: of a database where ZONELAKE_DATABASE_URL is set (by JDBC; read_jdbc()
+    reads a large table in ranges), of temporary views where ZONELAKE_INMEMORY is, else as Parquet under ZONELAKE_WAREHOUSE or data."""
+    if url := settings.get("ZONELAKE_DATABASE_URL"):
+        return lambda name: spark.read.format("jdbc").options(url=url, dbtable=name, fetchsize="10000").load()
+    if settings.get("ZONELAKE_INMEMORY"):
+        return spark.table
+    folder = settings.get("ZONELAKE_WAREHOUSE") or "data"
+    return lambda name: read(spark, f"{folder}/{name}", name)
+
+
 def redact_cameras(cameras: DataFrame, keep_source: bool = False) -> DataFrame:
     """Cameras as they may be shown: credentials in urls masked, and the source left out."""
     from zonelake.functions.identity import mask_credentials
