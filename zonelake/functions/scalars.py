@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,6 +59,11 @@ def zone_label(camera: Column, name: Column, n_cameras: Column) -> Column:
     return F.when(n_cameras > 1, F.concat(camera, F.lit(" / "), name)).otherwise(name)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def slug(name: Column) -> Column:
     """A name for a path or an id: lower case, one hyphen for whatever isn't a letter or digit, none at the ends."""
     return F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-|-$", "")

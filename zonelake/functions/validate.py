@@ -6,9 +6,13 @@ told from a string or a boolean by its text in the JSON.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from zonelake.functions.scalars import let
+
 # Required fields of each event type beside the envelope, by kind of value.
 REQUIRED = {
     "ZONE_ENTRY": {"zone_to": "str", "person_ref": "ref", "confidence": "share"},
@@ -29,41 +33,47 @@ OPTIONAL = {"occupancy": "int", "density": "num", "occupancy_from": "int", "dens
 NUMBER, INTEGER = r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$", r"^-?[0-9]+$"
 
 
-def _raw(payload: Column, name: str) -> Column:
-    """A field's JSON text, null if it is absent or null; strings keep their quotes."""
-    value = F.variant_get(F.try_parse_json(payload), f"$.{name}", "variant")
-    return F.when(~F.is_variant_null(value), F.to_json(value))
-
-
-def _problem(payload: Column, name: str, kind: str, required: bool) -> Column:
-    raw = _raw(payload, name)
-    text = F.get_json_object(payload, f"$.{name}")
-    number = text.cast("double")
-    wrong = {
-        "str": ~raw.startswith('"') | (F.length(raw) <= 2),
-        "ref": ~raw.rlike('^"pr_[0-9a-f]{16}"$'),
-        "int": ~raw.rlike(INTEGER),
-        "num": ~raw.rlike(NUMBER),
-        "share": ~raw.rlike(NUMBER),
-    }[kind]
-    message = F.when(wrong, F.lit(f"{name}: not a valid {kind}"))
-    if kind in ("int", "num"):
-        message = message.when(number < 0, F.lit(f"{name}: negative"))
-    if kind == "share":
-        message = message.when((number < 0) | (number > 1), F.lit(f"{name}: outside 0 to 1"))
-    absent = F.when(raw.isNull(), F.lit(f"{name}: missing") if required else F.lit(None).cast("string"))
-    return absent.otherwise(message)
+#: The order in which fields are reported, and what kind of value each has.
+FIELDS = ("zone_from", "zone_to", "zone_id", "person_ref", "confidence", "occupancy", "density", "capacity_pct", "duration", "dwell_time", "last_seen", "occupancy_from", "density_from")
+KINDS = {name: kind for fields in (*REQUIRED.values(), OPTIONAL) for name, kind in fields.items()}
+
+
+def _problem(object_: Column, name: str, kind: str, required: Column, checked: Column) -> Column:
+    """What is wrong with a field; null if nothing is, or if it needn't be looked at. Its JSON text tells a string, in quotes, from others."""
+
+    def judged(raw: Column) -> Column:
+        number = raw.try_cast("double")
+        wrong = {
+            "str": ~raw.startswith('"') | (F.length(raw) <= 2),
+            "ref": ~raw.rlike('^"pr_[0-9a-f]{16}"$'),
+            "int": ~raw.rlike(INTEGER),
+            "num": ~raw.rlike(NUMBER),
+            "share": ~raw.rlike(NUMBER),
+        }[kind]
+        message = F.when(raw.isNull(), F.when(required, F.lit(f"{name}: missing"))).when(wrong, F.lit(f"{name}: not a valid {kind}"))
+        if kind in ("int", "num"):
+            message = message.when(number < 0, F.lit(f"{name}: negative"))
+        if kind == "share":
+            message = message.when((number < 0) | (number > 1), F.lit(f"{name}: outside 0 to 1"))
+        return message
+
+    value = F.variant_get(object_, f"$.{name}", "variant")
+    return F.when(checked, let(F.when(~F.is_variant_null(value), F.to_json(value)), judged))
 
 
 def event_errors(payload: Column) -> Column:
-    kind = F.get_json_object(payload, "$.event_type")
-    checks = [_problem(payload, n, "str", True) for n in ("event_id", "camera_id", "site_id")] + [_problem(payload, "timestamp", "num", True)]
-    checks.append(F.when(kind.isNull() | ~kind.isin(*REQUIRED), F.lit("event_type: unknown")))
-    for event_type, fields in REQUIRED.items():
-        checks += [F.when(kind == event_type, _problem(payload, n, k, True)) for n, k in fields.items()]
-    checks += [F.when(~F.array_contains(F.array(*[F.lit(t) for t, f in REQUIRED.items() if n in f] or [F.lit("")]), F.coalesce(kind, F.lit("?"))), _problem(payload, n, k, False)) for n, k in OPTIONAL.items()]
-    listed = F.filter(F.array(*checks), lambda x: x.isNotNull())
-    return F.when(F.try_parse_json(payload).isNull(), F.array(F.lit("payload: not JSON"))).otherwise(listed)
+    def checks(x: Column) -> Column:
+        always = F.lit(True)
+        found = [_problem(x["o"], n, "str", always, always) for n in ("event_id", "camera_id", "site_id")] + [_problem(x["o"], "timestamp", "num", always, always)]
+        found.append(F.when(x["kind"].isNull() | ~x["kind"].isin(*REQUIRED), F.lit("event_type: unknown")))
+        for name in FIELDS:
+            owners = [t for t, fields in REQUIRED.items() if name in fields]
+            required = F.coalesce(x["kind"].isin(*owners), F.lit(False)) if owners else F.lit(False)
+            found.append(_problem(x["o"], name, KINDS[name], required, always if name in OPTIONAL else required))
+        return F.filter(F.array(*found), lambda m: m.isNotNull())
+
+    parsed = F.struct(F.try_parse_json(payload).alias("o"), F.get_json_object(payload, "$.event_type").alias("kind"))
+    return let(parsed, lambda x: F.when(x["o"].isNull(), F.array(F.lit("payload: not JSON"))).otherwise(checks(x)))
 
 
 def zone_state_errors() -> Column:
@@ -105,21 +115,26 @@ FLOAT, SPECIAL = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$", r"^(?
 def tuning_errors(payload: Column) -> Column:
     """Errors of a JSON object of matching parameters; it counts as a whole or not at all. Absent ones aren't checked, but one has to
     be there. Numbers may be texts, and a boolean is 0 or 1."""
-    object_ = F.try_parse_json(payload)
-    is_object = F.coalesce(F.schema_of_variant(object_).startswith("OBJECT"), F.lit(False))
-    checks, there = [], []
-    for name, words in TUNING.items():
-        value = F.when(is_object, F.variant_get(object_, f"$.{name}", "variant"))
-        kind, text = F.schema_of_variant(value), F.trim(F.get_json_object(payload, f"$.{name}"))
-        numeric = F.when(kind == "BOOLEAN", (text == "true").cast("double")).when(text.rlike(FLOAT), text.try_cast("double")).when(text.rlike(SPECIAL), F.lit(float("nan")))
-        numeric = F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY") | F.is_variant_null(value), F.lit(None)).otherwise(numeric)
-        ok = (numeric > 0) & (numeric <= 1) if name == "threshold" else numeric >= 0 if name == "margin" else numeric > 0
-        finite = ~F.isnan(numeric) & (F.abs(numeric) != float("inf"))
-        there.append(is_object & F.map_contains_key(F.from_json(payload, "map<string,string>"), name))
-        checks.append(F.when(there[-1], F.when(numeric.isNull(), F.lit(f"{name} must be {words}")).when(~(finite & ok), F.lit(f"{name} must be {words} and finite"))))
-    nothing = F.array(F.lit("nothing to change: send threshold, margin or ttl_seconds"))
-    known = F.coalesce(there[0] | there[1] | there[2], F.lit(False))
-    return F.when(~is_object, F.array(F.lit("payload must be an object"))).when(~known, nothing).otherwise(F.filter(F.array(*checks), lambda x: x.isNotNull()))
+
+    def number(x: Column) -> Column:
+        """x: a field's JSON text."""
+        text = F.trim(F.trim(x, F.lit('"')))
+        plain = F.when(x.isin("true", "false"), (x == "true").cast("double")).when(x.startswith("{") | x.startswith("["), F.lit(None))
+        return plain.when(text.rlike(FLOAT), text.try_cast("double")).when(text.rlike(SPECIAL), F.lit(float("nan")))
+
+    def check(name: str, words: str, v: Column) -> Column:
+        ok = (v > 0) & (v <= 1) if name == "threshold" else v >= 0 if name == "margin" else v > 0
+        return F.when(v.isNull(), F.lit(f"{name} must be {words}")).when(F.isnan(v) | (F.abs(v) == float("inf")) | ~ok, F.lit(f"{name} must be {words} and finite"))
+
+    def checks(o: Column) -> Column:
+        values = [F.variant_get(o, f"$.{name}", "variant") for name in TUNING]
+        found = [F.when(v.isNotNull(), let(number(F.to_json(v)), partial(check, n, w))) for v, (n, w) in zip(values, TUNING.items(), strict=True)]
+        known = values[0].isNotNull() | values[1].isNotNull() | values[2].isNotNull()
+        nothing = F.array(F.lit("nothing to change: send threshold, margin or ttl_seconds"))
+        return F.when(~known, nothing).otherwise(F.filter(F.array(*found), lambda m: m.isNotNull()))
+
+    whole = lambda o: F.coalesce(F.schema_of_variant(o).startswith("OBJECT"), F.lit(False))
+    return let(F.try_parse_json(payload), lambda o: F.when(~whole(o), F.array(F.lit("payload must be an object"))).otherwise(checks(o)))
 
 
 def quarantine(rows: DataFrame, errors: Column) -> tuple[DataFrame, DataFrame]:

@@ -1,8 +1,8 @@
 """Primitives over half-open intervals [a_us, b_us) in microseconds, by key.
 
 Keys may be very unequal, so whatever follows the order of a key's rows works on two levels: within chunks of time, then over
-one summary row for each chunk (scan(), hold_forward(), previous(), runs(), and merge() and offline() by these); overlaps
-meet in bins of time. No task needs all rows of a key.
+one summary row for each chunk (scan(), hold_forward(), previous(), runs(), and offline() by these) or over what touches the
+edges of chunks (merge()); overlaps meet in bins of time. No task needs all rows of a key.
 """
 
 from __future__ import annotations
@@ -90,17 +90,26 @@ def clip(rows: DataFrame, t0: int, t1: int) -> DataFrame:
     return clipped.where("b_us > a_us")
 
 
-def merge(rows: DataFrame, keys: list[str]) -> DataFrame:
+def merge(rows: DataFrame, keys: list[str], chunk_us: int = DAY) -> DataFrame:
     """Coalesces overlapping and touching intervals of a key; empty ones are dropped.
 
-    An interval begins a new one if it begins after all ends before it, and belongs to the last that began: two scans.
+    Intervals are cut at the edges of chunks and coalesced within each; what then ends at an edge is glued to what begins there. Only
+    such pieces, two of a chunk at most, meet by key alone, so the input is read once and nothing is joined.
     """
-    cleaned = rows.where("b_us > a_us").select(*keys, "a_us", "b_us")
-    reached = scan(cleaned, keys, {"__reach": ("max", F.col("b_us"))}, ["a_us", "b_us"], inclusive=False)
-    begins = F.when(F.col("__reach").isNull() | (F.col("a_us") > F.col("__reach")), F.col("a_us"))
-    # Of equal intervals the one that begins comes first.
-    placed = scan(reached.withColumn("__begins", begins).withColumn("__late", F.col("__begins").isNull()), keys, {"__began": ("max", F.col("__begins"))}, ["a_us", "__late"])
-    return placed.groupBy(*keys, "__began").agg(F.min("a_us").alias("a_us"), F.max("b_us").alias("b_us")).drop("__began")
+    cut = binned(rows.where("b_us > a_us").select(*keys, "a_us", "b_us"), chunk_us)
+    lo, hi = F.col("__bin") * chunk_us, (F.col("__bin") + 1) * chunk_us
+    cut = cut.withColumn("a_us", F.greatest("a_us", lo)).withColumn("b_us", F.least("b_us", hi))
+    inside = Window.partitionBy(*keys, "__bin").orderBy("a_us", "b_us")
+    reach = F.max("b_us").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    begins = cut.withColumn("__reach", reach).withColumn("__begins", F.when(F.col("__reach").isNull() | (F.col("a_us") > F.col("__reach")), F.col("a_us")))
+    # By range, so that equal beginnings, of which only the first row says so, are one.
+    began = F.max("__begins").over(Window.partitionBy(*keys, "__bin").orderBy("a_us").rangeBetween(Window.unboundedPreceding, 0))
+    local = begins.withColumn("__began", began).groupBy(*keys, "__bin", "__began").agg(F.min("a_us").alias("a_us"), F.max("b_us").alias("b_us"))
+    apart = F.when((F.col("a_us") > lo) & (F.col("b_us") < hi), F.col("a_us"))
+    along = Window.partitionBy(*keys, "__apart").orderBy("a_us")
+    glued = local.withColumn("__apart", apart).withColumn("__new", F.coalesce(F.lag("b_us").over(along) != F.col("a_us"), F.lit(True)).cast("int"))
+    glued = glued.withColumn("__island", F.sum("__new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return glued.groupBy(*keys, "__apart", "__island").agg(F.min("a_us").alias("a_us"), F.max("b_us").alias("b_us")).drop("__apart", "__island")
 
 
 def binned(rows: DataFrame, bin_us: int = DAY) -> DataFrame:
