@@ -204,6 +204,28 @@ def test_alignment_of_very_long_pages(monkeypatch):
     assert all(made.match([(t, "") for t in x]) for x in (a, b))
 
 
+def test_optional_groups_are_whole():
+    """What one page has and the other lacks is there as a whole or not at all, so tags can't cross; also after a third page."""
+    body = lambda *inner: ["<body", *inner, ">body"]
+    h2, ul = ["<h2", "#", ">h2"], ["<ul", "<li", "#", ">li", ">ul"]
+    a, b, c = body(*h2, "<p", "#", ">p", *ul), body("<p", "#", ">p"), body(*h2, "<p", "#", ">p")
+    made = html_wrapper.aligned(a, b)
+    assert made == ["<body", ["?", *h2], "<p", "#", ">p", ["?", *ul], ">body"]
+    both = html_wrapper.aligned(made, c)
+    match = lambda w, t: html_wrapper.Matcher(w, -1).match([(x, "") for x in t]) is not None
+    for w in (made, both):
+        assert all(match(w, t) for t in (a, b, c, body("<p", "#", ">p", *ul)))
+        assert not match(w, body("<h2", "#", "<p", "#", ">p", ">ul")) and not match(w, body("<h2", "#", ">ul", "<p", "#", ">p")) and not match(w, body("<h2", ">h2", "<p", "#", ">p"))
+
+
+def test_names_inside_an_article(spark):
+    """Words in names of an article's own parts don't make them furniture; whole names and those of containers do."""
+    text = "<article><h1>T</h1><p class='social-history'>one</p><blockquote class=\"side-note\">two</blockquote><p id=related-work>three</p><div class='ad'>buy</div><div class='share-buttons'>x</div><div class='post comments'>c</div></article>"
+    made = [("http://one.net/", f"<html><body><nav>m</nav>{text}<div class='site-footer'>f</div></body></html>")]
+    found = html_wrapper.extract(pages(spark, made)).first()
+    assert found.text == "T\none\ntwo\nthree"
+
+
 def test_wrappers_match_all_pages(spark):
     rng = random.Random(3)
     made = [page("".join(f"<h2>{prose(rng, 3)}</h2>" * rng.randint(0, 1) + f"<p>{prose(rng, 5)}</p>" * rng.randint(0, 4) for _ in range(rng.randint(1, 3))), rng.randint(0, 4), "<div class='x'><p>e</p></div>" * rng.randint(0, 1)) for _ in range(60)]
