@@ -199,7 +199,7 @@ def test_files(spark, tmp_path):
 
 def test_validation(spark):
     errors = lambda text: spark.createDataFrame([(text,)], "p string").select(validate.tuning_errors(F.col("p"))).first()[0]
-    assert errors('{"threshold": 0.5, "margin": 0, "ttl_seconds": "30"}') == errors("{}") == []
+    assert errors('{"threshold": 0.5, "margin": 0, "ttl_seconds": "30"}') == [] and errors("{}") == ["nothing to change: send threshold, margin or ttl_seconds"]
     assert errors("[]") == errors("nonsense") == errors(None) == ["payload must be an object"]
     assert len(errors('{"threshold": 0, "margin": "NaN", "ttl_seconds": null}')) == 3 and errors('{"margin": "Infinity"}') == ["margin must be a number >= 0 and finite"]
     good = ("Z", "C", 2, 0.5, 10.0, 1.0, 0.0, "NORMAL", 1)
