@@ -168,7 +168,7 @@ def test_reports(spark):
 
 def states(n=60):
     rng = np.random.default_rng(1)
-    return pd.DataFrame({"seq": range(n), "ts_us": [int(i) * 7 * S for i in range(n)], "camera_id": [f"C{i % 2}" for i in range(n)], "zone_id": ["Z"] * n, "occupancy": rng.integers(0, 3, n), "density": rng.random(n) * 5, "capacity_pct": rng.random(n) * 100, "status": ["NORMAL"] * n})
+    return pd.DataFrame({"seq": range(n), "ts_us": [(1000 + int(i) * 7) * S for i in range(n)], "camera_id": [f"C{i % 2}" for i in range(n)], "zone_id": ["Z"] * n, "occupancy": rng.integers(0, 3, n), "density": rng.random(n) * 5, "capacity_pct": rng.random(n) * 100, "status": ["NORMAL"] * n})
 
 
 @pytest.mark.parametrize("files", [1, 4])
