@@ -238,7 +238,7 @@ def scanned(text):
         hits = sorted((i - j, i, j) for i in range(len(words) - k + 1) for j in range(len(own) - k + 1) if words[i : i + k] == own[j : j + k])
         spans = []
         for hit in hits:
-            if not spans or hit[0] - spans[-1][-1][0] > license_scan.SLACK:
+            if not spans or hit[0] - spans[-1][-1][0] > (license_scan.SLACK if len(own) >= license_scan.LONG else 0):
                 spans.append([])
             spans[-1].append(hit)
         for span in spans:

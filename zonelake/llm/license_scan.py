@@ -24,7 +24,7 @@ from zonelake.llm.common import ascii_lower, let, text_of
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 K = 3
-#: Diagonals that differ by so many words at most are one span; a template of LONG words or more may lack some of them.
+#: Diagonals of a template of LONG words or more that differ by so many words at most are one span, and it may lack some of its words.
 SLACK, LONG, SHARE = 4, 16, 0.6
 
 # Usual notices of public licenses.
@@ -90,7 +90,9 @@ def spans(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> Data
     united = [F.bit_or(b).alias(b) for b in bits]
     voted = hits.groupBy(*key, (F.col("place") - F.col("at")).alias("diagonal")).agg(F.min("place").alias("start"), (F.max("place") + K).alias("stop"), *united)
     line = Window.partitionBy(*key).orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(line) > SLACK, F.lit(True))
+    # A short notice stands on one diagonal, as a word more can make it another licence's.
+    slack = F.when(F.col("length") < LONG, 0).otherwise(SLACK)
+    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(line) > slack, F.lit(True))
     merged = voted.withColumn("apart", apart.cast("int")).withColumn("span", F.sum("apart").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     merged = merged.groupBy(*key, "span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), *united)
     merged = merged.withColumn("covered", sum((F.bit_count(b) for b in bits), F.lit(0)))

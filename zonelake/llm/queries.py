@@ -224,7 +224,7 @@ def license_sql() -> str:
     grams = f"unnest(list_transform(range(1, len(w) - {m.K - 2}), lambda i: {{'pos': i - 1, 'gram': {gram}}}), recursive := true)"
     return f"""WITH dw AS (SELECT row_number() OVER () AS r, doc_id, {words.format("coalesce(text, '')")} AS w FROM documents), tw AS (SELECT template, name, {words.format("text")} AS w FROM ({listed})),
 dg AS (SELECT r, {grams} FROM dw), tg AS (SELECT template, name, len(w) AS length, {grams} FROM tw), hi AS (SELECT r, template, name, length, dg.pos AS place, tg.pos AS pos, dg.pos - tg.pos AS diagonal FROM dg JOIN tg ON dg.gram = tg.gram),
-di AS (SELECT DISTINCT r, template, diagonal FROM hi), ap AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) <= {m.SLACK} THEN 0 ELSE 1 END AS apart FROM di),
+di AS (SELECT DISTINCT r, template, length, diagonal FROM hi), ap AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) <= CASE WHEN length < {m.LONG} THEN 0 ELSE {m.SLACK} END THEN 0 ELSE 1 END AS apart FROM di),
 sp AS (SELECT r, template, diagonal, sum(apart) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM ap), ct AS (SELECT hi.*, span, unnest(range(pos, pos + {m.K})) AS word FROM hi JOIN sp USING (r, template, diagonal)),
 ve AS (SELECT r, name, count(DISTINCT word) AS covered, length FROM ct GROUP BY r, template, name, length, span HAVING (CASE WHEN length < {m.LONG} THEN count(DISTINCT word) = length ELSE count(DISTINCT word) >= {m.SHARE} * length END) AND max(place) + {m.K} - min(place) <= 2 * length),
 me AS (SELECT r, list(DISTINCT name) AS names, max(covered / length) AS best FROM ve GROUP BY r),
