@@ -206,6 +206,6 @@ def test_validation(spark):
     names = "zone_id string, camera_id string, occupancy long, density double, capacity_pct double, inflow double, outflow double, status string, ts_us long"
     check = lambda row: spark.createDataFrame([row], names).select(validate.zone_state_errors()).first()[0]
     assert check(good) == [] and check(("Z", "C", -2, 0.5, 10.0, None, 0.0, "odd", 1)) == ["inflow: missing", "occupancy: negative", "status: unknown"]
-    zones = spark.createDataFrame([("Z", "restricted", [1, 2, 3], 1, 1.0), (None, "odd", [1], -1, 1.0)], "zone_id string, zone_type string, polygon array<int>, capacity_max long, area_sqm double")
+    zones = spark.createDataFrame([("Z", "restricted", [1, 2, 3], 1, 1.0, 2.0, 4.0), (None, "odd", [1], -1, 1.0, 2.0, None)], "zone_id string, zone_type string, polygon array<int>, capacity_max long, area_sqm double, warning_density double, critical_density double")
     found = [r[0] for r in zones.select(validate.zone_errors()).collect()]
     assert found[0] == [] and len(found[1]) == 4

@@ -85,10 +85,12 @@ def zone_state_errors() -> Column:
 
 
 def zone_errors() -> Column:
+    """Errors of zones as an editor saves them; a type that isn't given is the usual one, and numbers may be absent."""
     kinds = F.when(~F.upper("zone_type").isin("MONITORED", "RESTRICTED", "UNMONITORED"), F.lit("zone_type: unknown"))
     few = F.when(F.coalesce(F.size("polygon"), F.lit(0)) < 3, F.lit("polygon: fewer than three points"))
-    ranges = [F.when(F.col(c) < 0, F.lit(f"{c}: negative")) for c in ("capacity_max", "area_sqm")]
-    return F.filter(F.array(F.when(F.col("zone_id").isNull(), F.lit("zone_id: missing")), kinds, few, *ranges), lambda x: x.isNotNull())
+    ranges = [F.when(F.col(c) < 0, F.lit(f"{c}: negative")) for c in ("capacity_max", "area_sqm", "warning_density", "critical_density")]
+    unnamed = F.when(F.coalesce(F.col("zone_id"), F.lit("")) == "", F.lit("zone_id: missing"))
+    return F.filter(F.array(unnamed, kinds, few, *ranges), lambda x: x.isNotNull())
 
 
 def bank_errors(bank: Column) -> Column:

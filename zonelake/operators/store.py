@@ -147,6 +147,23 @@ def resolve_zone(configured: DataFrame, history: DataFrame, zone: str, camera: s
     return found[0]
 
 
+def resolve_zones(asked: DataFrame, configured: DataFrame, history: DataFrame) -> DataFrame:
+    """Adds to asked zones (zone_id, camera_id or null, ...) the camera that is meant (camera), on how many cameras the name exists
+    among those asked for (candidates), and found, ambiguous or unknown.
+
+    Both what is configured and what only has history counts, so a name is never taken for the wrong place. These keys are counted before
+    the join, so it has one row a name and one a key, as many as a deployment has zones, however many rows history has.
+    """
+    keys = configured.select(*KEY).union(history.select(*KEY)).dropna().distinct()
+    named = keys.groupBy(F.col("zone_id").alias("__zone")).agg(F.count("*").alias("__n"), F.min("camera_id").alias("__first"))
+    exact = keys.select(F.col("zone_id").alias("__z"), F.col("camera_id").alias("__c"))
+    met = asked.join(named, F.col("zone_id") == F.col("__zone"), "left").join(exact, (F.col("zone_id") == F.col("__z")) & (F.col("camera_id") == F.col("__c")), "left")
+    n = F.when(F.col("camera_id").isNull(), F.coalesce("__n", F.lit(0))).otherwise(F.col("__c").isNotNull().cast("long"))
+    camera = F.when(n == 1, F.coalesce("camera_id", "__first"))
+    status = F.when(n == 0, "unknown").when(n == 1, "found").otherwise("ambiguous")
+    return met.select(*asked.columns, camera.alias("camera"), n.alias("candidates"), status.alias("resolution"))
+
+
 def alert_lifecycle(actions: DataFrame) -> DataFrame:
     """Folds a log (alert_id, ts_us, seq, action, actor, note) into one row per alert.
 

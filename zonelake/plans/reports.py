@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from zonelake.operators import asof
+from zonelake.operators import intervals as iv
 from zonelake.operators.series import KEY
 
 
@@ -112,3 +114,29 @@ def get_report(stored: DataFrame, scope: str, generated_us: int, schema: str) ->
 def due(last_us: int | None, now_us: int, every_us: int) -> bool:
     """Whether a scheduled report is to be made: at the first time, and once its period is over."""
     return last_us is None or now_us - last_us >= every_us
+
+
+def schedule(requests: DataFrame, scopes: DataFrame, t0: int, t1: int, every_us: int, scope: str = "camera_id") -> DataFrame:
+    """When reports of each scope are made in [t0, t1]: (scope, at_us, trigger). A request (scope, ts_us) makes one on demand; the
+    scheduled one is due at t0, if nobody asks then, and every_us after the last report of either kind. Requests of one instant are one.
+
+    What follows a request depends on the next one only, so no state runs along a scope."""
+    asked = requests.where(F.col("ts_us").between(t0, t1)).select(scope, "ts_us").dropna().distinct().withColumn("trigger", F.lit("on_demand"))
+    start = scopes.select(scope).distinct().select(scope, F.lit(t0).cast("long").alias("ts_us"))
+    begun = start.join(asked, [scope, "ts_us"], "left_anti").withColumn("trigger", F.lit("scheduled"))
+    rows = iv.hold_forward(asked.unionByName(begun), [scope], seq="ts_us", into="next_us")
+    last = F.coalesce(F.col("next_us") - 1, F.lit(t1))
+    due = F.when(F.col("ts_us") + every_us <= last, F.sequence(F.col("ts_us") + every_us, last, F.lit(every_us).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    made = F.concat(F.array(F.struct(F.col("ts_us").alias("at_us"), "trigger")), F.transform(due, lambda t: F.struct(t.alias("at_us"), F.lit("scheduled").alias("trigger"))))
+    return rows.select(scope, F.inline(made))
+
+
+def snapshots(instants: DataFrame, readings: DataFrame, scope: str = "camera_id") -> DataFrame:
+    """Rule R-08: for each report (scope, at_us, ...) how many zones of the scope had reported, the people in them, and those in the fullest."""
+    zones = readings.select(*KEY).distinct()
+    asked = instants.join(zones, scope, "left")
+    found = asof.as_of(asked, readings.select("seq", "ts_us", *KEY, "occupancy"), KEY, "__live")
+    people, zero = F.col("__live.occupancy"), F.lit(0)
+    return found.groupBy(*instants.columns).agg(
+        F.count("__live").alias("zones"), F.coalesce(F.sum(people), zero).alias("total_occupancy"), F.coalesce(F.max(people), zero).alias("peak_occupancy")
+    )

@@ -78,5 +78,5 @@ def redact_cameras(cameras: DataFrame, keep_source: bool = False) -> DataFrame:
     """Cameras as they may be shown: credentials in urls masked, and the source left out."""
     from zonelake.functions.identity import mask_credentials
 
-    out = cameras.select(*[mask_credentials(F.col(c)).alias(c) if c in ("stream_url", "source") else F.col(c) for c in cameras.columns])
+    out = cameras.select(*[mask_credentials(F.col(c)).alias(c) if c in ("stream_url", "rtsp_url", "source") else F.col(c) for c in cameras.columns])
     return out if keep_source else out.drop("source")
