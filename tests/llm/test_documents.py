@@ -342,7 +342,8 @@ def test_language_model_brute_force(spark, monkeypatch):
     monkeypatch.setattr(suffix_tree_lm, "HEAD", 0.02)
     lm, rng = suffix_tree_lm, random.Random(16)
     passage = " ".join(f"rare{k}" for k in rng.sample(range(1000), 30))
-    texts = [prose(rng, rng.randint(0, 60)) for _ in range(60)] + [passage, passage, " ".join(reversed(passage.split()))]
+    often = " ".join(["often oddword"] * 10 + ["often"] * 40)
+    texts = [often, *[prose(rng, rng.randint(0, 60)) for _ in range(59)]] + [passage, passage, " ".join(reversed(passage.split()))]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.score for r in lm.score(docs, F.col("doc_id") >= 62).collect()}
     words = {i: WORD.findall(t.translate(LOWER)) for i, t in enumerate(texts)}
@@ -369,15 +370,20 @@ def test_language_model_brute_force(spark, monkeypatch):
 
     once = (sum(k == 1 for k in c.values()) or 0.5) / n
     head = {w for w, k in c.items() if k >= lm.HEAD * n}
+    share = {(p, w): (k - lm.DISCOUNT) / contexts[p] for (p, w), k in pairs.items() if k > 1 and w not in head and k * math.log(k / contexts[p] * n / c[w]) > lm.WORD_DIVERGENCE}
+    rest = {p: 1 - sum(x for (q, _), x in share.items() if q == p) for p in contexts}
+    assert any(p in head for p, _ in share) and any(p not in head for p, _ in share) and min(rest.values()) > 0
+
+    def token(prev, w):
+        own = (1 - once) * c[w] / n + once * 10 ** spelling(w)
+        return rest.get(prev, 1) * own + share.get((prev, w), 0)
+
+    # After every context the tokens of training add up to one, but for the spelling of others.
+    spelled = once * (1 - sum(10 ** spelling(w) for w in c))
+    for prev in contexts:
+        assert sum(token(prev, w) for w in c) + rest[prev] * spelled == pytest.approx(1)
     for i, ws in words.items():
-        want = 0.0
-        for prev, w in zip([0, *ws], [*ws, None], strict=True):
-            p = (1 - once) * c[w] / n + once * 10 ** spelling(w)
-            if w is not None and w not in head:
-                k = pairs[prev, w]
-                keep = k > 1 and k * math.log(k / contexts[prev] * n / c[w]) > lm.WORD_DIVERGENCE
-                p = (1 - lm.FOLLOWS) * p + lm.FOLLOWS * (k / contexts[prev] if keep else 0)
-            want += math.log10(p)
+        want = sum(math.log10(token(prev, w)) for prev, w in zip([0, *ws], [*ws, None], strict=True))
         assert got[i] == pytest.approx(want, rel=1e-5), i
     assert got[61] == got[60] > got[62] + 40
 
