@@ -1,6 +1,7 @@
 """Operators on pages, components, the pipeline, and that the rest imports without this subpackage."""
 
 import gzip
+import itertools
 import random
 import subprocess
 import sys
@@ -204,6 +205,33 @@ def test_alignment_of_very_long_pages(monkeypatch):
     assert all(made.match([(t, "") for t in x]) for x in (a, b))
 
 
+def test_alignment_is_the_same_at_every_size(monkeypatch):
+    """The result doesn't depend on how many cells an alignment has or may hold, and is that of the plain table of lengths."""
+
+    def plain(x, y):
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, j in itertools.product(reversed(range(len(x))), reversed(range(len(y)))):
+            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + (x[i] == y[j]))
+        i = j = 0
+        while i < len(x) or j < len(y):
+            if i < len(x) and j < len(y) and x[i] == y[j]:
+                step = "both"
+            else:
+                step = "a" if j == len(y) or (i < len(x) and best[i + 1][j] >= best[i][j + 1]) else "b"
+            yield step
+            i, j = i + (step != "b"), j + (step != "a")
+
+    rng = random.Random(11)
+    for cells in (10, html_wrapper.CELLS):
+        monkeypatch.setattr(html_wrapper, "CELLS", cells)
+        for _ in range(200):
+            x, y = ([rng.randint(0, rng.choice((2, 9))) for _ in range(rng.randint(0, 40))] for _ in range(2))
+            assert list(html_wrapper.common(x, y)) == list(plain(x, y))
+    a, b = (["<x", *(t for k in ks for t in (f"<t{k}", "#", f">t{k}")), ">x"] for ks in (range(800), range(400, 1200)))
+    made = html_wrapper.aligned(a, b)  # 5.8 million cells
+    assert made == ["<x", ["?", *a[1:1201]], *a[1201:-1], ["?", *b[1201:-1]], ">x"]
+
+
 def test_optional_groups_are_whole():
     """What one page has and the other lacks is there as a whole or not at all, so tags can't cross; also after a third page."""
     body = lambda *inner: ["<body", *inner, ">body"]

@@ -29,6 +29,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import groupby
+from math import isqrt
 
 import pandas as pd
 import pyarrow as pa
@@ -41,7 +42,7 @@ from zonelake.llm.url_filter import host_of
 SCHEMA = "page_id long, url string, text string, n_chars long"
 #: Wrappers that one task joins at a time; characters of all wrappers up to which they are broadcast.
 FAN, BROADCAST_CHARS = 64, 16_000_000
-#: Cells of an alignment; between equal ends, parts that would need more stand side by side, each optional.
+#: Cells of an alignment of which all rows are held; beyond that, about twice the square root of their number are.
 CELLS = 1_000_000
 SHARE = 0.6
 SLOT = "#"
@@ -201,6 +202,67 @@ def taken_up(nodes: list, groups: list) -> list:
     return nodes
 
 
+def row_pairs(x: list[int], y: list[int]) -> Iterator[tuple[int, int]]:
+    """For each place of x, the rows of lengths of longest common subsequences at it and at the next.
+
+    A row is a whole number. Its bit len(y) - 1 - k is clear if y[k:] has a subsequence in common with x[i:] that is longer by one than
+    that of y[k + 1 :]. A row follows from the next in a few operations. Every so many rows one is held; those between are computed
+    anew when they are reached.
+    """
+    top = len(y) - 1
+    digits = {n: bytearray((top >> 3) + 1) for n in set(x) & set(y)}
+    for k, n in enumerate(y):
+        if n in digits:
+            digits[n][(top - k) >> 3] |= 1 << ((top - k) & 7)
+    places = {n: int.from_bytes(d, "little") for n, d in digits.items()}
+    full = (1 << len(y)) - 1
+
+    def rows(begin: int, end: int, after: int) -> Iterator[int]:
+        """The rows from end - 1 down to begin, given the row at end."""
+        for i in range(end - 1, begin - 1, -1):
+            both = after & places.get(x[i], 0)
+            after = ((after + both) | (after - both)) & full
+            yield after
+
+    size = max(isqrt(len(x)), CELLS // max(len(y), 1), 1)
+    begins = range(0, len(x), size)
+    held = {len(x): full}
+    for begin in reversed(begins[1:]):
+        end = min(begin + size, len(x))
+        *_, held[begin] = rows(begin, end, held[end])
+    for begin in begins:
+        end = min(begin + size, len(x))
+        block = [held[end], *rows(begin, end, held[end])][::-1]
+        yield from zip(block, block[1:], strict=False)
+
+
+def common(x: list[int], y: list[int]) -> Iterator[str]:
+    """The steps of an alignment by a longest common subsequence: "both", "a" (only x goes on) or "b"; of equal ones, what x has comes first."""
+    top, j = len(y) - 1, 0
+    for i, (row, after) in enumerate(row_pairs(x, y)):
+        if j == len(y):
+            yield "a"
+            continue
+        # How much longer the subsequence in common with y[j:] is with x[i] than without it.
+        low = (1 << (len(y) - j)) - 1
+        gain = (after & low).bit_count() - (row & low).bit_count()
+        while j < len(y):
+            if x[i] == y[j]:
+                yield "both"
+                j += 1
+                break
+            if not gain:
+                yield "a"
+                break
+            yield "b"
+            bit = top - j
+            gain += (row >> bit & 1) - (after >> bit & 1)
+            j += 1
+        else:
+            yield "a"
+    yield from ["b"] * (len(y) - j)
+
+
 def aligned(a: list, b: list) -> list:
     """The least general wrapper here that matches what a or b match."""
     if a == b:
@@ -231,26 +293,15 @@ def aligned(a: list, b: list) -> list:
         behind += 1
     ends = list(zip(x[len(x) - behind :], y[len(y) - behind :], strict=True))
     x, y = x[ahead : len(x) - behind], y[ahead : len(y) - behind]
-    if len(x) * len(y) > CELLS:
-        for side, rest in (("a", x), ("b", y)):
-            for one in rest:
-                put(one, side)
-        x = y = []
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + 1 if same(x[i][0], y[j][0]) else 0)
+    keys: dict = {}
+    kind = lambda n: keys.setdefault(n if isinstance(n, str) else ("+", json.dumps(n[1])), len(keys))  # noqa: E731 - equal where same() holds
     i = j = 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and same(x[i][0], y[j][0]) and best[i][j] == best[i + 1][j + 1] + 1:
+    for step in common([kind(n) for n, _ in x], [kind(n) for n, _ in y]):
+        if step == "both":
             pair(x[i], y[j])
-            i, j = i + 1, j + 1
-        elif j == len(y) or (i < len(x) and best[i + 1][j] >= best[i][j + 1]):
-            put(x[i], "a")
-            i += 1
         else:
-            put(y[j], "b")
-            j += 1
+            put(x[i] if step == "a" else y[j], step)
+        i, j = i + (step != "b"), j + (step != "a")
     for p, q in ends:
         pair(p, q)
     return grouped(out)
