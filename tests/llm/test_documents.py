@@ -388,6 +388,49 @@ def test_language_model_brute_force(spark, monkeypatch):
     assert got[61] == got[60] > got[62] + 40
 
 
+@pytest.mark.parametrize("frequent", [1e-6, 0.005])
+def test_language_model_follows_every_word(spark, monkeypatch, frequent):
+    """Branches lead to frequent words as well, whichever way a branch is looked up; what tokens cost alone is from texts of one word."""
+    lm, rng = suffix_tree_lm, random.Random(23)
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
+    monkeypatch.setattr(lm, "BITMAP", 8)
+    passage = " ".join(f"rare{k}" for k in rng.sample(range(1000), 30))
+    common = "river stone river lamp stone lamp lamp river"
+    texts = [" ".join(["often oddword"] * 10 + ["often"] * 40), *[prose(rng, rng.randint(0, 60)) for _ in range(59)], passage, passage, f"{common} the {common}", f"{common} a {common}"]
+    words = [WORD.findall(t.translate(LOWER)) for t in texts]
+    c = collections.Counter(w for ws in words for w in [*ws, None])
+    pairs = collections.Counter(p for ws in words for p in zip([0, *ws], ws, strict=False))
+    n, single = sum(c.values()), [w for w in c if w is not None]
+    docs = spark.createDataFrame(list(enumerate([*texts, "", *single])), "doc_id long, text string")
+    score = lambda: {r.doc_id: r.score for r in lm.score(docs, F.col("doc_id") >= len(texts)).collect()}
+    got = score()
+    monkeypatch.setattr(lm, "HEAD", 0)
+    alone = score()
+    end = alone[len(texts)]
+    own = {None: end, **{w: alone[len(texts) + 1 + k] - end for k, w in enumerate(single)}}
+    contexts = {0: len(texts), **{w: c[w] for w in single}}
+    share = {(p, w): (k - lm.DISCOUNT) / contexts[p] for (p, w), k in pairs.items() if k > 1 and k * math.log(k / contexts[p] * n / c[w]) > lm.WORD_DIVERGENCE}
+    rest = collections.Counter(contexts.keys())
+    for (p, _), x in share.items():
+        rest[p] -= x
+    kinds = {(c[w] >= frequent * n, c[p] >= frequent * n, pairs[p, w] >= frequent * n) for p, w in share}
+    assert kinds >= ({(True, True, True)} if frequent < 0.001 else {(True, True, True), (True, True, False), (True, False, False), (False, True, False), (False, False, False)})
+    for i, ws in enumerate(words):
+        want = sum(math.log10(rest[p] * 10 ** own[w] + share.get((p, w), 0)) for p, w in zip([0, *ws], [*ws, None], strict=True))
+        assert got[i] == pytest.approx(want, rel=1e-5), i
+
+
+def test_words_of_the_language_model():
+    """Words, lower-cased, with the space behind them, against an expression; equal words have equal hashes and others don't."""
+    texts = [*[t or "" for t in ODD], "", " \t", "a", "A b\x0b\x0cB  \r\n a ", "\x1f\x08 \u00a0x\u2003y \u0130 \U0001f600", "x" * 5000, "ab ba aab aba baa"]
+    hashes, lengths, points, sizes = suffix_tree_lm.split(texts)
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t.translate(LOWER)) for t in texts]
+    assert lengths.tolist() == [len(w) for w in words]
+    assert "".join(map(chr, points)) == "".join(f"{x} " for w in words for x in w) and sizes.tolist() == [sum(len(x) + 1 for x in w) for w in words]
+    known = dict(zip((x for w in words for x in w), hashes.tolist(), strict=True))
+    assert hashes.tolist() == [known[x] for w in words for x in w] and len(set(known.values())) == len(known)
+
+
 def test_language_model_is_a_distribution(spark):
     """Spellings of all tokens of a small alphabet add up to less than one, and near to it with the end mark."""
     import numpy as np

@@ -11,17 +11,19 @@ of what precedes a symbol. A token's probability mixes its share of the training
 spelling's weight is the share of tokens that occur once in training, which estimates how much of a new text was never
 seen.
 
-Contexts also run across words: before a word of the tail (below), the word before it (or the text's start) is a context. Its
+Contexts also run across words: before any word, the word before it (or the text's start) is a context. Its
 branch to that word is kept if it was seen at least twice in training and diverges from the word's share:
 count * ln(P(word | context) / P(word)) over WORD_DIVERGENCE. A kept branch has the share (count - DISCOUNT) / count of the context;
 what a context's kept branches leave goes to all tokens by their own probability, so a context without any changes nothing. These
 branches grow with the corpus, and passages that the corpus repeats score far higher than the same words in another order. The
 score is the log10 of a probability: after any context those of all next tokens add up to one, as far as spellings do.
 
-Counting covers all training rows: word counts and (DEPTH + 1)-grams are summed in each task, then by key. A word is
-known by a 64-bit hash. Words that make up at least HEAD of all tokens, at most 1 / HEAD of them, are broadcast; the
-other words of each document meet their counts and the kept branches that lead to them in one sorted pass by hash; every
-branch is a row, so a word with many contexts builds no array.
+Counting covers all training rows: word counts are summed in each task, then by key; (DEPTH + 1)-grams and pairs of words are
+dealt into buckets by hash and summed there as arrays. A word is known by a 64-bit hash. Words that make up at least FREQUENT of
+all tokens, at most 1 / FREQUENT of them, are broadcast; the other words of each document meet their counts and the kept branches
+that lead to them in one sorted pass by hash. A branch to a frequent word is broadcast if it makes up at least FREQUENT of all
+tokens as well; occurrences of the others, which a bitmap of fixed size tells from most pairs without a branch, are joined to their
+branch by the pair. Every branch is a row, so a word with many contexts builds no array.
 
 Defined results: null or empty text is the end mark alone; without training rows counts are 0 and next symbols uniform;
 repeated rows get equal scores; an empty table gives an empty table; extra columns are ignored.
@@ -37,14 +39,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from zonelake.llm.common import Shelf, ascii_lower, crc_mod, text_of, words_of
+from zonelake.llm.common import Shelf, crc_mod, text_of
 
 DEPTH, BITS = 4, 6
 SYMBOLS = 1 << BITS
 END, OTHER = 0, 1
 ALPHABET = SYMBOLS - 2
 P_MIN, DIVERGENCE, SMOOTHING = 3e-5, 20.0, 4.0
-HEAD = 1e-6
+#: Words from this share of all tokens on have no branches: none has more than all.
+HEAD = float("inf")
+FREQUENT = 1e-6
+#: Bits of the bitmap of branches; tokens a bucket of pairs is for; tokens that a task gathers before it packs their pairs.
+BITMAP, BUCKET, GATHERED = 27, 500_000, 2_000_000
 WORD_DIVERGENCE, DISCOUNT = 8.0, 0.75
 CODE_POINTS = 0x110000
 SLICE = 200
@@ -86,11 +92,44 @@ class Tally:
 
 
 def prepared(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -> DataFrame:
-    """(doc_id, held_out, hashes, chars): what all passes read of a document; chars has each word and a space."""
-    text = text_of(text_col)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), held_out.alias("held_out"), words_of(ascii_lower(text)).alias("words"))
-    chars = F.when(F.size("words") > 0, F.concat(F.array_join("words", " "), F.lit(" "))).otherwise(F.lit(""))
-    return rows.select("doc_id", "held_out", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), chars.alias("chars"))
+    """(doc_id, held_out, text): what all passes read of a document."""
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), held_out.alias("held_out"), text_of(text_col).alias("text"))
+
+
+def split(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words' hashes and their number in each text; the code points of lower-cased words, each with a space behind it, and theirs."""
+    if not texts:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0, np.int64)
+    points = np.frombuffer("".join(f"{t}\n" for t in texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    space = (points == 32) | (points - np.uint32(9) <= 4)
+    inner = ~space
+    end = space.copy()
+    end[0] = False
+    end[1:] &= inner[:-1]
+    behind = np.searchsorted(np.flatnonzero(end), np.cumsum([len(t) + 1 for t in texts]))
+    kept = points[inner | end]
+    kept[kept - np.uint32(65) < 26] += 32
+    ends = np.flatnonzero(end[inner | end])
+    kept[ends] = 32
+    if not len(ends):
+        return np.empty(0, np.int64), behind, kept, np.zeros(len(texts), np.int64)
+    starts = np.r_[0, ends[:-1] + 1]
+    # A code point and its place in the word, mixed; the sum over a word is mixed once more.
+    mixed = (np.arange(len(kept)) - np.repeat(starts, ends - starts + 1)).astype(np.uint64)
+    mixed <<= np.uint64(21)
+    mixed |= kept
+    hashes = mix(np.add.reduceat(mix(mixed), starts)).view(np.int64)
+    return hashes, np.diff(behind, prepend=0), kept, np.diff(np.r_[0, ends + 1][behind], prepend=0)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64, in place."""
+    x += np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -130,16 +169,16 @@ def count_words(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                points, _ = code_points(part.column(1).to_pylist())
+                flat, _, points, _ = split(part.column(0).to_pylist())
                 found = np.bincount(points, minlength=1)
                 seen = np.flatnonzero(found)
                 chars.add(seen, found[seen])
-                words.add(part.column(0).flatten().to_numpy(zero_copy_only=False))
+                words.add(flat)
                 words.add(np.array([END_HASH]), np.array([part.num_rows]))
         yield from chars.batches(0)
         yield from words.batches(1)
 
-    counted = rows.select("hashes", "chars").mapInArrow(run, "kind byte, key long, n long")
+    counted = rows.select("text").mapInArrow(run, "kind byte, key long, n long")
     return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -168,51 +207,139 @@ def distinct(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarra
     return [k[new] for k in ordered], order[new], np.diff(np.r_[new, len(order)])
 
 
-COUNTED = "kind byte, key long, prev long, n long"
+def pair_of(word, prev):
+    """One number for two words' hashes, as arrays or columns."""
+    if isinstance(word, Column):
+        return word.bitwiseXOR(F.shiftleft(prev, 21).bitwiseOR(F.shiftrightunsigned(prev, 43)))
+    before = prev.view(np.uint64)
+    return word ^ (before << np.uint64(21) | before >> np.uint64(43)).view(np.int64)
 
 
-def count_grams(rows: DataFrame, symbol, head) -> DataFrame:
-    """(kind, key, prev, n) of all rows: kind 2 counts (DEPTH + 1)-grams, kind 3 words of the tail by the word before.
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers by the planes of their bytes, of which most are alike."""
+    return pa.compress(values.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
 
-    symbol is a broadcast table from code point to symbol, head one of the sorted hashes of all other words.
+
+def unpacked(blob: bytes, size: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(blob, 8 * size, "zstd"), np.uint8).reshape(8, size).T).view("<i8").ravel()
+
+
+PACKED = "kind byte, bucket long, size long, key binary, prev binary, n binary"
+COUNTED = "kind byte, key long, prev long, n long, share double"
+
+
+def count_grams(rows: DataFrame, symbol, head, n_tokens: int, n_texts: int) -> DataFrame:
+    """(kind, key, prev, n, share) of all rows: kind 2 counts (DEPTH + 1)-grams, kind 3 words by the word before.
+
+    symbol is a broadcast table from code point to symbol, head one of the sorted hashes of frequent words and their counts. Pairs seen
+    once are left out. Of those of two frequent words only kept branches are there, with their share; others have none yet.
     """
-    names = [x.split()[0] for x in COUNTED.split(", ")]
+    buckets = max(1, n_tokens // BUCKET)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
+        names = [x.split()[0] for x in PACKED.split(", ")]
+        tally, gathered, held = Tally(), [], 0
+
+        def pack(kind: int, bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+            """The columns, which are in order of the bucket, as a row for each bucket."""
+            begins = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
+            ends = np.r_[begins[1:], len(bucket)][: len(begins)]
+            blobs = [pa.array([packed(c[i:j]) for i, j in zip(begins, ends, strict=True)], pa.binary()) for c in columns]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(begins), kind, np.int8)), pa.array(bucket[begins]), pa.array(ends - begins), *blobs], names)
+
+        def pairs() -> pa.RecordBatch:
+            word, prev = (np.concatenate(x) for x in zip(*gathered, strict=True))
+            gathered.clear()
+            hashes = mix(pair_of(word, prev).view(np.uint64))
+            order = np.argsort(hashes)
+            hashes = hashes[order]
+            new = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(order) else order
+            bucket = ((hashes[new] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            return pack(3, bucket, word[order[new]], prev[order[new]], np.diff(np.r_[new, len(order)]))
+
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                tally.add(grams(*code_points(part.column(1).to_pylist()), symbol.value)[0])
-                flat = part.column(0).flatten().to_numpy(zero_copy_only=False)
-                prev = before(flat, part.column(0).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-                tail = ~find(head.value, flat)[1]
-                (word, context), _, n = distinct(flat[tail], prev[tail])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), 3, np.int8)), pa.array(word), pa.array(context), pa.array(n.astype(np.int64))], names)
-        for part in tally.batches(2):
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.zeros(part.num_rows, np.int64)), part.column(2)], names)
-
-    counted = rows.select("hashes", "chars").mapInArrow(run, COUNTED)
-    return counted.groupBy("kind", "key", "prev").agg(F.sum("n").alias("n")).where("kind = 2 or n > 1")
+                flat, lengths, points, sizes = split(batch.column(0).slice(at, SLICE).to_pylist())
+                tally.add(grams(points, sizes, symbol.value)[0])
+                # Frequent words go by their place, and the start behind these; 2^20 numbers that a hash has with a chance of 2^-44.
+                place, hit = find(head.value[0], flat)
+                code = np.where(hit, place, flat)
+                prev = before(code, lengths)
+                prev[(np.cumsum(lengths) - lengths)[lengths > 0]] = len(head.value[0])
+                gathered.append((code, prev))
+                held += len(code)
+                if held >= GATHERED:
+                    yield pairs()
+                    held = 0
+        if gathered:
+            yield pairs()
+        keys, n = tally.merged()
+        order = np.argsort(keys & 15, kind="stable")
+        yield pack(2, keys[order] & 15, keys[order], np.zeros(len(keys), np.int64), n[order])
+
+    def merge(group: pa.Table) -> pa.Table:
+        hashes, counts = head.value
+        sizes = group.column("size").to_pylist()
+        key, prev, n = (np.concatenate([unpacked(b, k) for b, k in zip(group.column(c).to_pylist(), sizes, strict=True)]) for c in ("key", "prev", "n"))
+        pair = pair_of(key, prev)
+        order = np.argsort(pair)
+        pair = pair[order]
+        new = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+        key, prev, n = key[order[new]], prev[order[new]], np.add.reduceat(n[order], new)
+        share = np.full(len(n), np.nan)
+        kind = group.column("kind")[0].as_py()
+        if kind == 3:
+            key, prev, n = key[n > 1], prev[n > 1], n[n > 1]
+            known, context = (key >= 0) & (key < len(hashes)), (prev >= 0) & (prev <= len(hashes))
+            own = np.r_[counts, 0][np.where(known, key, 0)].astype(float)
+            of = np.r_[counts, n_texts][np.where(context, prev, 0)].astype(float)
+            both = known & context
+            with np.errstate(all="ignore"):
+                share = np.where(both, (n - DISCOUNT) / of, np.nan)
+                good = ~both | ((own < HEAD * n_tokens) & (n * np.log(n / of * n_tokens / own) > WORD_DIVERGENCE))
+            key = np.where(known, np.r_[hashes, 0][np.where(known, key, 0)], key)
+            prev = np.where(context, np.r_[hashes, START_HASH][np.where(context, prev, 0)], prev)
+            key, prev, n, share = key[good], prev[good], n[good], share[good]
+        return pa.table([pa.array(np.full(len(n), kind, np.int8)), pa.array(key), pa.array(prev), pa.array(n), pa.array(share, from_pandas=True)], names=[x.split()[0] for x in COUNTED.split(", ")])
+
+    return rows.select("text").mapInArrow(run, PACKED).groupBy("kind", "bucket").applyInArrow(merge, COUNTED)
 
 
 def branches(pairs: DataFrame, words: DataFrame, n_tokens: int, n_texts: int) -> DataFrame:
-    """(key, prev, share): the kept branches, each with the word's discounted share in that context."""
+    """(key, prev, n, frequent, share): the kept branches, each with its count, whether its word is frequent, and the word's discounted
+    share in that context."""
+    columns = ["key", "prev", "n", "frequent", "share"]
     known = words.union(words.sparkSession.createDataFrame([(START_HASH, n_texts)], "key long, n long"))
-    found = pairs.join(known.select(F.col("key").alias("prev"), F.col("n").alias("of")), "prev").join(words.select("key", F.col("n").alias("own")), "key")
-    kept = found.where(F.col("n") * F.log(F.col("n") / F.col("of") * n_tokens / F.col("own")) > WORD_DIVERGENCE)
-    return kept.select("key", "prev", ((F.col("n") - DISCOUNT) / F.col("of")).alias("share"))
+    found = pairs.where("share is null").join(known.select(F.col("key").alias("prev"), F.col("n").alias("of")), "prev").join(words.select("key", F.col("n").alias("own")), "key")
+    kept = found.where((F.col("own") < HEAD * n_tokens) & (F.col("n") * F.log(F.col("n") / F.col("of") * n_tokens / F.col("own")) > WORD_DIVERGENCE))
+    kept = kept.withColumn("frequent", F.col("own") >= FREQUENT * n_tokens).withColumn("share", (F.col("n") - DISCOUNT) / F.col("of"))
+    return kept.select(columns).union(pairs.where("share is not null").withColumn("frequent", F.lit(True)).select(columns))
+
+
+def bitmap(pairs: DataFrame) -> np.ndarray:
+    """The bits of all values of the column pair; 16 MB."""
+    bit = F.col("pair").bitwiseAND(F.lit((1 << BITMAP) - 1))
+    one = F.expr("shiftleft(1L, cast(pair & 63 as int))")
+    found = pairs.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
+    out = np.zeros(1 << BITMAP - 6, np.int64)
+    out[found["at"].to_numpy()] = found["bits"].to_numpy()
+    return out.view(np.uint8)
+
 
+def marked(bits: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Whether the bit of each number is set."""
+    at = pairs & (8 * len(bits) - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
-def looked_up(tail: DataFrame, words: DataFrame, kept: DataFrame, left: DataFrame) -> DataFrame:
+
+def looked_up(tail: DataFrame, words: DataFrame, gains: DataFrame, left: DataFrame) -> DataFrame:
     """(row, times, score, n, rest, gain) of each (row, hash, prev, times, score): the word's count, what its own branches leave of the
     token after it, and what the branch from the word before adds to its probability (before that word's rest); null without.
 
     Facts about a word and a branch come before the occurrences that they are about, in one order by hash.
     """
     facts = words.join(left, "key", "left").select(F.col("key").alias("hash"), F.lit(None).cast("long").alias("prev"), "n", "rest")
-    gains = kept.join(left.withColumnRenamed("key", "prev"), "prev").select(F.col("key").alias("hash"), "prev", (F.col("share") / F.col("rest")).alias("gain"))
-    all_ = facts.unionByName(gains, True).unionByName(tail, True)
+    all_ = facts.unionByName(gains.select(F.col("key").alias("hash"), "prev", "gain"), True).unionByName(tail, True)
     order = Window.partitionBy("hash").orderBy(F.asc_nulls_first("prev"), F.asc_nulls_first("row")).rowsBetween(Window.unboundedPreceding, 0)
     last = lambda c: F.last(c, ignorenulls=True).over(order)
     branch = F.when(F.col("gain").isNotNull(), F.struct("prev", "gain"))
@@ -286,37 +413,45 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     symbol[[r.key for r in frequent]] = np.arange(2, 2 + len(frequent))
     symbol = sc.broadcast(symbol)
 
-    head = words.where(F.col("n") >= HEAD * n_tokens).toPandas().sort_values("key")
-    seen = shelf.keep(count_grams(training, symbol, sc.broadcast(head["key"].to_numpy(np.int64))))
+    head = words.where(F.col("n") >= FREQUENT * n_tokens).toArrow().sort_by("key")
+    head = {c: head[c].to_numpy() for c in ("key", "n")}
+    n_end = words.where(F.col("key") == END_HASH).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    texts = max(n_end, 1)  # every training row has one end
+    frequents = sc.broadcast((head["key"], head["n"]))
+    seen = shelf.keep(count_grams(training, symbol, frequents, n_tokens, texts))
     kept, log_next = tree(candidate_contexts(seen.where("kind = 2").select("key", "n")))
     once = words.where("n = 1").count()
     spelled = once / n_tokens if 0 < once < n_tokens else 1.0 if n_tokens == 0 else 0.5 / n_tokens
-    n_end = words.where(F.col("key") == END_HASH).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    texts = n_end  # every training row has one end
-    kept_branches = shelf.keep(branches(seen.where("kind = 3").select("key", "prev", "n"), words, n_tokens, max(texts, 1)))
+    kept_branches = shelf.keep(branches(seen.where("kind = 3").drop("kind"), words, n_tokens, texts))
     left = shelf.keep(kept_branches.groupBy(F.col("prev").alias("key")).agg((1 - F.sum("share")).alias("rest")))
+    gains = kept_branches.join(left.withColumnRenamed("key", "prev"), "prev")
+    gains = shelf.keep(gains.select("key", "prev", "n", "frequent", (F.col("share") / F.col("rest")).alias("gain"), pair_of(F.col("key"), F.col("prev")).alias("pair")))
+    often = gains.where(F.col("frequent") & (F.col("n") >= FREQUENT * n_tokens)).select("pair", "gain").toArrow().sort_by("pair")
+    rare = gains.where(F.col("frequent") & (F.col("n") < FREQUENT * n_tokens)).select("pair", "gain")
+    branched = sc.broadcast((often["pair"].to_numpy(), often["gain"].to_numpy(), bitmap(gains.where("frequent").select("pair"))))
     # Contexts that are words of the head, or the start: no more than these are.
-    heads = spark.createDataFrame([(int(k),) for k in [*head["key"], START_HASH]], "key long")
-    rests = dict(left.join(heads, "key", "left_semi").toPandas().itertuples(index=False, name=None))
-    rest = np.log10([rests.get(k, 1.0) for k in head["key"]])
-    start_rest = float(np.log10(rests.get(START_HASH, 1.0)))
-    model = sc.broadcast((kept, log_next, head["key"].to_numpy(np.int64), head["n"].to_numpy(np.float64), rest))
+    heads = words.where(F.col("n") >= FREQUENT * n_tokens).select("key").union(spark.createDataFrame([(START_HASH,)], "key long"))
+    rests = left.join(heads, "key", "left_semi").toArrow().sort_by("key")
+    at, there = find(rests["key"].to_numpy(), np.r_[head["key"], START_HASH].astype(np.int64))
+    *rest, start_rest = np.log10(np.where(there, np.r_[rests["rest"].to_numpy(), 1.0][at], 1.0)).tolist()
+    rest = np.array(rest)
+    model = sc.broadcast((kept, log_next, head["key"], head["n"].astype(np.float64), rest))
     spare = -np.log10(CODE_POINTS)
     share = (1 - spelled) / max(n_tokens, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, log_next, head_keys, head_counts, head_rest = model.value
+        often, often_gain, bits = branched.value
         state = states(kept)
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 rows = part.num_rows
-                flat = part.column(2).flatten().to_numpy(zero_copy_only=False)
-                lengths = part.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                flat, lengths, points, sizes = split(part.column(2).to_pylist())
                 doc = np.repeat(np.arange(rows), lengths)
 
-                key, starts = grams(*code_points(part.column(3).to_pylist()), symbol.value)
+                key, starts = grams(points, sizes, symbol.value)
                 nexts = key & (SYMBOLS - 1)
                 logs = np.add.reduceat(log_next[state[key >> BITS], nexts].astype(np.float64) + np.where(nexts == OTHER, spare, 0), starts)
                 ends = np.cumsum(lengths + 1) - 1
@@ -327,28 +462,42 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
                 total = lambda values, doc=doc[hit], rows=rows: np.bincount(doc, weights=values, minlength=rows)
                 known = np.bincount(doc[hit], minlength=rows) + (n_end > 0)
                 base = total(np.log10(counts + 1)) + np.log10(n_end + 1)
-                scores = total(np.log10(share * counts + spelled * 10 ** spelling[hit]) + head_rest[place[hit]]) + np.log10(share * n_end + spelled * 10 ** logs[ends]) + start_rest
+                own = share * counts + spelled * 10 ** spelling[hit]
+                scores = np.log10(own) + head_rest[place[hit]]
+                prev = before(flat, lengths)
+                pair = pair_of(flat[hit], prev[hit])
+                likely = np.flatnonzero(marked(bits, pair))
+                at_often, found = find(often, pair[likely])
+                there = likely[found]
+                scores[there] += np.log10(1 + often_gain[at_often[found]] / own[there])
+                asked = likely[~found]
+                scores = total(scores) + np.log10(share * n_end + spelled * 10 ** logs[ends]) + start_rest
                 row = number + np.arange(rows)
                 number += rows
                 nothing = pa.nulls(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(row), nothing, nothing, nothing, pa.array(lengths + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(scores)], TALL_NAMES
+                    [part.column(0), part.column(1), pa.array(row), nothing, nothing, nothing, pa.array(lengths + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(scores), nothing], TALL_NAMES
                 )
-                (d, h, prev), first, times = distinct(doc[~hit], flat[~hit], before(flat, lengths)[~hit])
+                if len(asked):
+                    nothing, zero = pa.nulls(len(asked), pa.float64()), pa.nulls(len(asked), pa.int64())
+                    yield pa.RecordBatch.from_arrays([zero, pa.nulls(len(asked), pa.bool_()), pa.array(row[doc[hit][asked]]), zero, zero, zero, zero, zero, nothing, pa.array(own[asked]), pa.array(pair[asked])], TALL_NAMES)
+                (d, h, prev), first, times = distinct(doc[~hit], flat[~hit], prev[~hit])
                 if len(d):
                     cost = spelling[~hit][first]
                     nothing, zero = pa.nulls(len(d), pa.float64()), pa.nulls(len(d), pa.int64())
-                    yield pa.RecordBatch.from_arrays([zero, pa.nulls(len(d), pa.bool_()), pa.array(row[d]), pa.array(h), pa.array(prev), pa.array(times.astype(np.int64)), zero, zero, nothing, pa.array(cost)], TALL_NAMES)
+                    yield pa.RecordBatch.from_arrays([zero, pa.nulls(len(d), pa.bool_()), pa.array(row[d]), pa.array(h), pa.array(prev), pa.array(times.astype(np.int64)), zero, zero, nothing, pa.array(cost), zero], TALL_NAMES)
 
     tall = shelf.keep(rows.mapInArrow(run, TALL))
-    tail = looked_up(tall.where("hash is not null").select("row", "hash", "prev", "times", "score"), words.where(F.col("n") < HEAD * n_tokens), kept_branches, left)
+    tail = looked_up(tall.where("hash is not null").select("row", "hash", "prev", "times", "score"), words.where(F.col("n") < FREQUENT * n_tokens), gains.where("not frequent"), left)
     n = F.coalesce("n", F.lit(0))
     own = share * n + spelled * F.pow(F.lit(10.0), F.col("score"))
     mixed = F.log10(own + F.coalesce("gain", F.lit(0.0))) + F.log10(F.coalesce("rest", F.lit(1.0)))
     tail = tail.select("row", F.when(n > 0, F.col("times")).otherwise(0).alias("known"), (F.col("times") * F.log10(n + 1)).alias("base"), (F.col("times") * mixed).alias("score"))
+    added = tall.where("pair is not null").select("row", "pair", F.col("score").alias("own")).join(rare, "pair")
+    tail = tail.union(added.select("row", F.lit(0).cast("long"), F.lit(0.0), F.log10(1 + F.col("gain") / F.col("own"))))
     by_row = tail.groupBy("row").agg(F.sum("known").alias("more_known"), F.sum("base").alias("more_base"), F.sum("score").alias("more_score"))
     more = lambda c: F.coalesce(f"more_{c}", F.lit(0))
-    joined = tall.where("hash is null").join(by_row, "row", "left").select(
+    joined = tall.where("hash is null and pair is null").join(by_row, "row", "left").select(
         "doc_id", "held_out", F.col("tokens").alias("n_tokens"),
         (F.col("known") + more("known")).cast("long").alias("n_known"),
         F.lit(n_tokens).cast("long").alias("train_tokens"),
@@ -358,7 +507,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     return shelf.last(joined)
 
 
-TALL = "doc_id long, held_out boolean, row long, hash long, prev long, times long, tokens long, known long, base double, score double"
+TALL = "doc_id long, held_out boolean, row long, hash long, prev long, times long, tokens long, known long, base double, score double, pair long"
 TALL_NAMES = [x.split()[0] for x in TALL.split(", ")]
 
 
