@@ -5,9 +5,11 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import ODD, SCHEMA, prose, rows
 from hypothesis import given, settings
@@ -477,6 +479,19 @@ def test_classifier(spark, odd, empty):
 
 
 
+def test_classifier_pools_in_little_memory():
+    """Pooling holds a few numbers for each word, not all of the word's features at once."""
+    rng, size = np.random.default_rng(4), 200_000
+    words = [pa.array([np.int32(low) + rng.integers(0, 4096, size // 20, dtype=np.int32) for _ in range(20)], pa.list_(pa.int32())) for low in (0, 4096)]
+    part = pa.RecordBatch.from_arrays(words, ["hash", "shape"])
+    index = quality_classifier.index_vectors()
+    tracemalloc.start()
+    found = quality_classifier.pooled(part, index, index)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(found[3, :32], index[np.array(words[0][3].as_py())].mean(0), atol=1e-4) and peak < 200 * size
+
+
 def test_classifier_vectors_and_pooling(spark):
     """The table of vectors and the pooled documents against sums in plain Python."""
     rng = random.Random(5)

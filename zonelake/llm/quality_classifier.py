@@ -58,7 +58,7 @@ def arrays(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets by hash and by shape of all words of a batch, and the number of words of each document."""
     last = part.num_columns
     flat = [part.column(i).flatten().to_numpy(zero_copy_only=False) for i in (last - 2, last - 1)]
-    return flat[0], flat[1], part.column(last - 1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return flat[0].astype(np.intp), flat[1].astype(np.intp), part.column(last - 1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,13 +67,12 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, SLICE)
 
 
-def neighbours(index: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each word the sum of the rows of its neighbours in the same document."""
-    out = np.zeros_like(index)
-    for k in range(1, WINDOW + 1):
-        same = (doc[k:] == doc[:-k])[:, None]
-        out[k:] += index[:-k] * same
-        out[:-k] += index[k:] * same
+def neighbours(values: np.ndarray, same: list[np.ndarray]) -> np.ndarray:
+    """For each word the sum of the values of its neighbours; same says which words are in one document with the k-th after them."""
+    out = np.zeros_like(values)
+    for k, near in enumerate(same, 1):
+        out[k:] += values[:-k] * near
+        out[:-k] += values[k:] * near
     return out
 
 
@@ -82,12 +81,15 @@ def word_vectors(docs: DataFrame, text_col: str) -> np.ndarray:
     names = [f"d{i}" for i in range(DIMENSIONS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, table = index_vectors(), np.zeros((DIMENSIONS, BUCKETS))
+        # One dimension after the other: its values of all buckets, and of a slice's words, fit the caches.
+        index, table = np.ascontiguousarray(index_vectors().T), np.zeros((DIMENSIONS, BUCKETS))
         for part in slices(batches):
             words, shapes, lengths = arrays(part)
-            near = neighbours(index[words] + index[shapes], np.repeat(np.arange(len(lengths)), lengths))
+            doc = np.repeat(np.arange(len(lengths)), lengths)
+            same = [(doc[k:] == doc[:-k]).astype(np.float32) for k in range(1, WINDOW + 1)]
             for d in range(DIMENSIONS):
-                table[d] += np.bincount(words, near[:, d], BUCKETS) + np.bincount(shapes, near[:, d], BUCKETS)
+                near = neighbours(index[d].take(words) + index[d].take(shapes), same).astype(np.float64)
+                table[d] += np.bincount(words, near, BUCKETS) + np.bincount(shapes, near, BUCKETS)
         used = np.flatnonzero(table.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(table[d, used].astype(np.int64)) for d in range(DIMENSIONS)]], ["bucket", *names])
 
@@ -102,11 +104,14 @@ def pooled(part: pa.RecordBatch, vectors: np.ndarray, index: np.ndarray) -> np.n
     """One row of FEATURES for each document of a batch."""
     words, shapes, lengths = arrays(part)
     doc = np.repeat(np.arange(len(lengths)), lengths)
-    each = np.concatenate([vectors[words], vectors[shapes], index[shapes]], axis=1)
     out = np.zeros((len(lengths), FEATURES), np.float32)
     some = lengths > 0
     if len(words):
-        out[some, :-2] = np.add.reduceat(each, (np.cumsum(lengths) - lengths)[some], axis=0) / lengths[some, None]
+        starts = (np.cumsum(lengths) - lengths)[some]
+        # One feature after the other, as in word_vectors().
+        tables = [(np.ascontiguousarray(table.T), at) for table, at in ((vectors, words), (vectors, shapes), (index, shapes))]
+        for k, (values, at) in enumerate((row, at) for table, at in tables for row in table):
+            out[some, k] = np.add.reduceat(values.take(at), starts) / lengths[some]
         again = doc[1:][(words[1:] == words[:-1]) & (doc[1:] == doc[:-1])]
         out[some, -2] = np.bincount(again, minlength=len(lengths))[some] / lengths[some]
     out[:, -1] = np.log1p(lengths)
