@@ -422,6 +422,63 @@ def test_language_model_follows_every_word(spark, monkeypatch, frequent):
         assert got[i] == pytest.approx(want, rel=1e-5), i
 
 
+def test_language_model_rows(spark, monkeypatch):
+    """Looking up words and branches writes no row for each occurrence, and scores don't depend on blocks and buckets."""
+    lm, rng = suffix_tree_lm, random.Random(31)
+    monkeypatch.setattr(lm, "FREQUENT", 0.002)
+    vocabulary = [f"{'often' if k < 150 else 'rare'}{k}" for k in range(450)]
+    texts = [" ".join(rng.sample(vocabulary, 450) + rng.choices(vocabulary[:150], k=150)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    sizes, keep = [], lm.Shelf.keep
+
+    def kept(self, df):
+        out = keep(self, df)
+        sizes.append(out.count())
+        return out
+
+    def scores():
+        return {r.doc_id: r.score for r in lm.score(docs, F.col("doc_id") % 5 == 0).collect()}
+
+    monkeypatch.setattr(lm.Shelf, "keep", kept)
+    want = scores()
+    assert max(sizes) < 8_000 < sum(len(t.split()) for t in texts) // 2
+    for name, value in (("GATHERED", 3_000), ("BUCKET", 2_000), ("ASKED_BUCKET", 4_000)):
+        monkeypatch.setattr(lm, name, value, raising=False)
+    assert scores() == pytest.approx(want, rel=1e-9)
+
+
+def test_language_model_long_unknown_word(spark):
+    """A word whose spelling is less than the least number costs its spelling, twice if there twice."""
+    rng = random.Random(37)
+    word = "".join(rng.choice("etaoinshrdlu") for _ in range(900))
+    texts = [prose(rng, 50) for _ in range(20)] + ["", word, f"{word} {word}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in suffix_tree_lm.score(docs, F.col("doc_id") >= 20).collect()}
+    assert got[21] - got[20] < -400 and got[22] - got[21] == pytest.approx(got[21] - got[20], abs=5)
+
+
+def test_packed_pairs(spark):
+    """Codes of pairs of places are distinct, the same for columns and arrays, and lead back; what is dealt comes back in its bucket."""
+    import numpy as np
+
+    lm = suffix_tree_lm
+    for n_head in (0, 1, 30, 1_000_000):
+        rng = np.random.default_rng(n_head)
+        word, prev = rng.integers(0, n_head + 1, 500), rng.integers(0, n_head + 1, 500)
+        code = lm.mixed_code(word, prev, n_head)
+        assert code.min() >= 0 and int(code.max()) < 1 << lm.code_bits(n_head) and all((x == y).all() for x, y in zip(lm.places_of(code, n_head), (word, prev), strict=True))
+        made = spark.createDataFrame(list(zip(word.tolist(), prev.tolist(), strict=True)), "word long, prev long")
+        assert [r[0] for r in made.select(lm.mixed_code(F.col("word"), F.col("prev"), n_head)).collect()] == code.tolist()
+    for bits in (10, 40, 64):
+        keys = np.sort(np.r_[rng.integers(0, (1 << bits) - 1, 400, np.uint64, endpoint=True), np.uint64(0), np.uint64((1 << bits) - 1)])
+        keys = np.sort(np.r_[keys, keys[::3]])
+        bucket, size, steps, each, distinct = (x.to_pylist() for x in lm.dealt(keys, 7, bits, np.arange(len(keys)), keys.astype(float)))
+        assert bucket == list(range(7)) and np.concatenate([lm.ascending(b, k) for b, k in zip(steps, size, strict=True)]).tolist() == keys.tolist()
+        assert np.concatenate([lm.unpacked(b, k) for b, k in zip(each, size, strict=True)]).tolist() == list(range(len(keys)))
+        parts = [np.unique(lm.ascending(b, k)) for b, k in zip(steps, size, strict=True)]
+        assert [lm.unpacked(d, len(p), "<f8").tolist() for d, p in zip(distinct, parts, strict=True)] == [p.astype(float).tolist() for p in parts]
+
+
 def test_words_of_the_language_model():
     """Words, lower-cased, with the space behind them, against an expression; equal words have equal hashes and others don't."""
     texts = [*[t or "" for t in ODD], "", " \t", "a", "A b\x0b\x0cB  \r\n a ", "\x1f\x08 \u00a0x\u2003y \u0130 \U0001f600", "x" * 5000, "ab ba aab aba baa"]

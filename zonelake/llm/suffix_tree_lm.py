@@ -19,11 +19,13 @@ branches grow with the corpus, and passages that the corpus repeats score far hi
 score is the log10 of a probability: after any context those of all next tokens add up to one, as far as spellings do.
 
 Counting covers all training rows: word counts are summed in each task, then by key; (DEPTH + 1)-grams and pairs of words are
-dealt into buckets by hash and summed there as arrays. A word is known by a 64-bit hash. Words that make up at least FREQUENT of
-all tokens, at most 1 / FREQUENT of them, are broadcast; the other words of each document meet their counts and the kept branches
-that lead to them in one sorted pass by hash. A branch to a frequent word is broadcast if it makes up at least FREQUENT of all
-tokens as well; occurrences of the others, which a bitmap of fixed size tells from most pairs without a branch, are joined to their
-branch by the pair. Every branch is a row, so a word with many contexts builds no array.
+dealt into buckets and summed there as arrays. A word is known by a 64-bit hash. Words that make up at least FREQUENT of all
+tokens, at most 1 / FREQUENT of them, are broadcast, and so are branches that make up as much. A token's log10 probability is a sum
+of what the word costs alone, what the branches of the word before leave, and what a branch between the two adds, so documents ask
+for each of these apart: for rarer words by hash, and for other branches by the pair, where a bitmap of fixed size tells most pairs
+without a branch. What they ask is packed by block of documents and bucket of keys, as sorted steps between keys and places of
+documents. It meets the words and branches of the bucket, which are packed as well, and goes back as sums by document. No occurrence
+is a row, and a word with many contexts builds no array of its own.
 
 Defined results: null or empty text is the end mark alone; without training rows counts are 0 and next symbols uniform;
 repeated rows get equal scores; an empty table gives an empty table; extra columns are ignored.
@@ -36,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonelake.llm.common import Shelf, crc_mod, text_of
@@ -51,6 +53,8 @@ HEAD = float("inf")
 FREQUENT = 1e-6
 #: Bits of the bitmap of branches; tokens a bucket of pairs is for; tokens that a task gathers before it packs their pairs.
 BITMAP, BUCKET, GATHERED = 27, 500_000, 2_000_000
+#: Tokens that a bucket of what documents ask is for.
+ASKED_BUCKET = 4_000_000
 WORD_DIVERGENCE, DISCOUNT = 8.0, 0.75
 CODE_POINTS = 0x110000
 SLICE = 200
@@ -199,14 +203,6 @@ def before(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return prev
 
 
-def distinct(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Distinct tuples of some columns, where the first of each is, and how often each occurs."""
-    order = np.lexsort(keys[::-1])
-    ordered = [k[order] for k in keys]
-    new = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in ordered], axis=0)]) if len(order) else order
-    return [k[new] for k in ordered], order[new], np.diff(np.r_[new, len(order)])
-
-
 def pair_of(word, prev):
     """One number for two words' hashes, as arrays or columns."""
     if isinstance(word, Column):
@@ -216,46 +212,110 @@ def pair_of(word, prev):
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Whole numbers by the planes of their bytes, of which most are alike."""
-    return pa.compress(values.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+    """Numbers of 8 bytes by the planes of their bytes, of which most are alike."""
+    return pa.compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(blob: bytes, size: int, kind: str = "<i8") -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(blob, 8 * size, "zstd"), np.uint8).reshape(8, size).T).view(kind).ravel()
+
+
+def ascending(blob: bytes, size: int) -> np.ndarray:
+    """The keys of a row of dealt()."""
+    return np.cumsum(unpacked(blob, size, "<u8"), dtype=np.uint64)
+
+
+def firsts(keys: np.ndarray) -> np.ndarray:
+    """Where each distinct one of sorted keys begins."""
+    return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+
+
+def dealt(keys: np.ndarray, buckets: int, bits: int, each: np.ndarray | None, distinct: np.ndarray | None) -> tuple:
+    """Sorted keys of so many bits, dealt into buckets by their range: (bucket, size, steps between keys, each, distinct).
+
+    each has a number for every key; of distinct, which has the same number for equal keys, one is packed for each distinct key.
+    """
+    bucket = (keys * np.uint64(buckets) >> np.uint64(bits) if bits <= 40 else (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    begins = firsts(bucket)
+    cuts = [slice(i, j) for i, j in zip(begins, [*begins[1:], len(keys)], strict=False)]
+    blob = lambda f: pa.array([packed(f(c)) for c in cuts], pa.binary())
+    steps = blob(lambda c: np.diff(keys[c], prepend=np.uint64(0)))
+    nothing = pa.nulls(len(cuts), pa.binary())
+    return (
+        pa.array(bucket[begins]), pa.array([c.stop - c.start for c in cuts], pa.int64()), steps,
+        nothing if each is None else blob(lambda c: each[c]),
+        nothing if distinct is None else blob(lambda c: distinct[c][firsts(keys[c])]),
+    )
 
 
-def unpacked(blob: bytes, size: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(pa.decompress(blob, 8 * size, "zstd"), np.uint8).reshape(8, size).T).view("<i8").ravel()
+FACTORS = 0x5BD1E9 | 1, 0x2C9277 | 1
+
+
+def code_bits(n_head: int) -> int:
+    """Bits of mixed_code; 40 for a million words."""
+    return max(2, ((n_head + 1) ** 2).bit_length())
+
+
+def mixed_code(word, prev, n_head: int):
+    """One number for the places of two frequent words, as arrays or columns; spread evenly over code_bits, so that ranges are alike."""
+    bits = code_bits(n_head)
+    mask, shift, (one, two) = (1 << bits) - 1, (bits + 1) // 2, FACTORS
+    if isinstance(word, Column):
+        x = ((word * (n_head + 1) + prev) * one).bitwiseAND(F.lit(mask))
+        return (x.bitwiseXOR(F.shiftrightunsigned(x, shift)) * two).bitwiseAND(F.lit(mask))
+    x = (word * (n_head + 1) + prev) * one & mask
+    return (x ^ x >> shift) * two & mask
+
+
+def places_of(code: np.ndarray, n_head: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the words of mixed_code."""
+    bits = code_bits(n_head)
+    mask, shift = np.uint64((1 << bits) - 1), np.uint64((bits + 1) // 2)
+    one, two = (np.uint64(pow(f, -1, 1 << bits)) for f in FACTORS)
+    x = code.astype(np.uint64) * two & mask
+    x = ((x ^ x >> shift) * one & mask).astype(np.int64)
+    return np.divmod(x, n_head + 1)
 
 
 PACKED = "kind byte, bucket long, size long, key binary, prev binary, n binary"
 COUNTED = "kind byte, key long, prev long, n long, share double"
 
 
-def count_grams(rows: DataFrame, symbol, head, n_tokens: int, n_texts: int) -> DataFrame:
-    """(kind, key, prev, n, share) of all rows: kind 2 counts (DEPTH + 1)-grams, kind 3 words by the word before.
+def count_grams(rows: DataFrame, symbol, head, twice, n_tokens: int, n_texts: int) -> DataFrame:
+    """(kind, key, prev, n, share) of all rows: kind 2 counts (DEPTH + 1)-grams, kinds 3 and 4 words by the word before.
 
-    symbol is a broadcast table from code point to symbol, head one of the sorted hashes of frequent words and their counts. Pairs seen
-    once are left out. Of those of two frequent words only kept branches are there, with their share; others have none yet.
+    symbol is a broadcast table from code point to symbol, head one of the sorted hashes of frequent words and their counts, twice one
+    of a bitmap of the words that occur more than once. Pairs seen once are left out. Kind 3 has the kept branches between frequent
+    words, by their places among these, with the share; the start's place is behind these. Kind 4 has all other pairs by hashes, without.
     """
     buckets = max(1, n_tokens // BUCKET)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in PACKED.split(", ")]
-        tally, gathered, held = Tally(), [], 0
+        n_head, bits = len(head.value[0]), code_bits(len(head.value[0]))
+        tally, codes, others, held = Tally(), [], [], 0
 
         def pack(kind: int, bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
             """The columns, which are in order of the bucket, as a row for each bucket."""
-            begins = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
+            begins = firsts(bucket)
             ends = np.r_[begins[1:], len(bucket)][: len(begins)]
             blobs = [pa.array([packed(c[i:j]) for i, j in zip(begins, ends, strict=True)], pa.binary()) for c in columns]
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(begins), kind, np.int8)), pa.array(bucket[begins]), pa.array(ends - begins), *blobs], names)
 
-        def pairs() -> pa.RecordBatch:
-            word, prev = (np.concatenate(x) for x in zip(*gathered, strict=True))
-            gathered.clear()
+        def pairs() -> Iterator[pa.RecordBatch]:
+            code = np.sort(np.concatenate(codes).view(np.uint64))
+            new = firsts(code)
+            bucket, size, keys, n, _ = dealt(code[new], buckets, bits, np.diff(np.r_[new, len(code)]), None)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(size), 3, np.int8)), bucket, size, keys, pa.nulls(len(size), pa.binary()), n], names)
+            word, prev = (np.concatenate(x) for x in zip(*others, strict=True))
             hashes = mix(pair_of(word, prev).view(np.uint64))
             order = np.argsort(hashes)
             hashes = hashes[order]
-            new = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(order) else order
+            new = firsts(hashes)
             bucket = ((hashes[new] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            return pack(3, bucket, word[order[new]], prev[order[new]], np.diff(np.r_[new, len(order)]))
+            yield pack(4, bucket, word[order[new]], prev[order[new]], np.diff(np.r_[new, len(order)]))
+            codes.clear()
+            others.clear()
 
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
@@ -264,60 +324,75 @@ def count_grams(rows: DataFrame, symbol, head, n_tokens: int, n_texts: int) -> D
                 # Frequent words go by their place, and the start behind these; 2^20 numbers that a hash has with a chance of 2^-44.
                 place, hit = find(head.value[0], flat)
                 code = np.where(hit, place, flat)
-                prev = before(code, lengths)
-                prev[(np.cumsum(lengths) - lengths)[lengths > 0]] = len(head.value[0])
-                gathered.append((code, prev))
+                begins = (np.cumsum(lengths) - lengths)[lengths > 0]
+                prev, known = before(code, lengths), hit.copy()
+                prev[begins] = n_head
+                known[1:] = hit[:-1]
+                known[begins] = True
+                both = hit & known
+                codes.append(mixed_code(code[both], prev[both], n_head))
+                # A pair with a word that occurs once is seen once.
+                often = hit | marked(twice.value, flat)
+                again = np.r_[True, often[:-1]][: len(often)]
+                again[begins] = True
+                other = ~both & often & again
+                others.append((code[other], prev[other]))
                 held += len(code)
                 if held >= GATHERED:
-                    yield pairs()
+                    yield from pairs()
                     held = 0
-        if gathered:
-            yield pairs()
+        if codes:
+            yield from pairs()
         keys, n = tally.merged()
         order = np.argsort(keys & 15, kind="stable")
         yield pack(2, keys[order] & 15, keys[order], np.zeros(len(keys), np.int64), n[order])
 
     def merge(group: pa.Table) -> pa.Table:
         hashes, counts = head.value
+        kind = group.column("kind")[0].as_py()
         sizes = group.column("size").to_pylist()
-        key, prev, n = (np.concatenate([unpacked(b, k) for b, k in zip(group.column(c).to_pylist(), sizes, strict=True)]) for c in ("key", "prev", "n"))
-        pair = pair_of(key, prev)
-        order = np.argsort(pair)
-        pair = pair[order]
-        new = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-        key, prev, n = key[order[new]], prev[order[new]], np.add.reduceat(n[order], new)
+        read = lambda c, f=unpacked: np.concatenate([f(b, k) for b, k in zip(group.column(c).to_pylist(), sizes, strict=True)])
+        n = read("n")
+        if kind == 3:
+            pair = read("key", ascending)
+        else:
+            key, prev = read("key"), read("prev")
+            pair = pair_of(key, prev)
+        order = np.argsort(pair, kind="stable")
+        new = firsts(pair[order])
+        n, at = np.add.reduceat(n[order], new), order[new]
+        if kind > 2:
+            n, at = n[n > 1], at[n > 1]
         share = np.full(len(n), np.nan)
-        kind = group.column("kind")[0].as_py()
         if kind == 3:
-            key, prev, n = key[n > 1], prev[n > 1], n[n > 1]
+            key, prev = places_of(pair[at], len(hashes))
+            own, of = counts[key].astype(float), np.r_[counts, n_texts][prev].astype(float)
+            share = (n - DISCOUNT) / of
+            good = (own < HEAD * n_tokens) & (n * np.log(n / of * n_tokens / own) > WORD_DIVERGENCE)
+            key, prev, n, share = key[good], prev[good], n[good], share[good]
+        else:
+            key, prev = key[at], prev[at]
+        if kind == 4:
             known, context = (key >= 0) & (key < len(hashes)), (prev >= 0) & (prev <= len(hashes))
-            own = np.r_[counts, 0][np.where(known, key, 0)].astype(float)
-            of = np.r_[counts, n_texts][np.where(context, prev, 0)].astype(float)
-            both = known & context
-            with np.errstate(all="ignore"):
-                share = np.where(both, (n - DISCOUNT) / of, np.nan)
-                good = ~both | ((own < HEAD * n_tokens) & (n * np.log(n / of * n_tokens / own) > WORD_DIVERGENCE))
             key = np.where(known, np.r_[hashes, 0][np.where(known, key, 0)], key)
             prev = np.where(context, np.r_[hashes, START_HASH][np.where(context, prev, 0)], prev)
-            key, prev, n, share = key[good], prev[good], n[good], share[good]
         return pa.table([pa.array(np.full(len(n), kind, np.int8)), pa.array(key), pa.array(prev), pa.array(n), pa.array(share, from_pandas=True)], names=[x.split()[0] for x in COUNTED.split(", ")])
 
     return rows.select("text").mapInArrow(run, PACKED).groupBy("kind", "bucket").applyInArrow(merge, COUNTED)
 
 
 def branches(pairs: DataFrame, words: DataFrame, n_tokens: int, n_texts: int) -> DataFrame:
-    """(key, prev, n, frequent, share): the kept branches, each with its count, whether its word is frequent, and the word's discounted
-    share in that context."""
-    columns = ["key", "prev", "n", "frequent", "share"]
+    """(key, prev, own, share): the kept branches, each with its word's count and discounted share in that context."""
+    words = words.where("n > 1")
     known = words.union(words.sparkSession.createDataFrame([(START_HASH, n_texts)], "key long, n long"))
-    found = pairs.where("share is null").join(known.select(F.col("key").alias("prev"), F.col("n").alias("of")), "prev").join(words.select("key", F.col("n").alias("own")), "key")
+    found = pairs.join(words.select("key", F.col("n").alias("own")), "key").join(known.select(F.col("key").alias("prev"), F.col("n").alias("of")), "prev")
     kept = found.where((F.col("own") < HEAD * n_tokens) & (F.col("n") * F.log(F.col("n") / F.col("of") * n_tokens / F.col("own")) > WORD_DIVERGENCE))
-    kept = kept.withColumn("frequent", F.col("own") >= FREQUENT * n_tokens).withColumn("share", (F.col("n") - DISCOUNT) / F.col("of"))
-    return kept.select(columns).union(pairs.where("share is not null").withColumn("frequent", F.lit(True)).select(columns))
+    return kept.select("key", "prev", "own", ((F.col("n") - DISCOUNT) / F.col("of")).alias("share"))
 
 
 def bitmap(pairs: DataFrame) -> np.ndarray:
-    """The bits of all values of the column pair; 16 MB."""
+    """The bits of all values of the only column; 16 MB."""
+    pairs = pairs.toDF("pair")
     bit = F.col("pair").bitwiseAND(F.lit((1 << BITMAP) - 1))
     one = F.expr("shiftleft(1L, cast(pair & 63 as int))")
     found = pairs.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
@@ -332,19 +407,107 @@ def marked(bits: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def looked_up(tail: DataFrame, words: DataFrame, gains: DataFrame, left: DataFrame) -> DataFrame:
-    """(row, times, score, n, rest, gain) of each (row, hash, prev, times, score): the word's count, what its own branches leave of the
-    token after it, and what the branch from the word before adds to its probability (before that word's rest); null without.
+#: What is looked up: branches between frequent words by mixed_code, other branches by pair_of, and rarer words by hash.
+CODES, PAIRS, WORDS = 5, 6, 7
+ASKED = "kind byte, bucket long, block long, size long, key binary, each binary, value binary"
+ASKED_NAMES = [x.split()[0] for x in ASKED.split(", ")]
+ANSWERED = "block long, size long, doc binary, score binary, base binary, known binary"
 
-    Facts about a word and a branch come before the occurrences that they are about, in one order by hash.
-    """
-    facts = words.join(left, "key", "left").select(F.col("key").alias("hash"), F.lit(None).cast("long").alias("prev"), "n", "rest")
-    all_ = facts.unionByName(gains.select(F.col("key").alias("hash"), "prev", "gain"), True).unionByName(tail, True)
-    order = Window.partitionBy("hash").orderBy(F.asc_nulls_first("prev"), F.asc_nulls_first("row")).rowsBetween(Window.unboundedPreceding, 0)
-    last = lambda c: F.last(c, ignorenulls=True).over(order)
-    branch = F.when(F.col("gain").isNotNull(), F.struct("prev", "gain"))
-    seen = all_.withColumn("branch", branch).select("row", "prev", "times", "score", last("n").alias("n"), last("rest").alias("rest"), last("branch").alias("branch"))
-    return seen.where("row is not null").withColumn("gain", F.when(F.col("branch.prev") == F.col("prev"), F.col("branch.gain")))
+
+def asked(kind: int, keys: np.ndarray, buckets: int, bits: int, each: np.ndarray | None, value: np.ndarray | None, block: int | None = None) -> pa.RecordBatch:
+    """Facts, or with a block what its documents ask, as rows for each bucket; the keys come in any order."""
+    keys = keys.view(np.uint64)
+    order = np.argsort(keys, kind="stable")
+    bucket, size, steps, each, value = dealt(keys[order], buckets, bits, *(None if x is None else x[order] for x in (each, value)))
+    rows = len(size)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(rows, kind, np.int8)), bucket, pa.array([block] * rows, pa.int64()), size, steps, each, value], ASKED_NAMES)
+
+
+def facts(df: DataFrame, make) -> DataFrame:
+    """What make(columns) packs of all rows of each task, some at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= GATHERED:
+                yield made(held)
+                held, rows = [], 0
+        if rows:
+            yield made(held)
+
+    def made(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(held)
+        return make(*(c.to_numpy() for c in whole.columns))
+
+    return df.mapInArrow(run, ASKED)
+
+
+def answered(asking: DataFrame, own, share: float, spelled: float) -> DataFrame:
+    """(row, known, base, score): what documents add up to in all that they asked. own is a broadcast array by place of a frequent word's
+    probability alone."""
+
+    def answer(group: pa.Table) -> pa.Table:
+        kind = group.column("kind")[0].as_py()
+        rows = group.to_pylist()
+        told = [(ascending(r["key"], r["size"]), r) for r in rows if r["block"] is None]
+        out = []
+
+        def table(column: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
+            """The facts that have the column, in order of their keys."""
+            have = [(k, unpacked(r[column], len(k), kind)) for k, r in told if r[column] is not None]
+            keys, values = (np.concatenate(x) if have else np.empty(0, t) for x, t in zip(zip(*have, strict=True) if have else ((), ()), (np.uint64, kind), strict=True))
+            order = np.argsort(keys)
+            return keys[order], values[order]
+
+        counts_of, counts = table("each", "<i8")
+        keys_of, values = table("value", "<f8")
+        if kind == CODES and len(keys_of):
+            values = np.log10(1 + values / own.value[places_of(keys_of, len(own.value))[0]])
+        for r in rows:
+            if r["block"] is None:
+                continue
+            keys, doc = ascending(r["key"], r["size"]), unpacked(r["each"], r["size"])
+            begins = firsts(keys)
+            times = np.diff(np.r_[begins, len(keys)])
+            at, there = find(keys_of, keys[begins])
+            base = known = None
+            if kind != CODES:
+                cost = unpacked(r["value"], len(begins), "<f8")
+                at_count, counted = find(counts_of, keys[begins])
+                n = np.where(counted, np.r_[counts, 0][at_count], 0)
+                # A long word's spelling is less than the least number.
+                alone = np.where(n > 0, np.log10(np.where(n > 0, share * n + spelled * 10**cost, 1)), np.log10(spelled) + cost)
+            fact = np.where(there, np.r_[values, 0.0][at], 0.0)
+            if kind == CODES:
+                score = fact
+            elif kind == PAIRS:
+                score = np.log10(1 + fact * 10 ** np.where(there, -alone, 0.0))
+            else:
+                score = alone + np.log10(np.where(there, fact, 1.0))
+                base, known = np.log10(n + 1), (n > 0).astype(float)
+            sums = lambda x, doc=doc, times=times: None if x is None else np.bincount(doc, weights=np.repeat(x, times))
+            totals = sums(score), sums(base), sums(known)
+            some = np.flatnonzero(np.bincount(doc) if kind == WORDS else totals[0])
+            if len(some):
+                out.append((r["block"], len(some), packed(some), *(None if x is None else packed(x[some]) for x in totals)))
+        names = [x.split()[0] for x in ANSWERED.split(", ")]
+        types = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+        return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=names)
+
+    def add_up(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        docs = [unpacked(r["doc"], r["size"]) for r in rows]
+        doc = np.concatenate(docs)
+
+        def total(column: str) -> np.ndarray:
+            return np.bincount(doc, weights=np.concatenate([np.zeros(r["size"]) if r[column] is None else unpacked(r[column], r["size"], "<f8") for r in rows]))
+
+        known, base, score = (total(c) for c in ("known", "base", "score"))
+        return pa.table({"row": rows[0]["block"] + np.arange(len(score)), "known": np.rint(known).astype(np.int64), "base": base, "score": score})
+
+    return asking.groupBy("kind", "bucket").applyInArrow(answer, ANSWERED).groupBy("block").applyInArrow(add_up, "row long, known long, base double, score double")
 
 
 def candidate_contexts(counted: DataFrame) -> list[np.ndarray]:
@@ -417,33 +580,79 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     head = {c: head[c].to_numpy() for c in ("key", "n")}
     n_end = words.where(F.col("key") == END_HASH).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     texts = max(n_end, 1)  # every training row has one end
+    n_head, bits = len(head["key"]), code_bits(len(head["key"]))
     frequents = sc.broadcast((head["key"], head["n"]))
-    seen = shelf.keep(count_grams(training, symbol, frequents, n_tokens, texts))
+    seen = shelf.keep(count_grams(training, symbol, frequents, sc.broadcast(bitmap(words.where("n > 1").select("key"))), n_tokens, texts))
     kept, log_next = tree(candidate_contexts(seen.where("kind = 2").select("key", "n")))
     once = words.where("n = 1").count()
     spelled = once / n_tokens if 0 < once < n_tokens else 1.0 if n_tokens == 0 else 0.5 / n_tokens
-    kept_branches = shelf.keep(branches(seen.where("kind = 3").drop("kind"), words, n_tokens, texts))
-    left = shelf.keep(kept_branches.groupBy(F.col("prev").alias("key")).agg((1 - F.sum("share")).alias("rest")))
-    gains = kept_branches.join(left.withColumnRenamed("key", "prev"), "prev")
-    gains = shelf.keep(gains.select("key", "prev", "n", "frequent", (F.col("share") / F.col("rest")).alias("gain"), pair_of(F.col("key"), F.col("prev")).alias("pair")))
-    often = gains.where(F.col("frequent") & (F.col("n") >= FREQUENT * n_tokens)).select("pair", "gain").toArrow().sort_by("pair")
-    rare = gains.where(F.col("frequent") & (F.col("n") < FREQUENT * n_tokens)).select("pair", "gain")
-    branched = sc.broadcast((often["pair"].to_numpy(), often["gain"].to_numpy(), bitmap(gains.where("frequent").select("pair"))))
-    # Contexts that are words of the head, or the start: no more than these are.
+    share = (1 - spelled) / max(n_tokens, 1)
+
+    # Contexts that are frequent words, or the start, go by place, and there are no more than these.
+    inner = seen.where("kind = 3").select("key", "prev", "n", "share")
+    outer = shelf.keep(branches(seen.where("kind = 4").select("key", "prev", "n"), words, n_tokens, texts))
+    taken = outer.groupBy("prev").agg(F.sum("share").alias("taken"))
     heads = words.where(F.col("n") >= FREQUENT * n_tokens).select("key").union(spark.createDataFrame([(START_HASH,)], "key long"))
-    rests = left.join(heads, "key", "left_semi").toArrow().sort_by("key")
-    at, there = find(rests["key"].to_numpy(), np.r_[head["key"], START_HASH].astype(np.int64))
-    *rest, start_rest = np.log10(np.where(there, np.r_[rests["rest"].to_numpy(), 1.0][at], 1.0)).tolist()
-    rest = np.array(rest)
-    model = sc.broadcast((kept, log_next, head["key"], head["n"].astype(np.float64), rest))
+    taken = shelf.keep(taken.join(F.broadcast(heads.select(F.col("key").alias("prev"), F.lit(True).alias("frequent"))), "prev", "left"))
+    rest = np.ones(n_head + 1)
+    some = inner.groupBy("prev").agg(F.sum("share").alias("taken")).toArrow()
+    rest[some["prev"].to_numpy()] -= some["taken"].to_numpy()
+    some = taken.where("frequent").select("prev", "taken").toArrow()
+    at, there = find(head["key"], some["prev"].to_numpy())
+    rest[np.where(there, at, n_head)] -= some["taken"].to_numpy()
+
+    often = inner.where(F.col("n") >= FREQUENT * n_tokens).select("key", "prev", "share").toArrow()
+    codes = mixed_code(often["key"].to_numpy(), often["prev"].to_numpy(), n_head)
+    order = np.argsort(codes)
+    often_gain = (often["share"].to_numpy() / rest[often["prev"].to_numpy()])[order]
+    rare = inner.where(F.col("n") < FREQUENT * n_tokens)
+    branched = rare.select(mixed_code(F.col("key"), F.col("prev"), n_head).alias("key")).union(outer.select(pair_of(F.col("key"), F.col("prev"))))
+    model = sc.broadcast((kept, log_next, codes[order], often_gain, bitmap(branched), rest))
     spare = -np.log10(CODE_POINTS)
-    share = (1 - spelled) / max(n_tokens, 1)
+    buckets = max(1, n_tokens // ASKED_BUCKET)
+
+    def codes_told(key, prev, share):
+        return asked(CODES, mixed_code(key, prev, n_head), buckets, bits, None, share / model.value[5][prev])
+
+    def pairs_told(key, prev, own, share, taken):
+        place, hit = find(frequents.value[0], prev)
+        place[prev == START_HASH], hit[prev == START_HASH] = n_head, True
+        rest = np.where(hit, model.value[5][place], 1 - taken)
+        return asked(PAIRS, pair_of(key, prev), buckets, 64, own, share / rest)
+
+    def counts_told(key, n):
+        return asked(WORDS, key, buckets, 64, n, None)
+
+    def rests_told(key, taken):
+        return asked(WORDS, key, buckets, 64, None, 1 - taken)
+
+    told = [
+        facts(rare.select("key", "prev", "share"), codes_told),
+        facts(outer.join(taken.select("prev", "taken"), "prev").select("key", "prev", "own", "share", "taken"), pairs_told),
+        facts(words.where(F.col("n") < FREQUENT * n_tokens), counts_told),
+        facts(taken.where("frequent is null").select("prev", "taken"), rests_told),
+    ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, log_next, head_keys, head_counts, head_rest = model.value
-        often, often_gain, bits = branched.value
+        kept, log_next, often, often_gain, branched, rest = model.value
+        head_keys, head_counts = frequents.value
+        head_counts, log_rest = head_counts.astype(np.float64), np.log10(rest)
         state = states(kept)
-        number = TaskContext.get().partitionId() << 33
+        told = np.zeros(n_head, bool)
+        block = number = TaskContext.get().partitionId() << 33
+        gathered, held = {CODES: [], PAIRS: [], WORDS: []}, 0
+
+        def tall(**columns) -> pa.RecordBatch:
+            rows = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([columns.get(n, pa.nulls(rows, t)) for n, t in TALL_TYPES.items()], list(TALL_TYPES))
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for kind, held in gathered.items():
+                keys, doc, *cost = (np.concatenate(x) for x in zip(*held, strict=True))
+                part = asked(kind, keys, buckets, bits if kind == CODES else 64, doc, cost[0] if cost else None, block)
+                yield tall(**dict(zip(ASKED_NAMES, part.columns, strict=True)))
+                held.clear()
+
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
@@ -458,46 +667,59 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
                 spelling = np.delete(logs, ends)
 
                 place, hit = find(head_keys, flat)
-                counts = head_counts[place[hit]]
+                mine = place[hit]
+                counts = head_counts[mine]
                 total = lambda values, doc=doc[hit], rows=rows: np.bincount(doc, weights=values, minlength=rows)
                 known = np.bincount(doc[hit], minlength=rows) + (n_end > 0)
                 base = total(np.log10(counts + 1)) + np.log10(n_end + 1)
                 own = share * counts + spelled * 10 ** spelling[hit]
-                scores = np.log10(own) + head_rest[place[hit]]
-                prev = before(flat, lengths)
-                pair = pair_of(flat[hit], prev[hit])
-                likely = np.flatnonzero(marked(bits, pair))
-                at_often, found = find(often, pair[likely])
-                there = likely[found]
+                scores = np.log10(own) + log_rest[mine]
+
+                begins = (np.cumsum(lengths) - lengths)[lengths > 0]
+                before_place, after_known = np.r_[0, place[:-1]][: len(place)], np.r_[True, hit[:-1]][: len(hit)]
+                before_place[begins], after_known[begins] = n_head, True
+                both = after_known[hit]
+                code = mixed_code(mine[both], before_place[hit][both], n_head)
+                inside = np.flatnonzero(both)
+                at_often, found = find(often, code)
+                there = inside[found]
                 scores[there] += np.log10(1 + often_gain[at_often[found]] / own[there])
-                asked = likely[~found]
-                scores = total(scores) + np.log10(share * n_end + spelled * 10 ** logs[ends]) + start_rest
-                row = number + np.arange(rows)
+                likely = ~found & marked(branched, code)
+                in_block = doc + (number - block)
+                gathered[CODES].append((code[likely], in_block[hit][inside[likely]]))
+                words = mine[inside[likely]]
+                fresh = np.flatnonzero(~told[words])
+                if len(fresh):
+                    some, first = np.unique(words[fresh], return_index=True)
+                    told[some] = True
+                    yield tall(place=pa.array(some), score=pa.array(own[inside[likely]][fresh[first]]))
+
+                outside = np.flatnonzero(~(hit & after_known))
+                pair = pair_of(flat[outside], before(flat, lengths)[outside])
+                likely = marked(branched, pair)
+                gathered[PAIRS].append((pair[likely], in_block[outside[likely]], spelling[outside[likely]]))
+                gathered[WORDS].append((flat[~hit], in_block[~hit], spelling[~hit]))
+
+                scores = total(scores) + np.log10(share * n_end + spelled * 10 ** logs[ends]) + log_rest[n_head]
+                yield tall(doc_id=part.column(0), held_out=part.column(1), row=pa.array(number + np.arange(rows)), tokens=pa.array(lengths + 1), known=pa.array(known.astype(np.int64)), base=pa.array(base), score=pa.array(scores))
                 number += rows
-                nothing = pa.nulls(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(row), nothing, nothing, nothing, pa.array(lengths + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(scores), nothing], TALL_NAMES
-                )
-                if len(asked):
-                    nothing, zero = pa.nulls(len(asked), pa.float64()), pa.nulls(len(asked), pa.int64())
-                    yield pa.RecordBatch.from_arrays([zero, pa.nulls(len(asked), pa.bool_()), pa.array(row[doc[hit][asked]]), zero, zero, zero, zero, zero, nothing, pa.array(own[asked]), pa.array(pair[asked])], TALL_NAMES)
-                (d, h, prev), first, times = distinct(doc[~hit], flat[~hit], prev[~hit])
-                if len(d):
-                    cost = spelling[~hit][first]
-                    nothing, zero = pa.nulls(len(d), pa.float64()), pa.nulls(len(d), pa.int64())
-                    yield pa.RecordBatch.from_arrays([zero, pa.nulls(len(d), pa.bool_()), pa.array(row[d]), pa.array(h), pa.array(prev), pa.array(times.astype(np.int64)), zero, zero, nothing, pa.array(cost), zero], TALL_NAMES)
+                held += len(flat)
+                if held >= GATHERED:
+                    yield from flushed()
+                    block, held = number, 0
+        if number > block:
+            yield from flushed()
 
     tall = shelf.keep(rows.mapInArrow(run, TALL))
-    tail = looked_up(tall.where("hash is not null").select("row", "hash", "prev", "times", "score"), words.where(F.col("n") < FREQUENT * n_tokens), gains.where("not frequent"), left)
-    n = F.coalesce("n", F.lit(0))
-    own = share * n + spelled * F.pow(F.lit(10.0), F.col("score"))
-    mixed = F.log10(own + F.coalesce("gain", F.lit(0.0))) + F.log10(F.coalesce("rest", F.lit(1.0)))
-    tail = tail.select("row", F.when(n > 0, F.col("times")).otherwise(0).alias("known"), (F.col("times") * F.log10(n + 1)).alias("base"), (F.col("times") * mixed).alias("score"))
-    added = tall.where("pair is not null").select("row", "pair", F.col("score").alias("own")).join(rare, "pair")
-    tail = tail.union(added.select("row", F.lit(0).cast("long"), F.lit(0.0), F.log10(1 + F.col("gain") / F.col("own"))))
-    by_row = tail.groupBy("row").agg(F.sum("known").alias("more_known"), F.sum("base").alias("more_base"), F.sum("score").alias("more_score"))
+    alone = tall.where("place is not null").groupBy("place").agg(F.max("score").alias("own")).toArrow()
+    own = np.full(n_head, np.nan)
+    own[alone["place"].to_numpy()] = alone["own"].to_numpy()
+    asking = tall.where("kind is not null").select(ASKED_NAMES)
+    for part in told:
+        asking = asking.union(part)
+    by_row = answered(asking, sc.broadcast(own), share, spelled).select("row", *(F.col(c).alias(f"more_{c}") for c in ("known", "base", "score")))
     more = lambda c: F.coalesce(f"more_{c}", F.lit(0))
-    joined = tall.where("hash is null and pair is null").join(by_row, "row", "left").select(
+    joined = tall.where("row is not null").join(by_row, "row", "left").select(
         "doc_id", "held_out", F.col("tokens").alias("n_tokens"),
         (F.col("known") + more("known")).cast("long").alias("n_known"),
         F.lit(n_tokens).cast("long").alias("train_tokens"),
@@ -507,8 +729,11 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     return shelf.last(joined)
 
 
-TALL = "doc_id long, held_out boolean, row long, hash long, prev long, times long, tokens long, known long, base double, score double, pair long"
-TALL_NAMES = [x.split()[0] for x in TALL.split(", ")]
+TALL_TYPES = {
+    "doc_id": pa.int64(), "held_out": pa.bool_(), "row": pa.int64(), "tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "place": pa.int64(),
+    "kind": pa.int8(), "bucket": pa.int64(), "block": pa.int64(), "size": pa.int64(), "key": pa.binary(), "each": pa.binary(), "value": pa.binary(),
+}
+TALL = f"doc_id long, held_out boolean, row long, tokens long, known long, base double, score double, place long, {ASKED}"
 
 
 def default_held_out(id_col: str = "doc_id", n: int = 7, remainder: int = 2) -> Column:
