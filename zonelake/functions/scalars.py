@@ -34,12 +34,13 @@ def foot_y(y1: Column, y2: Column) -> Column:
     return F.greatest(y1, y2)
 
 
-def iou(a: tuple, b: tuple) -> Column:
-    """Intersection over union of two boxes (x1, y1, x2, y2)."""
+def iou(a: tuple, b: tuple, area_b: Column | None = None) -> Column:
+    """Intersection over union of two boxes (x1, y1, x2, y2). The second one's area may be given, as corners of a box that was moved
+    give it with another last digit."""
     zero = F.lit(0.0)
     w = F.greatest(zero, F.least(a[2], b[2]) - F.greatest(a[0], b[0]))
     h = F.greatest(zero, F.least(a[3], b[3]) - F.greatest(a[1], b[1]))
-    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h
+    union = (a[2] - a[0]) * (a[3] - a[1]) + ((b[2] - b[0]) * (b[3] - b[1]) if area_b is None else area_b) - w * h
     return F.when(union > 0, w * h / union).otherwise(zero)
 
 

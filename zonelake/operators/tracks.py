@@ -252,14 +252,17 @@ def boxes_per_frame(detections: DataFrame) -> DataFrame:
 def ground_truth(tracks_: DataFrame, truth: DataFrame, at_least: float = 0.5, hits: int = 3) -> DataFrame:
     """For each track the true person whose box it overlaps best, frame by frame, if that holds in enough frames.
 
-    Boxes meet in cells of their frame (geometry.meeting()), as a box of another cell can't overlap.
+    Boxes meet in cells of their frame (geometry.meeting()), as a box of another cell can't overlap. Of people whose boxes overlap
+    equally well the first counts, so last digits matter: where a truth's box was moved, a column ``area`` has its area from before.
     """
     from zonelake.functions.scalars import iou
     from zonelake.operators.geometry import meeting
 
     corners = ("x1", "y1", "x2", "y2")
-    pairs = meeting(tracks_.select("camera_id", "ts_us", "track_id", *corners), truth.select("camera_id", "ts_us", "person", *corners), ["camera_id", "ts_us"])
-    both = pairs.withColumn("iou", iou(tuple(map(F.col, corners)), tuple(F.col(f"r_{c}") for c in corners))).withColumnRenamed("r_person", "person")
+    sized = ["area"] if "area" in truth.columns else []
+    pairs = meeting(tracks_.select("camera_id", "ts_us", "track_id", *corners), truth.select("camera_id", "ts_us", "person", *corners, *sized), ["camera_id", "ts_us"])
+    overlap = iou(tuple(map(F.col, corners)), tuple(F.col(f"r_{c}") for c in corners), F.col("r_area") if sized else None)
+    both = pairs.withColumn("iou", overlap).withColumnRenamed("r_person", "person")
     best = both.where(F.col("iou") >= at_least).groupBy("camera_id", "ts_us", "track_id").agg(F.max_by("person", F.struct("iou", (-F.col("person")).alias("p"))).alias("person"))
     counted = best.groupBy("camera_id", "track_id", "person").agg(F.count("*").alias("hits")).where(F.col("hits") >= hits)
     return counted.groupBy("camera_id", "track_id").agg(F.max_by("person", F.struct("hits", (-F.col("person")).alias("p"))).alias("person"), F.max("hits").alias("hits"))
