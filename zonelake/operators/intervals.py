@@ -117,22 +117,48 @@ def binned(rows: DataFrame, bin_us: int = DAY) -> DataFrame:
     return rows.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("a_us") / bin_us), F.floor((F.col("b_us") - 1) / bin_us))))
 
 
+def swept(pieces: DataFrame, holes: DataFrame, keys: list[str]) -> DataFrame:
+    """Pieces (keys, __bin, __a, __b, ...) of bins with how many holes (keys, __bin, a_us, b_us), apart from each other, have begun in the bin by __a and by
+    __b (__begun_a, __begun_b) and the time inside holes until then (__lost_a, __lost_b).
+
+    Both are one stream, sorted by each end of a piece in turn, so neither a piece nor a hole is looked at more than once or twice, however
+    many of the others its bin has.
+    """
+    others = [c for c in pieces.columns if c not in (*keys, "__bin", "__a", "__b")]
+    mine = pieces.select(*keys, "__bin", "__a", "__b", F.lit(1).alias("__kind"), F.struct(F.lit(0).alias("__"), *others).alias("__row"))
+    theirs = holes.dropna(subset=keys).select(*keys, "__bin", F.col("a_us").alias("__a"), F.col("a_us").alias("__b"), F.lit(0).alias("__kind"), (F.col("b_us") - F.col("a_us")).alias("__length"), F.col("b_us").alias("__end"))
+    both = mine.unionByName(theirs, allowMissingColumns=True)
+    for end in ("a", "b"):
+        so_far = Window.partitionBy(*keys, "__bin").orderBy(f"__{end}", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+        ahead = F.greatest(F.max("__end").over(so_far) - F.col(f"__{end}"), F.lit(0))
+        both = both.withColumns({f"__begun_{end}": F.count("__end").over(so_far), f"__lost_{end}": F.coalesce(F.sum("__length").over(so_far) - ahead, F.lit(0))})
+    return both.where("__kind = 1").select(*keys, "__bin", "__a", "__b", *[F.col(f"__row.{c}").alias(c) for c in others], "__begun_a", "__begun_b", "__lost_a", "__lost_b")
+
+
+def holes_of(blind: DataFrame, keys: list[str], bin_us: int) -> DataFrame:
+    """Blind intervals cut at the edges of bins."""
+    lo, hi = F.col("__bin") * bin_us, (F.col("__bin") + 1) * bin_us
+    return binned(blind.select(*keys, "a_us", "b_us"), bin_us).select(*keys, "__bin", F.greatest("a_us", lo).alias("a_us"), F.least("b_us", hi).alias("b_us"))
+
+
 def subtract(rows: DataFrame, blind: DataFrame, keys: list[str], bin_us: int = DAY) -> DataFrame:
     """The parts of each row's interval outside merged blind intervals of the key; other columns are repeated.
 
     Both sides meet in bins, so a key with many rows is spread over its bins. A row is cut at its bins first and its
     parts there are cut at blind intervals; parts that touch at a bin's edge belong together (merge() joins them).
+    A sweep tells in which gaps between blind intervals a part lies, and it meets these by number.
     """
+    others = [c for c in rows.columns if c not in ("a_us", "b_us", *keys)]
     cut = binned(rows.where("b_us > a_us"), bin_us)
-    cut = cut.withColumn("a_us", F.greatest("a_us", F.col("__bin") * bin_us)).withColumn("b_us", F.least("b_us", (F.col("__bin") + 1) * bin_us))
-    holes = binned(blind.select(*keys, "a_us", "b_us"), bin_us).groupBy(*keys, "__bin").agg(F.array_sort(F.collect_list(F.struct("a_us", "b_us"))).alias("__holes"))
-    both = cut.join(holes, [*keys, "__bin"], "left")
-    inside = F.filter(F.coalesce("__holes", F.array().cast("array<struct<a_us:bigint,b_us:bigint>>")), lambda h: (h["a_us"] < F.col("b_us")) & (h["b_us"] > F.col("a_us")))
-    starts = F.concat(F.array("a_us"), F.transform("__in", lambda h: F.least(h["b_us"], F.col("b_us"))))
-    ends = F.concat(F.transform("__in", lambda h: F.greatest(h["a_us"], F.col("a_us"))), F.array("b_us"))
-    pieces = F.filter(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["b"] > p["a"])
-    others = [c for c in rows.columns if c not in ("a_us", "b_us")]
-    return both.withColumn("__in", inside).select(*others, F.explode(pieces).alias("__p")).select(*others, F.col("__p.a").alias("a_us"), F.col("__p.b").alias("b_us"))
+    cut = cut.select(*keys, "__bin", F.greatest("a_us", F.col("__bin") * bin_us).alias("__a"), F.least("b_us", (F.col("__bin") + 1) * bin_us).alias("__b"), *others)
+    holes = holes_of(blind, keys, bin_us)
+    number = F.row_number().over(Window.partitionBy(*keys, "__bin").orderBy("a_us"))
+    ends = F.array(F.struct((number - 1).alias("g"), F.lit(None).cast("long").alias("lo"), F.col("a_us").alias("hi")), F.struct(number.alias("g"), F.col("b_us").alias("lo"), F.lit(None).cast("long").alias("hi")))
+    gaps = holes.select(*keys, "__bin", ends.alias("__e")).select(*keys, "__bin", F.explode("__e").alias("__e"))
+    gaps = gaps.groupBy(*keys, "__bin", F.col("__e.g").cast("long").alias("__gap")).agg(F.max("__e.lo").alias("__lo"), F.max("__e.hi").alias("__hi"))
+    each = swept(cut, holes, keys).withColumn("__gap", F.explode(F.sequence("__begun_a", "__begun_b"))).join(gaps, [*keys, "__bin", "__gap"], "left")
+    parts = each.withColumn("a_us", F.greatest("__a", "__lo")).withColumn("b_us", F.least("__b", "__hi")).where("b_us > a_us")
+    return parts.select(*[c for c in rows.columns if c not in ("a_us", "b_us")], "a_us", "b_us")
 
 
 def observed(rows: DataFrame, blind: DataFrame, keys: list[str], bin_us: int = DAY) -> DataFrame:
@@ -140,11 +166,9 @@ def observed(rows: DataFrame, blind: DataFrame, keys: list[str], bin_us: int = D
     intervals of the key, and ``once`` is true for one of a row's bins."""
     first, last = F.floor(F.col("a_us") / bin_us), F.floor(F.greatest("a_us", F.col("b_us") - 1) / bin_us)
     cut = rows.withColumn("__bin", F.explode(F.sequence(first, last))).withColumn("once", F.col("__bin") == first)
-    holes = binned(blind.select(*keys, "a_us", "b_us"), bin_us).groupBy(*keys, "__bin").agg(F.collect_list(F.struct("a_us", "b_us")).alias("__holes"))
-    both = cut.join(holes, [*keys, "__bin"], "left").withColumn("__a", F.greatest("a_us", F.col("__bin") * bin_us)).withColumn("__b", F.least("b_us", (F.col("__bin") + 1) * bin_us))
-    inside = lambda h: F.greatest(F.least(h["b_us"], F.col("__b")) - F.greatest(h["a_us"], F.col("__a")), F.lit(0))
-    lost = F.coalesce(F.aggregate("__holes", F.lit(0).cast("long"), lambda sum_, h: sum_ + inside(h)), F.lit(0))
-    return both.withColumn("seen_us", F.greatest(F.col("__b") - F.col("__a"), F.lit(0)) - lost).drop("__bin", "__holes", "__a", "__b")
+    cut = cut.withColumn("__a", F.greatest("a_us", F.col("__bin") * bin_us)).withColumn("__b", F.least("b_us", (F.col("__bin") + 1) * bin_us))
+    seen = F.when(F.col("__b") > F.col("__a"), F.col("__b") - F.col("__a") - (F.col("__lost_b") - F.col("__lost_a"))).otherwise(F.lit(0))
+    return swept(cut, holes_of(blind, keys, bin_us), keys).withColumn("seen_us", seen).select(*rows.columns, "once", "seen_us")
 
 
 def overlap_us(rows: DataFrame, blind: DataFrame, keys: list[str], ids: list[str], bin_us: int = DAY) -> DataFrame:
