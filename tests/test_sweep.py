@@ -32,7 +32,7 @@ def test_sweep_equals_plain(spark):
         assert {i: sorted(x) for i, x in parts.items()} == want
 
 
-@pytest.mark.parametrize("name", ["duration_where", "report_totals", "time_weighted"])
+@pytest.mark.parametrize("name", ["duration_where", "report_totals", "time_weighted", "series_charts", "time_weighted_unlimited_hold", "occupancy_report"])
 def test_no_row_carries_the_outages_of_its_day(spark, name):
     """A day's outages in a list beside each of its readings are as much work as outages times readings."""
     plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()

@@ -81,15 +81,15 @@ def series_charts(series: DataFrame, key: list[str] = KEY) -> DataFrame:
     """(key, chart, dataset, labels, data, value) from a bucketed series: mean and peak occupancy over time, nulls kept where nothing was observed, at most
     MAX_POINTS buckets; a tile of the observed share, in percent, where it is under 99.9. Zones without any mean have no chart."""
     place = F.row_number().over(Window.partitionBy(*key).orderBy("bucket_us"))
-    points = F.array_sort(F.collect_list(F.struct("bucket_us", F.round("occupancy", 2).alias("mean"), "peak_occupancy")))
-    kept = series.withColumn("__place", place).where(F.col("__place") <= MAX_POINTS).groupBy(*key).agg(points.alias("p"))
-    shares = series.groupBy(*key).agg(F.avg("coverage").alias("coverage"), F.count("occupancy").alias("__n")).where("__n > 0")
-    every = kept.join(shares, key)
+    # Both in one aggregate, so the series is made once.
+    shown = F.when(F.col("__place") <= MAX_POINTS, F.struct("bucket_us", F.round("occupancy", 2).alias("mean"), "peak_occupancy"))
+    figures = F.array_sort(F.collect_list(shown)).alias("p"), F.avg("coverage").alias("coverage"), F.count("occupancy").alias("__n")
+    every = series.withColumn("__place", place).groupBy(*key).agg(*figures).where("__n > 0")
     none = F.lit(None)
     line = lambda name, field: F.struct(F.lit("occupancy").alias("chart"), F.lit(name).alias("dataset"), F.col("p.bucket_us").alias("labels"), F.transform("p", lambda x: x[field].cast("double")).alias("data"), none.cast("double").alias("value"))
     tile = F.struct(F.lit("coverage").alias("chart"), none.cast("string").alias("dataset"), none.cast("array<long>").alias("labels"), none.cast("array<double>").alias("data"), F.round(F.col("coverage") * 100, 1).alias("value"))
-    shown = F.array(line("mean", "mean"), F.when(F.exists("p", lambda x: x["peak_occupancy"] > 0), line("peak", "peak_occupancy")), F.when(F.col("coverage") < 0.999, tile))
-    return every.select(*key, F.inline(F.array_compact(shown)))
+    charts = F.array(line("mean", "mean"), F.when(F.exists("p", lambda x: x["peak_occupancy"] > 0), line("peak", "peak_occupancy")), F.when(F.col("coverage") < 0.999, tile))
+    return every.select(*key, F.inline(F.array_compact(charts)))
 
 
 def report_records(reports: DataFrame, kind: str, generated_us: int, t0: int, t1: int) -> DataFrame:
