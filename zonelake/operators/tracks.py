@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -287,28 +287,69 @@ def sampled(candidates: DataFrame, interval_us: int = SECOND, most: int = 5, bud
 
 class Clusters:
     """Places of a source where boxes were seen: each frame's boxes take, in order, the nearest place within reach that no
-    other box of the frame has taken, or make a new one. A place is the mean of its boxes' centres."""
+    other box of the frame has taken, or make a new one. A place is the mean of its boxes' centres.
+
+    Free places lie in the cells of a grid, and a search leaves out cells that are farther away than what it has found. So the work
+    for a box follows from the free places around it and not from all that were made or taken.
+    """
+
+    #: Cells along the reach.
+    FINE = 3
 
     def __init__(self, reach: float) -> None:
-        self.reach, self.frame, self.taken = reach, None, set()
-        self.sums, self.n = np.zeros((16, 3)), 0  # sums of x and y, and their number
+        self.reach, self.cell, self.frame = reach, reach / self.FINE or 1.0, None
+        self.at, self.sums, self.taken = [], [], []  # at: places as complex numbers, whose abs() is hypot()
+        self.free: dict[int, dict[int, dict[int, complex]]] = {}  # by column and row of the grid
+        self.steps = sorted(range(-self.FINE - 1, self.FINE + 2), key=abs)
+        self.slack = 1e-9 * self.cell  # cells are found by rounded division
+
+    def cell_of(self, at: complex) -> tuple[int, int]:
+        return math.floor(at.real / self.cell), math.floor(at.imag / self.cell)
+
+    def nearest(self, at: complex) -> int | None:
+        """Of the free places within reach the nearest, of several the one made first."""
+        best, near, cell, (cx, cy) = self.reach, None, self.cell, self.cell_of(at)
+        fx, fy = at.real - cx * cell, at.imag - cy * cell
+        # How far the cells of a column or row are away at least.
+        off = lambda f, d: d * cell - f if d > 0 else f - (d + 1) * cell if d < 0 else 0.0
+        rows = None
+        for dx in self.steps:
+            column = self.free.get(cx + dx)
+            if not column or (ax := off(fx, dx)) > best + self.slack:
+                continue
+            rows = rows or [(cy + dy, off(fy, dy)) for dy in self.steps]
+            for row, ay in rows:
+                here = column.get(row)
+                if not here or ax * ax + ay * ay > (best + self.slack) ** 2:
+                    continue
+                for k, place in here.items():
+                    apart = abs(at - place)
+                    if apart <= best and (apart < best or near is None or k < near):
+                        best, near = apart, k
+        return near
 
     def add(self, frame: int, x: float, y: float) -> int:
         if frame != self.frame:
-            self.frame, self.taken = frame, set()
-        k = self.n
-        if self.n:
-            made = self.sums[: self.n]
-            apart = np.hypot(x - made[:, 0] / made[:, 2], y - made[:, 1] / made[:, 2])
-            apart[list(self.taken)] = np.inf
-            near = int(apart.argmin())
-            k = near if apart[near] <= self.reach else k
-        if k == self.n:
-            self.n += 1
-            if self.n > len(self.sums):
-                self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        self.sums[k] += (x, y, 1)
-        self.taken.add(k)
+            for k in self.taken:
+                cx, cy = self.cell_of(self.at[k])
+                self.free.setdefault(cx, {}).setdefault(cy, {})[k] = self.at[k]
+            self.frame, self.taken = frame, []
+        at = complex(x, y)
+        k = self.nearest(at)
+        if k is None:
+            k = len(self.at)
+            self.sums.append((0.0, 0.0, 0))
+            self.at.append(at)
+        else:
+            cx, cy = self.cell_of(self.at[k])
+            here = self.free[cx][cy]
+            del here[k]
+            if not here:
+                del self.free[cx][cy]
+        sx, sy, n = self.sums[k]
+        self.sums[k] = sx, sy, n = sx + x, sy + y, n + 1
+        self.at[k] = complex(sx / n, sy / n)
+        self.taken.append(k)
         return k
 
 
@@ -318,6 +359,7 @@ def position_clusters(boxes: DataFrame, reach: float, source: str = "camera_id")
     schema = f"{source} {dict(boxes.dtypes)[source]}, ts_us long, seq long, cluster int"
 
     def step(state: Clusters, row: dict) -> list[tuple]:
-        return [(row[source], row["ts_us"], row["seq"], state.add(row["ts_us"], (row["x1"] + row["x2"]) / 2, (row["y1"] + row["y2"]) / 2))]
+        return [(row[source], row["ts_us"], row["seq"], state.add(row["ts_us"], row["x"], row["y"]))]
 
-    return folds.ordered(boxes.select(source, "ts_us", "seq", "x1", "y1", "x2", "y2"), [source], lambda: Clusters(reach), step, schema)
+    centred = boxes.select(source, "ts_us", "seq", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"))
+    return folds.ordered(centred, [source], lambda: Clusters(reach), step, schema)
