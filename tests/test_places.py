@@ -1,6 +1,7 @@
 """Places of boxes by a grid against a look at every place."""
 
 import random
+import time
 
 from zonelake.operators import tracks
 
@@ -41,3 +42,17 @@ def test_a_box_looks_at_few_places(monkeypatch):
         for _ in range(2000):
             places.add(f, rng.uniform(0, 1000), rng.uniform(0, 1000))
     assert 0 < len(looked) < 6000 * 12
+
+
+def test_crowds_cost_no_more_a_box():
+    """Sixteen times the boxes over sixteen times the area: a look at every place would take many times as long for a box."""
+
+    def seconds(n, side):
+        rng, places = random.Random(1), tracks.Clusters(10.0)
+        spots = [(f, rng.uniform(0, side), rng.uniform(0, side)) for f in range(2) for _ in range(n)]
+        began = time.process_time()
+        for s in spots:
+            places.add(*s)
+        return (time.process_time() - began) / len(spots)
+
+    assert min(seconds(4000, 1000) for _ in range(2)) < 5 * min(seconds(250, 250) for _ in range(3))
